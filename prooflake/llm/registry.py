@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from prooflake.llm import byte_bpe, compress_quality, simhash, url_filter
+from prooflake.llm import byte_bpe, compress_quality, simhash, source_mix, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_byte_bpe": byte_bpe.op1_byte_bpe,
         "op2_simhash": simhash.op2_simhash,
+        "op5_source_mix": source_mix.op5_source_mix,
         "op7_url_filter": url_filter.op7_url_filter,
         "op10_compress_quality": compress_quality.op10_compress_quality,
     }
