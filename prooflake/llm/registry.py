@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from prooflake.llm import byte_bpe, compress_quality, simhash, source_mix, url_filter
+from prooflake.llm import audio_features, byte_bpe, chat_collapse, compress_quality, cross_polytope, simhash, source_mix, token_counts, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_byte_bpe": byte_bpe.op1_byte_bpe,
         "op2_simhash": simhash.op2_simhash,
+        "op3_token_counts": token_counts.op3_token_counts,
         "op5_source_mix": source_mix.op5_source_mix,
+        "op6_audio_features": audio_features.op6_audio_features,
         "op7_url_filter": url_filter.op7_url_filter,
+        "op8_cross_polytope": cross_polytope.op8_cross_polytope,
+        "op9_chat_collapse": chat_collapse.op9_chat_collapse,
         "op10_compress_quality": compress_quality.op10_compress_quality,
     }
 
@@ -18,4 +22,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_url_filter": url_filter.OP7_SQL,
+        "op9_chat_collapse": chat_collapse.OP9_SQL,
     }
