@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prooflake.llm import audio_features, byte_bpe, chat_collapse, compress_quality, cross_polytope, simhash, source_mix, token_counts, url_filter
+from prooflake.llm import audio_features, byte_bpe, chat_collapse, compress_quality, cross_polytope, simhash, source_mix, suffix_dedup, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_byte_bpe": byte_bpe.op1_byte_bpe,
         "op2_simhash": simhash.op2_simhash,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_source_mix": source_mix.op5_source_mix,
         "op6_audio_features": audio_features.op6_audio_features,
         "op7_url_filter": url_filter.op7_url_filter,
