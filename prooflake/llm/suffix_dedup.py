@@ -416,10 +416,13 @@ def merged_windows(routes: DataFrame) -> DataFrame:
 
 
 def removed_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The texts as a stored table (rid, doc_id, text) and (rid, copy, cuts): whether a row repeats a whole text, or the ranges to cut."""
+    """The texts as a stored table (rid, doc_id, text, and a struct `rest` of any other columns) and (rid, copy, cuts): whether a row
+    repeats a whole text, or the ranges to cut."""
     spark = docs.sparkSession
     bound_batches(spark)
-    texts = stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")), "texts")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    columns = [F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")]
+    texts = stored(docs.select(*columns, *([F.struct(*rest).alias("rest")] if rest else [])), "texts")
     ids = texts.select("rid", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.md5("text").alias("digest"), F.length("text").cast("long").alias("size"))
     ids = stored(ids.where(F.col("size") >= LENGTH), "ids")
     first = ids.groupBy("digest", "size").agg(F.min(F.struct("doc", "rid")).alias("row"))
@@ -449,15 +452,22 @@ def merge_ranges(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) of every row of docs (doc_id, text)."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs (doc_id, text). with_text: also kept (the bytes that
+    stay) and rest (a struct of docs' other columns, if it has any)."""
+    from pyspark.sql import types as T
+
     texts, ranges = removed_ranges(docs)
-    schema = "rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    ends = pa.list_(pa.int64())
+    long = T.LongType()
+    fields = [T.StructField(c, long) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
+    extra = ["rest"] if with_text and "rest" in texts.columns else []
+    if with_text:
+        fields += [T.StructField("kept", T.BinaryType()), *(texts.schema[c] for c in extra)]
+    names, ends = [f.name for f in fields], pa.list_(pa.int64())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches, HASH_BYTES):
             rows, kept = [], []
-            for text, copy, first, last in zip(texts_of(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).cast(ends).to_pylist(), batch.column(5).cast(ends).to_pylist(), strict=True):
+            for text, copy, first, last in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).cast(ends).to_pylist(), batch.column(4).cast(ends).to_pylist(), strict=True):
                 spans = [(0, len(text))] if copy else merge_ranges(list(zip(first or [], last or [], strict=True)))
                 at, parts = 0, []
                 for a, b in spans:
@@ -467,11 +477,11 @@ def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:
                 rows.append((len(text), len(text) - len(kept[-1]), len(spans), hashlib.sha256(kept[-1]).hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *([pa.array(kept, pa.binary())] if with_text else [])], names=[x.split()[0] for x in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *([pa.array(kept, pa.binary())] if with_text else []), *(batch.column(5) for _ in extra)], names=names)
 
-    joined = texts.join(ranges, "rid", "left").select("rid", "doc_id", "text", "copy", F.col("cuts.first").alias("first"), F.col("cuts.last").alias("last"))
-    return joined.mapInArrow(work, schema)
+    joined = texts.join(ranges, "rid", "left").select("doc_id", "text", "copy", F.col("cuts.first").alias("first"), F.col("cuts.last").alias("last"), *extra)
+    return joined.mapInArrow(work, T.StructType(fields))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False).drop("rid")
+    return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
