@@ -56,10 +56,10 @@ def read_wav(stored: bytes) -> bytes:
 
 
 def resampling_filter() -> np.ndarray:
-    """UP rows of TAPS coefficients: the phases of a Hann-windowed sinc at the lower of both Nyquist rates, each of sum 1."""
-    n = np.arange(UP * TAPS) - (UP * TAPS - 1) / 2
-    low = np.sinc(n / max(UP, DOWN)) * np.hanning(UP * TAPS + 2)[1:-1]
-    phases = low.reshape(TAPS, UP).T
+    """UP rows of TAPS coefficients, each of sum 1: row p weighs the samples around a place p / UP past the middle one, by a
+    Hann-windowed sinc at the lower of both Nyquist rates."""
+    place = np.arange(1 - TAPS // 2, TAPS // 2 + 1) - np.arange(UP)[:, None] / UP
+    phases = np.sinc(place * UP / max(UP, DOWN)) * (0.5 + 0.5 * np.cos(np.pi * np.clip(place * 2 / (TAPS + 1), -1, 1)))
     return phases / phases.sum(1, keepdims=True)
 
 
@@ -100,7 +100,7 @@ class Extractor:
             if hi > lo:
                 piece[lo - begin : hi - begin] = (samples[lo:hi].astype(np.float64) - 128) / 128
             views = np.lib.stride_tricks.sliding_window_view(piece, TAPS)[::DOWN]
-            out[r::UP] = views @ self.phases[(UP - phase) % UP][::-1]
+            out[r::UP] = views @ self.phases[phase]
         return out
 
     def features(self, payload: bytes) -> Features:
