@@ -11,6 +11,7 @@ from prooflake.functions import responses as R
 from prooflake.functions import text as T
 from prooflake.functions.vocabulary import FEATURES, STATES, STOPWORDS_EVIDENCE
 from prooflake.operators import assemble, context, features, graph, ingest, metrics, models, pairs, plots, remediation, sampling, thresholds, variants
+from prooflake.plans import build
 from prooflake.plans.oracles import ORACLES
 from prooflake.sources import fixtures as X
 from prooflake.streaming import events as event_stream
@@ -214,6 +215,18 @@ def variant_union_counts(spark, d):
     return plots.distribution(variants.all_states(X.instances(spark, d)), ["evidence_state_label", "dataset"])
 
 
+@query
+def merge_split_balanced(spark, d):
+    rows = build.merge_split([X.instances(spark, d)])
+    return rows.select("example_id", "dataset", "evidence_state_label")
+
+
+@query
+def row_limit(spark, d):
+    """The row limit itself: the first 100 places in source order are its feature."""
+    return build.first_rows(sampling.with_places(_documents(spark, d), "doc_id"), "place", 100).select("doc_id", "place")
+
+
 # -- sampling ------------------------------------------------------------------------------------------------------------------
 
 

@@ -310,6 +310,12 @@ FROM picked k LEFT JOIN kept u ON u.item_id = k.item_id GROUP BY k.item_id""",
     "variant_union_counts": f"""WITH {UNITS}, i AS (SELECT item_id, 'ds' || any_value(ds) AS dataset, bool_or(doc_id IS NOT NULL AND is_gold) AS g, bool_or(doc_id IS NOT NULL AND is_gold AND coalesce(text, '') <> '') AS gt FROM units GROUP BY item_id),
 a AS (SELECT dataset, 'sufficient' AS state FROM i UNION ALL SELECT dataset, 'insufficient' FROM i WHERE g UNION ALL SELECT dataset, 'contradicted' FROM i WHERE gt UNION ALL SELECT dataset, 'superseded' FROM i WHERE gt)
 SELECT 'overall' AS level, 'all' AS value, count(*) AS n FROM a UNION ALL SELECT 'evidence_state_label', state, count(*) FROM a GROUP BY state UNION ALL SELECT 'dataset', dataset, count(*) FROM a GROUP BY dataset""",
+    "merge_split_balanced": f"""WITH {UNITS}, i AS (SELECT item_id, 'ds' || any_value(ds) AS dataset, bool_or(doc_id IS NOT NULL AND is_gold) AS g, bool_or(doc_id IS NOT NULL AND is_gold AND coalesce(text, '') <> '') AS gt FROM units GROUP BY item_id),
+a AS (SELECT format('item_{{:06d}}_gold_full', item_id) AS example_id, dataset, 'sufficient' AS evidence_state_label FROM i UNION ALL SELECT format('item_{{:06d}}_insufficient', item_id), dataset, 'insufficient' FROM i WHERE g
+      UNION ALL SELECT format('item_{{:06d}}_contradicted', item_id), dataset, 'contradicted' FROM i WHERE gt UNION ALL SELECT format('item_{{:06d}}_superseded', item_id), dataset, 'superseded' FROM i WHERE gt),
+m AS (SELECT CASE WHEN count(*) = 4 THEN min(n) ELSE 0 END AS least FROM (SELECT count(*) AS n FROM a GROUP BY evidence_state_label))
+SELECT example_id, dataset, evidence_state_label FROM a QUALIFY row_number() OVER (PARTITION BY evidence_state_label ORDER BY {_rank('42|balance', 'example_id')}, example_id) <= (SELECT least FROM m)""",
+    "row_limit": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents ORDER BY doc_id LIMIT 100",
     "seeded_sample": f"SELECT doc_id, lang, source FROM documents ORDER BY {_rank('42|sample', 'doc_id')}, doc_id LIMIT 200",
     "balanced_classes": f"""WITH m AS (SELECT min(coalesce(n, 0)) AS least FROM (SELECT unnest(['de', 'en', 'es', 'fr']) AS lang) LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) USING (lang))
 SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY {_rank('42|balance', 'doc_id')}, doc_id) <= (SELECT least FROM m)""",
