@@ -2,10 +2,11 @@
 
 A text is cut into chunks, each chunk is compressed with either dictionary, and (bytes with the bad dictionary - bytes with
 the good one) / bytes of text, summed over all chunks, is turned into a probability by a logistic curve that is fitted on
-labelled rows the dictionaries haven't seen.
+labelled rows the dictionaries haven't seen. A short text hardly lets the sizes differ, so its evidence counts for
+bytes / (bytes + half) and the share of good labels for the rest; half is fitted too.
 
 Fitting uses a bounded sample (SAMPLE_DOCS rows of each class, by seeded hash, of texts up to SAMPLE_BYTES); scoring reads
-every whole text. Rows: null and empty texts score as a text whose sizes don't differ; repeated rows get equal scores;
+every whole text. Rows: null texts score as empty ones, empty ones as the share of good labels; repeated rows get equal scores;
 a document labelled more than once counts by its mean label, and not at all if that is a half. Where a class has no
 labelled rows, every document gets the share of good labels, smoothed. Null ids are scored too and count as held out = false.
 """
@@ -29,6 +30,8 @@ SAMPLE_BYTES = 64 << 10
 DICTIONARY_BYTES = 256 << 10
 TRAIN_CHUNK, TRAIN_CHUNKS = 2048, 6000
 CHUNK, LEVEL, SEED = 1024, 3, 42
+#: Sizes at which a text's own evidence may weigh as much as the share of good labels.
+HALVES = (8.0, 16.0, 32.0, 64.0, 128.0, 256.0, 512.0)
 #: Scores under this are rejected.
 THRESHOLD = 0.3
 
@@ -39,9 +42,12 @@ class CompressionModel:
     bad: bytes
     slope: float
     offset: float
+    half: float
+    prior: float
 
-    def probability(self, difference: float) -> float:
-        z = self.slope * difference + self.offset
+    def probability(self, difference: float, size: int) -> float:
+        trust = size / (size + self.half) if size else 0.0
+        z = trust * (self.slope * difference + self.offset) + (1 - trust) * self.prior
         return 1 / (1 + math.exp(-z)) if z >= 0 else 1 - 1 / (1 + math.exp(z))
 
 
@@ -74,8 +80,9 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, bytes]]:
-    """At most SAMPLE_DOCS (label, text) of each class, chosen by a seeded hash of the id among the learnable rows."""
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int, bytes]], tuple[int, int]]:
+    """At most SAMPLE_DOCS (label, text) of each class, chosen by a seeded hash of the id among the learnable rows; and how many of
+    these rows there are of either class."""
     ids = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").alias("id"))
@@ -90,7 +97,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, bytes
         chosen = ids.where(F.col("label") == label).orderBy("rank", "id").limit(2 * SAMPLE_DOCS)
         rows = fit.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("rank", "bytes")).alias("row")).orderBy("row.rank", "id").limit(SAMPLE_DOCS)
         found += [(label, bytes(x.bytes)) for x in rows.select("row.bytes").collect()]
-    return found
+    counts = {r.label: r["count"] for r in ids.groupBy("label").count().collect()}
+    return found, (counts.get(0, 0), counts.get(1, 0))
 
 
 def _dictionary(texts: list[bytes], rng: np.random.Generator) -> bytes:
@@ -107,34 +115,38 @@ def _dictionary(texts: list[bytes], rng: np.random.Generator) -> bytes:
     return b"".join(pieces)[-DICTIONARY_BYTES:]
 
 
-def fit_model(sample: list[tuple[int, bytes]]) -> CompressionModel:
-    """Dictionaries from one half of the sample, the logistic curve from the other."""
+def fit_model(sample: list[tuple[int, bytes]], counts: tuple[int, int]) -> CompressionModel:
+    """Dictionaries from one half of the sample, the logistic curve from the other. counts: labelled rows of class 0 and 1, by which the
+    classes weigh, as the sample may hold them in other shares."""
     rng = np.random.default_rng(SEED)
     order = rng.permutation(len(sample))
     learn, tune = [sample[k] for k in order[::2]], [sample[k] for k in order[1::2]]
-    n_good = sum(y for y, _ in sample)
-    prior = math.log((n_good + 1) / (len(sample) - n_good + 1))
+    prior = math.log((counts[1] + 1) / (counts[0] + 1))
     if {y for y, _ in learn} != {0, 1} or {y for y, _ in tune} != {0, 1}:
-        return CompressionModel(b"", b"", 0.0, prior)
+        return CompressionModel(b"", b"", 0.0, prior, 0.0, prior)
     good, bad = (_dictionary([t for y, t in learn if y == c], rng) for c in (1, 0))
     sizer = Sizer(good, bad)
-    x = np.array([sizer.difference(t) for _, t in tune])
-    y = np.array([float(y) for y, _ in tune])
-    # each class weighs as it would among all labels is unknown from a balanced sample, so both weigh the same
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y)
+    x, size, y = (np.array(v, float) for v in zip(*((sizer.difference(t), len(t), y) for y, t in tune), strict=True))
+    share = counts[1] / (counts[0] + counts[1])
+    weight = np.where(y == 1, share / y.sum(), (1 - share) / (len(y) - y.sum())) * len(y)
     scale = float(np.std(x)) or 1.0
-    design = np.stack([x / scale, np.ones_like(x)], 1)
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    beta = np.zeros(2)
-    for _ in range(100):  # Newton's method with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        gradient = design.T @ (weight * (p - target)) + 1e-3 * beta
-        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, gradient)
-        beta -= step
-        if np.abs(step).max() < 1e-9:
-            break
-    return CompressionModel(good, bad, float(beta[0] / scale), float(beta[1]))
+    best: tuple[float, CompressionModel] | None = None
+    for half in HALVES:
+        trust = size / (size + half)
+        design, fixed = np.stack([trust * x / scale, trust], 1), (1 - trust) * prior
+        beta = np.array([1.0, 0.0])
+        for _ in range(100):  # Newton's method with a small ridge
+            p = 1 / (1 + np.exp(-np.clip(design @ beta + fixed, -30, 30)))
+            hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
+            step = np.linalg.solve(hessian, design.T @ (weight * (p - y)) + 1e-2 * beta)
+            beta -= np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-9:
+                break
+        p = np.clip(1 / (1 + np.exp(-np.clip(design @ beta + fixed, -30, 30))), 1e-9, 1 - 1e-9)
+        loss = -float((weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
+        if best is None or loss < best[0]:
+            best = loss, CompressionModel(good, bad, float(beta[0] / scale), float(beta[1]), half, prior)
+    return best[1]
 
 
 def score_documents(docs: DataFrame, model: CompressionModel) -> DataFrame:
@@ -150,7 +162,7 @@ def score_documents(docs: DataFrame, model: CompressionModel) -> DataFrame:
         held = shared.value
         sizer = Sizer(held.good, held.bad)
         for batch in runs(batches, 8 << 20):
-            scores = [held.probability(sizer.difference(t)) for t in texts_of(batch.column(at))]
+            scores = [held.probability(sizer.difference(t), len(t)) for t in texts_of(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[f"c{k}" for k in range(batch.num_columns + 1)])
 
     named = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
@@ -159,7 +171,7 @@ def score_documents(docs: DataFrame, model: CompressionModel) -> DataFrame:
 
 
 def train(spark: SparkSession, docs: DataFrame, sf_dir: str) -> CompressionModel:
-    return fit_model(labelled_sample(docs, table(spark, sf_dir, "labels")))
+    return fit_model(*labelled_sample(docs, table(spark, sf_dir, "labels")))
 
 
 def op10_compress_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -406,7 +406,7 @@ def test_quality_on_held_out_rows(spark):
 def test_quality_of_odd_rows(spark, odd, empty):
     docs = odd.select("doc_id", "text")
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1), (4, None, 0)], "doc_id long, quality int, toxic int")
-    model = compress_quality.fit_model(compress_quality.labelled_sample(docs, labels))
+    model = compress_quality.fit_model(*compress_quality.labelled_sample(docs, labels))
     scored = compress_quality.score_documents(odd, model)
     assert scored.count() == odd.count() and scored.columns == [*odd.columns, "quality_score"]
     assert compress_quality.score_documents(empty, model).count() == 0
