@@ -5,7 +5,7 @@ conversation whose whole hash is a proper prefix's hash of another is dropped by
 id stays. The turns that remain are rendered one row each, so no conversation is gathered in one value or task: positions and
 prefix hashes come from a two-level scan over groups of TURN_GROUP turn numbers.
 
-Rows: turns are ordered by turn (null first), then role and text (null first), so ties and repeated rows have a defined order; a
+Rows: turns are ordered by turn (null first), then role (null first) and a hash of the content, so ties and repeated rows have a defined order; a
 null role renders as "unknown", a null text as empty, yet both differ from the real value when conversations are compared. A null
 conv_id is one conversation. Empty tables give empty results; other columns are ignored. DataFrame functions only.
 """
@@ -21,24 +21,33 @@ TURN_GROUP = 256
 START, END = "<|", "|>"
 
 
-def _turn_hash(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), "position", F.col("role").isNull(), "role", F.col("text").isNull(), "text")
+def hashed(turns: DataFrame) -> DataFrame:
+    """turns with grp, the group of turn numbers, and c1, c2: a 128-bit hash of role and text."""
+    content = lambda seed: F.xxhash64(F.lit(seed), F.col("role").isNull(), "role", F.col("text").isNull(), "text")
+    rows = turns.select("conv_id", "turn", "role", "text")
+    return rows.withColumns({"grp": F.coalesce(F.floor(F.col("turn") / TURN_GROUP), F.lit(-(1 << 62))), "c1": content(1), "c2": content(2)})
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """turns (conv_id, turn, role, text) with position (from 1), h1 and h2: the hashes of the turns up to there."""
-    rows = turns.select("conv_id", "turn", "role", "text").withColumn("grp", F.coalesce(F.floor(F.col("turn") / TURN_GROUP), F.lit(-(1 << 62))))
+def _placed(rows: DataFrame, bases: DataFrame) -> DataFrame:
+    """rows with position: those before their group (bases: c, g, base), and the place in it. The join and the window share their keys."""
+    inside = Window.partitionBy("conv_id", "grp").orderBy(*(F.col(c).asc_nulls_first() for c in ("turn", "role", "c1", "c2")))
+    joined = rows.join(bases, rows.conv_id.eqNullSafe(bases.c) & (rows.grp == bases.g))
+    return joined.withColumn("position", F.col("base") + F.row_number().over(inside)).drop("c", "g", "base")
+
+
+def prefixes(narrow: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From hashed rows without texts: (conv_id, position, h1, h2), the hashes of the turns up to there, and (c, g, base), the number of
+    turns before each group."""
     before = Window.partitionBy("conv_id").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
-    null_safe = lambda df, other: [df.conv_id.eqNullSafe(other.c), df.grp == other.g]
-    counts = rows.groupBy("conv_id", "grp").count().select(F.col("conv_id").alias("c"), F.col("grp").alias("g"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("conv_id", "grp").orderBy(*(F.col(c).asc_nulls_first() for c in ("turn", "role", "text")))
-    placed = rows.join(counts, null_safe(rows, counts)).withColumn("position", F.col("base") + F.row_number().over(inside))
-    hashed = stored(placed.select("conv_id", "grp", "position", "role", "text", _turn_hash(1).alias("t1"), _turn_hash(2).alias("t2")), "turns")
-    sums = hashed.groupBy("conv_id", "grp").agg(*(F.bit_xor(t).alias(t) for t in ("t1", "t2")))
+    counts = narrow.groupBy("conv_id", "grp").count()
+    bases = stored(counts.select(F.col("conv_id").alias("c"), F.col("grp").alias("g"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base")), "turn-groups")
+    turn_hash = lambda seed: F.xxhash64(F.lit(seed), "position", "c1", "c2")
+    placed = _placed(narrow, bases).select("conv_id", "grp", "position", turn_hash(1).alias("t1"), turn_hash(2).alias("t2"))
+    sums = placed.groupBy("conv_id", "grp").agg(*(F.bit_xor(t).alias(t) for t in ("t1", "t2")))
     sums = sums.select(F.col("conv_id").alias("c"), F.col("grp").alias("g"), *(F.coalesce(F.bit_xor(t).over(before), F.lit(0)).alias(b) for t, b in (("t1", "b1"), ("t2", "b2"))))
     running = Window.partitionBy("conv_id", "grp").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = hashed.join(sums, null_safe(hashed, sums))
-    return joined.select("conv_id", "position", "role", "text", *(F.col(b).bitwiseXOR(F.bit_xor(t).over(running)).alias(h) for t, b, h in (("t1", "b1", "h1"), ("t2", "b2", "h2"))))
+    joined = placed.join(sums, placed.conv_id.eqNullSafe(sums.c) & (placed.grp == sums.g))
+    return joined.select("conv_id", "position", *(F.col(b).bitwiseXOR(F.bit_xor(t).over(running)).alias(h) for t, b, h in (("t1", "b1", "h1"), ("t2", "b2", "h2")))), bases
 
 
 def maximal(prefixed: DataFrame) -> DataFrame:
@@ -58,10 +67,12 @@ def rendered(role: Column, text: Column) -> Column:
 
 
 def collapse(turns: DataFrame) -> DataFrame:
-    """(conv_id, position, n_turns, rendered) of every turn of the maximal conversations."""
-    found = stored(prefixes(turns), "prefixes")
-    kept = maximal(found).select(F.col("conv_id").alias("c"), "n_turns")
-    return found.join(kept, found.conv_id.eqNullSafe(kept.c)).select("conv_id", "position", "n_turns", rendered(F.col("role"), F.col("text")).alias("rendered"))
+    """(conv_id, position, n_turns, rendered) of every turn of the maximal conversations. Texts are shuffled once, for those alone."""
+    rows = hashed(turns)
+    found, bases = prefixes(rows.drop("text"))
+    kept = maximal(stored(found, "prefixes")).select(F.col("conv_id").alias("k"), "n_turns")
+    groups = bases.join(kept, bases.c.eqNullSafe(kept.k)).drop("k")
+    return _placed(rows, groups).select("conv_id", "position", "n_turns", rendered(F.col("role"), F.col("text")).alias("rendered"))
 
 
 def op9_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +81,7 @@ def op9_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH placed AS (
-  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS position
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST) AS position
   FROM conversations
 ), whole AS (
   SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY position) AS turns FROM placed GROUP BY conv_id
