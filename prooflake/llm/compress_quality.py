@@ -2,7 +2,7 @@
 
 A text is cut into chunks, each chunk is compressed with either dictionary, and (bytes with the bad dictionary - bytes with
 the good one) / bytes of text, summed over all chunks, is turned into a probability by a logistic curve that is fitted on
-labelled rows the dictionaries haven't seen. A short text hardly lets the sizes differ, so its evidence counts for
+labelled rows that the dictionaries of the fit haven't seen. A short text hardly lets the sizes differ, so its evidence counts for
 bytes / (bytes + half) and the share of good labels for the rest; half is fitted too.
 
 Fitting uses a bounded sample (SAMPLE_DOCS rows of each class, by seeded hash, of texts up to SAMPLE_BYTES); scoring reads
@@ -29,7 +29,7 @@ SAMPLE_DOCS = 2000
 SAMPLE_BYTES = 64 << 10
 DICTIONARY_BYTES = 256 << 10
 TRAIN_CHUNK, TRAIN_CHUNKS = 2048, 6000
-CHUNK, LEVEL, SEED = 1024, 3, 42
+CHUNK, LEVEL, SEED, FOLDS = 1024, 3, 42, 5
 #: Sizes at which a text's own evidence may weigh as much as the share of good labels.
 HALVES = (8.0, 16.0, 32.0, 64.0, 128.0, 256.0, 512.0)
 #: Scores under this are rejected.
@@ -116,17 +116,24 @@ def _dictionary(texts: list[bytes], rng: np.random.Generator) -> bytes:
 
 
 def fit_model(sample: list[tuple[int, bytes]], counts: tuple[int, int]) -> CompressionModel:
-    """Dictionaries from one half of the sample, the logistic curve from the other. counts: labelled rows of class 0 and 1, by which the
+    """Dictionaries from the sample; the logistic curve from its FOLDS parts, each judged by dictionaries of the others. counts: labelled rows of class 0 and 1, by which the
     classes weigh, as the sample may hold them in other shares."""
     rng = np.random.default_rng(SEED)
     order = rng.permutation(len(sample))
-    learn, tune = [sample[k] for k in order[::2]], [sample[k] for k in order[1::2]]
     prior = math.log((counts[1] + 1) / (counts[0] + 1))
-    if {y for y, _ in learn} != {0, 1} or {y for y, _ in tune} != {0, 1}:
+    if min(sum(label == c for label, _ in sample) for c in (0, 1)) < 2:
         return CompressionModel(b"", b"", 0.0, prior, 0.0, prior)
-    good, bad = (_dictionary([t for y, t in learn if y == c], rng) for c in (1, 0))
-    sizer = Sizer(good, bad)
-    x, size, y = (np.array(v, float) for v in zip(*((sizer.difference(t), len(t), y) for y, t in tune), strict=True))
+    # dealt within each class, so that each part's others hold both
+    place = {int(k): at for c in (0, 1) for at, k in enumerate(k for k in order if sample[k][0] == c)}
+    pair = lambda rows: [_dictionary([t for y, t in rows if y == c], rng) for c in (1, 0)]
+    judged = []
+    for fold in range(FOLDS):
+        tune = [sample[k] for k in order if place[int(k)] % FOLDS == fold]
+        if tune:
+            sizer = Sizer(*pair([sample[k] for k in order if place[int(k)] % FOLDS != fold]))
+            judged += [(sizer.difference(t), len(t), y) for y, t in tune]
+    good, bad = pair(sample)
+    x, size, y = (np.array(v, float) for v in zip(*judged, strict=True))
     share = counts[1] / (counts[0] + counts[1])
     weight = np.where(y == 1, share / y.sum(), (1 - share) / (len(y) - y.sum())) * len(y)
     scale = float(np.std(x)) or 1.0
