@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -50,15 +51,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Remove the files of a table made by stored() that nothing reads any more."""
-    spark = df.sparkSession
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    jvm = spark.sparkContext._jvm
-    for folder in folders:
-        if "/prooflake/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps. Spark removes them once the driver's garbage is collected, which on a driver
+    with little to do may be long after the disk is needed; results don't depend on it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prooflake.llm.common import bound_batches, runs, stored, table, texts_of
+from prooflake.llm.common import bound_batches, release, runs, stored, table, texts_of
 
 LENGTH, K = 100, 32
 SPAN = LENGTH - K + 1
@@ -430,14 +430,21 @@ def removed_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranked = stored(first.select("row.rid", "row.doc").repartitionByRange("doc", "rid").sortWithinPartitions("doc", "rid").select("rid", F.monotonically_increasing_id().alias("rank")), "ranked")
     total = ids.agg(F.sum("size")).first()[0] or 0
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (OWNER_BYTES * SPAN // 2 // ENTRY.itemsize)))
-    anchors = repeated_anchors(texts, owners)
+    # stored, so that the anchors' shuffle is gone before the texts are shuffled
+    anchors = stored(repeated_anchors(texts, owners), "anchors")
+    release(spark)
     marks = anchors.join(ranked.select("rid"), "rid", "left_semi").groupBy("rid").agg(F.collect_list(2 * F.col("pos") + F.col("often").cast("long")).alias("marks"))
     found = texts.select("rid", "text").join(marks, "rid").join(ranked, "rid")
     routes = stored(shard_rows(found, owners), "routes")
+    del found, marks
+    release(spark)
     ranges = routes.where("kind = 0").select("rid", "first", "last").union(merged_runs(routes, owners)).union(merged_windows(routes))
     cuts = ranges.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
     copies = ids.join(ranked, "rid", "left_anti").select("rid", F.lit(True).alias("copy"))
-    return texts, cuts.join(copies, "rid", "full").select("rid", "copy", "cuts")
+    # one row for each text that loses anything
+    known = stored(cuts.join(copies, "rid", "full").select("rid", "copy", "cuts"), "cuts")
+    release(spark)
+    return texts, known
 
 
 def merge_ranges(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
