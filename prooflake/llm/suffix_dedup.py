@@ -11,8 +11,9 @@ suffix arrays see. The steps:
    of the windows with a common prefix of LENGTH the first stays and the others go;
 3. windows that stay are merged across shards. They travel in runs of one anchor to the owner of its hash, where a suffix array
    of the runs, in document order, shows which windows stand earlier in another shard (binary search maps its offsets back to
-   runs and documents). Windows of very frequent anchors travel one by one as 128-bit fingerprints instead, so no task gets all of
-   a frequent passage;
+   runs and documents). Runs of very frequent anchors first meet by a 128-bit hash of the whole run, where equal ones
+   go; the first of each is split by the CONTEXT bytes around its anchor that its windows share, and these pieces go to the owner of
+   their context, so no task gets all that holds a frequent passage;
 4. the byte ranges of all steps are joined to the texts and cut out.
 
 Rows: a null text counts as empty; texts under LENGTH bytes stay whole. Equal texts are compared once: all but the first (by
@@ -34,7 +35,9 @@ from prooflake.llm.common import bound_batches, release, runs, stored, table, te
 
 LENGTH, K = 100, 32
 SPAN = LENGTH - K + 1
-#: Anchors that occur more often send windows one by one.
+#: An anchor with the longer of both sides that a window has around it.
+CONTEXT = K + (LENGTH - K) // 2
+#: Runs of anchors that occur more often are dealt by their context.
 FREQUENT = 512
 #: Text bytes hashed at once, bytes of a shard's suffix array, and anchor bytes that one owner should get.
 HASH_BYTES, SHARD_BYTES, OWNER_BYTES = 4 << 20, 2 << 20, 8 << 20
@@ -280,8 +283,8 @@ def _regions(size: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def shard_rows(found: DataFrame, owners: int) -> DataFrame:
     """From (rid, rank, text, places, often): ranges that a shard removes (kind 0: rid, first, last), runs of windows that it
-    keeps (kind 1: owner, hash, rid, rank, first, bytes) and single windows of frequent anchors (kind 2: hash and bytes hold the
-    fingerprint)."""
+    keeps (kind 1: owner, hash, rid, rank, first, bytes) and such runs of frequent anchors (kind 2: hash and other are a hash of the
+    run)."""
 
     def shard(rows: list[tuple[int, int, bytes, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         rows.sort(key=lambda r: r[1])  # offsets then stand in the order of documents
@@ -311,6 +314,25 @@ def shard_rows(found: DataFrame, owners: int) -> DataFrame:
             piece = np.searchsorted(joined.starts, offset, "right") - 1
             return piece_row[piece], offset + piece_shift[piece]
 
+        def kept_runs(kind: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Runs of neighbouring windows with one anchor, with all bytes of those windows."""
+            run = np.where(wanted, least, _NONE)
+            heads = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            tails = np.append(heads[1:], len(run)) - 1
+            real = run[heads] != _NONE
+            heads, tails = heads[real], tails[real]
+            if not len(heads):
+                return
+            row, place = where(heads)
+            raw = joined.x.tobytes()
+            found = [raw[a : b + LENGTH] for a, b in zip(heads.tolist(), tails.tolist(), strict=True)]
+            if kind == 1:
+                key = {"owner": (run[heads] % np.uint64(owners)).astype(np.int32), "hash": run[heads].view(np.int64)}
+            else:
+                marks = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in found), np.int64).reshape(-1, 2)
+                key = {"hash": marks[:, 0], "other": marks[:, 1]}
+            yield _routed(kind, **key, rid=rid[row], rank=rank[row], first=place, bytes=found)
+
         first, last = _stretches(later)  # a run of windows lies within one piece, as none begins at its last bytes
         row, place = where(first)
         yield _routed(0, rid=rid[row], first=place, last=place + last - first + LENGTH)
@@ -318,23 +340,10 @@ def shard_rows(found: DataFrame, owners: int) -> DataFrame:
         if len(often_at := np.concatenate(frequent)):
             chosen[:] = _NONE
             chosen[often_at] = blocks[often_at]
-            single = stays & (joined.window_least(chosen) == least)
-            stays &= ~single
-            at = np.flatnonzero(single)
-            if len(at):
-                marks = [block_hashes(joined.x, LENGTH, kind)[at] for kind in (0, 1)]
-                row, place = where(at)
-                yield _routed(2, hash=marks[0].view(np.int64), other=marks[1].view(np.int64), rid=rid[row], rank=rank[row], first=place)
-        run = np.where(stays, least, _NONE)
-        edge = np.concatenate([[True], run[1:] != run[:-1]])
-        heads = np.flatnonzero(edge)
-        tails = np.append(heads[1:], len(run)) - 1
-        real = run[heads] != _NONE
-        heads, tails = heads[real], tails[real]
-        if len(heads):
-            row, place = where(heads)
-            raw = joined.x.tobytes()
-            yield _routed(1, owner=(run[heads] % np.uint64(owners)).astype(np.int32), hash=run[heads].view(np.int64), rid=rid[row], rank=rank[row], first=place, bytes=[raw[a : b + LENGTH] for a, b in zip(heads.tolist(), tails.tolist(), strict=True)])
+            frequently = stays & (joined.window_least(chosen) == least)
+            stays &= ~frequently
+            yield from kept_runs(2, frequently)
+        yield from kept_runs(1, stays)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -406,13 +415,70 @@ def merged_runs(routes: DataFrame, owners: int) -> DataFrame:
     return dealt.mapInArrow(work, "rid long, first long, last long")
 
 
-def merged_windows(routes: DataFrame) -> DataFrame:
-    """(rid, first, last) of single windows (kind 2) that stand earlier in another shard."""
-    rows = routes.where("kind = 2").select("hash", "other", "rid", "rank", "first")
-    # the shard has already kept one of each, so a group has a row for each shard at most
-    firsts = rows.groupBy("hash", "other").agg(F.min(F.struct("rank", "first")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    late = rows.join(firsts, ["hash", "other"]).where(F.struct("rank", "first") > F.col("least"))
-    return late.select("rid", "first", (F.col("first") + LENGTH).alias("last"))
+def _sorted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches sorted by their first two columns, each with whether a row's pair differs from the row's before."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        new = np.concatenate([[last != (a[0], b[0])], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        last = (a[-1], b[-1])
+        yield batch, new
+
+
+def context_keys(joined: Joined) -> np.ndarray:
+    """For runs (pieces whose windows share one anchor): the hash of the CONTEXT bytes that decide where a window goes.
+
+    These begin at the window's first anchor, or end with it where the window reaches further to the left than to the right. Both
+    lie within the window at a place that its own bytes fix, so equal windows have equal keys.
+    """
+    blocks, least = joined.anchors()
+    n = len(joined.x)
+    sizes = np.diff(np.append(joined.starts, n))
+    smallest = np.repeat(np.minimum.reduceat(least, joined.starts), sizes)
+    place = np.where(blocks == smallest, np.arange(n), n)
+    anchor = np.minimum.accumulate(place[::-1])[::-1]
+    reach = CONTEXT - K
+    before = anchor - np.arange(n) >= reach
+    hashes = block_hashes(joined.x, CONTEXT)
+    keys = hashes[np.clip(np.where(before, anchor - reach, anchor), 0, n - 1)]
+    return np.where(before, keys ^ np.uint64(0x9E3779B97F4A7C15), keys)
+
+
+def frequent_runs(routes: DataFrame, owners: int) -> DataFrame:
+    """Runs of frequent anchors (kind 2), as a stored table: of equal ones all but the first are ranges to cut (kind 0), and the
+    first is split by context into runs for the owners (kind 1)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b, rank, first, rid = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            bodies = batch.column(5).to_pylist()
+            new = np.concatenate([[last != (a[0], b[0])], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            last = (a[-1], b[-1])
+            sizes = np.array([len(x) for x in bodies])
+            if not new.all():
+                yield _routed(0, rid=rid[~new], first=first[~new], last=(first + sizes)[~new])
+            if new.any():
+                kept = [x for x, keep in zip(bodies, new.tolist(), strict=True) if keep]
+                joined = Joined(kept)
+                keys = np.minimum(context_keys(joined), _NONE - np.uint64(1))
+                keys[~joined.inside] = _NONE
+                heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                tails = np.append(heads[1:], len(keys)) - 1
+                real = keys[heads] != _NONE
+                heads, tails = heads[real], tails[real]
+                row = np.searchsorted(joined.starts, heads, "right") - 1
+                at = heads - joined.starts[row]
+                pieces = [kept[k][x : x + n] for k, x, n in zip(row.tolist(), at.tolist(), (tails - heads + LENGTH).tolist(), strict=True)]
+                yield _routed(1, owner=(keys[heads] % np.uint64(owners)).astype(np.int32), hash=keys[heads].view(np.int64), rid=rid[new][row], rank=rank[new][row], first=first[new][row] + at, bytes=pieces)
+
+    order = ["hash", "other", "rank", "first"]
+    dealt = routes.where("kind = 2").select(*order, "rid", "bytes").repartition("hash", "other").sortWithinPartitions(*order)
+    return stored(dealt.mapInArrow(work, ROUTED), "frequent")
 
 
 def removed_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -438,7 +504,8 @@ def removed_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     routes = stored(shard_rows(found, owners), "routes")
     del found, marks
     release(spark)
-    ranges = routes.where("kind = 0").select("rid", "first", "last").union(merged_runs(routes, owners)).union(merged_windows(routes))
+    routes = routes.where("kind < 2").union(frequent_runs(routes, owners))
+    ranges = routes.where("kind = 0").select("rid", "first", "last").union(merged_runs(routes, owners))
     cuts = ranges.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
     copies = ids.join(ranked, "rid", "left_anti").select("rid", F.lit(True).alias("copy"))
     # one row for each text that loses anything
