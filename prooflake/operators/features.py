@@ -20,7 +20,8 @@ def similar_pairs(sets: Column, threshold: float) -> Column:
 
     def close(a: Column, b: Column) -> Column:
         small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-        return (small > threshold * large) & (T.jaccard(a, b) > threshold)
+        # shared / (sizes - shared) > t, without building the union of two sets
+        return (small > threshold * large) & ((1 + threshold) * F.size(F.array_intersect(a, b)) > threshold * (small + large))
 
     later = lambda i: F.slice(sets, i + 2, F.greatest(F.size(sets) - i - 1, F.lit(0)))
     per = F.transform(sets, lambda a, i: F.size(F.filter(later(i), lambda b: close(a, b))))
