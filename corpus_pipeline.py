@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prooflake.llm import byte_bpe, compress_quality, simhash, source_mix, suffix_dedup
+from prooflake.llm import byte_bpe, compress_quality, near_copies, source_mix, suffix_dedup
 from prooflake.llm.common import stored, table
 
-#: Near duplicates: shingles of five words and a similarity of 0.8, in 384 bits. At that Jaccard similarity the angle between
-#: shingle vectors is acos(2 * 0.8 / 1.8), so 58 bits differ on average (deviation 7); one deviation is allowed on top. Bands of 14 bits let such a pair meet with 0.94.
-NEAR_WIDTH, NEAR_WORDS, NEAR_RADIUS, NEAR_BAND = 5, 6, 66, 14
+#: Near duplicates: a Jaccard similarity of 0.8 or more (near_copies.SIMILAR) of distinct shingles of so many words.
+NEAR_WIDTH = 5
 #: Of a document taken in part, the share taken is rounded to a copy more or less by this seed.
 SEED = 42
 
@@ -28,8 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates the document with the smallest id, and one row of it. Rows without id all stay."""
-    tables = simhash.band_tables(NEAR_WORDS, NEAR_BAND)
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"), NEAR_WIDTH, NEAR_WORDS, NEAR_RADIUS, tables)
+    groups = near_copies.near_duplicates(docs.select("doc_id", "text"), NEAR_WIDTH)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi")
     repeats = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))

@@ -1,0 +1,179 @@
+"""Near copies by Jaccard similarity: MinHash finds candidates, the shingle sets themselves decide.
+
+A text counts as its set of distinct word shingles. Texts with equal sets are one node. A node's sketch is one byte of each of
+BANDS * BAND_ROWS MinHash values; each band of the sketch is a bucket, and nodes that share a bucket are candidates if at least
+LEAST_SAME bytes of their sketches agree. At a Jaccard similarity of 0.8 a pair shares no bucket with a chance of 3e-6 and has
+fewer equal bytes with one of about 2e-6. A candidate becomes a link only if the exact similarity of the sets is at least SIMILAR.
+
+Buckets of up to SMALL nodes give all their candidate pairs. Of a larger one each node gives its NEAREST most similar others and
+the edges of the bucket's maximum spanning tree, so pairs stay in proportion to the nodes. A link left out there is one between
+nodes that each have NEAREST more similar ones; it matters only where no chain of other links joins the two.
+
+Rows: null, empty and wordless texts have the empty set and are copies of each other. Rows with a null id get the component of
+their set; sets with the same smallest id are one node, near to what any of that id's texts is near to. Empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from prooflake.llm import simhash
+from prooflake.llm.common import bound_batches, runs, stored, texts_of
+
+#: SIMILAR as a fraction, so that the comparison is one of whole numbers.
+SIMILAR = (4, 5)
+BANDS, BAND_ROWS, LEAST_SAME = 24, 4, 57
+SMALL, NEAREST = 32, 4
+SHINGLES_AT_ONCE = 1 << 12
+_RNG = np.random.default_rng(simhash.SEED)
+_FLIP = _RNG.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64)
+_TIMES = _RNG.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
+
+
+def sketch(text: bytes, width: int) -> tuple[bytes, bytes]:
+    """(digest, sketch) of a text's set of shingles."""
+    import xxhash
+
+    units = set(simhash.shingles(text, width))
+    h = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, units, [simhash.SEED] * len(units)), np.uint64, len(units)))
+    least = np.full(len(_FLIP), ~np.uint64(0))
+    for at in range(0, len(h), SHINGLES_AT_ONCE):
+        part = h[at : at + SHINGLES_AT_ONCE]
+        np.minimum(least, ((part[None] ^ _FLIP[:, None]) * _TIMES[:, None]).min(1), out=least)
+    return xxhash.xxh3_128_digest(h.tobytes()), (least >> np.uint64(20)).astype(np.uint8).tobytes()
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, digest, fp) of every row; fp is the sketch."""
+    bound_batches(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches, 8 << 20):
+            digest, fp = zip(*(sketch(t, width) for t in texts_of(batch.column(1))), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(fp, pa.binary())], names=["doc_id", "digest", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, digest binary, fp binary")
+
+
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, fp) of each node in each band."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bands = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(batch.num_rows, BANDS).astype(np.int64)
+            for k in range(BANDS):
+                yield pa.RecordBatch.from_arrays([pa.array(bands[:, k] | k << 32), batch.column(0), batch.column(1)], names=["bucket", "node", "fp"])
+
+    return nodes.select("node", "fp").mapInArrow(work, "bucket long, node long, fp binary")
+
+
+def _large(fps: np.ndarray) -> list[tuple[int, int]]:
+    """Candidate pairs of a large bucket: each node's most similar others and the maximum spanning tree, by Prim's algorithm."""
+    n, across = len(fps), np.ascontiguousarray(fps.T)
+    best, via, out = np.full(n, -1, np.int16), np.zeros(n, np.int64), []
+    inside = np.zeros(n, bool)
+    now = 0
+    for _ in range(n):
+        inside[now] = True
+        same = (across == across[:, now, None]).sum(0, dtype=np.int16)
+        same[now] = -1
+        out += [(now, int(k)) for k in np.argpartition(same, n - NEAREST)[n - NEAREST :] if same[k] >= LEAST_SAME]
+        nearer = ~inside & (same > best)
+        best[nearer], via[nearer] = same[nearer], now
+        best[now] = -2
+        now = int(np.argmax(np.where(inside, -2, best)))
+        if best[now] >= LEAST_SAME:
+            out.append((int(via[now]), now))
+    return out
+
+
+def _candidates(bucket: np.ndarray, node: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Node pairs (smaller, larger) of rows sorted by bucket."""
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    sizes = np.diff(np.append(starts, len(bucket)))
+    size = np.repeat(sizes, sizes)
+    left, right = [], []
+    for gap in range(1, SMALL):
+        i = np.flatnonzero((bucket[gap:] == bucket[:-gap]) & (size[gap:] <= SMALL)) if gap < len(bucket) else np.zeros(0, np.int64)
+        if not len(i):
+            break
+        i = i[(fps[i] == fps[i + gap]).sum(1) >= LEAST_SAME]
+        left.append(i)
+        right.append(i + gap)
+    for at, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+        pairs = np.array(_large(fps[at : at + n]), np.int64).reshape(-1, 2) + at
+        left.append(pairs[:, 0])
+        right.append(pairs[:, 1])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = node[np.concatenate(left)], node[np.concatenate(right)]
+    apart = a != b
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[apart], axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): candidate pairs, a < b. Rows come sorted by bucket."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rows = 0
+
+    def flush(*part: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _candidates(*part)], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), fps))
+        rows += batch.num_rows
+        if rows >= simhash.ROWS_AT_ONCE:
+            bucket, node, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+            if cut:
+                yield flush(bucket[:cut], node[:cut], fps[:cut])
+            held, rows = [(bucket[cut:], node[cut:], fps[cut:])], len(bucket) - cut
+    if rows:
+        yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def similar(x: set[bytes], y: set[bytes]) -> bool:
+    shared = len(x & y)
+    return SIMILAR[1] * shared >= SIMILAR[0] * (len(x) + len(y) - shared)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) of ids whose texts' shingle sets are similar; only texts of these ids are shuffled."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").distinct(), "candidate-texts")
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list = [None, None, None, None]  # rows with an equal text tend to follow each other
+
+        def units(text: bytes, at: int) -> set[bytes]:
+            if last[at] != text:
+                last[at], last[at + 1] = text, set(simhash.shingles(text, width))
+            return last[at + 1]
+
+        for batch in batches:
+            near = [similar(units(x, 0), units(y, 2)) for x, y in zip(texts_of(batch.column(2)), texts_of(batch.column(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(work, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, component_id) of every row; component_id is the smallest doc_id reachable over links, itself included."""
+    made = stored(sketches(docs, width), "sketches")
+    known = stored(made.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "sets")
+    pairs = stored(simhash.dealt(_keyed(known.where("node IS NOT NULL"))).mapInArrow(_met, "a long, b long").distinct(), "candidates")
+    found = simhash.components(verified(pairs, docs, width))
+    classes = known.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    return made.join(classes, "digest").select("doc_id", "component_id")

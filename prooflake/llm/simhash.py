@@ -245,9 +245,8 @@ def _stars(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
             yield out
 
 
-def links(nodes: DataFrame, tables: list[list[tuple[int, int]]], radius: int) -> DataFrame:
-    """Edges (a, b), a < b, whose components are those of all node pairs within radius that share a bucket."""
-    keyed = _keyed(nodes, tables)
+def dealt(keyed: DataFrame) -> DataFrame:
+    """(bucket, node, fp) sorted by bucket and node, whole buckets to a task; hot ones in parts that meet pairwise."""
     hot = stored(keyed.groupBy("bucket").count().where(F.col("count") > HOT_BUCKET), "hot-buckets")
     if not hot.isEmpty():
         # a hot bucket's nodes fall into parts; each pair of parts meets in one cell, so no task gets the whole bucket
@@ -259,8 +258,12 @@ def links(nodes: DataFrame, tables: list[list[tuple[int, int]]], radius: int) ->
             .withColumn("cell", F.when(parts > 1, F.struct(F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"))))
             .select(F.xxhash64("bucket", "cell.i", "cell.j").alias("bucket"), "node", "fp")
         )
-    dealt = keyed.repartition("bucket").sortWithinPartitions("bucket", "node")
-    return dealt.mapInArrow(lambda batches: _stars(batches, radius), "a long, b long").distinct()
+    return keyed.repartition("bucket").sortWithinPartitions("bucket", "node")
+
+
+def links(nodes: DataFrame, tables: list[list[tuple[int, int]]], radius: int) -> DataFrame:
+    """Edges (a, b), a < b, whose components are those of all node pairs within radius that share a bucket."""
+    return dealt(_keyed(nodes, tables)).mapInArrow(lambda batches: _stars(batches, radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -87,3 +87,29 @@ def test_empty_and_odd_documents(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
         assert docs.count() <= 3 * len(rows)
+
+
+def near_kept(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, SF).collect()}
+
+
+def test_near_copies_at_the_bound_go(spark):
+    """Word edits at 0.80 to 0.82, and copies that repeat a line: the sets decide, however often a shingle occurs."""
+    rng, texts, pairs = np.random.default_rng(3), [], []
+    line = " ".join(f"line{k}" for k in range(10))
+    while len(pairs) < 200:
+        words = [f"w{k}" for k in rng.integers(0, 10**6, 300)]
+        if len(pairs) % 4 == 0:
+            copy = words + [w for _ in range(5 + len(pairs) % 60) for w in line.split()]
+        else:
+            copy = list(words)
+            for at in rng.choice(300, 6 + len(pairs) % 3, replace=False):
+                copy[at] = f"edit{rng.integers(10**6)}"
+        x, y = " ".join(words), " ".join(copy)
+        j = len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y))
+        if 0.8 <= j <= 0.82 or len(pairs) % 4 == 0 and j >= 0.8:
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [x, y]
+    kept = near_kept(spark, texts)
+    assert kept == {a for a, _ in pairs}
