@@ -113,3 +113,24 @@ def test_near_copies_at_the_bound_go(spark):
             texts += [x, y]
     kept = near_kept(spark, texts)
     assert kept == {a for a, _ in pairs}
+
+
+def test_documents_below_the_bound_stay(spark):
+    """Pairs at 0.70 to 0.79, bodies that share an often repeated line, and many documents of one template."""
+    rng, texts = np.random.default_rng(4), []
+    new = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    while len(texts) < 200:
+        words = new(300)
+        copy = list(words)
+        for at in rng.choice(300, 8 + len(texts) // 2 % 3, replace=False):
+            copy[at] = f"edit{rng.integers(10**6)}"
+        x, y = " ".join(words), " ".join(copy)
+        if 0.7 <= len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y)) < 0.79:
+            texts += [x, y]
+    line, template = new(10), new(256)
+    texts += [" ".join(new(300) + line * 20) for _ in range(40)]
+    texts += [" ".join(template + new(40)) for _ in range(60)]  # 0.74 of each other, in one large bucket
+    copy = texts[-30].split()
+    copy[-1] = "changed"
+    kept = near_kept(spark, [*texts, " ".join(copy)])
+    assert kept == set(range(len(texts)))
