@@ -92,18 +92,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _best(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, distance) of the k nearest vectors of each query, nearest first, ties to the smaller id."""
+    """(query, vector, distance) of the k nearest ids of each query, each at its smallest distance, nearest first, ties to the
+    smaller id. Rows of v come sorted by id."""
     vv = (v * v).sum(1)
     quick = vv[None] + (q * q).sum(1)[:, None] - 2 * (q @ v.T)
     quick[q_ids[:, None] == v_ids[None]] = np.inf
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     slack = 1e-9 * (vv.max() + 1)
-    for row, own, query in zip(quick, q, q_ids, strict=True):
-        bound = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
+    starts = np.flatnonzero(np.append(True, v_ids[1:] != v_ids[:-1]))
+    least = np.minimum.reduceat(quick, starts, axis=1) if len(starts) < len(v_ids) else quick
+    for row, each, own, query in zip(quick, least, q, q_ids, strict=True):
+        bound = np.partition(each, k - 1)[k - 1] if len(each) > k else np.inf
         near = np.flatnonzero((row <= bound + slack) & np.isfinite(row))  # then exactly, as the quick form rounds
         gap = v[near] - own
         distance = np.sqrt((gap * gap).sum(1))
-        order = np.lexsort((v_ids[near], distance))[:k]
+        order = np.lexsort((v_ids[near], distance))
+        order = order[np.sort(np.unique(v_ids[near][order], return_index=True)[1])[:k]]
         out.append((np.full(len(order), query), v_ids[near][order], distance[order]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 

@@ -361,6 +361,16 @@ def test_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_repeated_ids_leave_their_places_to_others(spark):
+    """An id repeated more than k times, with equal and with different vectors, counts once in every cell part."""
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(1, [1.0, 0.001, 0.0, 0.0])] * 12 + [(2, [1.0, 0.002 + k * 1e-5, 0.0, 0.0]) for k in range(12)]
+    rows += [(10 + k, [1.0, 0.01 * (k + 1), 0.0, 0.0]) for k in range(12)]
+    frame = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = [(r.vec_id, r.score) for r in cross_polytope.nearest(frame.where("id = 0"), frame, k=10).orderBy("rank").collect()]
+    assert [i for i, _ in got] == [1, 2, *range(10, 18)]
+    assert [s for _, s in got] == pytest.approx([0.001, 0.002, *(0.01 * (k + 1) for k in range(8))])
+
+
 def test_rotation_is_orthogonal():
     y = cross_polytope.rotate(np.eye(48), 0)
     assert np.allclose(y @ y.T, np.eye(48))
