@@ -539,6 +539,8 @@ def _documents_with_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 NUMBERS = ["n_words", "distinct_share", "punctuation"]
+#: Terms of the TF-IDF vocabulary, as in the evaluated detector.
+TERMS = 50_000
 
 
 @query
@@ -552,8 +554,8 @@ def features_lr(spark, d):
 def tfidf_lr(spark, d):
     rows = _documents_with_quality(spark, d).select("doc_id", "text", "label").cache()
     train = rows.where("doc_id % 5 <> 0")
-    vocabulary = models.tfidf_vocabulary(train, "text", 20_000).cache()
-    vectors = models.tfidf(rows, "text", "doc_id", vocabulary, 20_000).drop("text").cache()
+    vocabulary = models.tfidf_vocabulary(train, "text", TERMS).cache()
+    vectors = models.tfidf(rows, "text", "doc_id", vocabulary, TERMS).drop("text").cache()
     judged = models.fit_predict(vectors.where("doc_id % 5 <> 0"), vectors.where("doc_id % 5 = 0"))
     return metrics.macro(metrics.confusion(judged, "label"))
 

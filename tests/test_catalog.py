@@ -45,3 +45,12 @@ def test_entry(spark):
 def test_features_regression(spark):
     row = catalog.queries()["features_lr"](spark, SF).first()
     assert row.accuracy > 0.7
+
+
+def test_tfidf_takes_the_whole_vocabulary(spark, monkeypatch):
+    from prooflake.operators import models
+
+    seen = []
+    fit = models.fit_predict
+    monkeypatch.setattr(models, "fit_predict", lambda train, test: seen.append(train.first()["features"].size) or fit(train, test))
+    assert catalog.queries()["tfidf_lr"](spark, SF).count() == 1 and seen == [50_000]
