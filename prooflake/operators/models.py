@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from prooflake.operators.metrics import confusion, macro
 
 EPSILON = 1e-8
+#: Datasets that leave_one_out judges at most; more are an error.
+MOST_DATASETS = 1000
 
 
 def normalizer(train: DataFrame, columns: list[str]) -> DataFrame:
@@ -100,7 +102,9 @@ def cross_validated(rows: DataFrame, columns: list[str], folds: int = 5) -> Data
 
 def leave_one_out(rows: DataFrame, dataset: str, columns: list[str]) -> DataFrame:
     """(held_out, accuracy, macro_f1, n): each dataset judged by a regression on all others. Datasets are few and known by name."""
-    names = [r[0] for r in rows.select(dataset).distinct().orderBy(dataset).limit(1000).collect()]
+    names = [r[0] for r in rows.select(dataset).distinct().orderBy(dataset).limit(MOST_DATASETS + 1).collect()]
+    if len(names) > MOST_DATASETS:
+        raise ValueError(f"more than {MOST_DATASETS} datasets in {dataset}")
     out = None
     for name in names:
         judged = features_regression(rows.where(F.col(dataset) != name), rows.where(F.col(dataset) == name), columns)

@@ -54,3 +54,11 @@ def test_tfidf_takes_the_whole_vocabulary(spark, monkeypatch):
     fit = models.fit_predict
     monkeypatch.setattr(models, "fit_predict", lambda train, test: seen.append(train.first()["features"].size) or fit(train, test))
     assert catalog.queries()["tfidf_lr"](spark, SF).count() == 1 and seen == [50_000]
+
+
+def test_leave_one_out_refuses_more_datasets_than_it_judges(spark):
+    from prooflake.operators import models
+
+    rows = spark.range(1001).selectExpr("CAST(id AS STRING) AS dataset", "CAST(id % 2 AS INT) AS label", "CAST(id AS DOUBLE) AS x")
+    with pytest.raises(ValueError, match="more than 1000"):
+        models.leave_one_out(rows, "dataset", ["x"])
