@@ -1,19 +1,30 @@
 """SimHash near-duplicates: bit-sliced comparison inside buckets and connected components of the links.
 
-Fingerprints of one or more 64-bit words come from the XXH64 values of word shingles, repeats included. Equal fingerprints
-are one node. Nodes meet in buckets: with `exact_tables` the 64 bits are cut into radius + 2 blocks and every pair of blocks
-is a table, so two fingerprints within the radius always share a bucket; with `band_tables` each band of bits is a table.
-Inside a bucket the bits lie in planes (one word holds one bit of 64 fingerprints); a query is compared with 64 lanes at a
-time by carry-save counters, and a block of lanes is left as soon as all are beyond the radius. Each bucket yields a star for
-each of its components, so rows stay in proportion to the input, and large-star / small-star rounds join the stars.
-
-Rows: null, empty and wordless texts have fingerprint zero and link like any other. Rows with a null id get a fingerprint
-and the component of it; repeated rows (equal ids) are one node. Empty tables give empty results; other columns are ignored.
+Fingerprints of one or more 64-bit words come from the XXH64 values of word shingles. Nodes meet in buckets. Inside a bucket
+the bits lie in planes (one word holds one bit of 64 fingerprints); a query is compared with 64 lanes at a time by carry-save
+counters, and a block of lanes is left as soon as all are beyond the radius. Each bucket yields a star for each of its
+components, so rows stay in proportion to the input, and large-star / small-star rounds join the stars. Two uses:
+
+* near_duplicates: equal fingerprints (64 bits, repeats of a shingle counted) are one node, and nodes within the radius are linked.
+  The 64 bits are cut into radius + 2 blocks and every pair of blocks is a table of buckets, so two fingerprints within the
+  radius always share one: no link is lost.
+* near_copies: texts with an equal set of distinct shingles are one node, and nodes with a Jaccard similarity of SIMILAR or more are
+  linked. SimHash finds groups: nodes that share a block of smallest shingle hashes are compared by fingerprints of COPY_WORDS
+  words, within COPY_RADIUS. Then the sets themselves decide: each is sent once, to its group, where pairs that are near by
+  fingerprint and not yet joined are compared exactly. Tables of fingerprint bits would lose pairs at the bound or grow with the square
+  of the input; a pair at 0.8 shares none of the BLOCKS blocks with a chance of 3e-6. Bits differ in a share of 0.16 there (0.19
+  for sets of four and five shingles), so the radius lies over three deviations beyond.
+
+Rows: null, empty and wordless texts have fingerprint zero (near_duplicates) or the empty set (near_copies) and link like any other.
+Rows with a null id get a fingerprint and the component of it; in a component ids come first, then nulls. Equal ids with different
+texts are separate nodes of near_copies; in near_duplicates an id stands for its fingerprints' smallest owner. Empty tables give
+empty results; other columns are ignored, whatever their names. No bucket or group has a cap: larger ones are split into
+parts that meet pairwise, each pair of parts in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -21,14 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prooflake.llm.common import bound_batches, runs, scratch, stored, table, texts_of
+from prooflake.llm.common import runs, stored, table, texts_of, used_up
 
 SEED = 42
 #: Shingles whose bits are counted at once, rows of planes that are built at once, and (query, block) pairs compared at once.
-SHINGLES_AT_ONCE, ROWS_AT_ONCE, PAIRS_AT_ONCE = 1 << 14, 1 << 15, 1 << 15
-#: Buckets with more nodes are dealt to several tasks, every pair of parts together in one.
-HOT_BUCKET = 20_000
+SHINGLES_AT_ONCE, ROWS_AT_ONCE, PAIRS_AT_ONCE = 1 << 12, 1 << 14, 1 << 15
+#: Buckets with more nodes, and groups with more bytes of shingle sets, are dealt to several tasks.
+HOT_BUCKET, HOT_BYTES = 20_000, 32 << 20
+#: SIMILAR is a fraction, so that the comparison is one of whole numbers. Fingerprint words and radius of near_copies, its blocks and
+#: the smallest hashes that make one.
+SIMILAR, COPY_WORDS, COPY_RADIUS, BLOCKS, BLOCK_ROWS = (4, 5), 16, 232, 24, 4
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_RNG = np.random.default_rng(SEED)
+_FLIP = _RNG.integers(0, 1 << 64, BLOCKS * BLOCK_ROWS, np.uint64)
+_TIMES = _RNG.integers(0, 1 << 64, BLOCKS * BLOCK_ROWS, np.uint64) | np.uint64(1)
 
 
 def shingles(text: bytes, width: int) -> list[bytes]:
@@ -51,28 +68,34 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: bytes, width: int, words: int = 1) -> bytes:
-    """8 * words bytes, each word big-endian: a bit is set if over half the shingles' hashes have it."""
+def hashes(units: list[bytes]) -> np.ndarray:
     import xxhash
 
-    units = shingles(text, width)
+    return np.fromiter(map(xxhash.xxh64_intdigest, units, [SEED] * len(units)), np.uint64, len(units))
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles."""
+    return np.unique(hashes(list(set(shingles(text, width)))))
+
+
+def majority(h: np.ndarray, words: int = 1) -> bytes:
+    """8 * words bytes, each word big-endian: a bit is set if over half the hashes have it."""
     counts = np.zeros(64 * words, np.int64)
-    for at in range(0, len(units), SHINGLES_AT_ONCE):
-        part = units[at : at + SHINGLES_AT_ONCE]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, part, [SEED] * len(part)), np.uint64, len(part))
-        for k in range(words):
-            bits = np.unpackbits(_mixed(h, k).astype(">u8").view(np.uint8)).reshape(-1, 64)
-            counts[64 * k : 64 * k + 64] += bits.sum(0, dtype=np.int32)
-    return np.packbits(2 * counts > len(units)).tobytes()
+    for k in range(words):
+        for at in range(0, len(h), SHINGLES_AT_ONCE):
+            bits = np.unpackbits(_mixed(h[at : at + SHINGLES_AT_ONCE], k).astype(">u8").view(np.uint8)).reshape(-1, 64)
+            for row in range(0, len(bits), 255):  # counts up to 255 fit in the bits' own type
+                counts[64 * k : 64 * k + 64] += np.add.reduce(bits[row : row + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(h)).tobytes()
 
 
-def fingerprints(docs: DataFrame, width: int, words: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, fp binary) of every row; one narrow pass over whole texts."""
-    bound_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches, 8 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t, width, words) for t in texts_of(batch.column(1))], pa.binary())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([majority(hashes(shingles(t, width))) for t in texts_of(batch.column(1))], pa.binary())], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, fp binary")
 
@@ -85,10 +108,6 @@ def exact_tables(radius: int) -> list[list[tuple[int, int]]]:
     return [list(pair) for pair in combinations(parts, 2)]
 
 
-def band_tables(words: int, bits: int) -> list[list[tuple[int, int]]]:
-    return [[(at, bits)] for at in range(0, 64 * words - bits + 1, bits)]
-
-
 def _keyed(nodes: DataFrame, tables: list[list[tuple[int, int]]]) -> DataFrame:
     """(bucket, node, fp) of each node in each table."""
 
@@ -165,9 +184,27 @@ def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = up
 
 
-def linked(bits: np.ndarray, starts: np.ndarray, radius: int) -> np.ndarray:
+def _confirm(label: np.ndarray, i: np.ndarray, j: np.ndarray, same: Callable[[int, int], bool]) -> np.ndarray:
+    """As _hook, for those pairs that `same` confirms; it isn't asked about pairs that are joined already."""
+    root = label.tolist()
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    apart = label[i] != label[j]
+    for a, b in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+        x, y = find(a), find(b)
+        if x != y and same(a, b):
+            root[max(x, y)] = min(x, y)
+    return np.array([find(k) for k in range(len(root))])
+
+
+def linked(bits: np.ndarray, starts: np.ndarray, radius: int, same: Callable[[int, int], bool] | None = None) -> np.ndarray:
     """For rows sorted by bucket (bits: rows x bits of 0/1; starts: first row of each bucket): each row's root in its bucket,
-    the first row that it reaches over links of at most radius differing bits."""
+    the first row that it reaches over links. A link is a pair of at most radius differing bits that `same`, if given, confirms."""
     n, width = bits.shape
     lanes = -(-n // 64)
     padded = np.zeros((lanes * 64, width), np.uint8)
@@ -180,9 +217,11 @@ def linked(bits: np.ndarray, starts: np.ndarray, radius: int) -> np.ndarray:
     wanted = np.flatnonzero(ends - np.arange(n) > 1)
     spans = (last - first + 1)[wanted]
     done = np.concatenate([[0], np.cumsum(spans)])
-    at = 0
+    # where pairs must be confirmed, few queries go first: what they join needn't be looked at again
+    at, most = 0, PAIRS_AT_ONCE if same is None else 64
     while at < len(wanted):
-        to = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS_AT_ONCE, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(done, done[at] + most, "right")) - 1)
+        most = min(2 * most, PAIRS_AT_ONCE)
         query = np.repeat(wanted[at:to], spans[at:to])
         word = first[query] + np.arange(len(query)) - np.repeat(done[at:to] - done[at], spans[at:to])
         at = to
@@ -206,98 +245,201 @@ def linked(bits: np.ndarray, starts: np.ndarray, radius: int) -> np.ndarray:
                     break
         if len(query):
             k, lane = np.nonzero(np.unpackbits(close.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            label = _hook(label, query[k], 64 * word[k] + lane)
+            label = _hook(label, query[k], 64 * word[k] + lane) if same is None else _confirm(label, query[k], 64 * word[k] + lane, same)
     return label
 
 
-def _stars(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """(a, b): a links to b or reaches it inside a bucket; a < b. Rows come sorted by bucket and node."""
+def _heads(bucket: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
 
-    def flush(bucket: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
-        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+
+def _stars(batches: Iterator[pa.RecordBatch], radius: int, similar: tuple[int, int] | None = None) -> Iterator[pa.RecordBatch]:
+    """(a, b): a links to b or reaches it inside a bucket; a < b. Rows (bucket, node, fp) come sorted by bucket and node; with `similar`
+    also each node's set of hashes, of which a pair must share that fraction."""
+
+    def flush(bucket: np.ndarray, node: np.ndarray, fps: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch | None:
+        starts = _heads(bucket)
         sizes = np.diff(np.append(starts, len(bucket)))
         more = np.repeat(sizes > 1, sizes)
         if not more.any():
             return None
         node, fps, bucket = node[more], fps[more], bucket[more]
-        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        root = linked(np.unpackbits(fps, axis=1), starts, radius)
+        held_sets = [s for s, k in zip(sets, more.tolist(), strict=True) if k] if similar else []
+
+        def same(a: int, b: int) -> bool:
+            x, y = held_sets[a], held_sets[b]
+            if len(x) > len(y):
+                x, y = y, x
+            if similar[1] * len(x) < similar[0] * len(y):
+                return False
+            at = np.searchsorted(y, x)
+            shared = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+            return similar[1] * shared >= similar[0] * (len(x) + len(y) - shared)
+
+        root = linked(np.unpackbits(fps, axis=1), _heads(bucket), radius, same if similar else None)
         far = root != np.arange(len(root))
         return pa.RecordBatch.from_arrays([pa.array(node[root[far]]), pa.array(node[far])], names=["a", "b"])
 
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    rows = 0
+    sets: list[np.ndarray] = []
+    rows = size = 0
+
+    def closed(to: int | None) -> Iterator[pa.RecordBatch]:
+        """Flush the rows up to `to`, those of whole buckets."""
+        nonlocal held, sets, rows, size
+        bucket, node, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+        cut = len(bucket) if to is None else to
+        if cut and (out := flush(bucket[:cut], node[:cut], fps[:cut], sets[:cut])) is not None:
+            yield out
+        held, sets, rows = [(bucket[cut:], node[cut:], fps[cut:])], sets[cut:], len(bucket) - cut
+        size = sum(s.nbytes for s in sets)
+
     for batch in batches:
         if not batch.num_rows:
             continue
         fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
         held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), fps))
         rows += batch.num_rows
-        if rows >= ROWS_AT_ONCE:
-            bucket, node, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
-            if cut:
-                if (out := flush(bucket[:cut], node[:cut], fps[:cut])) is not None:
-                    yield out
-            held, rows = [(bucket[cut:], node[cut:], fps[cut:])], len(bucket) - cut
+        if similar:
+            new = [np.frombuffer(s, "<u8") for s in batch.column(3).to_pylist()]
+            sets += new
+            size += sum(s.nbytes for s in new)
+        if rows >= ROWS_AT_ONCE or size >= HOT_BYTES:
+            last = held[-1][0][-1]  # the last bucket may go on
+            yield from closed(sum(int(np.searchsorted(b, last)) for b, _, _ in held))
     if rows:
-        if (out := flush(*(np.concatenate(x) for x in zip(*held, strict=True)))) is not None:
-            yield out
+        yield from closed(None)
 
 
-def dealt(keyed: DataFrame) -> DataFrame:
-    """(bucket, node, fp) sorted by bucket and node, whole buckets to a task; hot ones in parts that meet pairwise."""
-    hot = stored(keyed.groupBy("bucket").count().where(F.col("count") > HOT_BUCKET), "hot-buckets")
-    if not hot.isEmpty():
-        # a hot bucket's nodes fall into parts; each pair of parts meets in one cell, so no task gets the whole bucket
-        parts = F.ceil(2 * F.coalesce("count", F.lit(0)) / HOT_BUCKET).cast("int")
-        own = F.pmod(F.xxhash64("node"), F.greatest(parts, F.lit(1))).cast("int")
-        keyed = (
-            keyed.join(hot, "bucket", "left")
-            .withColumn("other", F.explode(F.when(parts > 1, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))))
-            .withColumn("cell", F.when(parts > 1, F.struct(F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"))))
-            .select(F.xxhash64("bucket", "cell.i", "cell.j").alias("bucket"), "node", "fp")
-        )
-    return keyed.repartition("bucket").sortWithinPartitions("bucket", "node")
+def _in_cells(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
+    """rows with `bucket`, a hash of the key and of two parts: a key of n parts (parts: key, n) has a cell for each pair of parts, and a
+    row goes to all cells of its own part, so any two rows of a key meet and no task gets a whole hot key. Keys missing in parts have one."""
+    dealt = rows.join(parts, key, "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return dealt.withColumn("bucket", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")))
 
 
-def links(nodes: DataFrame, tables: list[list[tuple[int, int]]], radius: int) -> DataFrame:
-    """Edges (a, b), a < b, whose components are those of all node pairs within radius that share a bucket."""
-    return dealt(_keyed(nodes, tables)).mapInArrow(lambda batches: _stars(batches, radius), "a long, b long").distinct()
+def links(keyed: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b), a < b, whose components are those of all node pairs within radius that share a bucket, from (bucket, node, fp)."""
+    hot = stored(keyed.groupBy("bucket").count().where(F.col("count") > HOT_BUCKET).select("bucket", F.ceil(2 * F.col("count") / HOT_BUCKET).cast("int").alias("n")), "hot-buckets")
+    if not hot.isEmpty():
+        keyed = _in_cells(keyed.withColumnRenamed("bucket", "key"), "key", hot.withColumnRenamed("bucket", "key")).select("bucket", "node", "fp")
+    return keyed.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(lambda batches: _stars(batches, radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node that has an edge; component is the smallest node it reaches. Each round is checkpointed."""
-    scratch(edges.sparkSession)
-    now = edges.checkpoint()
-    before = None
+    """(node, component) of every node that has an edge; component is the smallest node it reaches.
+
+    Each step is stored, which cuts lineage; joins are between stored tables, so that a node of very many edges is a skewed
+    key on a plain shuffle, which adaptive execution splits (its other side has one row a node).
+    """
+    state = lambda stars: stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+    now = stored(edges.select("a", "b").distinct(), "edges")
+    before = state(now)
     while True:
         # large star: what is larger than a node moves to the node's smallest neighbour
-        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        large = stored(now.join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct(), "large-stars")
         # small star: a node and its smaller neighbours move to the smallest of them
-        low = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
+        low = stored(large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")), "low")
         small = large.select(F.col("b").alias("u"), F.col("a").alias("v")).join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b")
-        after = small.union(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct().checkpoint()
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state == before:
+        after = stored(small.union(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct(), "edges")
+        used_up(now, least, large, low)
+        if (found := state(after)) == before:
             return after.select(F.col("b").alias("node"), F.col("a").alias("component"))
-        now, before = after, state
+        now, before = after, found
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, words: int = 1, radius: int = 3, tables: list[list[tuple[int, int]]] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable over links, itself included."""
-    tables = tables or exact_tables(radius)
-    fps = stored(fingerprints(docs, width, words), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    known = stored(nodes, "nodes")
-    linked_nodes = known.where("node IS NOT NULL")
-    found = components(links(linked_nodes, tables, radius))
-    classes = known.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    fps = stored(fingerprints(docs, width), "fingerprints")
+    known = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    found = components(links(_keyed(known.where("node IS NOT NULL"), exact_tables(radius)), radius))
+    # stored, so that a fingerprint of very many rows is a skewed key of a plain join
+    classes = stored(known.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "classes")
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text_hash, digest, fp, blocks) of every row: digest stands for the set of shingles, fp is its fingerprint, blocks are the
+    bucket keys, each made of BLOCK_ROWS smallest hashes."""
+
+    def sketch(text: bytes) -> tuple[bytes, bytes, bytes]:
+        import xxhash
+
+        h = shingle_set(text, width)
+        least = np.full(len(_FLIP), ~np.uint64(0))
+        for at in range(0, len(h), SHINGLES_AT_ONCE):
+            part = h[at : at + SHINGLES_AT_ONCE]
+            np.minimum(least, ((part[None] ^ _FLIP[:, None]) * _TIMES[:, None]).min(1), out=least)
+        block = np.arange(BLOCKS, dtype=np.uint64)
+        for column in least.reshape(BLOCKS, BLOCK_ROWS).T:
+            block = _mixed(block ^ column, 1)
+        return xxhash.xxh3_128_digest(h.tobytes()), majority(h, COPY_WORDS), block.tobytes()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches, 8 << 20):
+            made = zip(*map(sketch, texts_of(batch.column(2))), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.binary()) for x in made)], names=["doc_id", "text_hash", "digest", "fp", "blocks"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(work, "doc_id long, text_hash long, digest binary, fp binary, blocks binary")
+
+
+def _shared_blocks(known: DataFrame) -> DataFrame:
+    """(bucket, node, fp) of the blocks that two nodes or more share. Blocks travel without fingerprints first, as most have one node."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            blocks = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BLOCKS))], names=["bucket", "node"])
+
+    rows = stored(known.select("node", "blocks").mapInArrow(work, "bucket long, node long"), "blocks")
+    shared = stored(rows.groupBy("bucket").count().where("count > 1").select("bucket"), "shared-blocks")
+    met = stored(rows.join(shared, "bucket"), "met")
+    used_up(rows, shared)
+    return met.join(known.select("node", "fp"), "node").select("bucket", "node", "fp")
+
+
+def _confirmed(groups: DataFrame, known: DataFrame, docs: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
+    """Edges (a, b), a < b, between nodes of a group, whose components are those of all its pairs with similar sets."""
+    members = groups.union(groups.select(F.col("component").alias("node"), "component")).distinct()
+    heads = known.join(members, "node").select("node", "component", F.col("head.doc_id").alias("h_doc"), F.col("head.text_hash").alias("h_text"), "fp")
+    heads = stored(heads, "members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    found = texts.join(heads, texts.doc_id.eqNullSafe(heads.h_doc) & (texts.text_hash == heads.h_text)).select("node", "component", "fp", "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches, 8 << 20):
+            sets = pa.array([shingle_set(t, width).tobytes() for t in texts_of(batch.column(3))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sets], names=["node", "component", "fp", "hashes"])
+
+    # equal rows give a node more than once
+    sets = stored(found.mapInArrow(work, "node long, component long, fp binary, hashes binary").dropDuplicates(["node"]), "shingle-sets")
+    sizes = sets.groupBy("component").agg(F.sum(F.length("hashes")).alias("bytes"))
+    parts = stored(sizes.where(F.col("bytes") > HOT_BYTES).select("component", F.ceil(2 * F.col("bytes") / HOT_BYTES).cast("int").alias("n")), "hot-groups")
+    dealt = _in_cells(sets, "component", parts).select("bucket", "node", "fp", "hashes").repartition("bucket").sortWithinPartitions("bucket", "node")
+    return dealt.mapInArrow(lambda batches: _stars(batches, COPY_RADIUS, similar), "a long, b long")
+
+
+def near_copies(docs: DataFrame, width: int = 5, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """(doc_id, text_hash, component_id, first) of every row of docs (doc_id, text): the smallest doc_id that it reaches over links between
+    texts whose sets of distinct shingles are similar (null where no row of the component has an id), and whether it is its component's
+    first row. Rows that are equal in id and text are all first or none."""
+    made = stored(sketches(docs, width), "sketches")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("head")
+    known = stored(made.groupBy("digest").agg(head, F.first("fp").alias("fp"), F.first("blocks").alias("blocks")).withColumn("node", F.monotonically_increasing_id()), "sets")
+    groups = components(links(_shared_blocks(known), COPY_RADIUS))
+    found = components(_confirmed(groups, known, docs, width, similar))
+    classes = stored(known.join(found, "node", "left").select("digest", "head", F.coalesce("component", "node").alias("component")), "classes")
+    firsts = stored(classes.groupBy("component").agg(F.min("head").alias("first")), "firsts")
+    rows = made.select("doc_id", "text_hash", "digest").join(stored(classes.join(firsts, "component").select("digest", "first"), "first-rows"), "digest")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    return rows.select("doc_id", "text_hash", F.col("first.doc_id").alias("component_id"), is_first.alias("first"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
