@@ -1,53 +1,61 @@
-"""Removal of repeated byte passages by suffix arrays of shards and a merge of what the shards keep.
+"""Removal of repeated byte passages by suffix arrays of shards, merged across shards by binary search.
 
 Every LENGTH-byte window that also starts earlier (in an earlier document, or earlier in the same one) has all its bytes
 removed. Each window is represented by its anchor: the K-byte substring of smallest hash. Equal windows have equal anchors at
 equal places, so an anchor whose hash occurs once in the corpus rules its windows out; this only narrows the text that the
 suffix arrays see. The steps:
 
-1. anchors of every text; their hashes are counted by hash range (each task sends a hash once, with its count);
-2. the regions around repeated anchors of a task's texts form shards. A shard's suffix array comes from Larsson-Sadakane
-   refinement (sort by eight bytes, then double the depth within groups that still tie), its common prefixes from Kasai's bounds;
-   of the windows with a common prefix of LENGTH the first stays and the others go;
-3. windows that stay are merged across shards. They travel in runs of one anchor to the owner of its hash, where a suffix array
-   of the runs, in document order, shows which windows stand earlier in another shard (binary search maps its offsets back to
-   runs and documents). Runs of very frequent anchors first meet by a 128-bit hash of the whole run, where equal ones
-   go; the first of each is split by the CONTEXT bytes around its anchor that its windows share, and these pieces go to the owner of
-   their context, so no task gets all that holds a frequent passage;
+1. of equal texts the first stays; what stays is stored in batches of about BATCH_BYTES. Of each batch the sorted hashes of its anchors, with counts, are cut by binary search
+   into ranges, one an owner. An owner adds the counts up and replies to each batch which of its anchors repeat, and which do so
+   more than FREQUENT times;
+2. the stretches of a batch whose windows have repeated anchors form shards of SHARD_BYTES. A shard's suffix array comes from
+   Larsson-Sadakane refinement (sort by eight bytes, then double the depth within groups that still tie), its common prefixes from
+   Kasai's bounds; of the windows with a common prefix of LENGTH the first stays and the others go;
+3. windows that stay are merged across shards. Neighbouring ones with one anchor travel as a run to the anchor's owner, which merges the
+   shards' sorted runs, then the sorted windows of runs that differ but share an anchor, by binary search of one shard's array in the
+   other's, two and two; equal hashes are compared by bytes. Windows of frequent anchors travel one by one as 128-bit hashes and are
+   grouped by them. So what one task must hold together is at most FREQUENT runs of an anchor, or nothing but one window's copies,
+   of which a shard sends one and which are reduced before they meet;
 4. the byte ranges of all steps are joined to the texts and cut out.
 
 Rows: a null text counts as empty; texts under LENGTH bytes stay whole. Equal texts are compared once: all but the first (by
 doc_id, nulls last, then reading order) are removed whole. Rows with equal ids are separate documents in reading order. An empty
-table gives an empty result; other columns are ignored. Texts of any length are used whole.
+table gives an empty result; other columns are ignored, or carried along in one struct. Texts of any length are used whole; longer
+ones than PIECE_BYTES are worked on in pieces that overlap by a window.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prooflake.llm.common import bound_batches, release, runs, stored, table, texts_of
+from prooflake.llm.common import release, runs, stored, table, texts_of, used_up
 
 LENGTH, K = 100, 32
 SPAN = LENGTH - K + 1
-#: An anchor with the longer of both sides that a window has around it.
-CONTEXT = K + (LENGTH - K) // 2
-#: Runs of anchors that occur more often are dealt by their context.
+#: Windows of anchors that occur more often are grouped one by one.
 FREQUENT = 512
-#: Text bytes hashed at once, bytes of a shard's suffix array, and anchor bytes that one owner should get.
-HASH_BYTES, SHARD_BYTES, OWNER_BYTES = 4 << 20, 2 << 20, 8 << 20
+#: Bytes of text of a batch, of a piece of a long text, of a shard's suffix array, and of text that an owner answers for.
+BATCH_BYTES, PIECE_BYTES, SHARD_BYTES, OWNER_BYTES = 4 << 20, 2 << 20, 2 << 20, 12 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = np.random.default_rng(20).integers(1 << 62, 1 << 63, (2, 8), dtype=np.uint64) | np.uint64(1)
 _BYTE = np.random.default_rng(21).integers(0, 1 << 63, (2, 256), dtype=np.uint64)
+#: Spreads hashes (anchors are small ones) over all values: an odd factor.
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: How an anchor of a batch travels, and a run of windows of a shard.
+ENTRY = np.dtype([("key", "<u8"), ("count", "<u4")])
+RUN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("first", "<i8"), ("size", "<u4")])
 
 
 def block_hashes(x: np.ndarray, size: int, kind: int = 0) -> np.ndarray:
-    """A hash of x[i : i + size] for each i (size: a sum of two powers of two at most); near the end it runs into padding."""
+    """A hash of x[i : i + size] for each i; near the end it runs into padding."""
     h = _BYTE[kind][np.concatenate([x, np.zeros(size, np.uint8)])]
     width, level = 1, 0
     while 2 * width <= size:
@@ -83,19 +91,16 @@ class Joined:
         """Hash of each block (_NONE across pieces) and smallest hash of each window (_NONE where no window begins)."""
         blocks = np.minimum(block_hashes(self.x, K), _NONE - np.uint64(1))
         blocks[self.left < K] = _NONE
-        return blocks, self.window_least(blocks)
-
-    def window_least(self, blocks: np.ndarray) -> np.ndarray:
         least = slide(np.concatenate([blocks, np.full(SPAN - 1, _NONE)]), SPAN, np.minimum)
         least[~self.inside] = _NONE
-        return least
+        return blocks, least
 
 
-def anchor_places(blocks: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Offsets whose block is the smallest of a window (all of them, where several tie)."""
+def anchor_hashes(blocks: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The hash of every block that is the smallest of a window, once for each of its places (all of them, where several tie)."""
     known = np.where(least == _NONE, np.uint64(0), least)
     highest = slide(np.concatenate([np.zeros(SPAN - 1, np.uint64), known]), SPAN, np.maximum)
-    return np.flatnonzero((highest == blocks) & (blocks != _NONE))
+    return blocks[(highest == blocks) & (blocks != _NONE)]
 
 
 def _words(x: np.ndarray, order: str) -> np.ndarray:
@@ -197,328 +202,439 @@ def _stretches(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def _anchor_rows(texts: DataFrame, owners: int) -> DataFrame:
-    """(owner, repeats, anchors, certain): for each owner the hashes of a task's texts with counts and one place each; `certain`
-    are the places of hashes that already repeat within these texts. Both are packed arrays."""
+def _pieces(text: bytes) -> list[tuple[int, bytes]]:
+    """(begin, piece) of a text; each window lies in one piece."""
+    return [(at, text[at : at + PIECE_BYTES + LENGTH - 1]) for at in range(0, max(1, len(text) - LENGTH + 1), PIECE_BYTES)]
+
+
+def _owned(keys: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """Owners that have some of the sorted keys, and the cuts between their ranges."""
+    bounds = np.array([(k << 64) // owners for k in range(owners)], np.uint64)
+    cuts = np.append(np.searchsorted(keys, bounds), len(keys))
+    used = np.flatnonzero(np.diff(cuts))
+    return used, cuts
+
+
+class Texts(NamedTuple):
+    """Stored tables: `single` (rid, doc, doc_id, text, rest, batch) of the texts that are the first of their kind, in batches named by their
+    first row, and `copies` (rid, doc_id, size, rest) of the others. doc is the id in the order of documents, rid the reading order."""
+
+    single: DataFrame
+    copies: DataFrame
+    bytes: int
+
+
+def split_copies(docs: DataFrame) -> Texts:
+    """rest is a struct of the columns besides doc_id and text, if there are any."""
+    from pyspark.sql import types as T
+
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    columns = [F.monotonically_increasing_id().alias("rid"), F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("doc"), doc_id.alias("doc_id"), text.alias("text"), *([F.struct(*rest).alias("rest")] if rest else [])]
+    texts = stored(docs.select(*columns).withColumns({"size": F.length("text").cast("long"), "d1": F.xxhash64("text"), "d2": F.xxhash64(F.lit(1), "text")}), "texts")
+    ids = texts.select("rid", "doc", "size", "d1", "d2").where(F.col("size") >= LENGTH)
+    firsts = ids.groupBy("d1", "d2", "size").agg(F.min(F.struct("doc", "rid")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    firsts = stored(firsts.select("d1", "d2", "size", F.col("f.rid").alias("f_rid")), "repeated-texts")
+    later = stored(ids.join(firsts, ["d1", "d2", "size"]).where("rid <> f_rid").select("rid"), "later-texts")
+    given = texts.drop("size", "d1", "d2")
+    schema = T.StructType([*given.schema.fields, T.StructField("batch", T.LongType())])
+    names = schema.names
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches, HASH_BYTES):
-            pieces = texts_of(batch.column(1))
-            joined = Joined(pieces)
-            if not joined.inside.any():
-                continue
-            blocks, least = joined.anchors()
-            places = anchor_places(blocks, least)
-            order = np.argsort(blocks[places], kind="stable")
-            places, hashes = places[order], blocks[places][order]
-            row = np.searchsorted(joined.starts, places, "right") - 1
-            rid = batch.column(0).to_numpy(zero_copy_only=False)[row]
-            pos = (places - joined.starts[row]).astype(np.uint32)
-            heads = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-            counts = np.diff(np.append(heads, len(hashes)))
-            once = np.repeat(counts == 1, counts)
-            owner = (hashes[heads] % np.uint64(owners)).astype(np.int64)
-            packed = np.zeros(len(heads), ENTRY)
-            packed["hash"], packed["rid"], packed["pos"], packed["count"] = hashes[heads], rid[heads], pos[heads], np.minimum(counts, 1 << 31)
-            more = np.zeros(int((~once).sum()), ENTRY)
-            more["hash"], more["rid"], more["pos"] = hashes[~once], rid[~once], pos[~once]
-            by, by_more = np.argsort(owner, kind="stable"), np.argsort(more["hash"] % np.uint64(owners), kind="stable")
-            packed, more = packed[by], more[by_more]
-            cuts = np.searchsorted(owner[by], np.arange(owners + 1))
-            cuts_more = np.searchsorted((more["hash"] % np.uint64(owners)).astype(np.int64), np.arange(owners + 1))
-            used = np.flatnonzero(np.diff(cuts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used.astype(np.int32)), pa.array([packed[cuts[k] : cuts[k + 1]].tobytes() for k in used], pa.binary()), pa.array([more[cuts_more[k] : cuts_more[k + 1]].tobytes() for k in used], pa.binary())],
-                names=["owner", "anchors", "certain"],
-            )
-
-    return texts.select("rid", "text").mapInArrow(work, "owner int, anchors binary, certain binary")
-
-
-#: How an anchor travels.
-ENTRY = np.dtype([("hash", "<u8"), ("rid", "<i8"), ("pos", "<u4"), ("count", "<u4")])
+        now, held = 0, BATCH_BYTES
+        for part in batches:
+            of = []
+            for rid, size in zip(part.column(0).to_pylist(), pc.binary_length(part.column(3)).to_pylist(), strict=True):
+                if held >= BATCH_BYTES:
+                    now, held = rid, 0
+                held += size
+                of.append(now)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(of, pa.int64())], names=names)
+
+    single = stored(given.join(later, "rid", "left_anti").mapInArrow(work, schema), "single-texts")
+    copies = stored(texts.join(later, "rid", "left_semi").select("rid", "doc_id", "size", *(["rest"] if rest else [])), "copies")
+    total = ids.agg(F.sum("size")).first()[0] or 0
+    used_up(texts, firsts, later)
+    return Texts(single, copies, total)
 
 
 def repeated_anchors(texts: DataFrame, owners: int) -> DataFrame:
-    """(rid, pos, often): the anchors whose hash occurs more than once; often: over FREQUENT times."""
-
-    def flush(parts: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        found = np.frombuffer(b"".join(a for a, _ in parts), ENTRY)
-        certain = np.frombuffer(b"".join(c for _, c in parts), ENTRY)
-        order = np.argsort(found["hash"], kind="stable")
-        found = found[order]
-        heads = np.flatnonzero(np.concatenate([[True], found["hash"][1:] != found["hash"][:-1]]))
-        total = np.add.reduceat(found["count"].astype(np.int64), heads)
-        each = np.repeat(total, np.diff(np.append(heads, len(found))))
-        single = (each > 1) & (found["count"] == 1)  # the others are among the certain ones
-        often = total[np.searchsorted(found["hash"][heads], certain["hash"])] > FREQUENT
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([found["rid"][single], certain["rid"]])), pa.array(np.concatenate([found["pos"][single], certain["pos"]]).astype(np.int64)), pa.array(np.concatenate([each[single] > FREQUENT, often]))],
-            names=["rid", "pos", "often"],
-        )
+    """A stored table (batch, keys): packed keys of the anchors of a batch that occur more than once in all; the lowest bit says whether they
+    do so over FREQUENT times."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, bytes]] = []
-        now = None
-        for batch in batches:
-            for owner, anchors, certain in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if owner != now and held:
-                    yield flush(held)
-                    held = []
-                now = owner
-                held.append((anchors, certain))
-        if held:
-            yield flush(held)
-
-    dealt = _anchor_rows(texts, owners).repartition(owners, "owner").sortWithinPartitions("owner")
-    return dealt.mapInArrow(work, "rid long, pos long, often boolean")
-
-
-def _regions(size: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of the merged stretches that hold every window around the places (sorted)."""
-    begin, end = np.maximum(places - SPAN + 1, 0), np.minimum(places + LENGTH, size)
-    new = np.concatenate([[True], begin[1:] > end[:-1]])
-    return begin[new], end[np.concatenate([new[1:], [True]])]
-
-
-def shard_rows(found: DataFrame, owners: int) -> DataFrame:
-    """From (rid, rank, text, places, often): ranges that a shard removes (kind 0: rid, first, last), runs of windows that it
-    keeps (kind 1: owner, hash, rid, rank, first, bytes) and such runs of frequent anchors (kind 2: hash and other are a hash of the
-    run)."""
-
-    def shard(rows: list[tuple[int, int, bytes, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        rows.sort(key=lambda r: r[1])  # offsets then stand in the order of documents
-        pieces, of, shift, candidate, frequent, base = [], [], [], [], [], 0
-        for k, (_, _, text, places, often) in enumerate(rows):
-            begin, end = _regions(len(text), places)
-            at = np.searchsorted(begin, places, "right") - 1
-            size = end - begin
-            local = base + np.cumsum(size) - size
-            candidate.append(local[at] + places - begin[at])
-            frequent.append(candidate[-1][often])
-            pieces += [text[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-            of += [k] * len(begin)
-            shift.append(begin - local)
-            base += int(size.sum())
-        joined = Joined(pieces)
-        blocks, least = joined.anchors()
-        chosen = np.full(len(blocks), _NONE)
-        at = np.concatenate(candidate)
-        chosen[at] = blocks[at]
-        windows = joined.inside & (joined.window_least(chosen) == least)
-        later = later_windows(joined, windows)
-        piece_row, piece_shift = np.array(of), np.concatenate(shift)
-        rid, rank = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-
-        def where(offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            piece = np.searchsorted(joined.starts, offset, "right") - 1
-            return piece_row[piece], offset + piece_shift[piece]
-
-        def kept_runs(kind: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """Runs of neighbouring windows with one anchor, with all bytes of those windows."""
-            run = np.where(wanted, least, _NONE)
-            heads = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-            tails = np.append(heads[1:], len(run)) - 1
-            real = run[heads] != _NONE
-            heads, tails = heads[real], tails[real]
-            if not len(heads):
-                return
-            row, place = where(heads)
-            raw = joined.x.tobytes()
-            found = [raw[a : b + LENGTH] for a, b in zip(heads.tolist(), tails.tolist(), strict=True)]
-            if kind == 1:
-                key = {"owner": (run[heads] % np.uint64(owners)).astype(np.int32), "hash": run[heads].view(np.int64)}
-            else:
-                marks = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in found), np.int64).reshape(-1, 2)
-                key = {"hash": marks[:, 0], "other": marks[:, 1]}
-            yield _routed(kind, **key, rid=rid[row], rank=rank[row], first=place, bytes=found)
-
-        first, last = _stretches(later)  # a run of windows lies within one piece, as none begins at its last bytes
-        row, place = where(first)
-        yield _routed(0, rid=rid[row], first=place, last=place + last - first + LENGTH)
-        stays = windows & ~later
-        if len(often_at := np.concatenate(frequent)):
-            chosen[:] = _NONE
-            chosen[often_at] = blocks[often_at]
-            frequently = stays & (joined.window_least(chosen) == least)
-            stays &= ~frequently
-            yield from kept_runs(2, frequently)
-        yield from kept_runs(1, stays)
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(batch: int, pieces: list[bytes]) -> pa.RecordBatch | None:
+            joined = Joined(pieces)
+            if not joined.inside.any():
+                return None
+            keys = np.sort((anchor_hashes(*joined.anchors()) * _SPREAD) & ~np.uint64(1))
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            packed = np.zeros(len(first), ENTRY)
+            packed["key"], packed["count"] = keys[first], np.diff(np.append(first, len(keys)))
+            used, cuts = _owned(packed["key"], owners)
+            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([batch] * len(used), pa.int64()), pa.array([packed[cuts[k] : cuts[k + 1]].tobytes() for k in used], pa.binary())], names=["owner", "batch", "anchors"])
+
+        now, pieces, size = None, [], 0
+        for part in batches:
+            for batch, text in zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True):
+                for _, piece in _pieces(text):
+                    if pieces and (batch != now or size >= BATCH_BYTES):
+                        if (out := flush(now, pieces)) is not None:
+                            yield out
+                        pieces, size = [], 0
+                    now = batch
+                    pieces.append(piece)
+                    size += len(piece)
+        if pieces and (out := flush(now, pieces)) is not None:
+            yield out
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, parts = [], []
+        for part in batches:
+            names += part.column(0).to_pylist()
+            parts += [np.frombuffer(x, ENTRY) for x in part.column(1).to_pylist()]
+        if not parts:
+            return
+        of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        every = np.concatenate(parts)
+        order = np.argsort(every["key"], kind="stable")
+        keys = every["key"][order]
+        heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        total = np.repeat(np.add.reduceat(every["count"][order].astype(np.int64), heads), np.diff(np.append(heads, len(keys))))
+        reply = keys | (total > FREQUENT).astype(np.uint64)
+        again = total > 1
+        of, reply = of[order][again], reply[again]
+        by = np.argsort(of, kind="stable")
+        of, reply = of[by], reply[by]
+        cuts = np.searchsorted(of, np.arange(len(parts) + 1))
+        some = [k for k in range(len(parts)) if cuts[k] < cuts[k + 1]]
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in some], pa.int64()), pa.array([reply[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary())], names=["batch", "keys"])
+
+    rows = texts.select("batch", "text").mapInArrow(counted, "owner int, batch long, anchors binary")
+    return stored(rows.repartitionById(owners, "owner").select("batch", "anchors").mapInArrow(answered, "batch long, keys binary"), "anchors")
+
+
+def _coded(least: np.ndarray, replies: np.ndarray) -> np.ndarray:
+    """For each window: 0 if its anchor is not among the replies (sorted), 1 if it is, 2 if it is frequent."""
+    code = np.zeros(len(least), np.uint8)
+    if not len(least) or not len(replies):
+        return code
+    heads = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    wanted = (least[heads] * _SPREAD) & ~np.uint64(1)
+    keys = replies & ~np.uint64(1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = (keys[at] == wanted) & (least[heads] != _NONE)
+    each = np.where(hit, 1 + (replies[at] & np.uint64(1)).astype(np.uint8), 0).astype(np.uint8)
+    return np.repeat(each, np.diff(np.append(heads, len(least))))
+
+
+class _Stretch(NamedTuple):
+    """Bytes of a text from `begin` on, with the code and the anchor of each window (none begins at the last bytes)."""
+
+    doc: int
+    rid: int
+    begin: int
+    bytes: bytes
+    code: np.ndarray
+    least: np.ndarray
+
+
+ROUTED = "kind int, owner int, rid long, doc long, first long, h1 long, h2 long, spans array<long>, meta binary, body binary"
+_KINDS = {"kind": pa.int32(), "owner": pa.int32(), "rid": pa.int64(), "doc": pa.int64(), "first": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "spans": pa.list_(pa.int64()), "meta": pa.binary(), "body": pa.binary()}
+
+
+def _routed(kind: int, n: int, **given) -> pa.RecordBatch:
+    given["kind"] = np.full(n, kind, np.int32)
+    columns = [pa.nulls(n, t) if c not in given else given[c] if isinstance(given[c], pa.Array) else pa.array(given[c], t) for c, t in _KINDS.items()]
+    return pa.RecordBatch.from_arrays(columns, names=list(_KINDS))
+
+
+def _spans(rid: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Row ids, and for each a list of its ranges: first, last, first, last and so on."""
+    order = np.argsort(rid, kind="stable")
+    rid, flat = rid[order], np.stack([first[order], last[order]], 1).ravel()
+    heads = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]])) if len(rid) else np.zeros(0, np.int64)
+    return rid[heads], pa.ListArray.from_arrays(pa.array(np.append(2 * heads, len(flat)).astype(np.int32)), pa.array(flat))
+
+
+def shard(stretches: list[_Stretch], owners: int) -> Iterator[pa.RecordBatch]:
+    """What a shard removes (kind 0: rid, spans), its runs of windows that stay (kind 1: owner, meta, body, sorted by anchor) and windows of
+    frequent anchors that stay (kind 2: rid, doc, first, h1, h2)."""
+    stretches.sort(key=lambda s: s[:3])  # offsets then stand in the order of documents
+    joined = Joined([s.bytes for s in stretches])
+    code, least = np.concatenate([s.code for s in stretches]), np.concatenate([s.least for s in stretches])
+    doc, rid, begin = (np.array([s[k] for s in stretches], np.int64) for k in range(3))
+    windows = joined.inside & (code > 0)
+    later = later_windows(joined, windows)
+
+    def where(offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(joined.starts, offset, "right") - 1
+        return at, offset - joined.starts[at] + begin[at]
+
+    first, last = _stretches(later)  # a run of windows lies within one stretch, as none begins at its last bytes
+    if len(first):
+        at, place = where(first)
+        ids, spans = _spans(rid[at], place, place + last - first + LENGTH)
+        yield _routed(0, len(ids), rid=ids, spans=spans)
+    stays = windows & ~later
+    often = np.flatnonzero(stays & (code == 2))
+    if len(often):
+        at, place = where(often)
+        h1, h2 = (block_hashes(joined.x, LENGTH, kind)[often].view(np.int64) for kind in (0, 1))
+        yield _routed(2, len(often), rid=rid[at], doc=doc[at], first=place, h1=h1, h2=h2)
+    run = np.where(stays & (code == 1), least, _NONE)
+    heads = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1])]))
+    tails = np.append(heads[1:], len(run)) - 1
+    real = run[heads] != _NONE
+    heads, tails = heads[real], tails[real]
+    if len(heads):
+        # of SPAN windows at most, so that the first and the last one cover a run; only ties of an anchor make longer ones
+        parts = -(-(tails - heads + 1) // SPAN)
+        heads, ends = np.repeat(heads, parts), np.repeat(tails, parts)
+        heads = heads + SPAN * (np.arange(len(heads)) - np.repeat(np.cumsum(parts) - parts, parts))
+        tails = np.minimum(heads + SPAN - 1, ends)
+        key = run[heads] * _SPREAD
+        order = np.argsort(key, kind="stable")
+        heads, tails, key = heads[order], tails[order], key[order]
+        at, place = where(heads)
+        meta = np.zeros(len(heads), RUN)
+        meta["key"], meta["doc"], meta["rid"], meta["first"], meta["size"] = key, doc[at], rid[at], place, tails - heads + LENGTH
+        used, cuts = _owned(key, owners)
+        raw, ends = joined.x.tobytes(), tails + LENGTH
+        bodies = [b"".join([raw[a:b] for a, b in zip(heads[cuts[k] : cuts[k + 1]].tolist(), ends[cuts[k] : cuts[k + 1]].tolist(), strict=True)]) for k in used]
+        yield _routed(1, len(used), owner=used.astype(np.int32), meta=[meta[cuts[k] : cuts[k + 1]].tobytes() for k in used], body=bodies)
+
+
+def shard_rows(texts: DataFrame, replies: DataFrame, owners: int) -> DataFrame:
+    """ROUTED rows of all shards. A batch's replies and texts meet by its name."""
+
+    def stretches(rows: list[tuple[int, int, int, bytes]], keys: np.ndarray) -> Iterator[_Stretch]:
+        """Of pieces (doc, rid, begin, bytes)."""
+        joined = Joined([r[3] for r in rows])
+        least = joined.anchors()[1]
+        code = _coded(least, keys)
+        first, last = _stretches(code > 0)
+        if not len(first):
+            return
+        # those whose bytes overlap are one; across pieces none do
+        new = np.concatenate([[True], first[1:] >= last[:-1] + LENGTH])
+        begin, end = first[new], last[np.concatenate([new[1:], [True]])] + LENGTH
+        at = np.searchsorted(joined.starts, begin, "right") - 1
+        for k, a, b, start in zip(at.tolist(), begin.tolist(), end.tolist(), joined.starts[at].tolist(), strict=True):
+            doc, rid, offset, piece = rows[k]
+            yield _Stretch(doc, rid, offset + a - start, piece[a - start : b - start], code[a:b], least[a:b])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in runs(batches, HASH_BYTES):
-            for rid, rank, text, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                marks = np.sort(np.array(packed, np.int64))  # 2 * place + often
-                marks = marks[np.concatenate([[True], marks[1:] != marks[:-1]])]
-                begin, end = _regions(len(text), marks >> 1)
-                held.append((rid, rank, text, marks >> 1, (marks & 1) == 1))
-                size += int((end - begin).sum())
-                if size >= SHARD_BYTES:
-                    yield from shard(held)
-                    held, size = [], 0
+        now, keys = None, []
+        rows: list[tuple[int, int, int, bytes]] = []
+        held: list[_Stretch] = []
+        waiting = size = 0
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            """Take the rows that wait, all of one batch."""
+            nonlocal rows, held, waiting, size
+            if rows and keys:
+                for found in stretches(rows, np.unique(np.concatenate(keys))):
+                    held.append(found)
+                    size += len(found.bytes)
+                    if size >= SHARD_BYTES:
+                        yield from shard(held, owners)
+                        held, size = [], 0
+            rows, waiting = [], 0
+
+        for part in runs(batches, BATCH_BYTES):
+            for batch, side, rid, doc, text in zip(*(part.column(k).to_pylist() for k in range(5)), strict=True):
+                if batch != now:
+                    yield from closed()
+                    now, keys = batch, []
+                if side == 0:
+                    keys.append(np.frombuffer(text, "<u8"))
+                    continue
+                for begin, piece in _pieces(text) if keys else ():
+                    rows.append((doc, rid, begin, piece))
+                    waiting += len(piece)
+                    if waiting >= BATCH_BYTES:
+                        yield from closed()
+        yield from closed()
         if held:
-            yield from shard(held)
+            yield from shard(held, owners)
 
-    return found.select("rid", "rank", "text", "marks").mapInArrow(work, ROUTED)
+    none = F.lit(None).cast("long")
+    asked = replies.select("batch", F.lit(0).alias("side"), none.alias("rid"), none.alias("doc"), F.col("keys").alias("x"))
+    told = texts.select("batch", F.lit(1).alias("side"), "rid", "doc", F.col("text").alias("x"))
+    return asked.union(told).repartition("batch").sortWithinPartitions("batch", "side", "doc", "rid").mapInArrow(work, ROUTED)
 
 
-ROUTED = "kind int, owner int, hash long, other long, rid long, rank long, first long, last long, bytes binary"
+class Sorted(NamedTuple):
+    """Things of a shard, sorted by key: their order in the corpus and where their bytes begin."""
 
+    key: np.ndarray
+    order: np.ndarray
+    place: np.ndarray
 
-def _routed(kind: int, **given) -> pa.RecordBatch:
-    n = len(given["rid"])
-    kinds = {"kind": pa.int32(), "owner": pa.int32(), "hash": pa.int64(), "other": pa.int64(), "rid": pa.int64(), "rank": pa.int64(), "first": pa.int64(), "last": pa.int64(), "bytes": pa.binary()}
-    given["kind"] = np.full(n, kind, np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
 
+class Collision(Exception):
+    """Two different strings with one hash."""
 
-def merged_runs(routes: DataFrame, owners: int) -> DataFrame:
-    """(rid, first, last) of the windows in runs (kind 1) that stand earlier in another shard."""
 
-    def merge(rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[2], r[3]))
-        joined = Joined([r[4] for r in rows])
-        first, last = _stretches(later_windows(joined, joined.inside))
-        row = np.searchsorted(joined.starts, first, "right") - 1
-        place = np.array([r[3] for r in rows])[row] + first - joined.starts[row]
-        return pa.RecordBatch.from_arrays([pa.array(np.array([r[1] for r in rows])[row]), pa.array(place), pa.array(place + last - first + LENGTH)], names=["rid", "first", "last"])
+def merge_sorted(arrays: list[Sorted], equal) -> tuple[Sorted, np.ndarray]:
+    """The arrays (none with a key twice) as one, two and two by binary search of the one's keys in the other's; of equal things the first
+    in order stays. Also the places of those that don't. equal(places, places) tells whether their bytes are the same."""
+    gone: list[np.ndarray] = []
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        group: list[tuple] = []
-        size = 0
-        now = None
-
-        def close() -> None:
-            nonlocal size
-            if len(group) > 1:  # a lone run has nothing to be equal to
-                held.extend(group)
-                size += sum(len(r[4]) for r in group)
-            group.clear()
-
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if row[0] != now:
-                    close()
-                    now = row[0]
-                    if size >= SHARD_BYTES // 2:
-                        yield merge(held)
-                        held, size = [], 0
-                group.append(row)
-        close()
-        if held:
-            yield merge(held)
+    def two(a: Sorted, b: Sorted) -> Sorted:
+        if len(a.key) < len(b.key):
+            a, b = b, a
+        at = np.searchsorted(a.key, b.key)
+        hit = a.key[np.minimum(at, len(a.key) - 1)] == b.key
+        here, there = at[hit], np.flatnonzero(hit)
+        if len(here):
+            if not equal(a.place[here], b.place[there]):
+                raise Collision
+            earlier = b.order[there] < a.order[here]
+            gone.append(np.where(earlier, a.place[here], b.place[there]))
+            order, place = a.order.copy(), a.place.copy()
+            order[here[earlier]], place[here[earlier]] = b.order[there[earlier]], b.place[there[earlier]]
+            a = Sorted(a.key, order, place)
+        new = ~hit
+        return Sorted(*(np.insert(x, at[new], y[new]) for x, y in zip(a, b, strict=True))) if new.any() else a
+
+    while len(arrays) > 1:
+        arrays.sort(key=lambda x: len(x.key))
+        arrays = [two(*arrays[k : k + 2]) if k + 1 < len(arrays) else arrays[k] for k in range(0, len(arrays), 2)]
+    return arrays[0], np.concatenate([np.zeros(0, np.int64), *gone])
 
-    runs_ = routes.where("kind = 1").select("owner", "hash", "rid", "rank", "first", "bytes")
-    dealt = runs_.repartition(owners, "owner").sortWithinPartitions("hash").select("hash", "rid", "rank", "first", "bytes")
-    return dealt.mapInArrow(work, "rid long, first long, last long")
 
+def _bytes_equal(x: np.ndarray, size: int):
+    """equal(a, b) for merge_sorted: whether the `size` bytes from each place are the same."""
+    words = _words(x, "<")
+
+    def equal(a: np.ndarray, b: np.ndarray) -> bool:
+        return all(np.array_equal(words[a[at : at + 65536] + k], words[b[at : at + 65536] + k]) for at in range(0, len(a), 65536) for k in [*range(0, size - 7, 8), size - 8])
 
-def _sorted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Batches sorted by their first two columns, each with whether a row's pair differs from the row's before."""
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        new = np.concatenate([[last != (a[0], b[0])], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        last = (a[-1], b[-1])
-        yield batch, new
+    return equal
 
 
-def context_keys(joined: Joined) -> np.ndarray:
-    """For runs (pieces whose windows share one anchor): the hash of the CONTEXT bytes that decide where a window goes.
+def merge_runs(metas: list[np.ndarray], bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rid, first, last) of the windows that stand earlier in another shard; metas and bodies are one shard's runs each.
 
-    These begin at the window's first anchor, or end with it where the window reaches further to the left than to the right. Both
-    lie within the window at a place that its own bytes fix, so equal windows have equal keys.
+    Whole runs meet first: a run is known by the hashes of its first and last window, which cover it, and its size. Then the windows of
+    those that stay and share their anchor with a run that differs.
     """
-    blocks, least = joined.anchors()
-    n = len(joined.x)
-    sizes = np.diff(np.append(joined.starts, n))
-    smallest = np.repeat(np.minimum.reduceat(least, joined.starts), sizes)
-    place = np.where(blocks == smallest, np.arange(n), n)
-    anchor = np.minimum.accumulate(place[::-1])[::-1]
-    reach = CONTEXT - K
-    before = anchor - np.arange(n) >= reach
-    hashes = block_hashes(joined.x, CONTEXT)
-    keys = hashes[np.clip(np.where(before, anchor - reach, anchor), 0, n - 1)]
-    return np.where(before, keys ^ np.uint64(0x9E3779B97F4A7C15), keys)
-
-
-def frequent_runs(routes: DataFrame, owners: int) -> DataFrame:
-    """Runs of frequent anchors (kind 2), as a stored table: of equal ones all but the first are ranges to cut (kind 0), and the
-    first is split by context into runs for the owners (kind 1)."""
+    meta = np.concatenate(metas)
+    x = np.frombuffer(b"".join(bodies), np.uint8)
+    size = meta["size"].astype(np.int64)
+    start = np.cumsum(size) - size
+    by = np.lexsort((meta["first"], meta["rid"], meta["doc"]))
+    order = np.empty(len(meta), np.int64)
+    order[by] = np.arange(len(meta))
+    owner_cuts = np.cumsum([0, *map(len, metas)])
+    hashes, equal = block_hashes(x, LENGTH, 1), _bytes_equal(x, LENGTH)
+    last = start + size - LENGTH
+    gone = np.zeros(len(x), bool)
+    try:
+        whole = hashes[start] * _ODD[0][0] + hashes[last] * _ODD[0][1] + size.astype(np.uint64)
+        lists = []
+        for a, b in zip(owner_cuts, owner_cuts[1:], strict=False):
+            at = a + np.argsort(whole[a:b], kind="stable")
+            if (whole[at][1:] == whole[at][:-1]).any():
+                raise Collision
+            lists.append(Sorted(whole[at], order[at], at))
+        same_runs = lambda a, b: np.array_equal(size[a], size[b]) and equal(start[a], start[b]) and equal(last[a], last[b])
+        kept, dropped = merge_sorted(lists, same_runs)
+        stays = np.zeros(len(meta), bool)
+        stays[kept.place] = True
+        _mark(gone, start[dropped], last[dropped])
+        # windows of runs whose anchor another run that stays has too
+        keys, counts = np.unique(meta["key"][stays], return_counts=True)
+        shared = stays & (counts[np.minimum(np.searchsorted(keys, meta["key"]), len(keys) - 1)] > 1)
+        shard_of = np.repeat(np.arange(len(metas)), [len(m) for m in metas])
+        lists = []
+        some = np.flatnonzero(shared)
+        cuts = np.searchsorted(shard_of[some], np.arange(len(metas) + 1))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            at = some[a:b]
+            count = last[at] - start[at] + 1
+            offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            place = np.repeat(start[at], count) + offset
+            key = hashes[place]
+            sort = np.argsort(key)
+            if (key[sort][1:] == key[sort][:-1]).any():
+                raise Collision
+            lists.append(Sorted(key[sort], (np.repeat(order[at], count) << 8 | offset)[sort], place[sort]))
+        if len(lists) > 1:
+            gone[merge_sorted(lists, equal)[1]] = True
+    except Collision:  # next to never; then one suffix array of all runs, in the order of documents
+        joined = Joined([x[start[k] : start[k] + size[k]].tobytes() for k in by])
+        later = later_windows(joined, joined.inside)
+        gone[:] = False
+        for slot, k in enumerate(by.tolist()):
+            begin = joined.starts[slot]
+            gone[start[k] : start[k] + size[k]] = later[begin : begin + size[k]]
+    first, end = _stretches(gone)  # no window begins at a run's last bytes
+    run = np.searchsorted(start, first, "right") - 1
+    place = meta["first"][run] + first - start[run]
+    return meta["rid"][run], place, place + end - first + LENGTH
+
+
+def _mark(gone: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+    edge = np.zeros(len(gone) + 1, np.int32)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, last + 1, -1)
+    gone |= np.cumsum(edge[:-1]) > 0
+
+
+def merged_runs(routes: DataFrame, owners: int) -> DataFrame:
+    """(rid, spans) of the windows in runs (kind 1) that stand earlier in another shard; one task an owner."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b, rank, first, rid = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            bodies = batch.column(5).to_pylist()
-            new = np.concatenate([[last != (a[0], b[0])], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            last = (a[-1], b[-1])
-            sizes = np.array([len(x) for x in bodies])
-            if not new.all():
-                yield _routed(0, rid=rid[~new], first=first[~new], last=(first + sizes)[~new])
-            if new.any():
-                kept = [x for x, keep in zip(bodies, new.tolist(), strict=True) if keep]
-                joined = Joined(kept)
-                keys = np.minimum(context_keys(joined), _NONE - np.uint64(1))
-                keys[~joined.inside] = _NONE
-                heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                tails = np.append(heads[1:], len(keys)) - 1
-                real = keys[heads] != _NONE
-                heads, tails = heads[real], tails[real]
-                row = np.searchsorted(joined.starts, heads, "right") - 1
-                at = heads - joined.starts[row]
-                pieces = [kept[k][x : x + n] for k, x, n in zip(row.tolist(), at.tolist(), (tails - heads + LENGTH).tolist(), strict=True)]
-                yield _routed(1, owner=(keys[heads] % np.uint64(owners)).astype(np.int32), hash=keys[heads].view(np.int64), rid=rid[new][row], rank=rank[new][row], first=first[new][row] + at, bytes=pieces)
-
-    order = ["hash", "other", "rank", "first"]
-    dealt = routes.where("kind = 2").select(*order, "rid", "bytes").repartition("hash", "other").sortWithinPartitions(*order)
-    return stored(dealt.mapInArrow(work, ROUTED), "frequent")
-
-
-def removed_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The texts as a stored table (rid, doc_id, text, and a struct `rest` of any other columns) and (rid, copy, cuts): whether a row
-    repeats a whole text, or the ranges to cut."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    columns = [F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")]
-    texts = stored(docs.select(*columns, *([F.struct(*rest).alias("rest")] if rest else [])), "texts")
-    ids = texts.select("rid", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.md5("text").alias("digest"), F.length("text").cast("long").alias("size"))
-    ids = stored(ids.where(F.col("size") >= LENGTH), "ids")
-    first = ids.groupBy("digest", "size").agg(F.min(F.struct("doc", "rid")).alias("row"))
-    # the first rows of all texts, numbered in the order of documents
-    ranked = stored(first.select("row.rid", "row.doc").repartitionByRange("doc", "rid").sortWithinPartitions("doc", "rid").select("rid", F.monotonically_increasing_id().alias("rank")), "ranked")
-    total = ids.agg(F.sum("size")).first()[0] or 0
-    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (OWNER_BYTES * SPAN // 2 // ENTRY.itemsize)))
-    # stored, so that the anchors' shuffle is gone before the texts are shuffled
-    anchors = stored(repeated_anchors(texts, owners), "anchors")
+        metas, bodies = [], []
+        for part in batches:
+            metas += [np.frombuffer(m, RUN) for m in part.column(0).to_pylist()]
+            bodies += part.column(1).to_pylist()
+        if len(metas) > 1:  # what one shard sends has no two equal windows
+            ids, spans = _spans(*merge_runs(metas, bodies))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), spans], names=["rid", "spans"])
+
+    dealt = routes.where("kind = 1").select("owner", "meta", "body").repartitionById(owners, "owner")
+    return dealt.select("meta", "body").mapInArrow(work, "rid long, spans array<long>")
+
+
+def frequent_windows(routes: DataFrame) -> DataFrame:
+    """(rid, spans) of the windows of frequent anchors (kind 2) that stand earlier in another shard. The first of each is found by an
+    aggregation, which reduces them before they meet; the join back is between stored tables, with one row a window on its other side."""
+    rows = routes.where("kind = 2").select("h1", "h2", "doc", "rid", "first")
+    firsts = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "rid", "first")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    firsts = stored(firsts.select("h1", "h2", F.col("f.rid").alias("f_rid"), F.col("f.first").alias("f_first")), "first-windows")
+    later = rows.join(firsts, ["h1", "h2"]).where("rid <> f_rid OR first <> f_first")
+    return later.select("rid", F.array(F.col("first"), F.col("first") + LENGTH).alias("spans"))
+
+
+def removed_ranges(texts: Texts) -> DataFrame:
+    """A stored table (rid, spans): the ranges to cut from single texts."""
+    spark = texts.single.sparkSession
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts.bytes // OWNER_BYTES))
+    # stored, so that one step's shuffle is gone before the next one's comes
+    replies = repeated_anchors(texts.single, owners)
     release(spark)
-    marks = anchors.join(ranked.select("rid"), "rid", "left_semi").groupBy("rid").agg(F.collect_list(2 * F.col("pos") + F.col("often").cast("long")).alias("marks"))
-    found = texts.select("rid", "text").join(marks, "rid").join(ranked, "rid")
-    routes = stored(shard_rows(found, owners), "routes")
-    del found, marks
+    routes = stored(shard_rows(texts.single, replies, owners), "routes")
+    used_up(replies)
     release(spark)
-    routes = routes.where("kind < 2").union(frequent_runs(routes, owners))
-    ranges = routes.where("kind = 0").select("rid", "first", "last").union(merged_runs(routes, owners))
-    cuts = ranges.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
-    copies = ids.join(ranked, "rid", "left_anti").select("rid", F.lit(True).alias("copy"))
-    # one row for each text that loses anything
-    known = stored(cuts.join(copies, "rid", "full").select("rid", "copy", "cuts"), "cuts")
+    spans = routes.where("kind = 0").select("rid", "spans").union(merged_runs(routes, owners)).union(frequent_windows(routes))
+    cuts = stored(spans.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "cuts")
+    used_up(routes)
     release(spark)
-    return texts, known
+    return cuts
 
 
-def merge_ranges(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted, with ranges that meet or overlap joined."""
-    if not cuts:
+def merge_ranges(spans: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges (first, last, first, last and so on) sorted, with those that meet or overlap joined."""
+    a = spans.reshape(-1, 2)
+    if not len(a):
         return []
-    a = np.array(cuts, np.int64).reshape(-1, 2)
     a = a[np.argsort(a[:, 0], kind="stable")]
     end = np.maximum.accumulate(a[:, 1])
     new = np.concatenate([[True], a[1:, 0] > end[:-1]])
@@ -530,31 +646,35 @@ def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:
     stay) and rest (a struct of docs' other columns, if it has any)."""
     from pyspark.sql import types as T
 
-    texts, ranges = removed_ranges(docs)
+    texts = split_copies(docs)
+    ranges = removed_ranges(texts)
     long = T.LongType()
     fields = [T.StructField(c, long) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
-    extra = ["rest"] if with_text and "rest" in texts.columns else []
+    extra = ["rest"] if with_text and "rest" in texts.single.columns else []
     if with_text:
-        fields += [T.StructField("kept", T.BinaryType()), *(texts.schema[c] for c in extra)]
-    names, ends = [f.name for f in fields], pa.list_(pa.int64())
+        fields += [T.StructField("kept", T.BinaryType()), *(texts.single.schema[c] for c in extra)]
+    names = [f.name for f in fields]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches, HASH_BYTES):
-            rows, kept = [], []
-            for text, copy, first, last in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).cast(ends).to_pylist(), batch.column(4).cast(ends).to_pylist(), strict=True):
-                spans = [(0, len(text))] if copy else merge_ranges(list(zip(first or [], last or [], strict=True)))
+        for batch in runs(batches, BATCH_BYTES):
+            rows, kept, spans = [], [], batch.column(2)
+            edges, flat, known = spans.offsets.to_numpy(), spans.values.to_numpy(), spans.is_valid().to_pylist()
+            for k, text in enumerate(texts_of(batch.column(1))):
+                cuts = merge_ranges(flat[edges[k] : edges[k + 1]]) if known[k] else []
                 at, parts = 0, []
-                for a, b in spans:
+                for a, b in cuts:
                     parts.append(text[at:a])
                     at = b
                 kept.append(b"".join([*parts, text[at:]]))
-                rows.append((len(text), len(text) - len(kept[-1]), len(spans), hashlib.sha256(kept[-1]).hexdigest()))
+                rows.append((len(text), len(text) - len(kept[-1]), len(cuts), hashlib.sha256(kept[-1]).hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *([pa.array(kept, pa.binary())] if with_text else []), *(batch.column(5) for _ in extra)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *([pa.array(kept, pa.binary())] if with_text else []), *(batch.column(3) for _ in extra)], names=names)
 
-    joined = texts.join(ranges, "rid", "left").select("doc_id", "text", "copy", F.col("cuts.first").alias("first"), F.col("cuts.last").alias("last"), *extra)
-    return joined.mapInArrow(work, T.StructType(fields))
+    joined = texts.single.join(ranges, "rid", "left").select("doc_id", "text", "spans", *extra)
+    whole = {"n_bytes": F.col("size"), "n_removed": F.col("size"), "n_spans": F.lit(1).cast("long"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "kept": F.lit(b"")}
+    gone = texts.copies.select(*(whole[c].alias(c) if c in whole else F.col(c) for c in names))
+    return joined.mapInArrow(work, T.StructType(fields)).union(gone)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
