@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prooflake.llm.common import bound_batches, runs, table, texts_of
+from prooflake.llm.common import runs, table, texts_of
 
 RATE, UP, DOWN, TAPS = 8000, 3, 4, 12
 FRAME, HOP, BANDS, CLIP_FRAMES, PIECE_FRAMES = 256, 128, 24, 64, 2048
@@ -133,7 +133,7 @@ def segments_of(energy: np.ndarray) -> list[tuple[float, float]]:
 
 
 def clip_tensors(logmel: np.ndarray) -> pa.RecordBatch:
-    """start_s, end_s and a fixed-shape tensor of each clip; the last clip is filled up with its lowest value."""
+    """start_s, end_s, frames (those that count) and a fixed-shape tensor of each clip; the last clip is filled up with the lowest value."""
     clips = -(-len(logmel) // CLIP_FRAMES)
     full = np.full((clips * CLIP_FRAMES, BANDS), logmel.min(), np.float32)
     full[: len(logmel)] = logmel
@@ -141,7 +141,8 @@ def clip_tensors(logmel: np.ndarray) -> pa.RecordBatch:
     step = HOP * DOWN / UP / RATE
     starts = np.arange(clips) * CLIP_FRAMES * step
     ends = np.minimum(starts + CLIP_FRAMES * step, ((len(logmel) - 1) * HOP + FRAME) * DOWN / UP / RATE)
-    return pa.RecordBatch.from_arrays([pa.array(starts), pa.array(ends), tensor], names=["start_s", "end_s", "logmel"])
+    frames = np.minimum(CLIP_FRAMES, len(logmel) - np.arange(clips) * CLIP_FRAMES).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(starts), pa.array(ends), pa.array(frames), tensor], names=["start_s", "end_s", "frames", "logmel"])
 
 
 def to_ipc(batch: pa.RecordBatch) -> bytes:
@@ -157,52 +158,60 @@ def from_ipc(stored: bytes) -> pa.RecordBatch:
         return reader.read_next_batch()
 
 
-def summary(found: Features) -> str:
-    """A short text of the features: frames, clips, segments, their seconds, and the mean and deviation of each band."""
-    n, voiced = len(found.logmel), sum(b - a for a, b in found.segments)
-    bands = ",".join(f"{m + 0.0:.2f}~{s + 0.0:.2f}" for m, s in zip(found.logmel.mean(0).round(2), found.logmel.std(0).round(2), strict=True))
-    return f"frames={n};clips={-(-n // CLIP_FRAMES)};segments={len(found.segments)};voiced={voiced:.3f};loudest={found.energy.max().round(2) + 0.0:.2f};bands={bands}"
+def summary(clips: pa.RecordBatch, segments: list[tuple[float, float]], loudest: float) -> str:
+    """A short text of stored features: frames, clips, segments, their seconds, and the mean and deviation of each band over all frames."""
+    frames = sum(clips.column("frames").to_pylist())
+    logmel = clips.column("logmel").to_numpy_ndarray().reshape(-1, BANDS)[:frames].astype(np.float64)
+    bands = ",".join(f"{m + 0.0:.2f}~{s + 0.0:.2f}" for m, s in zip(logmel.mean(0).round(2), logmel.std(0).round(2), strict=True))
+    voiced = sum(b - a for a, b in segments)
+    return f"frames={frames};clips={clips.num_rows};segments={len(segments)};voiced={voiced:.3f};loudest={round(loudest, 2) + 0.0:.2f};bands={bands}"
+
+
+SPANS = "array<struct<start_s double, end_s double>>"
 
 
 def media_features(docs: DataFrame) -> DataFrame:
-    """doc_id, media (WAV), tensors (Arrow IPC of clip_tensors), segments, n_samples, seconds, of every row; no shuffle."""
-    bound_batches(docs.sparkSession)
+    """doc_id, n_bytes (of the text), media (WAV), tensors (Arrow IPC of clip_tensors), segments, loudest (dB), seconds, of every row; no shuffle."""
     span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+    names = ["doc_id", "n_bytes", "media", "tensors", "segments", "loudest", "seconds"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extract = Extractor()
         for batch in runs(batches, 2 << 20):
-            media = [store_wav(padded(t)) for t in texts_of(batch.column(1))]
+            texts = texts_of(batch.column(1))
+            media = [store_wav(padded(t)) for t in texts]
             found = [extract.features(read_wav(m)) for m in media]
             columns = [
+                pa.array(map(len, texts), pa.int64()),
                 pa.array(media, pa.binary()),
                 pa.array([to_ipc(clip_tensors(f.logmel)) for f in found], pa.binary()),
                 pa.array([[{"start_s": a, "end_s": b} for a, b in f.segments] for f in found], span),
+                pa.array([float(f.energy.max()) for f in found], pa.float64()),
                 pa.array([f.seconds for f in found], pa.float64()),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "media", "tensors", "segments", "seconds"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, media binary, tensors binary, segments array<struct<start_s double, end_s double>>, seconds double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, f"doc_id long, n_bytes long, media binary, tensors binary, segments {SPANS}, loudest double, seconds double")
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """The digest columns of every row, all but n_bytes taken from the stored WAV file as it is read back."""
-    bound_batches(docs.sparkSession)
+def media_digests(features: DataFrame) -> DataFrame:
+    """Digests of what media_features stored: the payload as it is read back from the WAV file, the features as they are read back from the
+    tensors and segments."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extract = Extractor()
         for batch in runs(batches, 8 << 20):
             rows = []
-            for text in texts_of(batch.column(1)):
-                media = store_wav(padded(text))
+            for n, media, tensors, segments, loudest in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
                 back = read_wav(media)
-                rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), summary(extract.features(back))))
+                feature = summary(from_ipc(tensors), [(s["start_s"], s["end_s"]) for s in segments], loudest)
+                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    columns = features.select("doc_id", "n_bytes", "media", "tensors", "segments", "loudest")
+    return columns.mapInArrow(work, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(table(spark, sf_dir, "documents"))
+    return media_digests(media_features(table(spark, sf_dir, "documents")))
