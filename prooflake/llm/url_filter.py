@@ -1,7 +1,9 @@
 """URL rules matched by a trie over reversed host labels and path segments.
 
 A rule (host, path, verdict) fits its host and every subdomain where the url's path starts with the rule's path. Of the
-rules that fit, the one with the most host labels, then the longest path, decides; urls without one get the default.
+rules that fit, the one with the most host labels, then the longest path, decides; urls without one get the default. A trie of
+up to MOST_RULES rules is broadcast. A longer list, whose trie would not fit beside a worker's batches, is joined instead: each url
+meets the rules of its host suffixes and leading folders by equal keys, so no rule is sent to all tasks.
 
 Rows: a null url, or one without "://", has empty host and path and gets the default verdict (no rule has an empty host).
 Empty tables, repeated urls and further columns of any name are fine. Two rules with the same host and path are refused.
@@ -15,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prooflake.llm.common import bound_batches, table
+from prooflake.llm.common import stored, table
 
-#: Bytes of rules that may be broadcast; a larger list must be split and joined by registered domain instead.
-MOST_RULE_BYTES = 256 << 20
+#: Rules, and bytes of their text, whose trie may be broadcast: it takes about 1 KB a rule, so some 50 MB in a worker.
+MOST_RULES, MOST_RULE_BYTES = 50_000, 4 << 20
 RULES = [
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
@@ -93,11 +95,10 @@ def longest_rule(trie: dict, host: str, path: str) -> tuple[str, str] | None:
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(id, host, path, rule, verdict) of every row; one narrow pass that reads only the id and the url."""
+    """(id, host, path, rule, verdict) of every row; one narrow pass that reads only the id and the url, or a join if rules are many."""
     spark = pages.sparkSession
-    bound_batches(spark)
-    if sum(len(h) + len(p) for h, p, _ in rules) > MOST_RULE_BYTES:
-        raise ValueError("too many rules to broadcast")
+    if len(rules) > MOST_RULES or sum(len(h) + len(p) for h, p, _ in rules) > MOST_RULE_BYTES:
+        return judge_by_join(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), default, id_col, url_col)
     shared = spark.sparkContext.broadcast(build_trie(rules))
     kind = pages.schema[id_col].dataType
 
@@ -113,6 +114,36 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str
     return out.withColumnRenamed("id", id_col)
 
 
+def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """As judge_urls, for rules (host, path, verdict) of any number. A rule's key is its host and its path up to the last slash; what follows
+    that must begin the url's next segment."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    folder = F.regexp_extract("path", r"(?s)^.*/", 0)
+    keys = rules.select(F.translate("host", upper, lower).alias("r_host"), folder.alias("r_folder"), F.substring("path", F.length(folder) + 1, F.lit(1 << 30)).alias("r_rest"), F.concat("host", "path").alias("rule"), F.col("verdict").alias("says"))
+    keys = stored(keys, "url-rules")
+    if not keys.groupBy("r_host", "r_folder", "r_rest").count().where("count > 1").isEmpty():
+        raise ValueError("two rules for one host and path")
+    url = F.col("url")
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.lit(1 << 30))).otherwise("")
+    host = F.regexp_extract("tail", r"^[^/?#]*", 0)
+    path = F.substring(F.regexp_extract("tail", r"^[^?#]*", 0), F.length(host) + 1, F.lit(1 << 30))
+    split = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("row", "id", rest.alias("tail"))
+    rows = stored(split.select("row", "id", F.translate(host, upper, lower).alias("host"), path.alias("path")), "urls")
+    labels, segments = F.split("host", r"\."), F.split("path", "/")
+    suffix = lambda n: F.array_join(F.slice(labels, -n, n), ".")
+    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.struct(n.alias("n"), suffix(n).alias("host")))
+    # the folder of k segments, and what stands behind it
+    begin = lambda k: F.when(k == 0, "").otherwise(F.concat(F.array_join(F.slice(segments, 1, k), "/"), F.lit("/")))
+    folders = F.transform(F.sequence(F.lit(0), F.size(segments) - 1), begin)
+    each = rows.select("row", "path", F.explode(hosts).alias("h"), F.col("path").alias("p")).select("row", "p", "h.n", F.col("h.host").alias("host"), F.explode(folders).alias("folder"))
+    met = each.join(keys, (F.col("host") == F.col("r_host")) & (F.col("folder") == F.col("r_folder")))
+    fits = met.where(F.startswith(F.substring("p", F.length("folder") + 1, F.lit(1 << 30)), F.col("r_rest")))
+    best = fits.groupBy("row").agg(F.max(F.struct("n", (F.length("r_folder") + F.length("r_rest")).alias("m"), "rule", "says")).alias("b"))
+    out = rows.join(best, "row", "left").select("id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.says", F.lit(default)).alias("verdict"))
+    return out.withColumnRenamed("id", id_col)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
