@@ -5,30 +5,32 @@ the good one) / bytes of text, summed over all chunks, is turned into a probabil
 labelled rows that the dictionaries of the fit haven't seen. A short text hardly lets the sizes differ, so its evidence counts for
 bytes / (bytes + half) and the share of good labels for the rest; half is fitted too.
 
-Fitting uses a bounded sample (SAMPLE_DOCS rows of each class, by seeded hash, of texts up to SAMPLE_BYTES); scoring reads
-every whole text. Rows: null texts score as empty ones, empty ones as the share of good labels; repeated rows get equal scores;
-a document labelled more than once counts by its mean label, and not at all if that is a half. Where a class has no
-labelled rows, every document gets the share of good labels, smoothed. Null ids are scored too and count as held out = false.
+Fitting uses a bounded sample: SAMPLE_DOCS rows of each class, by seeded hash, among the learnable ones that have any text. A sampled
+text is used whole up to SAMPLE_BYTES; of a longer one seeded chunks of that size in all are used, in their order. Scoring reads every
+whole text. Rows: null texts score as empty ones, empty ones as the share of good labels; repeated rows get equal scores; a document
+labelled more than once counts by its mean label, and not at all if that is a half; of texts that share a labelled id the smallest
+is learnt. Where a class has no labelled rows, every document gets the share of good labels, smoothed. Null ids are scored too and
+count as held out = false. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prooflake.llm.common import bound_batches, runs, table, texts_of
+from prooflake.llm.common import runs, stored, table, texts_of
 
-#: Labelled documents of each class that a fit may use, and the longest text among them.
+#: Labelled documents of each class that a fit may use, and the bytes of one that it may use: at most 64 MB reach the driver.
 SAMPLE_DOCS = 2000
-SAMPLE_BYTES = 64 << 10
+SAMPLE_BYTES = 16 << 10
 DICTIONARY_BYTES = 256 << 10
-TRAIN_CHUNK, TRAIN_CHUNKS = 2048, 6000
+TRAIN_CHUNK = 2048
 CHUNK, LEVEL, SEED, FOLDS = 1024, 3, 42, 5
 #: Sizes at which a text's own evidence may weigh as much as the share of good labels.
 HALVES = (8.0, 16.0, 32.0, 64.0, 128.0, 256.0, 512.0)
@@ -36,8 +38,7 @@ HALVES = (8.0, 16.0, 32.0, 64.0, 128.0, 256.0, 512.0)
 THRESHOLD = 0.3
 
 
-@dataclass(frozen=True)
-class CompressionModel:
+class CompressionModel(NamedTuple):
     good: bytes
     bad: bytes
     slope: float
@@ -90,13 +91,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int,
         .where("mean <> 0.5")
         .select("id", (F.col("mean") > 0.5).cast("int").alias("label"), F.xxhash64(F.lit(SEED), "id").alias("rank"))
     )
-    fit = docs.select(F.col("doc_id").alias("id"), F.encode("text", "utf-8").alias("bytes")).where(F.col("bytes").isNotNull() & F.length("bytes").between(1, SAMPLE_BYTES))
-    found = []
-    for label in (0, 1):
-        # twice as many ids as needed, as some have no usable text; both bounds are constants, so the broadcast is small
-        chosen = ids.where(F.col("label") == label).orderBy("rank", "id").limit(2 * SAMPLE_DOCS)
-        rows = fit.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("rank", "bytes")).alias("row")).orderBy("row.rank", "id").limit(SAMPLE_DOCS)
-        found += [(label, bytes(x.bytes)) for x in rows.select("row.bytes").collect()]
+    texts = docs.select(F.col("doc_id").alias("id"), F.encode("text", "utf-8").alias("bytes")).where(F.length("bytes") > 0)
+    # labels are joined to what is known of the texts, so that every chosen id has one; only the chosen ids are broadcast
+    known = stored(ids.join(texts.select("id"), "id", "left_semi"), "learnable")
+    pieces = F.sequence(F.lit(0), F.floor((F.length("bytes") - 1) / TRAIN_CHUNK).cast("int"))
+    drawn = F.slice(F.array_sort(F.transform(pieces, lambda k: F.struct(F.xxhash64(F.lit(SEED), k).alias("rank"), k.alias("k")))), 1, SAMPLE_BYTES // TRAIN_CHUNK)
+    chunk = lambda k: F.substring(F.col("bytes"), k * TRAIN_CHUNK + 1, F.lit(TRAIN_CHUNK))
+    some = F.array_join(F.transform(F.array_sort(F.transform(drawn, lambda d: d["k"])), lambda k: F.hex(chunk(k))), "")
+    best = lambda label: known.where(F.col("label") == label).orderBy("rank", "id").limit(SAMPLE_DOCS)
+    part = F.when(F.length("bytes") <= SAMPLE_BYTES, F.col("bytes")).otherwise(F.unhex(some)).alias("bytes")
+    rows = texts.join(F.broadcast(best(0).union(best(1))), "id").select("id", "label", "rank", part)
+    one = rows.groupBy("id").agg(F.min(F.struct("label", "rank", "bytes")).alias("row")).orderBy("row.label", "row.rank", "id")
+    found = [(x.label, bytes(x.bytes)) for x in one.select("row.label", "row.bytes").collect()]
     counts = {r.label: r["count"] for r in ids.groupBy("label").count().collect()}
     return found, (counts.get(0, 0), counts.get(1, 0))
 
@@ -105,7 +111,7 @@ def _dictionary(texts: list[bytes], rng: np.random.Generator) -> bytes:
     import zstandard
 
     pieces = [t[at : at + TRAIN_CHUNK] for t in texts for at in range(0, len(t), TRAIN_CHUNK)]
-    pieces = [pieces[k] for k in rng.permutation(len(pieces))[:TRAIN_CHUNKS]]
+    pieces = [pieces[k] for k in rng.permutation(len(pieces))]
     total = sum(map(len, pieces))
     for size in (DICTIONARY_BYTES, total // 8, total // 32):
         try:
@@ -156,17 +162,16 @@ def fit_model(sample: list[tuple[int, bytes]], counts: tuple[int, int]) -> Compr
     return best[1]
 
 
-def score_documents(docs: DataFrame, model: CompressionModel) -> DataFrame:
+def score_documents(docs: DataFrame, model: CompressionModel, text: str = "text") -> DataFrame:
     """docs with a column quality_score (0 to 1), in one narrow pass; the model (under 1 MB) goes along by broadcast."""
     from pyspark.sql import types as T
 
     spark = docs.sparkSession
-    bound_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    shared = spark.sparkContext.broadcast(tuple(model))  # a plain value: workers needn't have this package
+    at = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
+        held = CompressionModel(*shared.value)
         sizer = Sizer(held.good, held.bad)
         for batch in runs(batches, 8 << 20):
             scores = [held.probability(sizer.difference(t), len(t)) for t in texts_of(batch.column(at))]
