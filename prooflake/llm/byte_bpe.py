@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prooflake.llm.common import bound_batches, runs, table, texts_of
+from prooflake.llm.common import runs, table, texts_of
 
-#: Pre-tokens whose ids a worker remembers; past this it starts afresh, so its memory stays bounded.
-CACHE_ENTRIES = 250_000
+#: Bytes of pre-tokens whose ids a worker remembers, each counted with ENTRY_BYTES more for its place; past this it starts afresh, so
+#: its memory stays bounded, whatever the pre-tokens' number and length. Longer ones than LONG_TOKEN are encoded anew each time.
+CACHE_BYTES, ENTRY_BYTES, LONG_TOKEN = 48 << 20, 200, 1 << 12
 #: Bytes of text encoded together.
 CHUNK_BYTES = 4 << 20
 
@@ -97,31 +98,31 @@ class ByteBpe:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(pieces))
         self.letters = dict(enumerate(byte_characters()))
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
-    def learn(self, tokens: set[str]) -> None:
-        """Remember the ids of pre-tokens. One that is a vocabulary entry has its own id, as merges may not reach it."""
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        fresh = [t for t in tokens if t not in self.known]
-        rest = []
-        for token in fresh:
-            ids = self.whole.get(token.encode())
-            if ids is None:
-                rest.append(token)
-            else:
-                self.known[token] = ids
-        mapped = [t.encode().decode("latin-1").translate(self.letters) for t in rest]
-        for token, ids in zip(rest, self.model.encode(mapped, out_type=int, num_threads=1), strict=True):
-            self.known[token] = struct.pack(f"<{len(ids)}I", *ids)
+    def _ids(self, tokens: list[str]) -> list[bytes]:
+        """A token that is a vocabulary entry has its own id, as merges may not reach it."""
+        found = [self.whole.get(t.encode()) for t in tokens]
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        mapped = [tokens[k].encode().decode("latin-1").translate(self.letters) for k in rest]
+        for k, ids in zip(rest, self.model.encode(mapped, out_type=int, num_threads=1), strict=True):
+            found[k] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
         tokens = set().union(*split)
-        self.learn(tokens)
-        if any(t not in self.known for t in tokens):  # the memory was emptied for this chunk
-            self.learn(tokens)
-        known = self.known.__getitem__
-        return [b"".join(map(known, parts)) for parts in split]
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
+        fresh = [t for t in tokens if t not in self.known]
+        ids = dict(zip(fresh, self._ids(fresh), strict=True))
+        short = {t: x for t, x in ids.items() if len(t) <= LONG_TOKEN}
+        self.known.update(short)
+        self.held += sum(len(t) + len(x) + ENTRY_BYTES for t, x in short.items())
+        if len(short) == len(ids):
+            known = self.known.__getitem__
+            return [b"".join(map(known, parts)) for parts in split]
+        return [b"".join([self.known.get(t) or ids[t] for t in parts]) for parts in split]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -130,7 +131,6 @@ class ByteBpe:
 def encode_documents(docs: DataFrame, pieces: list[bytes], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids binary, decoded binary) of every row, without a shuffle. The vocabulary (bounded: one file) goes along by broadcast."""
     spark = docs.sparkSession
-    bound_batches(spark)
     shared = spark.sparkContext.broadcast(pieces)
     kind = docs.schema[id_col].dataType
 
@@ -147,7 +147,6 @@ def encode_documents(docs: DataFrame, pieces: list[bytes], pattern: str, id_col:
 def digest_documents(docs: DataFrame, pieces: list[bytes], pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: the round trip of every document as digests, made in one pass."""
     spark = docs.sparkSession
-    bound_batches(spark)
     shared = spark.sparkContext.broadcast(pieces)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

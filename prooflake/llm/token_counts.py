@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prooflake.llm.byte_bpe import CHUNK_BYTES, ByteBpe, default_vocabulary
-from prooflake.llm.common import bound_batches, runs, stored, table, texts_of
+from prooflake.llm.common import runs, stored, table, texts_of
 
 BLOCK_TOKENS = 1 << 16
 GROUP_BLOCKS = 256
@@ -32,7 +32,6 @@ def write_shards(docs: DataFrame, pieces: list[bytes], pattern: str, separator:
     """A stored table (shard, block, tokens, ids): each task's documents as one stream in blocks. Rows without tokens are the
     manifest: the document ids in stream order, in pieces numbered by block."""
     spark = docs.sparkSession
-    bound_batches(spark)
     shared = spark.sparkContext.broadcast(pieces)
     if not len(pieces) <= separator < 1 << 16:
         raise ValueError("the separator must be a free 16-bit id")
@@ -116,7 +115,14 @@ def manifest(shards: DataFrame) -> DataFrame:
     return rows.withColumn("base", F.coalesce(F.sum("m").over(order), F.lit(0))).select("shard", "base", F.posexplode("ids").alias("k", "doc_id")).select("shard", (F.col("base") + F.col("k")).alias("ordinal"), "doc_id")
 
 
-def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = write_shards(table(spark, sf_dir, "documents"), *default_vocabulary())
+def count_documents(docs: DataFrame, pieces: list[bytes], pattern: str) -> DataFrame:
+    """(doc_id, n_tokens) of every row; a document that the scan doesn't find, or finds without the manifest, is an error."""
+    shards = write_shards(docs, pieces, pattern)
     counts = count_tokens(shards.where("tokens IS NOT NULL"))
-    return manifest(shards).join(counts, ["shard", "ordinal"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+    both = manifest(shards).withColumn("listed", F.lit(True)).join(counts, ["shard", "ordinal"], "full")
+    n = F.when(F.col("listed") & F.col("n_tokens").isNotNull(), F.col("n_tokens")).otherwise(F.raise_error(F.lit("manifest and token stream differ")).cast("long"))
+    return both.select("doc_id", n.alias("n_tokens"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_documents(table(spark, sf_dir, "documents"), *default_vocabulary())

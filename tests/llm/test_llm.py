@@ -131,7 +131,7 @@ def test_simhash_links_equal_all_pairs(spark, monkeypatch):
     nodes = spark.createDataFrame([(k, bytearray(v.to_bytes(8, "big"))) for v, k in distinct.items()], "node long, fp binary")
     for hot in (20_000, 4):  # also with every bucket split into parts
         monkeypatch.setattr(simhash, "HOT_BUCKET", hot)
-        found = {r.node: r.component for r in simhash.components(simhash.links(nodes, simhash.exact_tables(3), 3)).collect()}
+        found = {r.node: r.component for r in simhash.components(simhash.links(simhash._keyed(nodes, simhash.exact_tables(3)), 3)).collect()}
         assert all(found.get(k, k) == wanted[k] for k in distinct.values())
 
 
@@ -182,9 +182,11 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
     texts += [texts[10], texts[11], texts[10]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     wanted = plain_dedup(texts)
-    for often in (512, 2):  # also with nearly all windows sent one by one
+    for often, piece in ((512, 2 << 20), (2, 2 << 20), (512, 130)):  # also with nearly all windows sent one by one, and with texts in pieces
         monkeypatch.setattr(suffix_dedup, "FREQUENT", often)
+        monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", piece)
         monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 3000)
+        monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 3000)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(docs).collect()}
         assert [got[k] for k in range(len(texts))] == wanted
 
@@ -209,6 +211,52 @@ def test_suffix_array_and_common_prefixes():
         assert suffix_dedup.common_prefixes(x, sa, rank).tolist() == equal
 
 
+def passage_routes(spark, monkeypatch, n):
+    """What shards send for n documents of their own text around one passage that is shorter than a window."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 40_000)
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 40_000)
+    rng = np.random.default_rng(n)
+    passage = "".join(rng.choice(list("abcdefgh"), 92))
+    own = lambda: "".join(rng.choice(list("ijklmnopqrstuvwxyz"), 150))
+    texts = suffix_dedup.split_copies(spark.createDataFrame([(k, own() + passage + own()) for k in range(n)], "doc_id long, text string"))
+    replies = suffix_dedup.repeated_anchors(texts.single, 4)
+    return suffix_dedup.shard_rows(texts.single, replies, 4).collect(), texts
+
+
+def test_a_passage_of_many_documents_is_no_hot_group(spark, monkeypatch):
+    """Its windows all differ, so they must spread: no key holds more than one of them, however many documents there are."""
+    for n in (600, 2400):
+        rows, texts = passage_routes(spark, monkeypatch, n)
+        keys = [(r.h1, r.h2) for r in rows if r.kind == 2]
+        assert len(keys) >= n and len(set(keys)) == len(keys) and not [r for r in rows if r.kind == 0]
+        assert sum(len(np.frombuffer(r.meta, suffix_dedup.RUN)) for r in rows if r.kind == 1) < n
+    assert suffix_dedup.removed_ranges(texts).count() == 0
+
+
+def test_merge_of_shards_equals_brute_force_when_hashes_collide(monkeypatch):
+    """With hashes of very few values the merge by binary search gives up and one suffix array decides."""
+    rng = np.random.default_rng(8)
+    words = [bytes(rng.integers(97, 100, 120, dtype=np.uint8)) for _ in range(6)]
+    metas, bodies, texts = [], [], []
+    for s in range(4):
+        some = [words[k][a : a + 110] for k, a in zip(rng.permutation(6)[:3], rng.integers(0, 10, 3), strict=True)]
+        meta = np.zeros(3, suffix_dedup.RUN)
+        meta["doc"], meta["rid"], meta["size"] = range(3 * s, 3 * s + 3), range(3 * s, 3 * s + 3), 110
+        metas.append(meta)
+        bodies.append(b"".join(some))
+        texts += some
+    seen, wanted = set(), set()
+    for rid, t in enumerate(texts):
+        for k in range(11):
+            if t[k : k + 100] in seen:
+                wanted.add((rid, k))
+            seen.add(t[k : k + 100])
+    spread = lambda found: {(int(r), k) for r, a, b in zip(*found, strict=True) for k in range(a, b - 99)}
+    assert spread(suffix_dedup.merge_runs(metas, bodies)) == wanted
+    monkeypatch.setattr(suffix_dedup, "block_hashes", lambda x, size, kind=0: np.arange(len(x), dtype=np.uint64) % np.uint64(3))
+    assert spread(suffix_dedup.merge_runs(metas, bodies)) == wanted
+
+
 # -- 5 ---------------------------------------------------------------------------------------------------------------------------
 
 
@@ -262,6 +310,26 @@ def test_mix_meets_targets(spark):
     assert all(0 <= r.taken <= 3 * r.size for r in got)
 
 
+def test_copies_of_the_mix_come_near_the_target(spark):
+    rng = np.random.default_rng(9)
+    frame = spark.createDataFrame([(k, " ".join(["w"] * int(rng.integers(1, 600))), "abc"[min(2, k % 7)]) for k in range(1200)], "doc_id long, text string, source string")
+    rows = source_mix.mix(frame).collect()
+    for s in "abc":
+        own = [r for r in rows if r.source == s]
+        assert abs(sum(r.copies * r.size for r in own) - own[0].target) < 0.02 * own[0].target
+    assert all(0 <= r.copies <= 3 for r in rows)
+
+
+def test_equal_rows_fall_into_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(source_mix, "COPIES_AT_ONCE", 7)
+    frame = spark.createDataFrame([(1, "one two three", "s")] * 100 + [(None, "w " * 400, "s")] * 300 + [(2, "x " * 10, "t")], "doc_id long, text string, source string")
+    rows = source_mix.mix(frame).collect()
+    assert len(rows) == 401 and abs(sum(r.taken for r in rows if r.source == "s") - rows[0].target) <= source_mix.BLOCK_TOKENS or len({r.source for r in rows}) == 2
+    for s in "st":
+        own = [r for r in rows if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= source_mix.BLOCK_TOKENS * 2
+
+
 def test_mix_odd_rows(spark, odd, empty):
     rows = source_mix.mix(odd).collect()
     assert len(rows) == odd.count() and source_mix.mix(empty).count() == 0
@@ -272,7 +340,7 @@ def test_mix_odd_rows(spark, odd, empty):
 
 
 def test_media_round_trip(spark, odd, empty):
-    rows = audio.media_digests(odd).collect()
+    rows = audio.media_digests(audio.media_features(odd)).collect()
     texts = {r.doc_id: r.text for r in odd.collect() if r.doc_id not in (None, 3)}
     for r in rows:
         if r.doc_id in texts:
@@ -281,7 +349,7 @@ def test_media_round_trip(spark, odd, empty):
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     same = [r for r in rows if r.doc_id in (7, 8)]
     assert len({(r.media_sha256, r.feature) for r in same}) == 1
-    assert audio.media_digests(empty).count() == 0
+    assert audio.media_digests(audio.media_features(empty)).count() == 0
 
 
 def test_features_do_not_depend_on_pieces(monkeypatch):
@@ -310,6 +378,41 @@ def test_tensors_and_segments(spark, odd):
     assert audio.segments_of(energy) == [(0.0, step), (3 * step, 6 * step), (8 * step, 9 * step)]
 
 
+def plain_feature(payload):
+    """The feature string by loops over samples, frames and bands."""
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    n, phases = len(x) * audio.UP // audio.DOWN, audio.resampling_filter()
+    y = np.zeros(max(n, audio.FRAME) + 2 * audio.FRAME)
+    frames = max(1, -(-(n - audio.FRAME) // audio.HOP) + 1)
+    for m in range((frames - 1) * audio.HOP + audio.FRAME):
+        at, phase = divmod(m * audio.DOWN, audio.UP)
+        y[m] = sum(phases[phase][t] * x[i] for t in range(audio.TAPS) if 0 <= (i := at - audio.TAPS // 2 + 1 + t) < len(x))
+    top = audio.RATE * audio.UP / audio.DOWN / 2
+    edges = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + top / 700), audio.BANDS + 2) / 2595) - 1)
+    logmel, energy = [], []
+    for f in range(frames):
+        piece = y[f * audio.HOP : f * audio.HOP + audio.FRAME] * np.hanning(audio.FRAME)
+        wave = np.exp(-2j * np.pi * np.outer(np.arange(audio.FRAME // 2 + 1), np.arange(audio.FRAME)) / audio.FRAME) @ piece
+        row = []
+        for b in range(audio.BANDS):
+            lo, mid, hi = edges[b : b + 3]
+            hertz = np.arange(audio.FRAME // 2 + 1) * top / (audio.FRAME // 2)
+            row.append(np.log10(max(1e-10, sum(abs(w) ** 2 * max(0.0, min((h - lo) / (mid - lo), (hi - h) / (hi - mid))) for w, h in zip(wave, hertz, strict=True)))))
+        logmel.append(row)
+        energy.append(10 * np.log10(max(1e-10, float((piece**2).mean()))))
+    return np.array(logmel), np.array(energy)
+
+
+def test_log_mel_equals_plain_loops():
+    payload = audio.padded(b"Pack my box with five dozen liquor jugs. " * 20)
+    found, (logmel, energy) = audio.Extractor().features(payload), plain_feature(payload)
+    assert np.allclose(found.logmel, logmel, atol=1e-6) and np.allclose(found.energy, energy, atol=1e-6)
+    clips = audio.from_ipc(audio.to_ipc(audio.clip_tensors(found.logmel)))
+    said = audio.summary(clips, found.segments, float(found.energy.max()))
+    means = [float(b.split("~")[0]) for b in said.split("bands=")[1].split(",")]
+    assert np.allclose(means, logmel.mean(0), atol=0.006) and f"frames={len(logmel)};clips={-(-len(logmel) // audio.CLIP_FRAMES)};segments={len(found.segments)};" in said
+
+
 # -- 7 ---------------------------------------------------------------------------------------------------------------------------
 
 
@@ -331,6 +434,21 @@ def test_urls(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, *plain_verdict(host, path))
 
 
+def test_many_rules_are_joined(spark, monkeypatch):
+    """The way for lists that can't be broadcast gives the same rows; repeated rows, other columns and an empty table are fine."""
+    hosts = ["com", "a.com", "EXAMPLE.com", "x.example.com", "example.net", "b.net", "", "com."]
+    paths = ["", "/", "/en", "/en/", "/en/7", "/en/78/x", "/de/8", "/de/88/x?/en/", "//en/7"]
+    urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "no scheme/en/", "http://com/en/7"]
+    frame = spark.createDataFrame([(k % 50, u, "x", "y") for k, u in enumerate(urls)], "page_id long, url string, host string, rule string")
+    rules = [*url_filter.RULES, ("com", "", "allow"), ("net", "/", "block"), ("a.com", "/en", "block")]
+    wanted = sorted(map(str, url_filter.judge_urls(frame, rules).collect()))
+    monkeypatch.setattr(url_filter, "MOST_RULES", 3)
+    assert sorted(map(str, url_filter.judge_urls(frame, rules).collect())) == wanted
+    assert url_filter.judge_urls(frame.limit(0), rules).count() == 0
+    with pytest.raises(ValueError):
+        url_filter.judge_urls(frame, [*rules, rules[0]]).count()
+
+
 def test_equal_rules_are_refused():
     with pytest.raises(ValueError):
         url_filter.build_trie([("com", "/a", "allow"), ("com", "/a", "block")])
@@ -343,7 +461,7 @@ def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0, None]), (6, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [-1.0, 0.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (10, [0.5, 0.5])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    usable = cross_polytope._usable(frame, "vec_id", "embedding")
+    usable = cross_polytope.usable(frame, "vec_id", "embedding")
     got = [(r.vec_id, r.score) for r in cross_polytope.nearest(usable.where("id = 0"), usable).orderBy("rank").collect()]
     assert got == [(6, 0.0), (7, 0.0), (10, pytest.approx(0.5**0.5)), (8, 2.0)]
     assert cross_polytope.nearest(usable.where("id < 0"), usable.where("id < 0")).count() == 0
@@ -371,6 +489,43 @@ def test_repeated_ids_leave_their_places_to_others(spark):
     assert [s for _, s in got] == pytest.approx([0.001, 0.002, *(0.01 * (k + 1) for k in range(8))])
 
 
+def test_vectors_of_very_different_lengths(spark):
+    """Squares of finite components may leave the range of doubles; no row is lost, and distances are right."""
+    big, small = 1e200, 1e-200
+    rows = [(0, [big, 0.0, 0.0]), (1, [big, big, 0.0]), (2, [0.0, big, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [small, small, 0.0])]
+    frame = spark.createDataFrame(rows, "id long, vec array<double>").withColumn("tab", F.lit(1)).withColumn("part", F.lit("x"))
+    got = [(r.vec_id, r.score) for r in cross_polytope.nearest(frame.where("id = 0"), frame).orderBy("rank").collect()]
+    assert got[0] == (1, big) and {i for i, _ in got[:3]} == {1, 3, 4} and got[3] == (2, pytest.approx(2**0.5 * big)) and len(got) == 4
+    near = [(r.vec_id, r.score) for r in cross_polytope.nearest(frame.where("id = 4"), frame.where("id > 2")).collect()]
+    assert near == [(3, pytest.approx(1.0))]
+    assert cross_polytope.distances(np.array([[3 * small, 4 * small], [0.0, 0.0]]), np.zeros(2)).tolist() == [pytest.approx(5 * small), 0.0]
+
+
+@pytest.mark.parametrize("spread", [None, 0.3])
+def test_recall_and_candidates(spark, spread):
+    """Against brute force, on directions without structure and around a few centres, at n and 5 n rows."""
+    rng, shares = np.random.default_rng(6), []
+    for n in (1500, 7500):
+        x = rng.standard_normal((n, 24)) if spread is None else rng.standard_normal((n // 50, 24)).repeat(50, 0) + spread * rng.standard_normal((n, 24))
+        x = np.concatenate([x, x[:1]])  # a tie
+        frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vec array<float>")
+        x = x.astype(np.float32).astype(np.float64)
+        queries = frame.where("id % 25 = 0")
+        settings = cross_polytope.fit(queries, frame, 10)
+        shares.append(settings.candidates)
+        hits = total = 0
+        found = {}
+        for r in cross_polytope.nearest(queries, frame, 10, settings).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        for q, got in found.items():
+            d = ((x - x[q]) ** 2).sum(1)
+            d[q] = np.inf
+            hits += len(got & set(np.argsort(d, kind="stable")[:10].tolist()))
+            total += 10
+        assert len(found) == -(-len(x) // 25) and hits / total >= 0.93, (spread, n, hits / total, settings)
+    assert shares[1] < shares[0], shares  # candidates grow more slowly than rows
+
+
 def test_rotation_is_orthogonal():
     y = cross_polytope.rotate(np.eye(48), 0)
     assert np.allclose(y @ y.T, np.eye(48))
@@ -413,6 +568,60 @@ def test_quality_on_held_out_rows(spark):
     assert sum(r.predicted == labels[r.doc_id] for r in held) / len(held) > 0.9
 
 
+def test_scores_by_zstandard_alone(spark):
+    """Scores recomputed from the model's parts: dictionaries, slope, offset, half and the share of good labels."""
+    import math
+
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = compress_quality.train(spark, docs.select("doc_id", "text"), SF)
+    coders = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False, write_checksum=False) for d in (model.bad, model.good)]
+    for r in compress_quality.score_documents(docs.select("doc_id", "text"), model).collect():
+        raw = (r.text or "").encode()
+        bad, good = (sum(len(c.compress(raw[k : k + 1024])) for k in range(0, len(raw), 1024)) for c in coders)
+        trust = len(raw) / (len(raw) + model.half) if raw else 0.0
+        z = trust * (model.slope * (bad - good) / max(1, len(raw)) + model.offset) + (1 - trust) * model.prior
+        assert r.quality_score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-12)
+
+
+def test_long_labelled_texts_are_learnt_in_part(spark, monkeypatch):
+    monkeypatch.setattr(compress_quality, "SAMPLE_BYTES", 3 * compress_quality.TRAIN_CHUNK)
+    text = "".join(f"{k:06d}," for k in range(3000))  # 21,000 bytes
+    docs = spark.createDataFrame([(k, text if k == 1 else f"short {k}" if k < 9 else None) for k in range(1, 12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 12)], "doc_id long, quality int")
+    sample, counts = compress_quality.labelled_sample(docs, labels)
+    long = next(t for _, t in sample if len(t) > 100)
+    chunk = compress_quality.TRAIN_CHUNK
+    pieces = [text.encode()[k : k + chunk] for k in range(0, len(text), chunk)]
+    at = [pieces.index(long[k : k + chunk]) for k in range(0, len(long), chunk)]
+    assert len(at) == 3 and at == sorted(at) and sum(counts) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(1, 12))
+    assert len(sample) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(1, 9))
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Each narrow operator runs where only the driver can import the package."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()
+from prooflake.llm import registry
+q = registry.queries()
+for name in ('op1_byte_bpe', 'op6_audio_features', 'op7_url_filter', 'op8_cross_polytope', 'op10_compress_quality', 'op2_simhash'):
+    assert q[name](spark, {SF!r}).count() > 0, name
+print('all ran')
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "all ran" in done.stdout, done.stderr[-2000:]
+
+
 def test_quality_of_odd_rows(spark, odd, empty):
     docs = odd.select("doc_id", "text")
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1), (4, None, 0)], "doc_id long, quality int, toxic int")
@@ -422,6 +631,73 @@ def test_quality_of_odd_rows(spark, odd, empty):
     assert compress_quality.score_documents(empty, model).count() == 0
 
 
+# -- edges -----------------------------------------------------------------------------------------------------------------------
+
+
+def test_empty_tables(spark, empty):
+    vocabulary = byte_bpe.default_vocabulary()
+    assert byte_bpe.digest_documents(empty, *vocabulary).count() == 0 and token_counts.count_documents(empty, *vocabulary).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.near_copies(empty).count() == 0
+    assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), url_filter.RULES).count() == 0
+    vectors = cross_polytope.usable(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    assert cross_polytope.nearest(vectors, vectors).count() == 0
+
+
+def test_token_counts_of_odd_rows(odd, encoding):
+    rows = token_counts.count_documents(odd, *byte_bpe.default_vocabulary()).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in rows) == sorted((str(r.doc_id), len(encoding.encode_ordinary(r.text or ""))) for r in odd.collect())
+
+
+def test_memory_of_pre_tokens_is_bounded(encoding, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 5000)
+    monkeypatch.setattr(byte_bpe, "LONG_TOKEN", 50)
+    coder = byte_bpe.ByteBpe(*byte_bpe.default_vocabulary())
+    for k in range(30):
+        texts = [f"word{k}x{j} " * 3 + "y" * (40 + 3 * j) for j in range(10)]
+        for text, ids in zip(texts, coder.encode(texts), strict=True):
+            assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == encoding.encode_ordinary(text)
+        assert coder.held <= 5000 + 30 * (50 + 400 + byte_bpe.ENTRY_BYTES)
+
+
+def test_running_sums(spark):
+    from prooflake.llm.common import running
+
+    rng = np.random.default_rng(1)
+    rows = [(int(k), int(v)) for k, v in zip(rng.permutation(300), rng.integers(0, 9, 300), strict=True)]
+    got = {r.k: (r.place, r.total) for r in running(spark.createDataFrame(rows, "k long, v long").repartition(5), [F.col("k")], {"place": F.lit(1), "total": F.col("v")}).collect()}
+    value = dict(rows)
+    assert all(got[k] == (k, sum(value[j] for j in range(k))) for k in range(300))
+
+
+def test_groups_and_buckets_that_are_split(spark, monkeypatch):
+    """near_copies gives the same classes with every bucket and group in parts."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(8):
+        base = [f"w{k}" for k in rng.integers(0, 10**6, 60)]
+        for _ in range(12):
+            copy = list(base)
+            copy[int(rng.integers(60))] = f"e{rng.integers(10**6)}"
+            texts.append(" ".join(copy))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    label = list(range(len(texts)))
+    for _ in range(len(texts)):
+        before = list(label)
+        for a in range(len(texts)):
+            for b in range(a):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    for bucket, size in ((20_000, 32 << 20), (3, 3000)):
+        monkeypatch.setattr(simhash, "HOT_BUCKET", bucket)
+        monkeypatch.setattr(simhash, "HOT_BYTES", size)
+        rows = simhash.near_copies(frame).collect()
+        assert [r.component_id for r in sorted(rows)] == label
+        assert {r.doc_id for r in rows if r.first} == set(label)
+
+
 # -- all -------------------------------------------------------------------------------------------------------------------------
 
 
