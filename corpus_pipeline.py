@@ -2,46 +2,64 @@
 
 STAGES are functions (spark, docs, sf_dir) -> DataFrame; run() writes each result as Parquet in the shared folder and reads it again
 as the next one's docs. All but the last return the columns of documents. Every stage passes empty tables on; further
-columns, whatever their names, are carried along up to the last stage.
+columns, whatever their names, are carried along up to the last stage: inside a stage columns go by place, not by name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prooflake.llm import byte_bpe, compress_quality, near_copies, source_mix, suffix_dedup
-from prooflake.llm.common import stored, table
+from prooflake.llm import byte_bpe, compress_quality, simhash, source_mix, suffix_dedup
+from prooflake.llm.common import positional, stored, table
 
-#: Near duplicates: a Jaccard similarity of 0.8 or more (near_copies.SIMILAR) of distinct shingles of so many words.
+#: Near duplicates: a Jaccard similarity of 0.8 or more (simhash.SIMILAR) of distinct shingles of so many words.
 NEAR_WIDTH = 5
-#: Of a document taken in part, the share taken is rounded to a copy more or less by this seed.
-SEED = 42
+
+
+def _texts(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text and more columns by place, as other names may differ from these in case only or hold dots."""
+    rows, at = positional(docs)
+    return rows.select(*(F.col(at[c]).alias(c) for c in ("doc_id", "text", *more)))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the compression classifier, trained on the labelled ones of its input, scores under its threshold."""
-    model = compress_quality.train(spark, docs.select("doc_id", "text"), sf_dir)
-    return compress_quality.score_documents(docs, model).where(F.col("quality_score") >= compress_quality.THRESHOLD).select(*docs.columns)
+    model = compress_quality.train(spark, _texts(docs), sf_dir)
+    rows, at = positional(docs)
+    scored = compress_quality.score_documents(rows, model, at["text"])
+    return scored.where(F.col("quality_score") >= compress_quality.THRESHOLD).drop("quality_score").toDF(*docs.columns)
+
+
+def _picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs whose id and text are wanted (doc_id, text_hash, n, copies), `copies` times each. Of n equal rows one counts."""
+    rows, at = positional(docs)
+    id_, text = at["doc_id"], at["text"]
+    keyed = rows.withColumn("text_hash", F.xxhash64(text))
+    w = wanted.select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), "n", "copies")
+    joined = keyed.join(w, F.col(id_).cast("long").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
+    if not wanted.where("n > 1").isEmpty():
+        joined = joined.where("n = 1").unionByName(joined.where("n > 1").dropDuplicates([id_, "text_hash"]))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*rows.columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest id, and one row of it. Rows without id all stay."""
-    groups = near_copies.near_duplicates(docs.select("doc_id", "text"), NEAR_WIDTH)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi")
-    repeats = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = named.withColumn("_row", F.row_number().over(repeats)).where("_row = 1").drop("_row")
-    return one.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    """Keeps of each group of near duplicates the row with the smallest id (nulls last), and one of rows equal in id and text."""
+    firsts = simhash.near_copies(_texts(docs), NEAR_WIDTH).where("first")
+    return _picked(docs, stored(firsts.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).withColumn("copies", F.lit(1)), "firsts"))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages out of the texts. Characters that a cut leaves incomplete go, as do documents with nothing left but white space."""
-    cut = suffix_dedup.deduplicate(docs)
-    text = F.decode(_whole_characters(F.col("kept")), "utf-8")
-    rest = {c: F.col("rest")[c] for c in docs.columns if c not in ("doc_id", "text")}
-    given = {"doc_id": F.col("doc_id"), "text": F.col("new_text")} | rest | ({"n_chars": F.length("new_text").cast("long")} if "n_chars" in docs.columns else {})
-    return cut.withColumn("new_text", text).where((F.col("n_removed") == 0) | (F.length(F.trim(F.regexp_replace("new_text", r"\s+", " "))) > 0)).select(*(given[c].alias(c) for c in docs.columns))
+    rows, at = positional(docs)
+    others = [c for name, c in at.items() if name not in ("doc_id", "text")]
+    named = rows.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"), *others, F.col(at["text"]).isNull().alias("no_text"))
+    cut = suffix_dedup.deduplicate(named).withColumn("new_text", F.decode(_whole_characters(F.col("kept")), "utf-8"))
+    left = cut.where((F.col("n_removed") == 0) | (F.length(F.trim(F.regexp_replace("new_text", r"\s+", " "))) > 0))
+    given = {c: F.col("rest")[c] for c in others} | {at["doc_id"]: F.col("doc_id"), at["text"]: F.when(~F.col("rest")["no_text"], F.col("new_text"))}
+    if "n_chars" in at:
+        given[at["n_chars"]] = F.when(F.col("n_removed") == 0, given[at["n_chars"]]).otherwise(F.length("new_text").cast("long"))
+    return left.select(*(given[c].cast(rows.schema[c].dataType).alias(c) for c in rows.columns)).toDF(*docs.columns)
 
 
 def _whole_characters(kept: F.Column) -> F.Column:
@@ -50,20 +68,16 @@ def _whole_characters(kept: F.Column) -> F.Column:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that each source's words come near its target: as many copies as the mix takes whole passes of
-    a document, and one more with the chance of what is taken besides. Rows with equal ids get equal copies; empty ones go."""
-    taken = source_mix.mix(docs.select("doc_id", "text", "source"))
-    share = F.col("taken") / F.greatest("size", F.lit(1))
-    chance = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 20)) / (1 << 20)
-    copies = taken.withColumn("copies", (F.floor(share) + (chance < share - F.floor(share)).cast("int")).cast("int"))
-    wanted = copies.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*(docs[c] for c in docs.columns))
+    """Repeats or drops whole documents as often as source_mix says, so that each source's words come near its target. Rows with no
+    words go."""
+    taken = source_mix.mix(_texts(docs, "source"))
+    wanted = taken.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    return _picked(docs, stored(wanted.withColumn("doc_id", F.col("doc_id").cast("long")), "wanted"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and digests of ids and of the text decoded from them."""
-    coded = byte_bpe.encode_documents(docs, *byte_bpe.default_vocabulary())
+    coded = byte_bpe.encode_documents(_texts(docs), *byte_bpe.default_vocabulary())
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
