@@ -82,13 +82,36 @@ def test_tokens_follow_the_mix(made):
 def test_empty_and_odd_documents(spark):
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
     odd = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "no id", "en", None, 5), (3, "some words here", "en", "s", 15), (3, "some words here", "en", "s", 15), (4, "é" * 300, "fr", "t", 300)]
+    from prooflake.llm.common import stored
+
+    clashes = ["rank", "quality_score", "_row", "_copy", "_copies", "a.b", "copy", "n", "text_hash", "rest", "kept", "c0", "first"]
     for rows in ([], odd):
-        docs = spark.createDataFrame(rows, schema).withColumn("rank", F.lit("clash"))
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, SF)
+        docs = spark.createDataFrame(rows, schema).withColumns({c: F.lit(c) for c in clashes if c != "a.b"}).withColumn("a.b", F.lit("a.b"))
+        for name, stage in corpus_pipeline.STAGES:
+            columns, docs = docs.columns, stored(stage(spark, docs, SF), "odd")
+            if name != "tokens":
+                assert docs.columns == columns and all(r[c] == c for r in docs.collect() for c in clashes)
         assert docs.count() <= 3 * len(rows)
 
 
+def test_equal_ids_with_different_texts_both_stay(spark):
+    rows = [(7, "the first text is about rivers and hills in the north"), (7, "another one tells of ships that sail to warm islands"), (None, "the first text is about rivers and hills in the north"), (None, "nobody else says this at all today")]
+    rows += [rows[1], rows[3], (9, None), (8, ""), (8, "")]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, spark.createDataFrame([rows[0], rows[1], rows[3], (8, "")], "doc_id long, text string").collect()))
+
+
+def test_mix_meets_targets(made):
+    """Words of each source after the stage against the capped targets of what came in."""
+    from prooflake.llm import source_mix
+
+    size = lambda rows: {r.source: r.n for r in rows.groupBy("source").agg(F.sum(source_mix.word_count(F.col("text"))).alias("n")).collect()}
+    before, after = size(made["suffix_dedup"]), size(made["mix"])
+    targets = {r.source: r.target for r in source_mix.source_targets(made["suffix_dedup"].select("source", source_mix.word_count(F.col("text")).alias("size"))).collect()}
+    largest = made["suffix_dedup"].agg(F.max(source_mix.word_count(F.col("text")))).first()[0]
+    assert set(before) == set(targets) and all(abs(after.get(s, 0) - targets[s]) <= 0.03 * targets[s] + largest for s in targets)
+
+
 def near_kept(spark, texts):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, SF).collect()}
