@@ -50,6 +50,11 @@ def entailment_state(label: Column | str) -> Column:
     return F.when(_col(label) == 2, 0).when(_col(label) == 0, 2).otherwise(1)
 
 
+def argmax_state(logits: Column | str) -> Column:
+    """The state of the first largest of three logits (contradiction, neutral, entailment)."""
+    return entailment_state(F.array_position(_col(logits), F.array_max(_col(logits))) - 1)
+
+
 def state_prompt(structured: Column | str) -> Column:
     return F.concat(
         F.lit("Question with retrieved evidence:\n"), F.substring(_col(structured), 1, 2000),
@@ -72,3 +77,16 @@ def answer_prompt(evidence: Column | str) -> Column:
 
 def verdict_prompt(evidence: Column | str) -> Column:
     return F.concat(F.lit("Evidence:\n"), _col(evidence), F.lit("\n\nIs the claim SUPPORTS, REFUTES or NOT ENOUGH INFO? Verdict:"))
+
+
+#: Passages that a rating vote looks at.
+RATED = 3
+
+
+def rated_passages(passages: Column) -> Column:
+    return F.slice(passages, 1, RATED)
+
+
+def generation_prompt(dataset: Column | str, evidence: Column | str, claims: tuple[str, ...] = ("fever",)) -> Column:
+    """A verdict is asked for of datasets of claims, an answer of all others."""
+    return F.when(_col(dataset).isin(*claims), verdict_prompt(evidence)).otherwise(answer_prompt(evidence))

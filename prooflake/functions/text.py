@@ -79,21 +79,22 @@ def answer_tokens(text: Column | str) -> Column:
     return words(normalize_answer(text))
 
 
-def multiset_overlap(left: Column, right: Column) -> Column:
-    """Size of the multiset intersection of two token arrays."""
-    count = lambda array, w: F.size(F.filter(array, lambda x: x == w))
-    return F.aggregate(F.array_distinct(left), F.lit(0), lambda n, w: n + F.least(count(left, w), count(right, w)))
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it: it is bound as a lambda variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def numbered_words(tokens_: Column) -> Column:
+    """Each token with the number of equal ones before it, so that sets of these are multisets of tokens."""
+    return let(F.array_sort(tokens_), lambda words_: F.transform(words_, lambda w, i: F.concat(w, F.lit(" "), (i - F.array_position(words_, w)).cast("string"))))
 
 
 def token_f1(prediction: Column | str, gold: Column | str) -> Column:
-    p, g = answer_tokens(prediction), answer_tokens(gold)
-    common = multiset_overlap(p, g)
-    precision, recall = ratio(common, F.size(p)), ratio(common, F.size(g))
-    return (
-        F.when(F.size(g) == 0, F.when(F.size(p) == 0, 1.0).otherwise(0.0))
-        .when((F.size(p) == 0) | (common == 0), 0.0)
-        .otherwise(2 * precision * recall / F.nullif(precision + recall, F.lit(0.0)))
-    )
+    def score(both: Column) -> Column:
+        p, g = F.size(both["p"]), F.size(both["g"])
+        return let(F.size(F.array_intersect(both["p"], both["g"])), lambda common: F.when(g == 0, F.when(p == 0, 1.0).otherwise(0.0)).when((p == 0) | (common == 0), 0.0).otherwise(2.0 * common / (p + g)))
+
+    return let(F.struct(numbered_words(answer_tokens(prediction)).alias("p"), numbered_words(answer_tokens(gold)).alias("g")), score)
 
 
 def exact_match(prediction: Column | str, gold: Column | str) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from prooflake.functions import text as T
 from prooflake.functions.vocabulary import STOPWORDS_CONTEXT
 
+METRICS = ["context_precision", "context_recall", "context_relevancy", "context_utilization", "answer_coverage"]
+
 
 def context_metrics(rows: DataFrame, question: str = "question", passages: str = "passages", gold: str = "gold") -> DataFrame:
     """rows with context_precision, context_recall, context_relevancy, context_utilization, answer_coverage; all 0 without passages."""

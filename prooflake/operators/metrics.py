@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prooflake.functions.vocabulary import ACTIONS, STATES
+from prooflake.storage import running
 
 
 def confusion(rows: DataFrame, true: str = "true", pred: str = "pred", by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -44,10 +45,27 @@ def majority(train: DataFrame, label: str, order: str) -> DataFrame:
     return counts.orderBy(F.desc("n"), "first").limit(1).select(F.col(label).alias("majority"))
 
 
-def running_accuracy(rows: DataFrame, ordinal: str, true: str, pred: str, every: int = 100) -> DataFrame:
-    """(rows_seen, accuracy) after every `every` rows in order: sums of each stretch, then a running sum over the stretches."""
-    stretch = F.floor(F.col(ordinal) / every)
-    sums = rows.groupBy(stretch.alias("stretch")).agg(F.sum((F.col(true) == F.col(pred)).cast("int")).alias("hits"), F.count("*").alias("n"))
-    over = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = sums.select("n", F.sum("hits").over(over).alias("hits"), F.sum("n").over(over).alias("rows_seen"))
-    return seen.where(F.col("n") == every).select("rows_seen", (F.col("hits") / F.col("rows_seen")).alias("accuracy"))
+def running_confusion(rows: DataFrame, ordinal: str, true: str, pred: str, labels: list[int], every: int = 100) -> DataFrame:
+    """(rows_seen, c_<true>_<pred>...) after every `every` rows in order: counts of each stretch, then two-level running sums over stretches."""
+    cells = [(t, p) for t in labels for p in labels]
+    stretch = F.floor(F.col(ordinal) / every).alias("stretch")
+    counts = rows.groupBy(stretch).agg(F.count("*").alias("n"), *(F.count_if((F.col(true) == t) & (F.col(pred) == p)).alias(f"n_{t}_{p}") for t, p in cells))
+    seen = running(counts, [F.col("stretch")], {"r": F.col("n")} | {f"r_{t}_{p}": F.col(f"n_{t}_{p}") for t, p in cells})
+    return seen.where(F.col("n") == every).select((F.col("r") + F.col("n")).alias("rows_seen"), *((F.col(f"r_{t}_{p}") + F.col(f"n_{t}_{p}")).alias(f"c_{t}_{p}") for t, p in cells))
+
+
+def running_accuracy(rows: DataFrame, ordinal: str, true: str, pred: str, every: int = 100, labels: list[int] = [0, 1, 2, 3]) -> DataFrame:  # noqa: B006
+    """(rows_seen, accuracy) after every `every` rows in order."""
+    hits = sum((F.col(f"c_{t}_{t}") for t in labels), F.lit(0))
+    return running_confusion(rows, ordinal, true, pred, labels, every).select("rows_seen", (hits / F.col("rows_seen")).alias("accuracy"))
+
+
+def running_macro_f1(rows: DataFrame, ordinal: str, true: str, pred: str, every: int = 100, labels: list[int] = [0, 1, 2, 3]) -> DataFrame:  # noqa: B006
+    """(rows_seen, macro_f1) after every `every` rows in order, over the labels seen so far as true or predicted."""
+    f1 = []
+    for k in labels:
+        both = sum((F.col(f"c_{k}_{o}") + F.col(f"c_{o}_{k}") for o in labels), F.lit(0))
+        f1.append(F.when(both > 0, 2.0 * F.col(f"c_{k}_{k}") / F.greatest(both, F.lit(1))))
+    found = F.filter(F.array(*f1), lambda x: x.isNotNull())
+    mean = F.aggregate(found, F.lit(0.0), lambda s, x: s + x) / F.size(found)
+    return running_confusion(rows, ordinal, true, pred, labels, every).select("rows_seen", mean.alias("macro_f1"))

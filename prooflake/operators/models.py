@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from typing import NamedTuple
+
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prooflake.operators.metrics import confusion, macro
+from prooflake.operators.sampling import names_of
+from prooflake.storage import scratch, stored
 
 EPSILON = 1e-8
-#: Datasets that leave_one_out judges at most; more are an error.
-MOST_DATASETS = 1000
 
 
 def normalizer(train: DataFrame, columns: list[str]) -> DataFrame:
@@ -59,34 +59,94 @@ def tfidf_vocabulary(train: DataFrame, text: str, size: int = 50_000) -> DataFra
 
 
 def tfidf(rows: DataFrame, text: str, key: str, vocabulary: DataFrame, size: int) -> DataFrame:
-    """rows with `features`: (1 + ln tf) * idf, to unit length."""
-    from pyspark.ml.feature import Normalizer
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    """rows with `features`: (1 + ln tf) * idf, to unit length. Vectors are put together in Arrow batches, in the form that ml vectors have."""
+    import pyarrow as pa
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql import types as S
 
     counted = rows.select(F.col(key).alias("_key"), F.explode(ngrams(F.col(text))).alias("term")).groupBy("_key", "term").count()
     weighed = counted.join(F.broadcast(vocabulary), "term").select("_key", "place", ((1 + F.log("count")) * F.col("idf")).alias("w"))
-    lists = weighed.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("place", "w"))).alias("pw"))
-    to_vector = F.udf(lambda pw: SparseVector(size, [(p["place"], p["w"]) for p in pw or []]), VectorUDT())
-    joined = rows.join(lists, rows[key] == lists["_key"], "left").drop("_key").withColumn("raw", to_vector("pw")).drop("pw")
-    return Normalizer(p=2.0, inputCol="raw", outputCol="features").transform(joined).drop("raw")
+    lists = weighed.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("place", "w"))).alias("pw"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    lists = lists.select("_key", F.transform("pw", lambda x: x["place"].cast("int")).alias("at"), F.transform("pw", lambda x: x["w"] / F.col("norm")).alias("w"))
+    joined = rows.join(lists, rows[key] == lists["_key"], "left").drop("_key").withColumns({"at": F.coalesce("at", F.array().cast("array<int>")), "w": F.coalesce("w", F.array().cast("array<double>"))})
+    schema = S.StructType([*rows.schema.fields, S.StructField("features", VectorUDT())])
+    names, columns = schema.names, len(rows.columns)
+
+    def work(batches):
+        for batch in batches:
+            n = batch.num_rows
+            vector = pa.StructArray.from_arrays([pa.array([0] * n, pa.int8()), pa.array([size] * n, pa.int32()), batch.column(columns), batch.column(columns + 1)], names=["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:columns], vector], names=names)
+
+    return joined.select(*rows.columns, "at", "w").mapInArrow(work, schema)
 
 
 def fit_predict(train: DataFrame, test: DataFrame, features: str = "features", c: float = 1.0) -> DataFrame:
     """test with `pred`, from a balanced regression on train."""
     model = regression(features, c, train.count()).fit(balanced_weights(train))
-    return model.transform(test).withColumn("pred", F.col("prediction").cast("int")).drop("rawPrediction", "probability", "prediction")
+    return _judged(model, test, features)
+
+
+class Detector(NamedTuple):
+    """A fitted regression on feature columns with the normaliser of its training rows."""
+
+    columns: list[str]
+    stats: DataFrame
+    model: LogisticRegressionModel
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """rows with `pred`. Rows need the feature columns only; missing ones count as 0."""
+        return _judged(self.model, _vectors(rows, self.stats, self.columns), "features")
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        one = self.stats.select(F.lit(",".join(self.columns)).alias("columns"), *self.stats.columns)
+        one.coalesce(1).write.mode("overwrite").parquet(f"{path}/normalizer")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Detector:
+        stats = spark.read.parquet(f"{path}/normalizer")
+        return Detector(stats.first()["columns"].split(","), stats.drop("columns"), LogisticRegressionModel.load(f"{path}/model"))
+
+
+def _vectors(rows: DataFrame, stats: DataFrame, columns: list[str]) -> DataFrame:
+    vector = array_to_vector(F.array(*((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.col(f"mean_{c}")) / F.col(f"std_{c}") for c in columns)))
+    return rows.crossJoin(F.broadcast(stats)).withColumn("features", vector).drop(*stats.columns)  # stats is one row
+
+
+def _judged(model: LogisticRegressionModel, vectors: DataFrame, features: str) -> DataFrame:
+    return model.transform(vectors).withColumn("pred", F.col("prediction").cast("int")).drop("rawPrediction", "probability", "prediction", features)
+
+
+def fit_detector(train: DataFrame, columns: list[str], c: float = 1.0) -> Detector:
+    stats = stored(normalizer(train, columns), "normalizer")
+    return Detector(columns, stats, regression("features", c, train.count()).fit(balanced_weights(_vectors(train, stats, columns))))
+
+
+def best_detector(train: DataFrame, validation: DataFrame, columns: list[str], strengths: list[float]) -> tuple[Detector, list[float]]:
+    """The detector with the best macro-F1 on validation rows, of equal ones the first, and the score of each."""
+    best, scores = None, []
+    for c in strengths:
+        detector = fit_detector(train, columns, c)
+        scores.append(float(macro(confusion(detector.predict(validation), "label")).first()["macro_f1"] or 0.0))
+        if best is None or scores[-1] > max(scores[:-1]):
+            best = detector
+    return best, scores
+
 
+def saved_and_loaded(detector: Detector) -> Detector:
+    """The detector as it comes back from the shared folder."""
+    import uuid
 
-def feature_pipeline(columns: list[str]) -> Pipeline:
-    """Assembles feature columns; the regression's stage is added by the caller. Saved and loaded as a pipeline model."""
-    return Pipeline(stages=[SQLTransformer(statement="SELECT * FROM __THIS__"), VectorAssembler(inputCols=columns, outputCol="features")])
+    spark = detector.stats.sparkSession
+    path = f"{scratch(spark)}/prooflake/detector-{uuid.uuid4().hex}"
+    detector.save(path)
+    return Detector.load(spark, path)
 
 
 def features_regression(train: DataFrame, test: DataFrame, columns: list[str]) -> DataFrame:
     """test with `pred` from a regression on standardised feature columns."""
-    stats = normalizer(train, columns)
-    vector = array_to_vector(F.array(*(F.col(c).cast("double") for c in columns)))
-    return fit_predict(standardized(train, stats, columns).withColumn("features", vector), standardized(test, stats, columns).withColumn("features", vector))
+    return fit_detector(train, columns).predict(test)
 
 
 def cross_validated(rows: DataFrame, columns: list[str], folds: int = 5) -> DataFrame:
@@ -102,11 +162,8 @@ def cross_validated(rows: DataFrame, columns: list[str], folds: int = 5) -> Data
 
 def leave_one_out(rows: DataFrame, dataset: str, columns: list[str]) -> DataFrame:
     """(held_out, accuracy, macro_f1, n): each dataset judged by a regression on all others. Datasets are few and known by name."""
-    names = [r[0] for r in rows.select(dataset).distinct().orderBy(dataset).limit(MOST_DATASETS + 1).collect()]
-    if len(names) > MOST_DATASETS:
-        raise ValueError(f"more than {MOST_DATASETS} datasets in {dataset}")
     out = None
-    for name in names:
+    for name in names_of(rows, dataset):
         judged = features_regression(rows.where(F.col(dataset) != name), rows.where(F.col(dataset) == name), columns)
         part = macro(confusion(judged, "label")).select(F.lit(name).alias("held_out"), "accuracy", "macro_f1", "n")
         out = part if out is None else out.unionByName(part)

@@ -1,32 +1,22 @@
-"""Pairs of rows in a group whose token sets are similar.
-
-Two sets with a Jaccard similarity over t share one of each other's first size - ceil(t * size) + 1 tokens in any fixed order.
-Rows therefore meet on (group, token) for those tokens only, rarest first, instead of each with each.
-"""
+"""Pairs of an instance's units whose token sets are similar: they meet inside the instance's row, so nothing is shuffled and only pairs
+over the threshold become rows."""
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prooflake.functions import text as T
+from prooflake.operators import graph
 
 
-def similar_rows(rows: DataFrame, group: str, key: str, text: str, threshold: float) -> DataFrame:
-    """(group, a, b, similarity) of the pairs a < b in a group with a similarity over the threshold."""
-    sets = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), T.token_set(text).alias("s")).where(F.size("s") > 0)
-    counts = sets.select("g", F.explode("s").alias("t")).groupBy("g", "t").count()
-    ranked = sets.select("g", "k", F.size("s").alias("n"), F.explode("s").alias("t")).join(counts, ["g", "t"])
-    ordered = ranked.groupBy("g", "k", "n").agg(F.array_sort(F.collect_list(F.struct("count", "t"))).alias("ts"))
-    first = F.slice("ts", 1, (F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).cast("int"))
-    probes = ordered.select("g", "k", "n", F.explode(F.transform(first, lambda x: x["t"])).alias("t"))
-    a, b = probes.alias("a"), probes.alias("b")
-    fits = (F.col("a.g") == F.col("b.g")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.k") < F.col("b.k"))
-    sizes = F.least("a.n", "b.n") > F.lit(threshold) * F.greatest("a.n", "b.n")
-    pairs = a.join(b, fits & sizes).select(F.col("a.g").alias("g"), F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
-    left, right = sets.select("g", F.col("k").alias("a"), F.col("s").alias("sa")), sets.select("g", F.col("k").alias("b"), F.col("s").alias("sb"))
-    scored = pairs.join(left, ["g", "a"]).join(right, ["g", "b"]).withColumn("similarity", T.jaccard(F.col("sa"), F.col("sb")))
-    return scored.where(F.col("similarity") > threshold).select(F.col("g").alias(group), "a", "b", "similarity")
+def similar_pairs(instances: DataFrame, threshold: float, key: str = "example_id") -> DataFrame:
+    """(key, i, j, src, dst, similarity) of the pairs of units i < j with a Jaccard similarity over the threshold."""
+    filled = F.filter("us", lambda u: ~u["blank"] & (F.size(u["s"]) > 0))
+    return graph.token_units(instances, key).select(key, F.inline(graph.similar_units(filled, threshold)))
 
 
+def duplicate_rates(instances: DataFrame, threshold: float, key: str = "example_id") -> DataFrame:
+    """(key, n, duplicates, duplicate_rate): units with text, and the share of their pairs that are over the threshold."""
+    filled = F.filter("us", lambda u: ~u["blank"])
+    found = graph.token_units(instances, key).select(key, F.size(filled).alias("n"), F.size(graph.similar_units(F.filter(filled, lambda u: F.size(u["s"]) > 0), threshold)).alias("duplicates"))
+    return found.withColumn("duplicate_rate", F.col("duplicates") / F.greatest(F.col("n") * (F.col("n") - 1) / 2, F.lit(1.0)))

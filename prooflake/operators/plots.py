@@ -59,3 +59,17 @@ def class_pivot(rows: DataFrame, row: str, column: str, values: list[str], value
     """One row per `row`, one column per value of `column`: counts (0 where missing), or means of `value`."""
     grouped = rows.groupBy(row).pivot(column, values)
     return grouped.agg(F.avg(value)) if value else grouped.count().na.fill(0, values)
+
+
+#: The features shown by dataset and state.
+KEY_FEATURES = ["entity_overlap", "text_resolution_rate", "duplicate_rate", "evidence_count"]
+
+
+def key_feature_pivot(rows: DataFrame, dataset: str, state: str, states: list[str]) -> DataFrame:
+    """(dataset, feature, mean of each state) of KEY_FEATURES."""
+    return unpivoted(rows, [dataset, state], KEY_FEATURES).groupBy(dataset, "feature").pivot(state, states).agg(F.avg("value"))
+
+
+def curve(rows: DataFrame, history: list[float], metric: str = "loss") -> DataFrame:
+    """(step, metric, value) of a training history; rows only names the session."""
+    return rows.sparkSession.createDataFrame([(k, metric, float(v)) for k, v in enumerate(history)], "step int, metric string, value double")

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 #: A model: responses of a list of prompts. It is made once in each worker by the factory given to score().
 Scorer = Callable[[list[str]], list[str]]
+Factory = Callable[[], Scorer]
 
 
-def score(rows: DataFrame, prompt: str, factory: Callable[[], Scorer], output: str = "response", batch: int = 32) -> DataFrame:
+def score(rows: DataFrame, prompt: str, factory: Factory, output: str = "response", batch: int = 32) -> DataFrame:
     """rows with the model's response to their prompt (null prompts have none)."""
     distinct = rows.select(F.col(prompt).alias("_prompt")).where(F.col("_prompt").isNotNull()).distinct()
 

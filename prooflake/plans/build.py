@@ -1,19 +1,24 @@
-"""The benchmark build as one application: convert, vary, merge, describe, assemble, split. And the registry of detectors.
+"""The benchmark build as one application: convert, vary, merge, describe, assemble, split; and the experiments on what it wrote.
 
-    python -m prooflake.plans.build --source hotpotqa=/data/hotpotqa --source fever=/data/fever --wiki /data/lookup --out /data/built [--dry-run] [--smoke]
+    python -m prooflake.plans.build --source hotpotqa=/data/hotpotqa --source fever=/data/fever --wiki /data/lookup --out /data/built
+        [--stage process|experiments|all] [--dry-run] [--smoke]
 
-Each source is a folder of exported splits (Parquet). Only canonical instances and processed splits are written.
+Each source is a folder of exported splits (Parquet). Written are canonical instances, graph tables, processed splits, features,
+and of the experiments the metrics and confusion tables of every detector.
 """
 
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prooflake import storage
+from prooflake.functions import responses as R
 from prooflake.functions.vocabulary import FEATURES, STATES
-from prooflake.operators import assemble, features, ingest, models, sampling, variants
+from prooflake.operators import assemble, features, graph, ingest, metrics, models, sampling, scoring, thresholds, variants
 from prooflake.sources import files
 
 SMOKE_ROWS = 200
@@ -25,9 +30,8 @@ def first_rows(rows: DataFrame, ordinal: str, n: int | None) -> DataFrame:
 
 
 def convert(name: str, raw: DataFrame, sentences: DataFrame | None, most: int | None = None) -> DataFrame:
-    """Canonical instances of a source. raw needs `ordinal` if its order matters; else rows are numbered by id."""
-    placed = raw if "ordinal" in raw.columns else _numbered(raw)
-    rows = first_rows(placed, "ordinal", most)
+    """Canonical instances of a source. raw has `ordinal`, the row's number in source order (files.read_split)."""
+    rows = first_rows(raw, "ordinal", most)
     if name == "fever":
         if sentences is None:
             raise ValueError("claims need a sentence lookup")
@@ -36,12 +40,6 @@ def convert(name: str, raw: DataFrame, sentences: DataFrame | None, most: int |
     return (ingest.convert_paragraphs if name == "musique" else ingest.convert_multi_hop)(rows, name)
 
 
-def _numbered(raw: DataFrame) -> DataFrame:
-    """Places by a hash of the id, distinct with near certainty, then by sampling.with_places; rows with equal ids get some order."""
-    keyed = raw.withColumn("_key", F.xxhash64("id").bitwiseAND(F.lit((1 << 52) - 1)))
-    return sampling.with_places(keyed, "_key").withColumn("ordinal", F.col("place").cast("int")).drop("_key", "place")
-
-
 def merge_split(instances: list[DataFrame], seed: int = 42, balance: bool = True) -> DataFrame:
     """All sources with their variants, classes cut to the smallest."""
     merged = None
@@ -63,8 +61,10 @@ def build(spark: SparkSession, sources: dict[str, str], out: str, wiki: str | No
         made = [convert(name, files.read_split(spark, folder, split), sentences, most) for name, folder in sorted(sources.items())]
         for name, rows in zip(sorted(sources), made, strict=True):
             rows.write.mode("overwrite").parquet(f"{out}/instances/{split}/{name}")
-        stored = [spark.read.parquet(f"{out}/instances/{split}/{name}") for name in sorted(sources)]
-        merged = merge_split(stored, seed)
+        back = [spark.read.parquet(f"{out}/instances/{split}/{name}") for name in sorted(sources)]
+        merged = storage.stored(merge_split(back, seed), "merged")
+        graph.nodes(merged).write.mode("overwrite").parquet(f"{out}/graph/{split}/nodes")
+        graph.edges(merged).write.mode("overwrite").parquet(f"{out}/graph/{split}/edges")
         done = split_processed(merged, seed=seed) if split == "train" else assemble.processed(features.with_features(merged)).withColumn("split", F.lit("validation"))
         done.write.mode("overwrite").partitionBy("split", "dataset").parquet(f"{out}/processed/{split}")
         files.write_features_csv(spark.read.parquet(f"{out}/processed/{split}"), f"{out}/features/{split}")
@@ -76,30 +76,121 @@ def flat_features(rows: DataFrame) -> DataFrame:
     return rows.select("*", *(F.col("graph_features")[c].alias(c) for c in FEATURES)).withColumn("label", label.cast("int"))
 
 
+Detector = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def majority(train: DataFrame, test: DataFrame) -> DataFrame:
+    best = metrics.majority(train, "label", "example_id").withColumnRenamed("majority", "pred")
+    return test.crossJoin(F.broadcast(best))  # one row
+
+
+def tfidf_detector(train: DataFrame, test: DataFrame, text: str = "plain_input", key: str = "example_id", terms: int = 50_000) -> DataFrame:
+    """Regression on the terms of the training texts."""
+    vocabulary = storage.stored(models.tfidf_vocabulary(train, text, terms), "vocabulary")
+    vectors = lambda rows: storage.stored(models.tfidf(rows.select(key, text, "label"), text, key, vocabulary, terms).drop(text), "vectors")
+    judged = models.fit_predict(vectors(train), vectors(test)).select(F.col(key).alias("_key"), "pred")
+    return test.join(judged, test[key] == judged["_key"]).drop("_key")
+
+
+def without(dropped: str) -> Detector:
+    return lambda train, test: models.features_regression(train, test, [f for f in FEATURES if f != dropped])
+
+
 #: Detectors by name: functions (train, test) of flat_features rows -> test with `pred`.
-DETECTORS = {
+DETECTORS: dict[str, Detector] = {
+    "majority": majority,
+    "tfidf": tfidf_detector,
     "features_only": lambda train, test: models.features_regression(train, test, FEATURES),
-    **{f"without_{c}": (lambda dropped: lambda train, test: models.features_regression(train, test, [f for f in FEATURES if f != dropped]))(c) for c in FEATURES},
+    **{f"without_{c}": without(c) for c in FEATURES},
 }
 
 
+def zero_shot(factory: scoring.Factory) -> Detector:
+    """A language model names the state."""
+    return lambda train, test: scoring.score(test.withColumn("_ask", R.state_prompt("structured_input")), "_ask", factory, "_said").withColumn("pred", R.parse_state("_said")).drop("_ask", "_said")
+
+
+def critic(factory: scoring.Factory) -> Detector:
+    """A language model says whether passages are relevant and support an answer."""
+
+    def judge(train: DataFrame, test: DataFrame) -> DataFrame:
+        asked = assemble.question_and_evidence(test).withColumn("_ask", R.critic_prompt("input_text", F.col("passages")))
+        return scoring.score(asked, "_ask", factory, "_said").withColumn("pred", R.critic_state("_said")).drop("_ask", "_said", "passages")
+
+    return judge
+
+
+def retrieval_evaluator(factory: scoring.Factory) -> Detector:
+    """A language model rates the first passages one by one, and the ratings vote."""
+
+    def judge(train: DataFrame, test: DataFrame) -> DataFrame:
+        each = assemble.question_and_evidence(test).select("example_id", "input_text", F.explode(R.rated_passages(F.col("passages"))).alias("passage"))
+        said = scoring.score(each.withColumn("_ask", R.passage_prompt("input_text", "passage")), "_ask", factory, "_said")
+        votes = said.groupBy(F.col("example_id").alias("_id")).agg(F.collect_list("_said").alias("_said"))
+        joined = test.join(votes, test["example_id"] == votes["_id"], "left")
+        return joined.withColumn("pred", R.rating_vote(F.coalesce("_said", F.array().cast("array<string>")))).drop("_id", "_said")
+
+    return judge
+
+
+def embedding_similarity(score: str) -> Detector:
+    """Thresholds on a column of similarities: the better of a binary one and quartiles, both tuned on the rows that they judge."""
+
+    def judge(train: DataFrame, test: DataFrame) -> DataFrame:
+        chosen = thresholds.strategy(test, score, "label").first()
+        if chosen["strategy"] == "binary_threshold":
+            return test.withColumn("pred", F.when(F.col(score) >= chosen["threshold"], 0).otherwise(1))
+        return thresholds.by_quartile(test, score)
+
+    return judge
+
+
+def evaluate(detector: Detector, train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dataset, accuracy, macro_precision, macro_recall, macro_f1, action_accuracy, n) with dataset 'all' first, and (true, pred, n)."""
+    table = storage.stored(metrics.confusion(detector(train, test), "label", by=["dataset"]), "confusion")
+    overall = table.groupBy("true", "pred").agg(F.sum("n").alias("n"))
+    # each state has an action of its own, so actions are right where states are
+    per = metrics.macro(table, ["dataset"]).unionByName(metrics.macro(overall).withColumn("dataset", F.lit("all")))
+    return per.withColumn("action_accuracy", F.col("accuracy")), overall
+
+
+def experiments(spark: SparkSession, out: str, detectors: dict[str, Detector] | None = None) -> None:
+    """Fits every detector on the processed training rows, judges the test rows, and writes metrics, confusion tables, the leave-one-out
+    table and the feature detector itself."""
+    rows = storage.stored(flat_features(spark.read.parquet(f"{out}/processed/train")), "processed")
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    scores, tables = None, None
+    for name, detector in (detectors or DETECTORS).items():
+        score, table = (x.withColumn("detector", F.lit(name)) for x in evaluate(detector, train, test))
+        scores, tables = (score, table) if scores is None else (scores.unionByName(score), tables.unionByName(table))
+    files.write_results({"metrics": scores, "confusion": tables, "leave_one_out": models.leave_one_out(rows, "dataset", FEATURES)}, f"{out}/results")
+    models.fit_detector(train, FEATURES).save(f"{out}/detector")
+
+
 def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--source", action="append", default=[], help="name=folder")
     parser.add_argument("--wiki")
     parser.add_argument("--out", required=True)
+    parser.add_argument("--stage", choices=["process", "experiments", "all"], default="all")
     parser.add_argument("--seed", type=int, default=42)
     parser.add_argument("--smoke", action="store_true")
     parser.add_argument("--dry-run", action="store_true")
     given = parser.parse_args()
     sources = dict(x.split("=", 1) for x in given.source)
     if given.dry_run:
-        for name, folder in sorted(sources.items()):
-            print(f"{folder}/{{train,validation}} -> {given.out}/instances -> {given.out}/processed ({name}{f', {SMOKE_ROWS} rows' if given.smoke else ''})")
+        for name, folder in sorted(sources.items()) if given.stage != "experiments" else ():
+            print(f"{folder}/{{train,validation}} -> {given.out}/instances -> {given.out}/graph, {given.out}/processed ({name}{f', {SMOKE_ROWS} rows' if given.smoke else ''})")
+        if given.stage != "process":
+            print(f"{given.out}/processed -> {given.out}/results ({', '.join(DETECTORS)})")
         return
     from prooflake.session import build_session
 
-    build(build_session("build"), sources, given.out, given.wiki, SMOKE_ROWS if given.smoke else None, given.seed)
+    spark = build_session("build")
+    if given.stage != "experiments":
+        build(spark, sources, given.out, given.wiki, SMOKE_ROWS if given.smoke else None, given.seed)
+    if given.stage != "process":
+        experiments(spark, given.out)
 
 
 if __name__ == "__main__":

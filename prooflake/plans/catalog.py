@@ -14,6 +14,7 @@ from prooflake.operators import assemble, context, features, graph, ingest, metr
 from prooflake.plans import build
 from prooflake.plans.oracles import ORACLES
 from prooflake.sources import fixtures as X
+from prooflake.storage import stored
 from prooflake.streaming import events as event_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,18 +50,13 @@ def evidence_features(spark, d):
 
 @query
 def evidence_pairs_jaccard(spark, d):
-    rows = X.table(spark, d, "documents").select("doc_id", "lang", "text")
-    return pairs.similar_rows(rows, "lang", "doc_id", "text", features.SIMILAR).select("lang", "a", "b", F.round("similarity", 6).alias("similarity"), (F.col("similarity") > features.DUPLICATE).alias("duplicate"))
+    found = pairs.similar_pairs(X.instances(spark, d), features.SIMILAR, "item_id")
+    return found.select("item_id", "i", "j", F.round("similarity", 6).alias("similarity"), (F.col("similarity") > features.DUPLICATE).alias("duplicate"))
 
 
 @query
 def duplicate_rate_by_group(spark, d):
-    rows = X.table(spark, d, "documents").select("doc_id", "lang", "text")
-    found = pairs.similar_rows(rows, "lang", "doc_id", "text", features.DUPLICATE).groupBy("lang").agg(F.count("*").alias("duplicates"))
-    sizes = rows.where(~T.is_blank("text")).groupBy("lang").agg(F.count("*").alias("n"))
-    pairs_of = F.col("n") * (F.col("n") - 1) / 2
-    joined = sizes.join(found, "lang", "left").withColumn("duplicates", F.coalesce("duplicates", F.lit(0)))
-    return joined.select("lang", "n", "duplicates", F.round(F.col("duplicates") / F.greatest(pairs_of, F.lit(1.0)), 6).alias("duplicate_rate"))
+    return _rounded(pairs.duplicate_rates(X.instances(spark, d), features.DUPLICATE, "item_id"), "duplicate_rate")
 
 
 @query
@@ -75,6 +71,15 @@ def query_word_overlap(spark, d):
     return asked.select("conv_id", "turn", F.round(T.query_overlap(words("prediction"), words("gold")), 4).alias("word_overlap"))
 
 
+@query
+def named_entity_overlap(spark, d):
+    """The overlap with a plugged-in extractor: here capitalised words."""
+    import re
+
+    found = features.entity_overlap(X.instances(spark, d), lambda texts: [re.findall("[A-Z][a-z]+", t) for t in texts])
+    return found.select("item_id", "entity_overlap")
+
+
 @query
 def evidence_graph_nodes(spark, d):
     return graph.nodes(X.instances(spark, d))
@@ -344,6 +349,11 @@ def dataset_state_pivot(spark, d):
     return _rounded(rows, *STATES)
 
 
+@query
+def dataset_key_features(spark, d):
+    return _rounded(plots.key_feature_pivot(_labelled_features(spark, d), "dataset", "state", STATES), *STATES)
+
+
 @query
 def dataset_state_counts(spark, d):
     return plots.class_pivot(_labelled_features(spark, d), "dataset", "state", STATES)
@@ -391,6 +401,12 @@ def running_accuracy(spark, d):
     return _rounded(metrics.running_accuracy(rows, "place", "true", "pred"), "accuracy")
 
 
+@query
+def running_macro_f1(spark, d):
+    rows = sampling.with_places(X.predictions(spark, d), "doc_id")
+    return _rounded(metrics.running_macro_f1(rows, "place", "true", "pred"), "macro_f1")
+
+
 @query
 def token_f1_em(spark, d):
     return X.answer_pairs(spark, d).select("conv_id", "turn", F.round(T.token_f1("prediction", "gold"), 6).alias("f1"), T.exact_match("prediction", "gold").alias("em"))
@@ -399,8 +415,7 @@ def token_f1_em(spark, d):
 @query
 def context_metrics(spark, d):
     rows = assemble.question_and_evidence(assemble.processed(X.instances(spark, d))).select("example_id", F.col("input_text").alias("question"), "passages", F.element_at(F.split("input_text", " "), 1).alias("gold"))
-    names = ["context_precision", "context_recall", "context_relevancy", "context_utilization", "answer_coverage"]
-    return _rounded(context.context_metrics(rows).select("example_id", *names), *names)
+    return _rounded(context.context_metrics(rows).select("example_id", *context.METRICS), *context.METRICS)
 
 
 # -- similarity baselines ---------------------------------------------------------------------------------------------------------
@@ -443,6 +458,26 @@ def nli_label_map(spark, d):
     return _turns(spark, d).select("conv_id", "turn", R.entailment_state(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))).alias("state"))
 
 
+@query
+def nli_argmax(spark, d):
+    """Three components of each vector stand for the logits of a model."""
+    return X.table(spark, d, "embeddings").select("vec_id", R.argmax_state(F.slice("embedding", 1, 3)).cast("int").alias("state"))
+
+
+@query
+def passage_prompts(spark, d):
+    rows = assemble.question_and_evidence(assemble.processed(X.instances(spark, d)))
+    each = rows.select("example_id", "input_text", F.posexplode(R.rated_passages(F.col("passages"))).alias("k", "passage"))
+    return each.select("example_id", "k", F.md5(R.passage_prompt("input_text", "passage")).alias("prompt_md5"))
+
+
+@query
+def generation_prompts(spark, d):
+    rows = assemble.question_and_evidence(assemble.processed(X.instances(spark, d)))
+    first = F.coalesce(F.get("passages", F.lit(0)), F.lit(""))
+    return rows.select("example_id", F.md5(R.generation_prompt("dataset", first, ("ds0",))).alias("prompt_md5"))
+
+
 @query
 def llm_label_parse(spark, d):
     return _turns(spark, d).select("conv_id", "turn", R.parse_state(X.canned("state", F.col("conv_id") + F.col("turn"))).alias("state"))
@@ -529,45 +564,80 @@ def daily_event_counts(spark, d):
     return event_stream.daily_counts(X.table(spark, d, "events"))
 
 
-# -- models (no SQL twin) --------------------------------------------------------------------------------------------------------
+# -- models (fits have no SQL twin; their rows, splits and weights do) ---------------------------------------------------------------
 
 
-def _documents_with_quality(spark: SparkSession, d: str) -> DataFrame:
-    rows = X.table(spark, d, "labels").join(X.table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id")
-    words = T.words("text")
-    return rows.select("doc_id", "lang", "text", F.col("quality").alias("label"), F.size(words).cast("double").alias("n_words"), (F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))).alias("distinct_share"), F.length(F.regexp_replace("text", r"[^\p{Punct}]", "")).cast("double").alias("punctuation"))
+def _states(spark: SparkSession, d: str) -> DataFrame:
+    """Instances of all four states: the sufficient ones and their variants."""
+    return variants.all_states(X.instances(spark, d))
 
 
-NUMBERS = ["n_words", "distinct_share", "punctuation"]
-#: Terms of the TF-IDF vocabulary, as in the evaluated detector.
-TERMS = 50_000
+def _detector_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(example_id, dataset, label, the eight features, split), stored once for several fits."""
+    rows = build.flat_features(features.with_features(_states(spark, d))).select("example_id", "dataset", "label", *FEATURES)
+    return stored(sampling.stratified_split(rows, ["label", "dataset"], "example_id"), "detector-rows")
+
+
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return rows.where("split = 'train'"), rows.where("split = 'test'")
+
+
+@query
+def detector_split(spark, d):
+    """The rows that the detectors are fitted on and judge, and the weights that balance the training classes."""
+    label = F.array_position(F.array(*(F.lit(s) for s in STATES)), F.col("evidence_state_label")) - 1
+    rows = _states(spark, d).select("example_id", "dataset", label.cast("int").alias("label"))
+    train, test = _split(stored(sampling.stratified_split(rows, ["label", "dataset"], "example_id"), "detector-split"))
+    return models.balanced_weights(train).withColumn("weight", F.round("weight", 6)).unionByName(test.withColumn("weight", F.lit(None).cast("double")))
 
 
 @query
 def features_lr(spark, d):
-    rows = _documents_with_quality(spark, d).drop("text").cache()
-    judged = models.features_regression(rows.where("doc_id % 5 <> 0"), rows.where("doc_id % 5 = 0"), NUMBERS)
-    return metrics.macro(metrics.confusion(judged, "label"))
+    """Regression on the eight features of instances in four states."""
+    train, test = _split(_detector_rows(spark, d))
+    return metrics.macro(metrics.confusion(models.features_regression(train, test, FEATURES), "label"))
 
 
 @query
-def tfidf_lr(spark, d):
-    rows = _documents_with_quality(spark, d).select("doc_id", "text", "label").cache()
-    train = rows.where("doc_id % 5 <> 0")
-    vocabulary = models.tfidf_vocabulary(train, "text", TERMS).cache()
-    vectors = models.tfidf(rows, "text", "doc_id", vocabulary, TERMS).drop("text").cache()
-    judged = models.fit_predict(vectors.where("doc_id % 5 <> 0"), vectors.where("doc_id % 5 = 0"))
-    return metrics.macro(metrics.confusion(judged, "label"))
+def loaded_detector_confusion(spark, d):
+    """The same detector, saved, loaded and applied."""
+    train, test = _split(_detector_rows(spark, d))
+    detector = models.saved_and_loaded(models.fit_detector(train, FEATURES))
+    return metrics.confusion(detector.predict(test), "label")
 
 
 @query
 def context_lr_cv(spark, d):
-    return models.cross_validated(sampling.folds(_documents_with_quality(spark, d).drop("text"), "label", "doc_id").cache(), NUMBERS)
+    """Cross-validated regression on the five context metrics of instances in four states."""
+    rows = assemble.question_and_evidence(assemble.processed(_states(spark, d)))
+    label = F.array_position(F.array(*(F.lit(s) for s in STATES)), F.col("evidence_state_label")) - 1
+    rows = rows.select("example_id", F.col("input_text").alias("question"), "passages", F.coalesce("target_answer", F.lit("")).alias("gold"), label.cast("int").alias("label"))
+    measured = stored(context.context_metrics(rows).select("example_id", "label", *context.METRICS), "context-metrics")
+    return models.cross_validated(stored(sampling.folds(measured, "label", "example_id"), "context-folds"), context.METRICS)
 
 
 @query
 def leave_one_dataset_out(spark, d):
-    return models.leave_one_out(_documents_with_quality(spark, d).drop("text").cache(), "lang", NUMBERS)
+    return models.leave_one_out(_detector_rows(spark, d), "dataset", FEATURES)
+
+
+@query
+def majority_detector(spark, d):
+    train, test = _split(_detector_rows(spark, d))
+    return build.evaluate(build.majority, train, test)[0]
+
+
+#: Terms of the TF-IDF vocabulary, as in the evaluated detector.
+TERMS = 50_000
+
+
+@query
+def tfidf_lr(spark, d):
+    """On documents and their two-class quality label, as the given tables have far more of these than of evidence sets."""
+    docs = X.table(spark, d, "labels").join(X.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    rows = stored(docs.select("doc_id", "text", F.col("quality").alias("label")), "labelled-texts")
+    judged = build.tfidf_detector(rows.where("doc_id % 5 <> 0"), rows.where("doc_id % 5 = 0"), "text", "doc_id", TERMS)
+    return metrics.macro(metrics.confusion(judged, "label"))
 
 
 def queries() -> dict[str, Query]:

@@ -225,10 +225,10 @@ FROM worded w JOIN base USING (item_id)"""
 
 _CUT = r"regexp_replace(left(text, 120), '\s+$', '')"
 _DISPUTE = f"lower({_CUT} || CASE WHEN length(text) > 120 THEN '...' ELSE '' END)"
-_CONTRADICTIONS = f"""list_concat(['Several archives dispute the following: ' || {_DISPUTE} || ' They call it unreliable.', 'A later review found this to be wrong: ' || {_DISPUTE} || ' New documents show otherwise.',
- 'The statement below was withdrawn: ' || {_DISPUTE} || ' It rested on partial data.', 'Attempts to confirm this failed: ' || {_DISPUTE} || ' Reviewers list it as unsupported.'],
- CASE WHEN length(answer) > 1 THEN ['Naming ' || answer || ' here is a mistake; what happened was different.', 'The entry about ' || answer || ' was struck out and replaced by a conflicting one.', 'Better sources rule out ' || answer || ' in this matter.'] ELSE [] END)"""
-_SUPERSESSIONS = f"""['[As of 2025] The record that ' || lower({_CUT}) || '... was revised; today''s facts differ.', '[2025 revision] What was said before, that ' || lower({_CUT}) || '... gave way to newer findings.', '[Changed in 2025] The earlier text, ' || lower({_CUT}) || '..., does not describe the present state.']"""
+_CONTRADICTIONS = f"""list_concat(['Two independent registers deny it: ' || {_DISPUTE}, {_DISPUTE} || ' A recount gave a number that cannot be squared with this.',
+ 'Letters printed since then say the reverse of "' || {_DISPUTE} || '"', 'Struck from the record, as it did not take place: ' || {_DISPUTE}],
+ CASE WHEN length(answer) > 1 THEN ['Whoever it was, it was not ' || answer || '.', answer || ' is out of the question, given the dates in the register.', 'The original record has another name where copies have ' || answer || '.'] ELSE [] END)"""
+_SUPERSESSIONS = f"""[lower({_CUT}) || '... - so the edition of 2018; the one in force has another entry here.', 'Valid until the next edition only: ' || lower({_CUT}) || '...', 'This edition settles differently what used to read "' || lower({_CUT}) || '...".']"""
 
 
 def _drawn(options: str, stream: str) -> str:
@@ -243,13 +243,10 @@ ORACLES: dict[str, str] = {
     "evidence_features": f"WITH {FEATURED} SELECT item_id, {_F} FROM feat",
     "document_overlap_rate": f"WITH {FEATURED} SELECT item_id, document_overlap_rate, source_diversity FROM feat",
     "feature_vectors": f"WITH {FEATURED} SELECT item_id, unnest(range(8))::INT AS place, unnest([{', '.join(f'{c}::DOUBLE' for c in FEATURES)}]) AS value FROM feat",
-    "evidence_pairs_jaccard": f"""WITH t AS (SELECT doc_id, lang, {_set('text')} AS s FROM documents), p AS (
-  SELECT a.lang, a.doc_id AS a, b.doc_id AS b, {_jaccard('a.s', 'b.s')} AS j FROM t a JOIN t b ON a.lang = b.lang AND a.doc_id < b.doc_id AND least(len(a.s), len(b.s)) > 0.3 * greatest(len(a.s), len(b.s)))
-SELECT lang, a, b, round(j, 6) AS similarity, j > 0.5 AS duplicate FROM p WHERE j > 0.3""",
-    "duplicate_rate_by_group": f"""WITH t AS (SELECT doc_id, lang, {_set('text')} AS s FROM documents WHERE NOT {_blank('text')}), p AS (
-  SELECT a.lang, count(*) AS k FROM t a JOIN t b ON a.lang = b.lang AND a.doc_id < b.doc_id AND least(len(a.s), len(b.s)) > 0.5 * greatest(len(a.s), len(b.s)) WHERE {_jaccard('a.s', 'b.s')} > 0.5 GROUP BY a.lang),
-c AS (SELECT lang, count(*) AS n FROM t GROUP BY lang)
-SELECT lang, n, coalesce(k, 0) AS duplicates, round(coalesce(k, 0) / greatest(n * (n - 1) / 2, 1.0), 6) AS duplicate_rate FROM c LEFT JOIN p USING (lang)""",
+    "evidence_pairs_jaccard": f"""WITH {FEATURED}, p AS (SELECT a.item_id, a.pos AS i, b.pos AS j, {_jaccard('a.s', 'b.s')} AS sim FROM t a JOIN t b ON a.item_id = b.item_id AND a.pos < b.pos AND a.filled AND b.filled)
+SELECT item_id, i, j, round(sim, 6) AS similarity, sim > 0.5 AS duplicate FROM p WHERE sim > 0.3""",
+    "duplicate_rate_by_group": f"""WITH {FEATURED}, c AS (SELECT item_id, CAST(count(*) FILTER (filled) AS INT) AS n FROM t GROUP BY item_id)
+SELECT c.item_id, n, CAST(coalesce(n_dup, 0) AS INT) AS duplicates, round(coalesce(n_dup, 0) / greatest(n::DOUBLE * (n - 1) / 2, 1.0), 6) AS duplicate_rate FROM c LEFT JOIN pairs USING (item_id)""",
     "query_word_overlap": f"""WITH o AS (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS gold FROM conversations)
 SELECT conv_id, turn, round({_overlap(_content(_tokens('text'), STOPWORDS_EVIDENCE), _content(_tokens('gold'), STOPWORDS_EVIDENCE))}, 4) AS word_overlap FROM o WHERE role = 'user' AND gold IS NOT NULL""",
     "evidence_graph_nodes": f"""WITH {UNITS}, x AS (SELECT *, format('item_{{:06d}}_gold_full', item_id) AS example_id FROM units)
@@ -370,6 +367,29 @@ p AS (SELECT CAST(k AS INT) AS step, true_, CASE WHEN score >= k / 100.0::DOUBLE
 b1 AS (SELECT step, macro_f1 FROM mac WHERE step < 100 ORDER BY macro_f1 DESC, step LIMIT 1), m1 AS (SELECT macro_f1 FROM mac WHERE step = 100)
 SELECT CASE WHEN b1.macro_f1 > m1.macro_f1 THEN 'binary_threshold' ELSE 'multi_threshold' END AS strategy, step / 100.0::DOUBLE AS threshold, round(b1.macro_f1, 6) AS binary_f1, round(m1.macro_f1, 6) AS quartile_f1 FROM b1 CROSS JOIN m1""",
     "similarity_stats": f'WITH {_SCORES} SELECT true_ AS "true", round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(quantile_cont(score, 0.5), 6) AS median, count(*) AS n FROM scores GROUP BY true_',
+    "nli_argmax": """WITH l AS (SELECT vec_id, embedding[1:3] AS x FROM embeddings) SELECT vec_id, CASE list_position(x, list_max(x)) - 1 WHEN 2 THEN 0 WHEN 0 THEN 2 ELSE 1 END AS state FROM l""",
+    "passage_prompts": f"""WITH {_TOP}, k AS (SELECT example_id, input_text, ps, unnest(range(least(3, len(ps)))) AS k FROM passage_list)
+SELECT example_id, CAST(k AS INT) AS k, md5('Question: ' || input_text || chr(10) || 'Passage: ' || left(ps[k + 1], 500) || chr(10) || chr(10) || 'Rate the passage: CORRECT, AMBIGUOUS or INCORRECT.') AS prompt_md5 FROM k""",
+    "generation_prompts": f"""WITH {_TOP}, f AS (SELECT *, coalesce(ps[1], '') AS first FROM passage_list)
+SELECT example_id, md5('Evidence:' || chr(10) || first || CASE WHEN dataset = 'ds0' THEN chr(10) || chr(10) || 'Is the claim SUPPORTS, REFUTES or NOT ENOUGH INFO? Verdict:' ELSE chr(10) || chr(10) || 'Give the answer in a few words:' END) AS prompt_md5 FROM f""",
+    "named_entity_overlap": rf"""WITH {UNITS}, e AS (
+  SELECT item_id, any_value(input_text) AS q, left(coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (doc_id IS NOT NULL AND NOT {_blank('text')}), ''), 10000) AS told FROM units GROUP BY item_id
+), x AS (SELECT item_id, list_distinct(list_transform(regexp_extract_all(q, '[A-Z][a-z]+'), lambda w: lower(w))) AS a, list_distinct(list_transform(regexp_extract_all(told, '[A-Z][a-z]+'), lambda w: lower(w))) AS b FROM e)
+SELECT item_id, round(CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b))::DOUBLE / len(a) END, 4) AS entity_overlap FROM x""",
+    "running_macro_f1": f"""WITH {_PREDICTIONS}, o AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS k FROM p), e AS (SELECT unnest(range(1, (SELECT count(*) FROM o) // 100 + 1)) * 100 AS rows_seen),
+c AS (SELECT rows_seen, true_, pred, count(*) AS n FROM e JOIN o ON k <= rows_seen GROUP BY ALL),
+sides AS (SELECT rows_seen, true_ AS label, n AS t, 0 AS q, CASE WHEN true_ = pred THEN n ELSE 0 END AS hit FROM c UNION ALL SELECT rows_seen, pred, 0, n, 0 FROM c),
+r AS (SELECT rows_seen, label, 2.0::DOUBLE * sum(hit) / (sum(t) + sum(q)) AS f1 FROM sides GROUP BY ALL)
+SELECT rows_seen, round(avg(f1), 6) AS macro_f1 FROM r GROUP BY rows_seen""",
+    "dataset_key_features": f"WITH {FEATURED}, k AS (UNPIVOT (SELECT dataset, state, entity_overlap::DOUBLE AS entity_overlap, text_resolution_rate::DOUBLE AS text_resolution_rate, duplicate_rate::DOUBLE AS duplicate_rate, evidence_count::DOUBLE AS evidence_count FROM feat) ON entity_overlap, text_resolution_rate, duplicate_rate, evidence_count INTO NAME feature VALUE value) SELECT dataset, feature, "
+    + ", ".join(f"round(avg(value) FILTER (state = '{s}'), 6) AS {s}" for s in STATES)
+    + " FROM k GROUP BY dataset, feature",
+    "detector_split": f"""WITH {UNITS}, i AS (SELECT item_id, 'ds' || any_value(ds) AS dataset, bool_or(doc_id IS NOT NULL AND is_gold) AS g, bool_or(doc_id IS NOT NULL AND is_gold AND coalesce(text, '') <> '') AS gt FROM units GROUP BY item_id),
+a AS (SELECT format('item_{{:06d}}_gold_full', item_id) AS example_id, dataset, 0 AS label FROM i UNION ALL SELECT format('item_{{:06d}}_insufficient', item_id), dataset, 1 FROM i WHERE g
+      UNION ALL SELECT format('item_{{:06d}}_contradicted', item_id), dataset, 2 FROM i WHERE gt UNION ALL SELECT format('item_{{:06d}}_superseded', item_id), dataset, 3 FROM i WHERE gt),
+r AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY label, dataset ORDER BY {_rank('42|split', 'example_id')}, example_id) <= greatest(1, floor(count(*) OVER (PARTITION BY label, dataset) * 0.2::DOUBLE)) THEN 'test' ELSE 'train' END AS split FROM a),
+c AS (SELECT label, count(*) AS k FROM r WHERE split = 'train' GROUP BY label), s AS (SELECT sum(k) AS n, count(*) AS m FROM c)
+SELECT r.example_id, r.dataset, r.label, r.split, round(CASE WHEN r.split = 'train' THEN n::DOUBLE / (m * k) END, 6) AS weight FROM r LEFT JOIN c USING (label) CROSS JOIN s""",
     "nli_label_map": "SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 2 THEN 0 WHEN 0 THEN 2 ELSE 1 END AS state FROM conversations",
     "llm_label_parse": f"""WITH r AS (SELECT conv_id, turn, lower({_strip(f"string_split({_strip(_canned('state', 'conv_id + turn'))}, chr(10))[1]")}) AS l FROM conversations)
 SELECT conv_id, turn, CASE WHEN contains(l, 'insufficient') THEN 1 WHEN contains(l, 'superseded') THEN 3 WHEN contains(l, 'contradict') THEN 2 ELSE 0 END AS state FROM r""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prooflake.operators.ingest import parse_wiki_lines
@@ -10,8 +10,52 @@ from prooflake.sources import schemas
 
 
 def read_split(spark: SparkSession, folder: str, split: str) -> DataFrame:
-    """A split of an exported dataset: folder/split as Parquet."""
-    return spark.read.parquet(f"{folder.rstrip('/')}/{split}")
+    """A split of an exported dataset, folder/split as Parquet, with `ordinal`, a row's number from 0 in source order: by file name, then by
+    place in the file, both as the files themselves have it."""
+    from pyspark.errors import AnalysisException
+
+    path = f"{folder.rstrip('/')}/{split}"
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as error:
+        raise FileNotFoundError(f"no split {split} in {folder}") from error
+    if "ordinal" in rows.columns:
+        return rows
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = placed.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    bases = sizes.select(F.col("_file").alias("_f"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return placed.join(bases, F.col("_file") == F.col("_f")).select(*rows.columns, (F.col("_base") + F.col("_row")).cast("int").alias("ordinal"))
+
+
+def read_sentences(spark: SparkSession, pages: str | None = None, dump: str | None = None, lookup: str | None = None) -> DataFrame:
+    """Sentences from whichever source is given and there, tried in this order: a ready lookup, a table of pages (Parquet), a dump of
+    JSON lines."""
+    from pyspark.errors import AnalysisException
+
+    tried = []
+    for path, read in ((lookup, read_lookup), (pages, lambda s, p: parse_wiki_lines(s.read.parquet(p))), (dump, read_wiki_pages)):
+        if path:
+            try:
+                return read(spark, path)
+            except AnalysisException:
+                tried.append(path)
+    raise FileNotFoundError(f"no sentences in {tried or 'any given source'}")
+
+
+def lists_as_records(rows: DataFrame, column: str) -> DataFrame:
+    """Older exports hold a struct of parallel lists where newer ones hold a list of structs: the former as the latter."""
+    kind = rows.schema[column].dataType
+    if not hasattr(kind, "fields"):
+        return rows
+    names = [f.name for f in kind.fields]
+    return rows.withColumn(column, F.arrays_zip(*(F.col(column)[n] for n in names)))
+
+
+def write_results(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table of an experiment's results as JSON lines in a folder of its name."""
+    for name, rows in tables.items():
+        write_json(rows, f"{path}/{name}")
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str = schemas.INSTANCE) -> DataFrame:
@@ -66,8 +110,6 @@ def load_normalizer(spark: SparkSession, path: str) -> DataFrame:
 
 
 def example_json(rows: DataFrame, ordinal: int, key: str, most: int = 5000) -> DataFrame:
-    """One record as JSON text cut to `most` characters: the one at this place in key order."""
-    from pyspark.sql import Window
-
-    placed = rows.withColumn("_at", F.row_number().over(Window.orderBy(key)) - 1).where(F.col("_at") == ordinal)
-    return placed.select(F.substring(F.to_json(F.struct(*rows.columns)), 1, most).alias("record"))
+    """One record as JSON text cut to `most` characters: the one at this place in key order. Each task keeps ordinal + 1 rows at most."""
+    first = rows.orderBy(key).limit(ordinal + 1)
+    return first.orderBy(F.desc(key)).limit(int(first.count() == ordinal + 1)).select(F.substring(F.to_json(F.struct(*rows.columns)), 1, most).alias("record"))

@@ -3,10 +3,12 @@
 import subprocess
 import sys
 
+import pytest
 from pyspark.sql import functions as F
 
 from prooflake.functions.vocabulary import STATES
 from prooflake.operators.metrics import confusion
+from prooflake.operators import models
 from prooflake.plans import build
 from prooflake.sources import files, fixtures, schemas
 
@@ -29,11 +31,48 @@ def test_build(spark, tmp_path):
     assert done.select("example_id").distinct().count() == done.count()
     assert files.read_features_csv(spark, f"{out}/features/train").count() == done.count()
     assert spark.read.parquet(f"{out}/instances/train/fever").drop("dataset").columns == [c for c in spark.createDataFrame([], schemas.INSTANCE).columns if c != "dataset"]
-    rows = build.flat_features(done).cache()
-    judged = build.DETECTORS["features_only"](rows.where("split = 'train'"), rows.where("split = 'test'"))
-    assert confusion(judged, "label").agg(F.sum("n")).first()[0] == rows.where("split = 'test'").count()
+    nodes, edges = (spark.read.parquet(f"{out}/graph/train/{t}") for t in ("nodes", "edges"))
+    ends = edges.select("example_id", F.col("src").alias("node")).union(edges.select("example_id", "dst")).distinct()
+    assert edges.count() and ends.join(nodes, ["example_id", "node"], "left_anti").count() == 0
+    rows = build.flat_features(done)
+    test = rows.where("split = 'test'")
+
+    def answering(reply):
+        return lambda: lambda prompts: [reply] * len(prompts)
+
+    similar = lambda train, test: build.embedding_similarity("avg_evidence_length")(train, test)
+    kinds = {k: build.DETECTORS[k] for k in ("majority", "tfidf", "features_only", "without_duplicate_rate")}
+    kinds |= {"zero_shot": build.zero_shot(answering("Superseded.")), "critic": build.critic(answering("RELEVANT: NO")), "retrieval": build.retrieval_evaluator(answering("ambiguous")), "embedding": similar}
+    build.experiments(spark, out, kinds)
+    scores = {(r.detector, r.dataset): r for r in spark.read.json(f"{out}/results/metrics").collect()}
+    assert {d for d, _ in scores} == set(kinds) and all(scores[d, "all"].n == test.count() for d in kinds)
+    said = {(r.detector, r.pred) for r in spark.read.json(f"{out}/results/confusion").collect() if r.detector in ("zero_shot", "critic")}
+    assert said == {("zero_shot", 3), ("critic", 1)}
+    # what was saved judges as what was fitted
+    loaded = models.Detector.load(spark, f"{out}/detector")
+    again = confusion(loaded.predict(test), "label").agg(F.sum(F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")).first()[0]
+    assert again == pytest.approx(scores["features_only", "all"].accuracy)
+
+
+def test_ordinals_follow_the_files(spark, tmp_path):
+    for k, part in enumerate(("b", "a", "c")):
+        spark.createDataFrame([(f"{part}{i}",) for i in range(3 + k)], "id string").coalesce(1).write.parquet(str(tmp_path / f"raw_{part}"))
+        (tmp_path / "x" / "train").mkdir(parents=True, exist_ok=True)
+        next((tmp_path / f"raw_{part}").glob("*.parquet")).rename(tmp_path / "x" / "train" / f"{part}.parquet")
+    rows = sorted((r.ordinal, r.id) for r in files.read_split(spark, str(tmp_path / "x"), "train").collect())
+    assert rows == list(enumerate([f"a{i}" for i in range(4)] + [f"b{i}" for i in range(3)] + [f"c{i}" for i in range(5)]))
+    with pytest.raises(FileNotFoundError, match="no split test"):
+        files.read_split(spark, str(tmp_path / "x"), "test")
+    with pytest.raises(FileNotFoundError):
+        files.read_sentences(spark, dump=str(tmp_path / "none"))
+
+
+def test_older_records(spark):
+    rows = spark.createDataFrame([((["a", "b"], [1, 2]),)], "s struct<title: array<string>, sent_id: array<int>>")
+    assert [tuple(x) for x in files.lists_as_records(rows, "s").first().s] == [("a", 1), ("b", 2)]
+    assert files.lists_as_records(files.lists_as_records(rows, "s"), "s").columns == ["s"]
 
 
 def test_dry_run():
     said = subprocess.run([sys.executable, "-m", "prooflake.plans.build", "--source", "fever=/x", "--out", "/y", "--dry-run", "--smoke"], capture_output=True, text=True, timeout=120, check=True).stdout
-    assert "/x/{train,validation} -> /y/instances -> /y/processed (fever, 200 rows)" in said
+    assert "/x/{train,validation} -> /y/instances -> /y/graph, /y/processed (fever, 200 rows)" in said and "/y/processed -> /y/results (majority, tfidf," in said

@@ -44,7 +44,22 @@ def test_entry(spark):
 
 def test_features_regression(spark):
     row = catalog.queries()["features_lr"](spark, SF).first()
-    assert row.accuracy > 0.7
+    assert row.macro_f1 > 0.25 and row.n == catalog.queries()["detector_split"](spark, SF).where("split = 'test'").count()
+
+
+def test_loaded_detector_judges_like_the_fitted_one(spark):
+    from prooflake.functions.vocabulary import FEATURES
+    from prooflake.operators import metrics, models
+
+    train, test = catalog._split(catalog._detector_rows(spark, SF))
+    wanted = sorted(metrics.confusion(models.features_regression(train, test, FEATURES), "label").collect())
+    assert sorted(catalog.queries()["loaded_detector_confusion"](spark, SF).collect()) == wanted
+
+
+def test_other_models_run(spark):
+    assert {r.fold for r in catalog.queries()["context_lr_cv"](spark, SF).collect()} == {-1, 0, 1, 2, 3, 4}
+    assert {r.held_out for r in catalog.queries()["leave_one_dataset_out"](spark, SF).collect()} == {"ds0", "ds1", "ds2"}
+    assert catalog.queries()["majority_detector"](spark, SF).where("dataset = 'all'").first().accuracy > 0.2
 
 
 def test_tfidf_takes_the_whole_vocabulary(spark, monkeypatch):
@@ -57,8 +72,10 @@ def test_tfidf_takes_the_whole_vocabulary(spark, monkeypatch):
 
 
 def test_leave_one_out_refuses_more_datasets_than_it_judges(spark):
-    from prooflake.operators import models
+    from prooflake.operators import models, sampling
 
     rows = spark.range(1001).selectExpr("CAST(id AS STRING) AS dataset", "CAST(id % 2 AS INT) AS label", "CAST(id AS DOUBLE) AS x")
     with pytest.raises(ValueError, match="more than 1000"):
         models.leave_one_out(rows, "dataset", ["x"])
+    with pytest.raises(ValueError, match="more than 1000"):
+        sampling.held_out_by(rows, "dataset")

@@ -131,3 +131,38 @@ def test_context_metrics_without_passages(spark):
     none, some = context.context_metrics(rows).collect()
     assert tuple(none)[3:] == (0, 0, 0, 0, 0)
     assert tuple(some)[3:] == (0.5, 1.0, 0.5, 0.5, 1.0)
+
+
+def test_bounds_take_exact_numbers(spark):
+    """Equal to a full sort by rank and key, for every group, null ones too."""
+    from prooflake.functions.text import hash_rank
+
+    rows = spark.range(3000).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL ELSE CAST(id % 3 AS STRING) END AS s")
+    got = {r.id for r in sampling.stratified_split(rows, ["s"], "id", 0.3).where("split = 'test'").collect()}
+    ranked = {}
+    for r in rows.withColumn("rank", hash_rank("42|split", F.col("id"))).collect():
+        ranked.setdefault(r.s, []).append((r.rank, r.id))
+    assert got == {i for v in ranked.values() for _, i in sorted(v)[: max(1, int(len(v) * 0.3))]}
+    assert "Window" not in str(sampling.stratified_split(rows, ["s"], "id")._jdf.queryExecution().optimizedPlan()).split("Join")[0]
+
+
+def test_folds_deal_each_class_round(spark):
+    rows = spark.range(500).selectExpr("id * id AS id", "CAST(id % 3 AS INT) AS c").repartition(7)
+    found = {}
+    for r in sorted(sampling.folds(rows, "c", "id").collect()):
+        found.setdefault(r.c, []).append(r.fold)
+    assert all(v == [k % 5 for k in range(len(v))] for v in found.values())
+
+
+def test_places_with_one_outlying_key(spark):
+    rows = spark.createDataFrame([(k,) for k in [*range(200), 1 << 60]], "id long").repartition(3)
+    assert sorted(r.place for r in sampling.with_places(rows, "id").collect()) == list(range(201))
+
+
+@pytest.mark.parametrize(("logits", "state"), [([0.1, 0.2, 0.9], 0), ([0.5, 0.9, 0.1], 1), ([3.0, 1.0, 2.0], 2), ([1.0, 1.0, 1.0], 2)])
+def test_argmax(spark, logits, state):
+    assert spark.range(1).select(R.argmax_state(F.array(*(F.lit(x) for x in logits))).alias("x")).first().x == state
+
+
+def test_generation_prompts(spark):
+    assert "Verdict" in one(spark, R.generation_prompt("d", "e"), d="fever", e="x") and "few words" in one(spark, R.generation_prompt("d", "e"), d="hotpotqa", e="x")

@@ -68,13 +68,49 @@ def test_multi_hop_keeps_sentence_numbers(spark):
     assert [(u.sentence_index, u.is_gold_evidence) for u in units] == [(0, True), (2, True)]
 
 
-def test_similar_rows_equal_brute_force(spark):
-    rows = fixtures.table(spark, SF, "documents").select("doc_id", "lang", "text")
-    got = {(r.a, r.b) for r in pairs.similar_rows(rows, "lang", "doc_id", "text", 0.3).collect()}
-    sets = {r.doc_id: (r.lang, set(r.s)) for r in rows.select("doc_id", "lang", T.token_set("text").alias("s")).collect()}
-    ids = sorted(sets)
-    wanted = {(a, b) for a in ids for b in ids if a < b and sets[a][0] == sets[b][0] and len(sets[a][1] & sets[b][1]) > 0.3 * len(sets[a][1] | sets[b][1])}
+def test_similar_pairs_equal_brute_force(spark, instances):
+    got = {(r.item_id, r.i, r.j) for r in pairs.similar_pairs(instances, 0.05, "item_id").collect()}
+    wanted, rates = set(), {}
+    for r in instances.collect():
+        sets = [set((u.text or "").lower().split()) for u in r.evidence_units]
+        close = {(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and sets[j] and len(sets[i] & sets[j]) > 0.05 * len(sets[i] | sets[j])}
+        wanted |= {(r.item_id, i, j) for i, j in close}
+        n = sum(bool(s) for s in sets)
+        rates[r.item_id] = len(close) / max(1, n * (n - 1) / 2)
     assert got == wanted and wanted
+    assert {r.item_id: pytest.approx(r.duplicate_rate) for r in pairs.duplicate_rates(instances, 0.05, "item_id").collect()} == rates
+
+
+def test_best_detector_and_its_curve(spark):
+    from prooflake.operators import models, plots
+
+    rows = spark.range(300).selectExpr("CAST(id % 3 AS INT) AS label", "CAST(id % 3 AS DOUBLE) + rand(1) AS x", "rand(2) AS y")
+    best, scores = models.best_detector(rows, rows, ["x", "y"], [1e-6, 1.0, 1.0])
+    assert scores[1] == scores[2] > scores[0] and best.predict(rows.withColumn("features_", rows.x)).where("pred = label").count() > 280
+    assert [tuple(r) for r in plots.curve(rows, scores, "macro_f1").collect()] == [(k, "macro_f1", s) for k, s in enumerate(scores)]
+
+
+def test_regression_equals_plain_descent(spark):
+    """Balanced multinomial regression with a penalty, against gradient descent in numpy."""
+    import numpy as np
+
+    from prooflake.operators import models
+
+    rng = np.random.default_rng(0)
+    y = np.repeat([0, 1, 2], [60, 30, 15])
+    x = rng.standard_normal((105, 2)) + np.stack([y, -y], 1)
+    rows = spark.createDataFrame([(int(a), float(b), float(c)) for a, (b, c) in zip(y, x, strict=True)], "label int, a double, b double")
+    model = models.fit_detector(rows, ["a", "b"]).model
+    z = (x - x.mean(0)) / (x.std(0) + 1e-8)
+    w = (105 / (3 * np.bincount(y)))[y]
+    coef, bias = np.zeros((3, 2)), np.zeros(3)
+    for _ in range(20_000):
+        s = z @ coef.T + bias
+        p = np.exp(s - s.max(1, keepdims=True))
+        p = (p / p.sum(1, keepdims=True) - np.eye(3)[y]) * w[:, None] / w.sum()
+        coef, bias = coef - 0.5 * (p.T @ z + coef / 105), bias - 0.5 * p.sum(0)
+    got = np.array(model.coefficientMatrix.toArray())
+    assert np.allclose(got - got.mean(0), coef - coef.mean(0), atol=2e-3)
 
 
 def test_each_prompt_is_scored_once(spark, tmp_path):
