@@ -1,21 +1,19 @@
-"""What the operators share: scratch storage that every executor sees, bounded Arrow batches, column names, running sums."""
+"""What the operators share: bounded Arrow batches and column names; scratch tables and running sums are the package's own."""
 
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
-import uuid
-import weakref
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from prooflake.storage import running, scratch, stored, used_up
+
+__all__ = ["WORD", "positional", "release", "running", "runs", "scratch", "stored", "table", "texts_of", "used_up"]
 
 #: Words are maximal runs of bytes other than space and 0x09-0x0D, which is what bytes.split() splits on.
 WORD = r"[^\x20\x09-\x0D]+"
-_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,37 +27,6 @@ def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir. Only where that is unset and all runs on one machine (as in tests) a temporary
-    one is made; on a cluster that is an error, as other machines wouldn't see it."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="prooflake-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/prooflake/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    _PLACES[back] = path
-    return back
-
-
-def used_up(*tables: DataFrame) -> None:
-    """Empty stored tables once all that was made of them is itself stored, so that scratch space doesn't add up over the steps."""
-    for df in tables:
-        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(_PLACES.pop(df))
-
-
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps. Spark removes them once the driver's garbage is collected, which on a driver
     with little to do may be long after the disk is needed. No result depends on it; where the call isn't there, nothing happens."""
@@ -84,20 +51,3 @@ def runs(batches: Iterable[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Reco
         step = max(1, int(batch.num_rows * most_bytes / max(batch.nbytes, most_bytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
-
-
-def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """rows with a column for each of sums: its total over all rows that stand before in the order (ties in any order).
-
-    Two levels: rows are dealt to ranges of the order, and the totals of earlier ranges are added to the sums inside a range. So a task
-    sorts one range, and a single one only sees a row per range.
-    """
-    placed = stored(rows.withColumns({f"_{k}": c.cast("long") for k, c in sums.items()}).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    totals = placed.groupBy("_range").agg(*(F.sum(f"_{k}").alias(f"_{k}") for k in sums))
-    bases = totals.select("_range", *(F.coalesce(F.sum(f"_{k}").over(earlier), zero).alias(f"_base_{k}") for k in sums))
-    local = placed.withColumns({k: F.coalesce(F.sum(f"_{k}").over(inside), zero) for k in sums})
-    joined = local.join(F.broadcast(bases), "_range")  # one row a range, and ranges are as many as shuffle partitions
-    return joined.select(*rows.columns, *((F.col(k) + F.col(f"_base_{k}")).alias(k) for k in sums))
