@@ -13,9 +13,9 @@ suffix arrays see. The steps:
    Kasai's bounds; of the windows with a common prefix of LENGTH the first stays and the others go;
 3. windows that stay are merged across shards. Neighbouring ones with one anchor travel as a run to the anchor's owner, which merges the
    shards' sorted runs, then the sorted windows of runs that differ but share an anchor, by binary search of one shard's array in the
-   other's, two and two; equal hashes are compared by bytes. Windows of frequent anchors travel one by one as 128-bit hashes and are
-   grouped by them. So what one task must hold together is at most FREQUENT runs of an anchor, or nothing but one window's copies,
-   of which a shard sends one and which are reduced before they meet;
+   other's, two and two; equal hashes are compared by bytes. Windows of frequent anchors go by 128-bit hashes of their own: each task first
+   joins those of its shards, and what stays is cut into the owners' ranges of hashes. So what must come together is at most FREQUENT
+   runs of an anchor, or one window's copies, of which a task sends one;
 4. the byte ranges of all steps are joined to the texts and cut out.
 
 Rows: a null text counts as empty; texts under LENGTH bytes stay whole. Equal texts are compared once: all but the first (by
@@ -43,17 +43,21 @@ SPAN = LENGTH - K + 1
 #: Windows of anchors that occur more often are grouped one by one.
 FREQUENT = 512
 #: Bytes of text of a batch, of a piece of a long text, of a shard's suffix array, and of text that an owner answers for.
-BATCH_BYTES, PIECE_BYTES, SHARD_BYTES, OWNER_BYTES = 4 << 20, 2 << 20, 2 << 20, 12 << 20
+BATCH_BYTES, PIECE_BYTES, SHARD_BYTES, OWNER_BYTES = 2 << 20, 1 << 20, 1 << 20, 12 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = np.random.default_rng(20).integers(1 << 62, 1 << 63, (2, 8), dtype=np.uint64) | np.uint64(1)
 _BYTE = np.random.default_rng(21).integers(0, 1 << 63, (2, 256), dtype=np.uint64)
 #: Spreads hashes (anchors are small ones) over all values: an odd factor.
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-#: How an anchor of a batch travels, and a run of windows of a shard.
+#: How an anchor of a batch travels, a window of a frequent anchor, and a run of windows of a shard; and windows that a task joins at once.
 ENTRY = np.dtype([("key", "<u8"), ("count", "<u4")])
+WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("first", "<i8")])
 RUN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("first", "<i8"), ("size", "<u4")])
 
 
+WINDOWS_AT_ONCE = 1 << 20
+
+
 def block_hashes(x: np.ndarray, size: int, kind: int = 0) -> np.ndarray:
     """A hash of x[i : i + size] for each i; near the end it runs into padding."""
     h = _BYTE[kind][np.concatenate([x, np.zeros(size, np.uint8)])]
@@ -340,8 +344,8 @@ class _Stretch(NamedTuple):
     least: np.ndarray
 
 
-ROUTED = "kind int, owner int, rid long, doc long, first long, h1 long, h2 long, spans array<long>, meta binary, body binary"
-_KINDS = {"kind": pa.int32(), "owner": pa.int32(), "rid": pa.int64(), "doc": pa.int64(), "first": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "spans": pa.list_(pa.int64()), "meta": pa.binary(), "body": pa.binary()}
+ROUTED = "kind int, owner int, rid long, spans array<long>, meta binary, body binary"
+_KINDS = {"kind": pa.int32(), "owner": pa.int32(), "rid": pa.int64(), "spans": pa.list_(pa.int64()), "meta": pa.binary(), "body": pa.binary()}
 
 
 def _routed(kind: int, n: int, **given) -> pa.RecordBatch:
@@ -358,9 +362,9 @@ def _spans(rid: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nda
     return rid[heads], pa.ListArray.from_arrays(pa.array(np.append(2 * heads, len(flat)).astype(np.int32)), pa.array(flat))
 
 
-def shard(stretches: list[_Stretch], owners: int) -> Iterator[pa.RecordBatch]:
-    """What a shard removes (kind 0: rid, spans), its runs of windows that stay (kind 1: owner, meta, body, sorted by anchor) and windows of
-    frequent anchors that stay (kind 2: rid, doc, first, h1, h2)."""
+def shard(stretches: list[_Stretch], owners: int, often: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """What a shard removes (kind 0: rid, spans) and its runs of windows that stay (kind 1: owner, meta, body, sorted by anchor). Windows of
+    frequent anchors that stay are added to `often`."""
     stretches.sort(key=lambda s: s[:3])  # offsets then stand in the order of documents
     joined = Joined([s.bytes for s in stretches])
     code, least = np.concatenate([s.code for s in stretches]), np.concatenate([s.least for s in stretches])
@@ -378,11 +382,13 @@ def shard(stretches: list[_Stretch], owners: int) -> Iterator[pa.RecordBatch]:
         ids, spans = _spans(rid[at], place, place + last - first + LENGTH)
         yield _routed(0, len(ids), rid=ids, spans=spans)
     stays = windows & ~later
-    often = np.flatnonzero(stays & (code == 2))
-    if len(often):
-        at, place = where(often)
-        h1, h2 = (block_hashes(joined.x, LENGTH, kind)[often].view(np.int64) for kind in (0, 1))
-        yield _routed(2, len(often), rid=rid[at], doc=doc[at], first=place, h1=h1, h2=h2)
+    frequent = np.flatnonzero(stays & (code == 2))
+    if len(frequent):
+        at, place = where(frequent)
+        found = np.zeros(len(frequent), WINDOW)
+        found["h1"], found["h2"] = (block_hashes(joined.x, LENGTH, kind)[frequent] for kind in (0, 1))
+        found["doc"], found["rid"], found["first"] = doc[at], rid[at], place
+        often.append(found)
     run = np.where(stays & (code == 1), least, _NONE)
     heads = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1])]))
     tails = np.append(heads[1:], len(run)) - 1
@@ -406,6 +412,30 @@ def shard(stretches: list[_Stretch], owners: int) -> Iterator[pa.RecordBatch]:
         yield _routed(1, len(used), owner=used.astype(np.int32), meta=[meta[cuts[k] : cuts[k + 1]].tobytes() for k in used], body=bodies)
 
 
+def first_windows(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows with equal hashes the first in the order of documents, sorted by hash; and the others."""
+    every = np.concatenate(parts)
+    every = every[np.lexsort([every[c] for c in ("first", "rid", "doc", "h2", "h1")])]
+    new = np.concatenate([[True], (every["h1"][1:] != every["h1"][:-1]) | (every["h2"][1:] != every["h2"][:-1])])
+    return every[new], every[~new]
+
+
+def _cut_windows(later: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    return _spans(later["rid"].copy(), later["first"].copy(), later["first"] + LENGTH)
+
+
+def _joined_windows(often: list[np.ndarray], owners: int) -> Iterator[pa.RecordBatch]:
+    """What a task removes of its shards' windows of frequent anchors (kind 0), and the others, cut into owners' ranges (kind 2: owner, meta)."""
+    if not often:
+        return
+    kept, later = first_windows(often)
+    if len(later):
+        ids, spans = _cut_windows(later)
+        yield _routed(0, len(ids), rid=ids, spans=spans)
+    used, cuts = _owned(kept["h1"], owners)
+    yield _routed(2, len(used), owner=used.astype(np.int32), meta=[kept[cuts[k] : cuts[k + 1]].tobytes() for k in used])
+
+
 def shard_rows(texts: DataFrame, replies: DataFrame, owners: int) -> DataFrame:
     """ROUTED rows of all shards. A batch's replies and texts meet by its name."""
 
@@ -429,18 +459,22 @@ def shard_rows(texts: DataFrame, replies: DataFrame, owners: int) -> DataFrame:
         now, keys = None, []
         rows: list[tuple[int, int, int, bytes]] = []
         held: list[_Stretch] = []
+        often: list[np.ndarray] = []
         waiting = size = 0
 
         def closed() -> Iterator[pa.RecordBatch]:
             """Take the rows that wait, all of one batch."""
-            nonlocal rows, held, waiting, size
+            nonlocal rows, held, often, waiting, size
             if rows and keys:
                 for found in stretches(rows, np.unique(np.concatenate(keys))):
                     held.append(found)
                     size += len(found.bytes)
                     if size >= SHARD_BYTES:
-                        yield from shard(held, owners)
+                        yield from shard(held, owners, often)
                         held, size = [], 0
+                        if sum(map(len, often)) >= WINDOWS_AT_ONCE:
+                            yield from _joined_windows(often, owners)
+                            often = []
             rows, waiting = [], 0
 
         for part in runs(batches, BATCH_BYTES):
@@ -458,7 +492,8 @@ def shard_rows(texts: DataFrame, replies: DataFrame, owners: int) -> DataFrame:
                         yield from closed()
         yield from closed()
         if held:
-            yield from shard(held, owners)
+            yield from shard(held, owners, often)
+        yield from _joined_windows(often, owners)
 
     none = F.lit(None).cast("long")
     asked = replies.select("batch", F.lit(0).alias("side"), none.alias("rid"), none.alias("doc"), F.col("keys").alias("x"))
@@ -603,14 +638,16 @@ def merged_runs(routes: DataFrame, owners: int) -> DataFrame:
     return dealt.select("meta", "body").mapInArrow(work, "rid long, spans array<long>")
 
 
-def frequent_windows(routes: DataFrame) -> DataFrame:
-    """(rid, spans) of the windows of frequent anchors (kind 2) that stand earlier in another shard. The first of each is found by an
-    aggregation, which reduces them before they meet; the join back is between stored tables, with one row a window on its other side."""
-    rows = routes.where("kind = 2").select("h1", "h2", "doc", "rid", "first")
-    firsts = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "rid", "first")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    firsts = stored(firsts.select("h1", "h2", F.col("f.rid").alias("f_rid"), F.col("f.first").alias("f_first")), "first-windows")
-    later = rows.join(firsts, ["h1", "h2"]).where("rid <> f_rid OR first <> f_first")
-    return later.select("rid", F.array(F.col("first"), F.col("first") + LENGTH).alias("spans"))
+def frequent_windows(routes: DataFrame, owners: int) -> DataFrame:
+    """(rid, spans) of the windows of frequent anchors (kind 2) that stand earlier in what another task sent; one task an owner."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.frombuffer(m, WINDOW) for part in batches for m in part.column(0).to_pylist()]
+        if len(parts) > 1:
+            ids, spans = _cut_windows(first_windows(parts)[1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), spans], names=["rid", "spans"])
+
+    return routes.where("kind = 2").select("owner", "meta").repartitionById(owners, "owner").select("meta").mapInArrow(work, "rid long, spans array<long>")
 
 
 def removed_ranges(texts: Texts) -> DataFrame:
@@ -623,7 +660,7 @@ def removed_ranges(texts: Texts) -> DataFrame:
     routes = stored(shard_rows(texts.single, replies, owners), "routes")
     used_up(replies)
     release(spark)
-    spans = routes.where("kind = 0").select("rid", "spans").union(merged_runs(routes, owners)).union(frequent_windows(routes))
+    spans = routes.where("kind = 0").select("rid", "spans").union(merged_runs(routes, owners)).union(frequent_windows(routes, owners))
     cuts = stored(spans.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "cuts")
     used_up(routes)
     release(spark)

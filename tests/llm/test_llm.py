@@ -227,8 +227,10 @@ def test_a_passage_of_many_documents_is_no_hot_group(spark, monkeypatch):
     """Its windows all differ, so they must spread: no key holds more than one of them, however many documents there are."""
     for n in (600, 2400):
         rows, texts = passage_routes(spark, monkeypatch, n)
-        keys = [(r.h1, r.h2) for r in rows if r.kind == 2]
+        sizes = [len(np.frombuffer(r.meta, suffix_dedup.WINDOW)) for r in rows if r.kind == 2]
+        keys = [(w["h1"], w["h2"]) for r in rows if r.kind == 2 for w in np.frombuffer(r.meta, suffix_dedup.WINDOW)]
         assert len(keys) >= n and len(set(keys)) == len(keys) and not [r for r in rows if r.kind == 0]
+        assert {r.owner for r in rows if r.kind == 2} == {0, 1, 2, 3} and max(sizes) < 2 * min(sizes)  # evenly over the owners
         assert sum(len(np.frombuffer(r.meta, suffix_dedup.RUN)) for r in rows if r.kind == 1) < n
     assert suffix_dedup.removed_ranges(texts).count() == 0
 
