@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,10 +63,7 @@ def entity_overlap(instances: DataFrame, extract, query: str = "input_text", uni
 
     The share of the query's entities (lower-cased) among those of the joined evidence, cut to `most` characters; 0 without query entities.
     """
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("array<string>")
+    @F.pandas_udf("array<string>")
     def entities(texts: pd.Series) -> pd.Series:
         return pd.Series([sorted({e.lower() for e in found}) for found in extract(texts.fillna("").tolist())])
 

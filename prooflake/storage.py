@@ -78,10 +78,10 @@ def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], by: l
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     totals = placed.groupBy("_range", *by).agg(*(F.sum(f"_{k}").alias(f"_{k}") for k in sums))
-    bases = totals.select(F.col("_range").alias("_r"), *(F.col(b).alias(f"_by_{b}") for b in by), *(F.coalesce(F.sum(f"_{k}").over(earlier), zero).alias(f"_base_{k}") for k in sums))
+    bases = totals.select(F.col("_range").alias("__range"), *(F.col(b).alias(f"__by_{b}") for b in by), *(F.coalesce(F.sum(f"_{k}").over(earlier), zero).alias(f"__base_{k}") for k in sums))
     local = placed.withColumns({k: F.coalesce(F.sum(f"_{k}").over(inside), zero) for k in sums})
-    same = F.col("_range") == F.col("_r")
+    same = F.col("_range") == F.col("__range")
     for b in by:
-        same = same & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+        same = same & F.col(b).eqNullSafe(F.col(f"__by_{b}"))
     joined = local.join(bases if by else F.broadcast(bases), same)  # without groups one row a range, and ranges are as many as shuffle partitions
-    return joined.select(*rows.columns, *((F.col(k) + F.col(f"_base_{k}")).alias(k) for k in sums))
+    return joined.select(*rows.columns, *((F.col(k) + F.col(f"__base_{k}")).alias(k) for k in sums))
