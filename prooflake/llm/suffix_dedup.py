@@ -42,8 +42,8 @@ LENGTH, K = 100, 32
 SPAN = LENGTH - K + 1
 #: Windows of anchors that occur more often are grouped one by one.
 FREQUENT = 512
-#: Bytes of text of a batch, of a piece of a long text, of a shard's suffix array, and of text that an owner answers for.
-BATCH_BYTES, PIECE_BYTES, SHARD_BYTES, OWNER_BYTES = 2 << 20, 1 << 20, 1 << 20, 12 << 20
+#: Bytes of text of a batch, hashed at once, of a piece of a long text, of a shard's suffix array, and of text that an owner answers for.
+BATCH_BYTES, HASH_BYTES, PIECE_BYTES, SHARD_BYTES, OWNER_BYTES = 2 << 20, 1 << 20, 1 << 20, 1 << 20, 8 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = np.random.default_rng(20).integers(1 << 62, 1 << 63, (2, 8), dtype=np.uint64) | np.uint64(1)
 _BYTE = np.random.default_rng(21).integers(0, 1 << 63, (2, 256), dtype=np.uint64)
@@ -59,7 +59,9 @@ WINDOWS_AT_ONCE = 1 << 20
 
 
 def block_hashes(x: np.ndarray, size: int, kind: int = 0) -> np.ndarray:
-    """A hash of x[i : i + size] for each i; near the end it runs into padding."""
+    """A hash of x[i : i + size] for each i; near the end it runs into padding. Long x goes in parts, as the steps need many times its size."""
+    if len(x) > HASH_BYTES + size:
+        return np.concatenate([block_hashes(x[at : at + HASH_BYTES + size], size, kind)[:HASH_BYTES] for at in range(0, len(x), HASH_BYTES)])
     h = _BYTE[kind][np.concatenate([x, np.zeros(size, np.uint8)])]
     width, level = 1, 0
     while 2 * width <= size:
@@ -282,7 +284,7 @@ def repeated_anchors(texts: DataFrame, owners: int) -> DataFrame:
         for part in batches:
             for batch, text in zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True):
                 for _, piece in _pieces(text):
-                    if pieces and (batch != now or size >= BATCH_BYTES):
+                    if pieces and (batch != now or size >= HASH_BYTES):
                         if (out := flush(now, pieces)) is not None:
                             yield out
                         pieces, size = [], 0
@@ -477,7 +479,7 @@ def shard_rows(texts: DataFrame, replies: DataFrame, owners: int) -> DataFrame:
                             often = []
             rows, waiting = [], 0
 
-        for part in runs(batches, BATCH_BYTES):
+        for part in runs(batches, HASH_BYTES):
             for batch, side, rid, doc, text in zip(*(part.column(k).to_pylist() for k in range(5)), strict=True):
                 if batch != now:
                     yield from closed()
@@ -488,7 +490,7 @@ def shard_rows(texts: DataFrame, replies: DataFrame, owners: int) -> DataFrame:
                 for begin, piece in _pieces(text) if keys else ():
                     rows.append((doc, rid, begin, piece))
                     waiting += len(piece)
-                    if waiting >= BATCH_BYTES:
+                    if waiting >= HASH_BYTES:
                         yield from closed()
         yield from closed()
         if held:
