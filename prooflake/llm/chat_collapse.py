@@ -3,7 +3,8 @@
 Each turn is hashed with its position; running combinations of these hashes are 128-bit hashes of every turn prefix. A
 conversation whose whole hash is a proper prefix's hash of another is dropped by an anti-join, and of equal ones the smallest
 id stays. The turns that remain are rendered one row each, so no conversation is gathered in one value or task: positions and
-prefix hashes come from a two-level scan over groups of TURN_GROUP turn numbers.
+prefix hashes come from a two-level scan over groups of TURN_GROUP turn numbers. A group of over HOT_ROWS rows (many rows of one turn number,
+or without one) is split further by turn, role and the first bits of the content's hash, which keeps the order.
 
 Rows: turns are ordered by turn (null first), then role (null first) and a hash of the content, so ties and repeated rows have a defined order; a
 null role renders as "unknown", a null text as empty, yet both differ from the real value when conversations are compared. A null
@@ -17,15 +18,23 @@ from pyspark.sql import functions as F
 
 from prooflake.llm.common import stored, table
 
-TURN_GROUP = 256
+TURN_GROUP, HOT_ROWS = 256, 100_000
 START, END = "<|", "|>"
 
 
 def hashed(turns: DataFrame) -> DataFrame:
-    """turns with grp, the group of turn numbers, and c1, c2: a 128-bit hash of role and text."""
+    """turns with c1, c2, a 128-bit hash of role and text, and grp, the group of a turn: a struct whose order is that of the turns."""
     content = lambda seed: F.xxhash64(F.lit(seed), F.col("role").isNull(), "role", F.col("text").isNull(), "text")
     rows = turns.select("conv_id", "turn", "role", "text")
-    return rows.withColumns({"grp": F.coalesce(F.floor(F.col("turn") / TURN_GROUP), F.lit(-(1 << 62))), "c1": content(1), "c2": content(2)})
+    rows = rows.withColumns({"g": F.coalesce(F.floor(F.col("turn") / TURN_GROUP), F.lit(-(1 << 62))), "c1": content(1), "c2": content(2)})
+    hot = rows.groupBy("conv_id", "g").count().where(F.col("count") > HOT_ROWS)
+    hot = stored(hot.select(F.col("conv_id").alias("h_conv"), F.col("g").alias("h_g"), F.lit(True).alias("hot")), "hot-turns")
+    if hot.isEmpty():
+        rows = rows.withColumn("hot", F.lit(False))
+    else:
+        rows = rows.join(hot, rows.conv_id.eqNullSafe(hot.h_conv) & (rows.g == hot.h_g), "left").drop("h_conv", "h_g")
+    parts = [F.when(F.col("hot"), c).alias(name) for name, c in (("turn", F.col("turn")), ("role", F.col("role")), ("bits", F.shiftright("c1", 56)))]
+    return rows.withColumn("grp", F.struct("g", *parts)).drop("g", "hot")
 
 
 def _placed(rows: DataFrame, bases: DataFrame) -> DataFrame:

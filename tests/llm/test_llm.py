@@ -550,14 +550,26 @@ def test_snapshots_collapse(spark, monkeypatch):
     rows = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, "user", "a"), (4, 1, "assistant", "c"), (5, 0, "user", None), (6, 0, "user", ""), (6, 3, None, "x<|y|>"), (7, None, "user", "a")]
     rows += [(None, 0, "system", "s"), (8, 0, "user", "long"), *((8, k, "user", f"t{k}") for k in range(1, 40)), *((9, k, "user", f"t{k}" if k else "long") for k in range(20))]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("position", F.lit("x")).withColumn("base", F.lit(1))
-    for group in (256, 3):
+    for group, hot in ((256, 100_000), (3, 100_000), (256, 1)):
         monkeypatch.setattr(chat_collapse, "TURN_GROUP", group)
+        monkeypatch.setattr(chat_collapse, "HOT_ROWS", hot)
         got = chat_collapse.collapse(frame).collect()
         assert {r.conv_id: r.n_turns for r in got} == plain_collapse(rows) == {2: 2, 4: 2, 5: 1, 6: 2, 8: 40, None: 1}
     assert next(r.rendered for r in got if r.conv_id == 6 and r.position == 2) == "<|unknown|>\nx< |y|>\n<|end|>\n"
     assert chat_collapse.collapse(frame.limit(0)).count() == 0
 
 
+def test_many_rows_of_one_turn_are_split(spark, monkeypatch):
+    """Equal turn numbers, and none at all: the order is by role and content, however groups are split."""
+    rows = [(1, None, ["user", None, "assistant"][k % 3], f"t{k % 40}") for k in range(120)] + [(2, 5, "user", f"x{k}") for k in range(50)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = sorted(map(str, chat_collapse.collapse(frame).collect()))
+    monkeypatch.setattr(chat_collapse, "HOT_ROWS", 10)
+    assert sorted(map(str, chat_collapse.collapse(frame).collect())) == whole and len(whole) == 170
+    groups = chat_collapse.hashed(frame).groupBy("conv_id", "grp").count()
+    assert groups.count() > 60
+
+
 # -- 10 --------------------------------------------------------------------------------------------------------------------------
 
 
