@@ -62,6 +62,11 @@ def shuffled(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return rows.orderBy(*_rank(f"{seed}|shuffle", key))
 
 
+def shuffled_places(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """rows with `place`, their number from 0 in the shuffled order."""
+    return running(rows, _rank(f"{seed}|shuffle", key), {"place": F.lit(1)})
+
+
 def stratified_split(rows: DataFrame, strata: list[str], key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """rows with `split`: of each stratum the first max(1, floor(n * share)) rows by hash are test, the rest train."""
     wanted = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(test_share)))

@@ -31,7 +31,7 @@ def first_rows(rows: DataFrame, ordinal: str, n: int | None) -> DataFrame:
 
 def convert(name: str, raw: DataFrame, sentences: DataFrame | None, most: int | None = None) -> DataFrame:
     """Canonical instances of a source. raw has `ordinal`, the row's number in source order (files.read_split)."""
-    rows = first_rows(raw, "ordinal", most)
+    rows = first_rows(files.checked(raw, name), "ordinal", most)
     if name == "fever":
         if sentences is None:
             raise ValueError("claims need a sentence lookup")
@@ -40,6 +40,12 @@ def convert(name: str, raw: DataFrame, sentences: DataFrame | None, most: int |
     return (ingest.convert_paragraphs if name == "musique" else ingest.convert_multi_hop)(rows, name)
 
 
+def load_instances(spark: SparkSession, out: str, split: str, sources: list[str], most: int | None = None, seed: int = 42) -> list[DataFrame]:
+    """Sufficient instances of each source as written by build, of each a seeded sample of `most` rows if given."""
+    rows = [variants.sufficient_only(spark.read.parquet(f"{out}/instances/{split}/{name}")) for name in sources]
+    return rows if most is None else [sampling.seeded_sample(r, most, "example_id", seed) for r in rows]
+
+
 def merge_split(instances: list[DataFrame], seed: int = 42, balance: bool = True) -> DataFrame:
     """All sources with their variants, classes cut to the smallest."""
     merged = None
@@ -61,7 +67,7 @@ def build(spark: SparkSession, sources: dict[str, str], out: str, wiki: str | No
         made = [convert(name, files.read_split(spark, folder, split), sentences, most) for name, folder in sorted(sources.items())]
         for name, rows in zip(sorted(sources), made, strict=True):
             rows.write.mode("overwrite").parquet(f"{out}/instances/{split}/{name}")
-        back = [spark.read.parquet(f"{out}/instances/{split}/{name}") for name in sorted(sources)]
+        back = load_instances(spark, out, split, sorted(sources))
         merged = storage.stored(merge_split(back, seed), "merged")
         graph.nodes(merged).write.mode("overwrite").parquet(f"{out}/graph/{split}/nodes")
         graph.edges(merged).write.mode("overwrite").parquet(f"{out}/graph/{split}/edges")

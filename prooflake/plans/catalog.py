@@ -245,6 +245,11 @@ def seeded_sample(spark, d):
     return sampling.seeded_sample(_documents(spark, d), 200, "doc_id")
 
 
+@query
+def shuffled_order(spark, d):
+    return sampling.shuffled_places(_documents(spark, d), "doc_id").select("doc_id", "place")
+
+
 @query
 def balanced_classes(spark, d):
     return sampling.balanced(_documents(spark, d), "lang", "doc_id", ["de", "en", "es", "fr"]).select("doc_id", "lang")

@@ -316,6 +316,7 @@ SELECT example_id, dataset, evidence_state_label FROM a QUALIFY row_number() OVE
     "seeded_sample": f"SELECT doc_id, lang, source FROM documents ORDER BY {_rank('42|sample', 'doc_id')}, doc_id LIMIT 200",
     "balanced_classes": f"""WITH m AS (SELECT min(coalesce(n, 0)) AS least FROM (SELECT unnest(['de', 'en', 'es', 'fr']) AS lang) LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) USING (lang))
 SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY {_rank('42|balance', 'doc_id')}, doc_id) <= (SELECT least FROM m)""",
+    "shuffled_order": f"SELECT doc_id, row_number() OVER (ORDER BY {_rank('42|shuffle', 'doc_id')}, doc_id) - 1 AS place FROM documents",
     "stratified_split": f"""SELECT doc_id, lang, source, CASE WHEN row_number() OVER (PARTITION BY lang, source ORDER BY {_rank('42|split', 'doc_id')}, doc_id) <= greatest(1, floor(count(*) OVER (PARTITION BY lang, source) * 0.2::DOUBLE)) THEN 'test' ELSE 'train' END AS split FROM documents""",
     "validation_split": f"""SELECT doc_id, lang, source, CASE WHEN row_number() OVER (ORDER BY {_rank('42|validation', 'doc_id')}, doc_id) <= greatest(1, floor(count(*) OVER () * 0.1::DOUBLE)) THEN 'validation' ELSE 'train' END AS split FROM documents""",
     "holdout_by_dataset": "SELECT h.lang AS held_out, CASE WHEN d.lang = h.lang THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM documents d CROSS JOIN (SELECT DISTINCT lang FROM documents) h GROUP BY 1, 2",

@@ -28,6 +28,21 @@ def read_split(spark: SparkSession, folder: str, split: str) -> DataFrame:
     return placed.join(bases, F.col("_file") == F.col("_f")).select(*rows.columns, (F.col("_base") + F.col("_row")).cast("int").alias("ordinal"))
 
 
+#: Columns that a raw source must have; exports of other versions of a dataset lack some.
+REQUIRED = {
+    "hotpotqa": ["question", "answer", "supporting_facts", "context"],
+    "musique": ["question", "answer", "answerable", "paragraphs"],
+    "fever": ["label", "claim", "evidence_wiki_url", "evidence_sentence_id"],
+}
+
+
+def checked(rows: DataFrame, source: str) -> DataFrame:
+    """rows, if they have what the source's converter reads."""
+    if missing := [c for c in REQUIRED.get(source, []) if c not in rows.columns]:
+        raise ValueError(f"{source}: no column {', '.join(missing)}; another version of the dataset?")
+    return rows
+
+
 def read_sentences(spark: SparkSession, pages: str | None = None, dump: str | None = None, lookup: str | None = None) -> DataFrame:
     """Sentences from whichever source is given and there, tried in this order: a ready lookup, a table of pages (Parquet), a dump of
     JSON lines."""

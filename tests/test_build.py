@@ -31,6 +31,8 @@ def test_build(spark, tmp_path):
     assert done.select("example_id").distinct().count() == done.count()
     assert files.read_features_csv(spark, f"{out}/features/train").count() == done.count()
     assert spark.read.parquet(f"{out}/instances/train/fever").drop("dataset").columns == [c for c in spark.createDataFrame([], schemas.INSTANCE).columns if c != "dataset"]
+    some = build.load_instances(spark, out, "train", ["fever", "musique"], 5)
+    assert [r.count() for r in some] == [5, 5] and all(x.evidence_state_label == "sufficient" for r in some for x in r.collect())
     nodes, edges = (spark.read.parquet(f"{out}/graph/train/{t}") for t in ("nodes", "edges"))
     ends = edges.select("example_id", F.col("src").alias("node")).union(edges.select("example_id", "dst")).distinct()
     assert edges.count() and ends.join(nodes, ["example_id", "node"], "left_anti").count() == 0

@@ -154,3 +154,21 @@ def test_stream_counts_closed_days_like_a_batch(spark, tmp_path):
     batch = events.daily_counts(fixtures.table(spark, SF, "events"))
     assert set(map(tuple, got.collect())) <= set(map(tuple, batch.collect()))
     assert got.count() >= batch.count() - 15
+
+
+def test_more_round_trips(spark, tmp_path):
+    from prooflake.operators import models, sampling
+
+    rows = spark.createDataFrame([(1, "é", None), (2, None, 0.5)], "k int, t string, x double")
+    files.write_json(rows, str(tmp_path / "json"))
+    lines = sorted(x for f in (tmp_path / "json").glob("*.json") for x in f.read_text().splitlines())
+    assert lines == ['{"k":1,"t":"é","x":null}', '{"k":2,"t":null,"x":0.5}']
+    stats = models.normalizer(spark.range(9).selectExpr("CAST(id AS DOUBLE) AS x"), ["x"])
+    files.save_normalizer(stats, str(tmp_path / "n"))
+    assert files.load_normalizer(spark, str(tmp_path / "n")).collect() == stats.collect()
+    order = [r.id for r in sampling.shuffled(spark.range(200), "id").collect()]
+    assert sorted(order) == list(range(200)) != order == [r.id for r in sampling.shuffled(spark.range(200).repartition(5), "id").collect()]
+    assert order == [r.id for r in sorted(sampling.shuffled_places(spark.range(200), "id").collect(), key=lambda r: r.place)]
+    assert files.example_json(rows, 1, "k").first().record == '{"k":2,"x":0.5}' and files.example_json(rows, 2, "k").count() == 0
+    with pytest.raises(ValueError, match="no column label, claim"):
+        files.checked(rows, "fever")
