@@ -118,6 +118,14 @@ def _judged(model: LogisticRegressionModel, vectors: DataFrame, features: str) -
     return model.transform(vectors).withColumn("pred", F.col("prediction").cast("int")).drop("rawPrediction", "probability", "prediction", features)
 
 
+def with_numbers(rows: DataFrame, stats: DataFrame, columns: list[str]) -> DataFrame:
+    """rows whose vector `features` is followed by the standardised columns."""
+    from pyspark.ml.feature import VectorAssembler
+
+    both = _vectors(rows.withColumnRenamed("features", "_terms"), stats, columns).withColumnRenamed("features", "_numbers")
+    return VectorAssembler(inputCols=["_terms", "_numbers"], outputCol="features").transform(both).drop("_terms", "_numbers")
+
+
 def fit_detector(train: DataFrame, columns: list[str], c: float = 1.0) -> Detector:
     stats = stored(normalizer(train, columns), "normalizer")
     return Detector(columns, stats, regression("features", c, train.count()).fit(balanced_weights(_vectors(train, stats, columns))))

@@ -90,10 +90,15 @@ def majority(train: DataFrame, test: DataFrame) -> DataFrame:
     return test.crossJoin(F.broadcast(best))  # one row
 
 
-def tfidf_detector(train: DataFrame, test: DataFrame, text: str = "plain_input", key: str = "example_id", terms: int = 50_000) -> DataFrame:
-    """Regression on the terms of the training texts."""
+def tfidf_detector(train: DataFrame, test: DataFrame, text: str = "plain_input", key: str = "example_id", terms: int = 50_000, numbers: tuple[str, ...] = ()) -> DataFrame:
+    """Regression on the terms of the training texts, and on standardised number columns if any are given."""
     vocabulary = storage.stored(models.tfidf_vocabulary(train, text, terms), "vocabulary")
-    vectors = lambda rows: storage.stored(models.tfidf(rows.select(key, text, "label"), text, key, vocabulary, terms).drop(text), "vectors")
+    stats = storage.stored(models.normalizer(train, list(numbers)), "normalizer") if numbers else None
+
+    def vectors(rows: DataFrame) -> DataFrame:
+        found = models.tfidf(rows.select(key, text, "label", *numbers), text, key, vocabulary, terms).drop(text)
+        return storage.stored(models.with_numbers(found, stats, list(numbers)) if numbers else found, "vectors")
+
     judged = models.fit_predict(vectors(train), vectors(test)).select(F.col(key).alias("_key"), "pred")
     return test.join(judged, test[key] == judged["_key"]).drop("_key")
 
@@ -106,6 +111,7 @@ def without(dropped: str) -> Detector:
 DETECTORS: dict[str, Detector] = {
     "majority": majority,
     "tfidf": tfidf_detector,
+    "tfidf_and_features": lambda train, test: tfidf_detector(train, test, numbers=tuple(FEATURES)),
     "features_only": lambda train, test: models.features_regression(train, test, FEATURES),
     **{f"without_{c}": without(c) for c in FEATURES},
 }

@@ -43,7 +43,7 @@ def test_build(spark, tmp_path):
         return lambda: lambda prompts: [reply] * len(prompts)
 
     similar = lambda train, test: build.embedding_similarity("avg_evidence_length")(train, test)
-    kinds = {k: build.DETECTORS[k] for k in ("majority", "tfidf", "features_only", "without_duplicate_rate")}
+    kinds = {k: build.DETECTORS[k] for k in ("majority", "tfidf_and_features", "features_only", "without_duplicate_rate")}
     kinds |= {"zero_shot": build.zero_shot(answering("Superseded.")), "critic": build.critic(answering("RELEVANT: NO")), "retrieval": build.retrieval_evaluator(answering("ambiguous")), "embedding": similar}
     build.experiments(spark, out, kinds)
     scores = {(r.detector, r.dataset): r for r in spark.read.json(f"{out}/results/metrics").collect()}
