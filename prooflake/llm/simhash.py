@@ -36,9 +36,9 @@ from prooflake.llm.common import runs, stored, table, texts_of, used_up
 
 SEED = 42
 #: Shingles whose bits are counted at once, rows of planes that are built at once, and (query, block) pairs compared at once.
-SHINGLES_AT_ONCE, ROWS_AT_ONCE, PAIRS_AT_ONCE = 1 << 12, 1 << 14, 1 << 15
+SHINGLES_AT_ONCE, ROWS_AT_ONCE, PAIRS_AT_ONCE, SET_BYTES = 1 << 12, 1 << 14, 1 << 15, 32 << 20
 #: Buckets with more nodes, and groups with more bytes of shingle sets, are dealt to several tasks.
-HOT_BUCKET, HOT_BYTES = 20_000, 32 << 20
+HOT_BUCKET, HOT_BYTES = 20_000, 4 << 20
 #: SIMILAR is a fraction, so that the comparison is one of whole numbers. Fingerprint words and radius of near_copies, its blocks and
 #: the smallest hashes that make one.
 SIMILAR, COPY_WORDS, COPY_RADIUS, BLOCKS, BLOCK_ROWS = (4, 5), 16, 232, 24, 4
@@ -202,9 +202,10 @@ def _confirm(label: np.ndarray, i: np.ndarray, j: np.ndarray, same: Callable[[in
     return np.array([find(k) for k in range(len(root))])
 
 
-def linked(bits: np.ndarray, starts: np.ndarray, radius: int, same: Callable[[int, int], bool] | None = None) -> np.ndarray:
+def linked(bits: np.ndarray, starts: np.ndarray, radius: int, same: Callable[[int, int], bool] | None = None, joined: np.ndarray | None = None) -> np.ndarray:
     """For rows sorted by bucket (bits: rows x bits of 0/1; starts: first row of each bucket): each row's root in its bucket,
-    the first row that it reaches over links. A link is a pair of at most radius differing bits that `same`, if given, confirms."""
+    the first row that it reaches over links. A link is a pair of at most radius differing bits that `same`, if given, confirms.
+    Rows marked as joined stand last in their bucket, are linked to each other from the start, and are compared with the others only."""
     n, width = bits.shape
     lanes = -(-n // 64)
     padded = np.zeros((lanes * 64, width), np.uint8)
@@ -215,6 +216,10 @@ def linked(bits: np.ndarray, starts: np.ndarray, radius: int, same: Callable[[in
     label = np.arange(n)
     first, last = np.arange(n) // 64, (ends - 1) // 64
     wanted = np.flatnonzero(ends - np.arange(n) > 1)
+    if joined is not None and joined.any():
+        wanted = wanted[~joined[wanted]]
+        heads = np.flatnonzero(joined & np.append(True, ~joined[:-1] | np.isin(np.arange(1, n), starts)))
+        label[joined] = heads[np.searchsorted(heads, np.flatnonzero(joined), "right") - 1]
     spans = (last - first + 1)[wanted]
     done = np.concatenate([[0], np.cumsum(spans)])
     # where pairs must be confirmed, few queries go first: what they join needn't be looked at again
@@ -249,70 +254,76 @@ def linked(bits: np.ndarray, starts: np.ndarray, radius: int, same: Callable[[in
     return label
 
 
+def alike(x: np.ndarray, y: np.ndarray, similar: tuple[int, int]) -> bool:
+    """Whether two sorted sets share the fraction `similar` of their union."""
+    if len(x) > len(y):
+        x, y = y, x
+    if similar[1] * len(x) < similar[0] * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    shared = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+    return similar[1] * shared >= similar[0] * (len(x) + len(y) - shared)
+
+
 def _heads(bucket: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
 
 
 def _stars(batches: Iterator[pa.RecordBatch], radius: int, similar: tuple[int, int] | None = None) -> Iterator[pa.RecordBatch]:
-    """(a, b): a links to b or reaches it inside a bucket; a < b. Rows (bucket, node, fp) come sorted by bucket and node; with `similar`
-    also each node's set of hashes, of which a pair must share that fraction."""
+    """(a, b): a links to b or reaches it inside a bucket; a < b. Rows (bucket, node, fp) come sorted by bucket; with `similar` also
+    each node's set of hashes, of which a pair must share that fraction, and whether it is joined (these come last in a bucket)."""
 
-    def flush(bucket: np.ndarray, node: np.ndarray, fps: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch | None:
+    def flush(bucket: np.ndarray, node: np.ndarray, fps: np.ndarray, joined: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch | None:
         starts = _heads(bucket)
         sizes = np.diff(np.append(starts, len(bucket)))
         more = np.repeat(sizes > 1, sizes)
         if not more.any():
             return None
-        node, fps, bucket = node[more], fps[more], bucket[more]
+        node, fps, bucket, joined = node[more], fps[more], bucket[more], joined[more]
         held_sets = [s for s, k in zip(sets, more.tolist(), strict=True) if k] if similar else []
 
         def same(a: int, b: int) -> bool:
-            x, y = held_sets[a], held_sets[b]
-            if len(x) > len(y):
-                x, y = y, x
-            if similar[1] * len(x) < similar[0] * len(y):
-                return False
-            at = np.searchsorted(y, x)
-            shared = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-            return similar[1] * shared >= similar[0] * (len(x) + len(y) - shared)
-
-        root = linked(np.unpackbits(fps, axis=1), _heads(bucket), radius, same if similar else None)
+            return alike(held_sets[a], held_sets[b], similar)
+
+        root = linked(np.unpackbits(fps, axis=1), _heads(bucket), radius, same if similar else None, joined)
         far = root != np.arange(len(root))
-        return pa.RecordBatch.from_arrays([pa.array(node[root[far]]), pa.array(node[far])], names=["a", "b"])
+        ends = node[root[far]], node[far]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], names=["a", "b"])
 
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, ...]] = []
     sets: list[np.ndarray] = []
     rows = size = 0
 
     def closed(to: int | None) -> Iterator[pa.RecordBatch]:
         """Flush the rows up to `to`, those of whole buckets."""
         nonlocal held, sets, rows, size
-        bucket, node, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-        cut = len(bucket) if to is None else to
-        if cut and (out := flush(bucket[:cut], node[:cut], fps[:cut], sets[:cut])) is not None:
+        whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+        cut = len(whole[0]) if to is None else to
+        if cut and (out := flush(*(x[:cut] for x in whole), sets[:cut])) is not None:
             yield out
-        held, sets, rows = [(bucket[cut:], node[cut:], fps[cut:])], sets[cut:], len(bucket) - cut
+        held, sets, rows = [tuple(x[cut:] for x in whole)], sets[cut:], len(whole[0]) - cut
         size = sum(s.nbytes for s in sets)
 
     for batch in batches:
         if not batch.num_rows:
             continue
         fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-        held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), fps))
+        joined = batch.column(4).to_numpy(zero_copy_only=False) if similar else np.zeros(batch.num_rows, bool)
+        held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), fps, joined))
         rows += batch.num_rows
         if similar:
             new = [np.frombuffer(s, "<u8") for s in batch.column(3).to_pylist()]
             sets += new
             size += sum(s.nbytes for s in new)
-        if rows >= ROWS_AT_ONCE or size >= HOT_BYTES:
+        if rows >= ROWS_AT_ONCE or size >= SET_BYTES:
             last = held[-1][0][-1]  # the last bucket may go on
-            yield from closed(sum(int(np.searchsorted(b, last)) for b, _, _ in held))
+            yield from closed(sum(int(np.searchsorted(x[0], last)) for x in held))
     if rows:
         yield from closed(None)
 
 
 def _in_cells(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
-    """rows with `bucket`, a hash of the key and of two parts: a key of n parts (parts: key, n) has a cell for each pair of parts, and a
+    """For hot buckets: rows with `bucket`, a hash of the key and of two parts: a key of n parts (parts: key, n) has a cell for each pair of parts, and a
     row goes to all cells of its own part, so any two rows of a key meet and no task gets a whole hot key. Keys missing in parts have one."""
     dealt = rows.join(parts, key, "left").withColumn("n", F.coalesce("n", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -418,10 +429,77 @@ def _confirmed(groups: DataFrame, known: DataFrame, docs: DataFrame, width: int,
 
     # equal rows give a node more than once
     sets = stored(found.mapInArrow(work, "node long, component long, fp binary, hashes binary").dropDuplicates(["node"]), "shingle-sets")
-    sizes = sets.groupBy("component").agg(F.sum(F.length("hashes")).alias("bytes"))
-    parts = stored(sizes.where(F.col("bytes") > HOT_BYTES).select("component", F.ceil(2 * F.col("bytes") / HOT_BYTES).cast("int").alias("n")), "hot-groups")
-    dealt = _in_cells(sets, "component", parts).select("bucket", "node", "fp", "hashes").repartition("bucket").sortWithinPartitions("bucket", "node")
-    return dealt.mapInArrow(lambda batches: _stars(batches, COPY_RADIUS, similar), "a long, b long")
+    hot = stored(sets.groupBy("component").agg(F.sum(F.length("hashes")).alias("bytes")).where(F.col("bytes") > HOT_BYTES).select("component"), "hot-groups")
+    columns = ["bucket", "node", "fp", "hashes", "joined"]
+    cells = sets.withColumns({"bucket": F.col("component"), "joined": F.lit(False)})
+    edges = None
+    if not hot.isEmpty():
+        parted, edges = _hot_cells(stored(sets.join(hot, "component"), "hot-sets"), similar)
+        cells = cells.join(hot, "component", "left_anti").select(*columns).union(parted.select(*columns))
+    dealt = cells.select(*columns).repartition("bucket").sortWithinPartitions("bucket", "joined", "node")
+    found = dealt.mapInArrow(lambda batches: _stars(batches, COPY_RADIUS, similar), "a long, b long")
+    return found if edges is None else found.union(edges)
+
+
+def _hot_cells(sets: DataFrame, similar: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """For groups (node, component, fp, hashes) that are too large for one task: their cells (bucket, node, fp, hashes, joined) and edges (a, b).
+
+    A large group is mostly copies of one text. The node nearest to the majority of all its fingerprints is its hub; every node is compared
+    with it in one narrow pass, and those that are linked to it are joined. Only the others must meet all: parts of them meet each other
+    and parts of the joined ones, which meet nobody else. So the work is in proportion to the group, but for what isn't linked to its hub.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1).astype(np.int64) * 2 - 1
+            group = batch.column(0).to_numpy(zero_copy_only=False)
+            for g in np.unique(group).tolist():
+                sums[g] = sums.get(g, 0) + bits[group == g].sum(0)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["component", "sums"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for g, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[g] = sums.get(g, 0) + np.frombuffer(x, np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([np.packbits(x > 0).tobytes() for x in sums.values()], pa.binary())], names=["component", "middle"])
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64))], names=["component", "node", "far"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches, 8 << 20):
+            linked_ = [alike(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), similar) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(linked_, pa.bool_())], names=["node", "component", "fp", "hashes", "hub", "joined"])
+
+    # a task sends one sum of bits a group, however many nodes it has seen
+    middles = sets.select("component", "fp").mapInArrow(counted, "component long, sums binary").repartition("component").mapInArrow(added, "component long, middle binary")
+    far = sets.join(stored(middles, "middles"), "component").select("component", "node", "fp", "middle").mapInArrow(measured, "component long, node long, far long")
+    hubs = far.groupBy("component").agg(F.min(F.struct("far", "node")).alias("h")).select(F.col("h.node").alias("hub"))
+    hubs = stored(hubs.join(sets, F.col("hub") == F.col("node")).select("component", "hub", F.col("hashes").alias("hub_hashes")), "hubs")
+    rows = sets.join(hubs, "component").select("node", "component", "fp", "hashes", "hub", "hub_hashes")
+    rows = stored(rows.mapInArrow(compared, "node long, component long, fp binary, hashes binary, hub long, joined boolean"), "hub-links")
+    edges = rows.where("joined AND node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    parts = lambda which: F.ceil(2 * F.sum(F.when(which, F.length("hashes")).otherwise(0)) / HOT_BYTES).cast("int")
+    sizes = stored(rows.groupBy("component").agg(parts(F.col("joined")).alias("of_joined"), parts(~F.col("joined")).alias("of_others")), "hot-parts")
+    placed = rows.join(sizes, "component")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
+    # cells: a part of the others with a part of the joined ones, or with a part of the others
+    some = lambda n, of: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), of)).otherwise(F.array().cast("array<struct<i:int,j:int,two:boolean>>"))
+    cell = lambda i, j, two: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(two).alias("two"))
+    mine = own(F.col("of_others"))
+    others = F.concat(some("of_joined", lambda j: cell(mine, j, True)), some("of_others", lambda i: cell(F.least(mine, i), F.greatest(mine, i), False)))
+    joined = some("of_others", lambda i: cell(i, own(F.col("of_joined")), True))
+    each = placed.withColumn("cell", F.explode(F.when(F.col("joined"), joined).otherwise(others)))
+    return each.withColumn("bucket", F.xxhash64("component", "cell.i", "cell.j", "cell.two")), edges
 
 
 def near_copies(docs: DataFrame, width: int = 5, similar: tuple[int, int] = SIMILAR) -> DataFrame:

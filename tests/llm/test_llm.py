@@ -689,9 +689,12 @@ def test_groups_and_buckets_that_are_split(spark, monkeypatch):
     texts = []
     for _ in range(8):
         base = [f"w{k}" for k in rng.integers(0, 10**6, 60)]
-        for _ in range(12):
+        for k in range(12):
             copy = list(base)
             copy[int(rng.integers(60))] = f"e{rng.integers(10**6)}"
+            if k % 4 == 3:  # far from most, near to another that is far
+                copy = texts[-1].split()
+                copy[7] = copy[40] = f"f{rng.integers(10**6)}"
             texts.append(" ".join(copy))
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
@@ -704,7 +707,7 @@ def test_groups_and_buckets_that_are_split(spark, monkeypatch):
                     label[a] = label[b] = min(label[a], label[b])
         if label == before:
             break
-    for bucket, size in ((20_000, 32 << 20), (3, 3000)):
+    for bucket, size in ((20_000, 32 << 20), (3, 3000), (20_000, 400), (20_000, 12_000)):
         monkeypatch.setattr(simhash, "HOT_BUCKET", bucket)
         monkeypatch.setattr(simhash, "HOT_BYTES", size)
         rows = simhash.near_copies(frame).collect()
@@ -712,6 +715,24 @@ def test_groups_and_buckets_that_are_split(spark, monkeypatch):
         assert {r.doc_id for r in rows if r.first} == set(label)
 
 
+def test_copies_of_one_text_need_no_cells(spark, monkeypatch):
+    """A group of n copies that are all linked to its hub costs n comparisons, however small the parts are."""
+    rng = np.random.default_rng(13)
+    base = [f"w{k}" for k in rng.integers(0, 10**6, 80)]
+    texts = [" ".join(base)]
+    for _ in range(300):
+        copy = list(base)
+        copy[int(rng.integers(80))] = f"e{rng.integers(10**9)}"
+        texts.append(" ".join(copy))
+    rows = [(k, 5, simhash.majority(h, simhash.COPY_WORDS), h.tobytes()) for k, h in enumerate(simhash.shingle_set(t.encode(), 5) for t in texts)]
+    monkeypatch.setattr(simhash, "HOT_BYTES", 2000)
+    cells, edges = simhash._hot_cells(spark.createDataFrame(rows, "node long, component long, fp binary, hashes binary"), simhash.SIMILAR)
+    found = edges.collect()
+    assert len(found) == 300 and all(r.a == 0 for r in found) and cells.count() == 0
+    found = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.component_id for r in found} == {0} and [r.doc_id for r in found if r.first] == [0]
+
+
 # -- all -------------------------------------------------------------------------------------------------------------------------
 
 
