@@ -236,7 +236,7 @@ def split_copies(docs: DataFrame) -> Texts:
 
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    columns = [F.monotonically_increasing_id().alias("rid"), F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("doc"), doc_id.alias("doc_id"), text.alias("text"), *([F.struct(*rest).alias("rest")] if rest else [])]
+    columns = [F.monotonically_increasing_id().alias("rid"), F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("doc"), doc_id.alias("doc_id"), text.alias("text"), *([F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in rest)).alias("rest")] if rest else [])]
     texts = stored(docs.select(*columns).withColumns({"size": F.length("text").cast("long"), "d1": F.xxhash64("text"), "d2": F.xxhash64(F.lit(1), "text")}), "texts")
     ids = texts.select("rid", "doc", "size", "d1", "d2").where(F.col("size") >= LENGTH)
     firsts = ids.groupBy("d1", "d2", "size").agg(F.min(F.struct("doc", "rid")).alias("f"), F.count("*").alias("n")).where("n > 1")

@@ -192,7 +192,8 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
 
 
 def test_suffix_dedup_odd_rows(spark, odd, empty):
-    rows = suffix_dedup.deduplicate(odd).collect()
+    rows = suffix_dedup.deduplicate(odd.withColumn("a.b", F.lit("dot")).withColumn("kept", F.lit(1))).collect()
+    assert all(r.rest["a.b"] == "dot" and r.rest.kept == 1 for r in rows)
     assert len(rows) == odd.count() and suffix_dedup.deduplicate(empty).count() == 0
     long = next(r for r in rows if r.n_bytes == 5000)
     assert (long.n_removed, long.n_spans) == (4999, 1) and long.rest.bucket == "b"
