@@ -24,7 +24,7 @@ from prooflake.llm.common import runs, table, texts_of
 
 #: Bytes of pre-tokens whose ids a worker remembers, each counted with ENTRY_BYTES more for its place; past this it starts afresh, so
 #: its memory stays bounded, whatever the pre-tokens' number and length. Longer ones than LONG_TOKEN are encoded anew each time.
-CACHE_BYTES, ENTRY_BYTES, LONG_TOKEN = 48 << 20, 200, 1 << 12
+CACHE_BYTES, ENTRY_BYTES, LONG_TOKEN = 96 << 20, 200, 1 << 12
 #: Bytes of text encoded together.
 CHUNK_BYTES = 4 << 20
 
