@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prooflake.llm import audio_features, byte_bpe, chat_collapse, compress_quality, cross_polytope, simhash, source_mix, suffix_dedup, token_counts, url_filter
+from prooflake.llm import audio_features, best_fit, byte_bpe, chat_collapse, compress_quality, conversation_repair, cross_polytope, prefix_trie, simhash, source_mix, suffix_dedup, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_cross_polytope": cross_polytope.op8_cross_polytope,
         "op9_chat_collapse": chat_collapse.op9_chat_collapse,
         "op10_compress_quality": compress_quality.op10_compress_quality,
+        "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+        "op12_best_fit": best_fit.op12_best_fit,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
