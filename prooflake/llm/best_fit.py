@@ -16,6 +16,7 @@ are ordinary text. An empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from bisect import bisect_left, bisect_right, insort
@@ -28,78 +29,190 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prooflake.llm.byte_bpe import byte_characters
 from prooflake.llm.common import runs, stored, table, texts_of
 
 CAPACITY = 4096
 CLOSING_ID = 1
 #: Bytes of words with their ids that a task remembers, with so many for an entry itself; longer words are encoded each time.
-CACHE_BYTES, ENTRY_BYTES, LONG_WORD = 96 << 20, 180, 64
+CACHE_BYTES, ENTRY_BYTES, LONG_WORD = 160 << 20, 80, 64
 CHUNK_BYTES, CHUNK_CHARS = 4 << 20, 1 << 20
 MOST_BASES = 1 << 20
 #: Characters at which Python splits words but the tokenizer doesn't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"\s")
+#: Below U+0250 all letters are composed and lower-cased one by one, so that the tokenizer's normalisation of a word is lower().
+_SIMPLE = re.compile("[\x21-\u024f]*").fullmatch
+FIRST_ID = 1 << 16
+#: The parts of a tokenizer file under which words are cut here.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [{"type": "Split", "pattern": {"Regex": PRE_TOKEN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+}
+
+
+def _letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for."""
+    return {letter: byte for byte, letter in enumerate(byte_characters())}
+
+
+class WordModel:
+    """What WordIds needs of a tokenizer file, made once on the driver: the pieces in the order of their merges, with their ids.
+
+    The file's own merges are pairs; tiktoken, which is several times faster, joins any two neighbours whose bytes together are a piece. Both
+    give the same if each piece, encoded alone by tiktoken's rule, is made by its listed pair: as long as no merge crosses a piece's ends, its
+    inner merges happen in the same order in any word. That is checked for every piece; where it fails, words go to the tokenizer itself.
+    """
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            self.source = f.read().decode()
+        given = json.loads(self.source)
+        model, letters = given["model"], _letters()
+        self.plain = given.get("normalizer") == NORMALIZER and given.get("pre_tokenizer") == PRE_TOKENIZER and model.get("end_of_word_suffix") == "</w>"
+        self.pieces: list[bytes] = []
+        self.ids: list[int] = []
+        if not self.plain:
+            return
+        raw = lambda piece: bytes(letters[c] for c in piece.removesuffix("</w>")) + (b"\n" if piece.endswith("</w>") else b"")
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        vocab = model["vocab"]
+        single = [bytes([b]) for b in range(256)]
+        # a letter that ends a word is one symbol, so it is joined with the mark before anything else
+        ended = [s + b"\n" for s in single if s != b"\n"]
+        listed = {raw(x) + raw(y): (raw(x), raw(y)) for x, y in pairs}
+        self.pieces = [*single, *ended, *listed]
+        names = {raw(piece): number for piece, number in vocab.items()}
+        self.ids = [names.get(piece, -1) for piece in self.pieces]
+        rank = {piece: k for k, piece in enumerate(self.pieces)}
+        self.plain = len(rank) == len(self.pieces) and all(self._listed(piece, listed, rank) for piece in listed)
+
+    @staticmethod
+    def _listed(piece: bytes, listed: dict[bytes, tuple[bytes, bytes]], rank: dict[bytes, int]) -> bool:
+        parts = [piece[k : k + 1] for k in range(len(piece))]
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda k: rank.get(parts[k] + parts[k + 1], 1 << 60))
+            made = parts[best] + parts[best + 1]
+            if made not in rank or (made in listed and listed[made] != (parts[best], parts[best + 1])):
+                return False
+            parts[best : best + 2] = [made]
+        return True
 
 
 class WordIds:
     """The ids of texts as little-endian unsigned 32-bit integers. The tokenizer drops white space and never joins characters over it, so
-    words are encoded one by one and remembered."""
+    words are encoded one by one and remembered; an id is held as the character FIRST_ID + id."""
 
-    def __init__(self, path: str):
+    def __init__(self, model: WordModel):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(model.source)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.split = regex.compile(PRE_TOKEN + r"|\n").findall
+        self.plain = model.plain
+        if self.plain:
+            ranks = {piece: k for k, piece in enumerate(model.pieces)}
+            self.bpe = tiktoken.Encoding("words", pat_str=r"[^\n]*\n", mergeable_ranks=ranks, special_tokens={})
+            self.ids = np.array(model.ids, np.int64) + FIRST_ID
+            self.last = np.array([p.endswith(b"\n") for p in model.pieces])
+        self.words: dict[str, str] = {}
+        self.tokens: dict[str, str] = {"\n": "\n"}
         self.held = 0
 
-    def _encoded(self, words: list[str]) -> Iterator[bytes]:
-        for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
-            yield np.array(found.ids, "<u4").tobytes()
-
-    def _of(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
-            return next(self._encoded([text]))
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
+    def _by_tokenizer(self, words: list[str]) -> list[str]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return ["".join([chr(FIRST_ID + k) for k in x.ids]) for x in found]
+
+    def _fresh(self, words: list[str]) -> dict[str, str]:
+        """The ids of words. Those of simple letters only are lower-cased and cut into tokens here, all at once, and then looked up or merged."""
+        simple = [w for w in words if _SIMPLE(w)] if self.plain else []
+        other = [w for w in words if not _SIMPLE(w)] if self.plain else words
+        found = dict(zip(other, self._by_tokenizer(other), strict=True)) if other else {}
+        if simple:
+            cut = self.split("\n".join(simple).lower())
+            fresh = [t for t in set(cut) if t not in self.tokens]
+            if fresh:
+                ranks = np.array(self.bpe.encode_ordinary("\n".join(fresh) + "\n"))
+                ids = np.insert(self.ids[ranks], np.flatnonzero(self.last[ranks]) + 1, ord("\n"))
+                made = ids.astype("<u4").tobytes().decode("utf-32-le").split("\n")[:-1]
+                self.tokens.update(zip(fresh, made, strict=True))
+                self.held += sum(map(len, fresh)) + 4 * len(ids) + 2 * ENTRY_BYTES * len(fresh)
+            made = "".join(map(self.tokens.__getitem__, cut)).split("\n")
+            found.update(zip(simple, made, strict=True))
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Memory beside the texts is bounded by their size in all."""
+        out: list[bytes] = []
         if self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
-        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
-        ids = dict(zip(fresh, self._encoded(fresh), strict=True))
-        for w, x in ids.items():
-            if len(w) <= LONG_WORD:
-                self.known[w] = x
-                self.held += len(w) + len(x) + ENTRY_BYTES
-        return b"".join([self.known.get(w) or ids.get(w, b"") for w in words])
-
-    def encode(self, text: str) -> bytes:
-        if len(text) <= CHUNK_CHARS:
-            return self._of(text)
-        parts, at = [], 0
-        while at < len(text):
-            cut = _SPACE.search(text, at + CHUNK_CHARS)
-            end = cut.start() if cut else len(text)
-            parts.append(self._of(text[at:end]))
-            at = end
-        return b"".join(parts)
+            self.words, self.tokens, self.held = {}, {"\n": "\n"}, 0
+        split = [[t] if _ODD_SPACE.search(t) else t.split() for t in texts]
+        fresh = [w for w in set().union(*split) if w not in self.words]
+        short = self._fresh([w for w in fresh if len(w) <= LONG_WORD])
+        self.words.update(short)
+        self.held += sum(map(len, short)) + 4 * sum(map(len, short.values())) + 2 * ENTRY_BYTES * len(short)
+        long = dict(zip(odd, self._by_tokenizer(odd), strict=True)) if (odd := [w for w in fresh if len(w) > LONG_WORD]) else {}
+        for words in split:
+            ids = "".join([self.words.get(w) or long.get(w, "") for w in words]) if long else "".join(map(self.words.__getitem__, words))
+            out.append((np.frombuffer(ids.encode("utf-32-le"), "<u4") - np.uint32(FIRST_ID)).tobytes())
+        return out
+
+
+def _parts(text: str) -> list[str]:
+    """A long text cut before white space, as its words' lists are many times its size."""
+    out, at = [], 0
+    while len(text) - at > CHUNK_CHARS and (cut := _SPACE.search(text, at + CHUNK_CHARS)):
+        out.append(text[at : cut.start()])
+        at = cut.start()
+    return [*out, text[at:]]
+
+
+def _encoded(coder: WordIds, texts: list[str]) -> list[bytes]:
+    """The ids of each text, by groups of about CHUNK_CHARS."""
+    out: list[list[bytes]] = [[] for _ in texts]
+    owners: list[int] = []
+    group: list[str] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal size
+        for owner, ids in zip(owners, coder.encode(group), strict=True):
+            out[owner].append(ids)
+        owners.clear()
+        group.clear()
+        size = 0
+
+    for k, text in enumerate(texts):
+        for part in _parts(text):
+            owners.append(k)
+            group.append(part)
+            size += len(part)
+            if size >= 2 * CHUNK_CHARS:
+                flush()
+    flush()
+    return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids, part, k) of docs (doc_id, text): the ids of each document's pieces; k numbers the pieces of one length
     that task `part` made."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(WordModel(path))  # one file
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, closing = WordIds(path), np.array([CLOSING_ID], "<u4").tobytes()
+        coder, closing = WordIds(shared.value), np.array([CLOSING_ID], "<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         step = 4 * capacity
         for batch in runs(batches, CHUNK_BYTES):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                ids = coder.encode(text.decode("utf-8", "replace")) + closing
+            found = _encoded(coder, [t.decode("utf-8", "replace") for t in texts_of(batch.column(1))])
+            for doc, ids in zip(batch.column(0).to_pylist(), found, strict=True):
+                ids += closing
                 for number, at in enumerate(range(0, len(ids), step)):
                     cut = ids[at : at + step]
                     n = len(cut) // 4

@@ -181,23 +181,49 @@ def tokenizer():
     return t
 
 
-def test_word_ids_equal_tokenizer():
-    coder, plain = best_fit.WordIds(word_path()), tokenizer()
+@pytest.fixture(scope="module")
+def model():
+    found = best_fit.WordModel(word_path())
+    assert found.plain  # every piece is made by its listed pair, so the fast merges are the file's
+    return found
+
+
+def plain_ids(texts):
+    plain = tokenizer()
+    return [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_word_ids_equal_tokenizer(model):
     rng = random.Random(2)
-    letters = list("abcÀé ñ\n\t 09१中🙂'sT\u0000 ́ \x1c\x85<|>ΣİK") + ["the", " and", "   ", "'re ", "<|endoftext|>", "don't"]
-    for _ in range(600):
-        text = "".join(rng.choices(letters, k=rng.randint(0, 60)))
-        assert coder.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
-    for code in [*range(0x3000), *range(0xFE00, 0x10000)]:
-        if 0xD800 > code or code > 0xDFFF:
-            if (c := chr(code)).isspace() and c not in "\x1c\x1d\x1e\x1f":
-                assert coder.encode(f"a{c}b") == np.array(plain.encode(f"a{c}b", add_special_tokens=False).ids, "<u4").tobytes(), code
-
-
-def test_word_ids_of_long_texts():
-    coder, plain = best_fit.WordIds(word_path()), tokenizer()
-    text = "Some words of a very long text, " * 90_000 + "x" * 30_000
-    assert coder.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    letters = list("abcÀé ñ\n\t 09१中🙂'sT\u0000 ́ \x1c\x85<|>ΣİKaaeett") + ["the", " and", "   ", "'re ", "<|endoftext|>", "don't", "J̌", "ß", "ŉ"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["".join(rng.choices("aehilnorst", k=rng.randint(1, 30))) for _ in range(20_000)] + ["a" * k for k in range(80)]
+    assert best_fit.WordIds(model).encode(texts) == plain_ids(texts)
+
+
+def test_word_ids_of_every_character(model):
+    codes = [*range(0x3100), *range(0xA000, 0xD800, 7), *range(0xF900, 0x10000), *range(0x10000, 0x20000, 11)]
+    texts = [f"a{chr(c)}b {chr(c)}C{chr(c)}{chr(c)}" for c in codes]
+    assert best_fit.WordIds(model).encode(texts) == plain_ids(texts)
+
+
+def test_word_ids_without_fast_merges(model):
+    slow = best_fit.WordModel(word_path())
+    slow.plain = False
+    texts = ["Some words, don't ask.", "", "Ünï 🙂 x1y22", "w" * 300]
+    assert best_fit.WordIds(slow).encode(texts) == plain_ids(texts)
+
+
+def test_fast_merges_are_refused_where_they_differ():
+    listed = {b"ab": (b"a", b"b"), b"bc": (b"b", b"c"), b"abc": (b"a", b"bc")}
+    rank = {piece: k for k, piece in enumerate([b"a", b"b", b"c", *listed])}
+    assert best_fit.WordModel._listed(b"bc", listed, rank) and not best_fit.WordModel._listed(b"abc", listed, rank)
+
+
+def test_word_ids_of_long_texts(model, monkeypatch):
+    monkeypatch.setattr(best_fit, "CACHE_BYTES", 10_000)
+    texts = ["Some words of a very long text, " * 90_000 + "x" * 30_000, "", "short"] + [f"w{k}" for k in range(500)]
+    assert best_fit._encoded(best_fit.WordIds(model), texts) == plain_ids(texts)
 
 
 def packed_rightly(rows, wanted, capacity):
