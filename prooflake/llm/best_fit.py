@@ -39,7 +39,7 @@ CACHE_BYTES, ENTRY_BYTES, LONG_WORD = 160 << 20, 80, 64
 CHUNK_BYTES, CHUNK_CHARS = 4 << 20, 1 << 20
 MOST_BASES = 1 << 20
 #: Characters at which Python splits words but the tokenizer doesn't.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+ODD_SPACE = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile(r"\s")
 #: Below U+0250 all letters are composed and lower-cased one by one, so that the tokenizer's normalisation of a word is lower().
 _SIMPLE = re.compile("[\x21-\u024f]*").fullmatch
@@ -130,8 +130,8 @@ class WordIds:
 
     def _fresh(self, words: list[str]) -> dict[str, str]:
         """The ids of words. Those of simple letters only are lower-cased and cut into tokens here, all at once, and then looked up or merged."""
-        simple = [w for w in words if _SIMPLE(w)] if self.plain else []
-        other = [w for w in words if not _SIMPLE(w)] if self.plain else words
+        other = [w for w in words if not (w.isascii() or _SIMPLE(w))] if self.plain else words
+        simple = [w for w in words if w not in found] if (found := set(other)) else words
         found = dict(zip(other, self._by_tokenizer(other), strict=True)) if other else {}
         if simple:
             cut = self.split("\n".join(simple).lower())
@@ -151,15 +151,18 @@ class WordIds:
         out: list[bytes] = []
         if self.held > CACHE_BYTES:
             self.words, self.tokens, self.held = {}, {"\n": "\n"}, 0
-        split = [[t] if _ODD_SPACE.search(t) else t.split() for t in texts]
+        split = [[t] if any(map(t.__contains__, ODD_SPACE)) else t.split() for t in texts]
         fresh = [w for w in set().union(*split) if w not in self.words]
         short = self._fresh([w for w in fresh if len(w) <= LONG_WORD])
         self.words.update(short)
         self.held += sum(map(len, short)) + 4 * sum(map(len, short.values())) + 2 * ENTRY_BYTES * len(short)
         long = dict(zip(odd, self._by_tokenizer(odd), strict=True)) if (odd := [w for w in fresh if len(w) > LONG_WORD]) else {}
+        self.words.update(long)
         for words in split:
-            ids = "".join([self.words.get(w) or long.get(w, "") for w in words]) if long else "".join(map(self.words.__getitem__, words))
+            ids = "".join(map(self.words.__getitem__, words))
             out.append((np.frombuffer(ids.encode("utf-32-le"), "<u4") - np.uint32(FIRST_ID)).tobytes())
+        for w in long:
+            del self.words[w]
         return out
 
 
