@@ -98,26 +98,30 @@ def claim_state(label: Column) -> Column:
     return F.when(label == "SUPPORTS", "sufficient").when(label == "REFUTES", "contradicted").otherwise("insufficient")
 
 
-def resolve_references(references: DataFrame, sentences: DataFrame) -> DataFrame:
+def resolve_references(references: DataFrame, sentences: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """references (url, sent_id, ...) with text: of the pages named url, url with underscores, url with spaces the first that exists
-    decides, and its sentence is taken or none. An empty sentence counts as none."""
-    pages = sentences.select("page_id").distinct()
-    keyed = references.withColumn("_row", F.monotonically_increasing_id())
-    names = [F.col("url"), F.replace("url", F.lit(" "), F.lit("_")), F.replace("url", F.lit("_"), F.lit(" "))]
-    tried = keyed.select("_row", F.posexplode(F.array(*names)).alias("_try", "page_id")).join(pages, "page_id", "left_semi")
-    chosen = tried.groupBy("_row").agg(F.min_by("page_id", "_try").alias("_page"))
-    found = sentences.select(F.col("page_id").alias("_page"), F.col("sent_id").alias("_sent"), F.nullif("text", F.lit("")).alias("text"))
-    joined = keyed.join(chosen, "_row", "left")
-    return joined.join(found, (joined["_page"] == found["_page"]) & (joined["sent_id"] == found["_sent"]), "left").select(*references.columns, "text")
-
-
-def convert_claims(raw: DataFrame, sentences: DataFrame, dataset: str = "fever") -> DataFrame:
+    decides, and its sentence is taken or none. An empty sentence counts as none.
+
+    The page is found once for each different url, so no row needs a number. With the tables of `files.open_lookup` neither the sentences nor
+    their pages (the different page_ids) are shuffled.
+    """
+    pages = sentences.select("page_id").distinct() if pages is None else pages
+    names = [F.col("_url"), F.replace("_url", F.lit(" "), F.lit("_")), F.replace("_url", F.lit("_"), F.lit(" "))]
+    urls = references.select(F.col("url").alias("_url")).where("_url IS NOT NULL").distinct()
+    tried = urls.select("_url", F.posexplode(F.array(*names)).alias("_try", "page_id")).join(pages, "page_id", "left_semi")
+    chosen = tried.groupBy("_url").agg(F.min_by("page_id", "_try").alias("_page"))
+    found = sentences.select(F.col("page_id").alias("_p"), F.col("sent_id").alias("_s"), F.nullif("text", F.lit("")).alias("text"))
+    joined = references.drop("text").join(chosen, F.col("url") == F.col("_url"), "left")
+    return joined.join(found, (F.col("_page") == F.col("_p")) & (F.col("sent_id") == F.col("_s")), "left").select(*references.drop("text").columns, "text")
+
+
+def convert_claims(raw: DataFrame, sentences: DataFrame, dataset: str = "fever", pages: DataFrame | None = None) -> DataFrame:
     """Claim rows (ordinal, label, claim, urls, sents: arrays of references) to instances; each different reference is one gold unit."""
     label = F.col("label")
     refs = F.transform(F.sequence(F.lit(0), F.size("urls") - 1), lambda i: F.struct(F.get("urls", i).alias("url"), F.get("sents", i).alias("sent_id")))
     refs = F.when(F.size("urls") > 0, F.array_distinct(F.filter(refs, lambda r: F.coalesce(r["url"], F.lit("")) != ""))).otherwise(F.array().cast("array<struct<url:string,sent_id:int>>"))
     wanted = raw.where(F.coalesce(label, F.lit("")) != "NOT ENOUGH INFO").select("ordinal", F.posexplode(refs).alias("at", "r")).select("ordinal", "at", "r.url", "r.sent_id")
-    texts = resolve_references(wanted, sentences)
+    texts = resolve_references(wanted, sentences, pages)
     gathered = texts.groupBy("ordinal").agg(F.array_sort(F.collect_list(F.struct("at", "url", "sent_id", "text"))).alias("refs"))
     prefix = T.numbered(dataset, F.col("ordinal"))
     role = F.when(label == "SUPPORTS", "supports").when(label == "REFUTES", "refutes").otherwise("unknown")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prooflake.operators.quantiles import quantiles
+
 
 def unpivoted(rows: DataFrame, keys: list[str], columns: list[str], name: str = "feature", value: str = "value") -> DataFrame:
     return rows.unpivot([F.col(k) for k in keys], [F.col(c).cast("double").alias(c) for c in columns], name, value)
@@ -30,8 +32,8 @@ def scaled_means(rows: DataFrame, state: str, columns: list[str]) -> DataFrame:
 def box_statistics(rows: DataFrame, state: str, columns: list[str]) -> DataFrame:
     """(state, feature, q1, median, q3, low, high): whiskers end at the last value within 1.5 interquartile ranges."""
     long = unpivoted(rows, [state], columns)
-    quartiles = long.groupBy(state, "feature").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    joined = long.join(F.broadcast(quartiles), [state, "feature"])
+    quartiles = quantiles(long, [state, "feature"], "value", [0.25, 0.5, 0.75])
+    joined = long.join(quartiles, [state, "feature"])
     q1, q3 = F.col("q")[0], F.col("q")[2]
     reach = 1.5 * (q3 - q1)
     ends = joined.groupBy(state, "feature").agg(F.first("q").alias("q"), F.min(F.when(F.col("value") >= q1 - reach, F.col("value"))).alias("low"), F.max(F.when(F.col("value") <= q3 + reach, F.col("value"))).alias("high"))

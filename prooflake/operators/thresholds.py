@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prooflake.operators.metrics import confusion, macro
+from prooflake.operators.quantiles import quantiles
 
 STEPS = 100
 
@@ -32,8 +33,8 @@ def best_binary(sweep: DataFrame) -> DataFrame:
 
 
 def quartiles(rows: DataFrame, score: str = "score") -> DataFrame:
-    q = F.percentile(score, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.agg(q.alias("q")).select(*(F.col("q")[k].alias(name) for k, name in enumerate(("low", "middle", "high"))))
+    """One row: low, middle and high; none without scores."""
+    return quantiles(rows, [], score, [0.25, 0.5, 0.75]).select(*(F.col("q")[k].alias(name) for k, name in enumerate(("low", "middle", "high"))))
 
 
 def by_quartile(rows: DataFrame, score: str = "score") -> DataFrame:
@@ -52,5 +53,6 @@ def strategy(rows: DataFrame, score: str = "score", true: str = "true") -> DataF
 
 
 def score_statistics(rows: DataFrame, by: str, score: str = "score") -> DataFrame:
-    return rows.groupBy(by).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.percentile(score, F.lit(0.5)).alias("median"), F.count("*").alias("n"))
-
+    middle = quantiles(rows, [by], score, [0.5]).select(F.col(by).alias("_by"), F.col("q")[0].alias("median"))
+    stats = rows.groupBy(by).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.count("*").alias("n"))
+    return stats.join(middle, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "mean", "std", "median", "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,9 @@ from prooflake.functions.vocabulary import FEATURES, STATES, STOPWORDS_EVIDENCE
 from prooflake.operators import assemble, context, features, graph, ingest, metrics, models, pairs, plots, remediation, sampling, thresholds, variants
 from prooflake.plans import build
 from prooflake.plans.oracles import ORACLES
+from prooflake.sources import files, json_arrays
 from prooflake.sources import fixtures as X
-from prooflake.storage import stored
+from prooflake.storage import scratch, stored
 from prooflake.streaming import events as event_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,6 +168,24 @@ def wiki_line_parse(spark, d):
     return ingest.parse_wiki_lines(X.wiki_pages(spark, d)).select("page_id", "sent_id", F.md5("text").alias("text_md5"))
 
 
+@query
+def json_array_records(spark, d):
+    """Nested records written as JSON arrays by all tasks, and read back by byte ranges."""
+    path = f"{scratch(spark)}/prooflake/json-arrays-{uuid.uuid4().hex}"
+    json_arrays.write(X.document_records(spark, d), path)
+    back = json_arrays.read(spark, path, "doc_id long, body struct<text:string,source:string>, lines array<string>")
+    return back.select("doc_id", "body.source", F.md5("body.text").alias("text_md5"), F.size("lines").alias("n_lines"), F.md5(F.get("lines", F.lit(0))).alias("first_md5"))
+
+
+@query
+def bucketed_reference_lookup(spark, d):
+    """The claims' references against a bucketed lookup, which is written once and read in place."""
+    path = f"{scratch(spark)}/prooflake/lookup-{uuid.uuid4().hex}"
+    files.write_lookup(X.document_lines(spark, d), path, 16)
+    lookup = files.open_lookup(spark, path)
+    return _units(ingest.convert_claims(X.claims(spark, d), lookup.sentences, pages=lookup.pages))
+
+
 @query
 def conversion_statistics(spark, d):
     made = ingest.convert_multi_hop(X.multi_hop(spark, d)).unionByName(ingest.convert_paragraphs(X.paragraphs(spark, d)))

@@ -290,6 +290,8 @@ SELECT doc_id, md5(left(coalesce(nullif(structured, ''), nullif(plain, ''), null
          CASE WHEN nei THEN 'none' ELSE url END AS doc_title, 'fever::' || CASE WHEN nei THEN 'none' ELSE url END AS source_doc_id, CASE WHEN NOT nei THEN CAST(sent AS INT) END AS sentence_index, NULL::INT AS paragraph_index,
          CASE WHEN nei THEN 'no_evidence' WHEN found IS NULL THEN 'unresolved_reference' ELSE 'available' END AS text_status, NOT nei AS is_gold_evidence, CASE label WHEN 'SUPPORTS' THEN 'supports' WHEN 'REFUTES' THEN 'refutes' ELSE 'unknown' END AS support_role,
          CASE WHEN nei THEN 'none' ELSE 'gold_sentence' END AS label_strength, CASE WHEN nei THEN 0.0 ELSE 1.0 END::DOUBLE AS supervision_weight, 'sentence' AS provenance_granularity FROM r)"""),
+    "json_array_records": """WITH r AS (SELECT doc_id, source, '{"a\\": [}"\\\\' || text || '"}, {' AS t, string_split(text, chr(10)) AS l FROM documents)
+SELECT doc_id, source, md5(t) AS text_md5, CAST(len(l) AS INT) AS n_lines, md5(l[1]) AS first_md5 FROM r""",
     "wiki_line_parse": rf"""WITH l AS (SELECT source || '_' || doc_id AS page_id, unnest(range(len(string_split(text, chr(10))))) AS i, text FROM documents), s AS (SELECT page_id, CAST(i AS INT) AS sent_id, {_strip("string_split(text, chr(10))[i + 1]")} AS t FROM l)
 SELECT page_id, sent_id, md5(t) AS text_md5 FROM s WHERE t <> ''""",
     "conversion_statistics": rf"""WITH {_MULTI_HOP}, {_PARAGRAPHS}, a AS (
@@ -415,3 +417,4 @@ SELECT level, value, n, """ + ", ".join(f"round({c}, 6) AS {c}" for c in ("detec
   CASE p_partkey % 3 WHEN 2 THEN 'x_y_superseded' ELSE 'x_superseded' END AS variant FROM (SELECT p_partkey, p_name || ' o''x ' || p_brand AS t FROM part)""",
     "daily_event_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
+ORACLES["bucketed_reference_lookup"] = ORACLES["claim_reference_lookup"]

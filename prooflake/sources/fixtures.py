@@ -133,6 +133,13 @@ CANNED = {
 }
 
 
+def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, body: text, source, lines) as nested records, whose texts hold what JSON has to escape."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.concat(F.lit('{"a\\": [}"\\\\'), "text", F.lit('"}, {'))
+    return docs.select("doc_id", F.struct(text.alias("text"), "source").alias("body"), F.split("text", "\n").alias("lines"))
+
+
 def canned(kind: str, key: F.Column) -> F.Column:
     """A fixed response by key modulo 5."""
     return F.element_at(F.array(*(F.lit(x) for x in CANNED[kind])), (F.pmod(key, F.lit(5)) + 1).cast("int"))
