@@ -130,7 +130,7 @@ class WordIds:
 
     def _fresh(self, words: list[str]) -> dict[str, str]:
         """The ids of words. Those of simple letters only are lower-cased and cut into tokens here, all at once, and then looked up or merged."""
-        other = [w for w in words if not (w.isascii() or _SIMPLE(w))] if self.plain else words
+        other = [w for w in words if not (w.isascii() and w.isprintable() or _SIMPLE(w))] if self.plain else words
         simple = [w for w in words if w not in found] if (found := set(other)) else words
         found = dict(zip(other, self._by_tokenizer(other), strict=True)) if other else {}
         if simple:

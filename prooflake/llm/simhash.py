@@ -363,12 +363,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable over links, itself included."""
+    """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable over links, itself included.
+
+    Links are between fingerprints, each of which is a node of its own: rows with a null id link others (and have a component, null only where
+    nothing in it has an id), and rows of one id with different fingerprints are joined only by links.
+    """
     fps = stored(fingerprints(docs, width), "fingerprints")
-    known = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    found = components(links(_keyed(known.where("node IS NOT NULL"), exact_tables(radius)), radius))
-    # stored, so that a fingerprint of very many rows is a skewed key of a plain join
-    classes = stored(known.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "classes")
+    known = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")  # stored, so a node keeps its number
+    found = components(links(_keyed(known.select("node", "fp"), exact_tables(radius)), radius))
+    # stored, so that a component or a fingerprint of very many rows is a skewed key of a plain join
+    placed = stored(known.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component")), "placed")
+    firsts = stored(placed.groupBy("component").agg(F.min("least").alias("component_id")), "firsts")
+    classes = stored(placed.join(firsts, "component").select("fp", "component_id"), "classes")
+    used_up(placed, firsts)
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
