@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prooflake.functions import text as T
 from prooflake.functions.vocabulary import STOPWORDS_EVIDENCE
+from prooflake.storage import stored
 
 DUPLICATE, SIMILAR = 0.5, 0.3
 
@@ -73,6 +76,66 @@ def entity_overlap(instances: DataFrame, extract, query: str = "input_text", uni
     return rows.withColumn("entity_overlap", F.round(share, 4)).drop("_asked", "_told")
 
 
+#: Titles that go along as an automaton; longer lists are met by joins.
+MOST_TITLES = 200_000
+
+
+def _spaced(tokens: Column) -> Column:
+    """Tokens with a space on each side of each, so that a title's is found only as whole tokens and neighbours share no space."""
+    return F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
+
+
+def titles_by_automaton(tokens: Column, names: DataFrame) -> Column:
+    """The different titles (names: title as _spaced has it, of a checked number) in a row's tokens, by an Aho-Corasick automaton that goes along by
+    broadcast: from the left, where several begin at one token the longest, none over another."""
+    shared = names.sparkSession.sparkContext.broadcast([r[0] for r in names.collect()])
+
+    @F.pandas_udf("array<string>")
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for title in shared.value:
+            automaton.add_word(title, title)
+        if shared.value:
+            automaton.make_automaton()
+        for part in texts:
+            yield pd.Series([sorted({t for _, t in automaton.iter_long(x)}) if shared.value else [] for x in part])
+
+    return found(_spaced(tokens))
+
+
+def titles_by_join(rows: DataFrame, key: str, tokens: str, names: DataFrame) -> DataFrame:
+    """(key, titles): the same without a bound on the number of titles: every run of tokens up to the longest title's length is looked up."""
+    longest = names.agg(F.max(F.size(F.split(F.trim("title"), "  ")))).first()[0] or 0
+    runs = rows.select(F.col(key).alias("_key"), F.col(tokens).alias("t")).select("_key", "t", F.posexplode("t").alias("at", "_"))
+    runs = runs.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), F.size("t") - F.col("at")))))
+    hits = runs.select("_key", "at", "n", _spaced(F.slice("t", F.col("at") + 1, F.col("n"))).alias("title")).join(names, "title")
+    # of those that begin at one token the longest, then from the left what begins behind the last one taken
+    first = hits.groupBy("_key", "at").agg(F.max(F.struct("n", "title")).alias("h")).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("at", "h.n", "h.title"))).alias("hits"))
+    nothing = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("titles"))
+    step = lambda so_far, h: F.when(h["at"] >= so_far["end"], F.struct((h["at"] + h["n"]).alias("end"), F.array_append(so_far["titles"], h["title"]).alias("titles"))).otherwise(so_far)
+    return first.select(F.col("_key").alias(key), F.array_distinct(F.aggregate("hits", nothing, step)["titles"]).alias("titles"))
+
+
+def gazetteer_overlap(instances: DataFrame, titles: DataFrame, key: str, query: str = "input_text", units: str = "evidence_units", most: int = 10_000) -> DataFrame:
+    """instances with entity_overlap, whose entities are the titles (one column, text) that occur as whole words: the share of the query's among
+    those of the joined evidence, cut to `most` characters; 0 without any in the query. Case and punctuation don't count."""
+    names = titles.select(T.plain_tokens(titles.columns[0]).alias("t")).where(F.size("t") > 0).select(_spaced(F.col("t")).alias("title")).distinct()
+    names = stored(names, "titles")
+    joined = F.substring(F.array_join(filled_texts(F.col(units)), " "), 1, most)
+    rows = instances.withColumns({"_q": T.plain_tokens(F.coalesce(F.col(query), F.lit(""))), "_e": T.plain_tokens(joined)})
+    if names.limit(MOST_TITLES + 1).count() <= MOST_TITLES:
+        rows = rows.withColumns({"_asked": titles_by_automaton(F.col("_q"), names), "_told": titles_by_automaton(F.col("_e"), names)})
+    else:
+        none = F.array().cast("array<string>")
+        for column, tokens in (("_asked", "_q"), ("_told", "_e")):
+            found = titles_by_join(rows, key, tokens, names).select(F.col(key).alias("_k"), F.col("titles").alias("_t"))
+            rows = rows.join(found, F.col(key) == F.col("_k"), "left").withColumn(column, F.coalesce("_t", none)).drop("_k", "_t")
+    share = F.when(F.size("_asked") == 0, 0.0).otherwise(T.ratio(F.size(F.array_intersect("_asked", "_told")), F.size("_asked")))
+    return rows.withColumn("entity_overlap", F.round(share, 4)).drop("_q", "_e", "_asked", "_told")
+
+
 def ablated(vector: Column, dropped: int) -> Column:
     """A feature array with one entry set to 0."""
     return F.transform(vector, lambda x, i: F.when(i == dropped, F.lit(0.0)).otherwise(x))

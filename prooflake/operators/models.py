@@ -157,22 +157,25 @@ def features_regression(train: DataFrame, test: DataFrame, columns: list[str]) -
     return fit_detector(train, columns).predict(test)
 
 
-def cross_validated(rows: DataFrame, columns: list[str], folds: int = 5) -> DataFrame:
-    """(fold, accuracy, macro_f1): each fold's rows judged by a regression on the others, and fold -1 by one on all rows (in sample)."""
-    out = None
-    for k in range(folds):
-        judged = features_regression(rows.where(F.col("fold") != k), rows.where(F.col("fold") == k), columns)
-        part = macro(confusion(judged, "label")).select(F.lit(k).alias("fold"), "accuracy", "macro_f1")
-        out = part if out is None else out.unionByName(part)
-    judged = features_regression(rows, rows, columns)
-    return out.unionByName(macro(confusion(judged, "label")).select(F.lit(-1).alias("fold"), "accuracy", "macro_f1"))
+def cross_validated(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(fold, accuracy, macro_f1): each fold's rows judged by a regression on the others, and fold -1 by one on all rows (in sample). All are fitted
+    in the same passes over the rows."""
+    from prooflake.operators.folds import fit_folds, judged
+
+    found, _ = fit_folds(rows, columns)
+    return macro(confusion(judged(rows, columns, found), "label", by=["fold"]), ["fold"]).select("fold", "accuracy", "macro_f1")
 
 
 def leave_one_out(rows: DataFrame, dataset: str, columns: list[str]) -> DataFrame:
-    """(held_out, accuracy, macro_f1, n): each dataset judged by a regression on all others. Datasets are few and known by name."""
-    out = None
-    for name in names_of(rows, dataset):
-        judged = features_regression(rows.where(F.col(dataset) != name), rows.where(F.col(dataset) == name), columns)
-        part = macro(confusion(judged, "label")).select(F.lit(name).alias("held_out"), "accuracy", "macro_f1", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(held_out, accuracy, macro_f1, n): each dataset judged by a regression on all others. Datasets are few and known by name; their models are
+    fitted in the same passes over the rows. A single dataset has no others, so it isn't judged."""
+    from prooflake.operators.folds import fit_folds, judged
+
+    names = names_of(rows, dataset)
+    if len(names) < 2:
+        return rows.sparkSession.createDataFrame([], "held_out string, accuracy double, macro_f1 double, n bigint")
+    numbers = F.array(*(F.lit(x) for x in names))
+    folded = rows.where(F.col(dataset).isNotNull()).withColumn("fold", F.array_position(numbers, F.col(dataset)).cast("int") - 1)
+    found, _ = fit_folds(folded, columns)
+    tables = confusion(judged(folded, columns, found), "label", by=["fold"]).where("fold >= 0")
+    return macro(tables, ["fold"]).select(F.get(numbers, F.col("fold")).alias("held_out"), "accuracy", "macro_f1", "n")

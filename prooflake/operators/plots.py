@@ -70,8 +70,3 @@ KEY_FEATURES = ["entity_overlap", "text_resolution_rate", "duplicate_rate", "evi
 def key_feature_pivot(rows: DataFrame, dataset: str, state: str, states: list[str]) -> DataFrame:
     """(dataset, feature, mean of each state) of KEY_FEATURES."""
     return unpivoted(rows, [dataset, state], KEY_FEATURES).groupBy(dataset, "feature").pivot(state, states).agg(F.avg("value"))
-
-
-def curve(rows: DataFrame, history: list[float], metric: str = "loss") -> DataFrame:
-    """(step, metric, value) of a training history; rows only names the session."""
-    return rows.sparkSession.createDataFrame([(k, metric, float(v)) for k, v in enumerate(history)], "step int, metric string, value double")

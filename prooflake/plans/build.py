@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from prooflake import storage
 from prooflake.functions import responses as R
 from prooflake.functions.vocabulary import FEATURES, STATES
-from prooflake.operators import assemble, features, graph, ingest, metrics, models, sampling, scoring, thresholds, variants
+from prooflake.operators import assemble, features, graph, ingest, metrics, models, sampling, scoring, thresholds, training, variants
 from prooflake.sources import files
 
 SMOKE_ROWS = 200
@@ -103,6 +103,14 @@ def tfidf_detector(train: DataFrame, test: DataFrame, text: str = "plain_input",
     return test.join(judged, test[key] == judged["_key"]).drop("_key")
 
 
+def fused_detector(train: DataFrame, test: DataFrame, text: str = "plain_input", key: str = "example_id", numbers: tuple[str, ...] = tuple(FEATURES), **settings) -> DataFrame:
+    """A network over hashed terms and number columns, trained in mini-batches; the best epoch judges."""
+    net, stats, _ = training.fit_fused(train, text, key, list(numbers), len(STATES), **settings)
+    buckets = settings.get("buckets", training.BUCKETS)
+    judged = training.predict(training.inputs(test, text, key, list(numbers), stats, buckets), net, buckets)
+    return test.join(judged, test[key] == judged["key"]).drop("key")
+
+
 def without(dropped: str) -> Detector:
     return lambda train, test: models.features_regression(train, test, [f for f in FEATURES if f != dropped])
 
@@ -112,6 +120,7 @@ DETECTORS: dict[str, Detector] = {
     "majority": majority,
     "tfidf": tfidf_detector,
     "tfidf_and_features": lambda train, test: tfidf_detector(train, test, numbers=tuple(FEATURES)),
+    "fused": fused_detector,
     "features_only": lambda train, test: models.features_regression(train, test, FEATURES),
     **{f"without_{c}": without(c) for c in FEATURES},
 }

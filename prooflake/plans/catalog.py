@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from prooflake.functions import responses as R
 from prooflake.functions import text as T
 from prooflake.functions.vocabulary import FEATURES, STATES, STOPWORDS_EVIDENCE
-from prooflake.operators import assemble, context, features, graph, ingest, metrics, models, pairs, plots, remediation, sampling, thresholds, variants
+from prooflake.operators import assemble, context, features, graph, ingest, metrics, models, pairs, plots, remediation, sampling, thresholds, training, variants
 from prooflake.plans import build
 from prooflake.plans.oracles import ORACLES
 from prooflake.sources import files, json_arrays
@@ -75,11 +75,10 @@ def query_word_overlap(spark, d):
 
 @query
 def named_entity_overlap(spark, d):
-    """The overlap with a plugged-in extractor: here capitalised words."""
-    import re
-
-    found = features.entity_overlap(X.instances(spark, d), lambda texts: [re.findall("[A-Z][a-z]+", t) for t in texts])
-    return found.select("item_id", "entity_overlap")
+    """The overlap of titles from a gazetteer: the first words, and the first two and three, of all items."""
+    words = T.plain_tokens("text")
+    titles = X.table(spark, d, "benchmark").select(F.explode(F.array(*(F.array_join(F.slice(words, 1, n), " ") for n in (1, 2, 3)))).alias("title"))
+    return features.gazetteer_overlap(X.instances(spark, d), titles, "item_id").select("item_id", "entity_overlap")
 
 
 @query
@@ -646,6 +645,27 @@ def leave_one_dataset_out(spark, d):
     return models.leave_one_out(_detector_rows(spark, d), "dataset", FEATURES)
 
 
+def _fused_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = assemble.processed(features.with_features(_states(spark, d)))
+    rows = build.flat_features(rows).select("example_id", "dataset", "label", "plain_input", *FEATURES)
+    return _split(stored(sampling.stratified_split(rows, ["label", "dataset"], "example_id"), "fused-detector-rows"))
+
+
+@query
+def fused_detector(spark, d):
+    """A network over the terms of the evidence and the eight features, judged on held-out instances."""
+    train, test = _fused_rows(spark, d)
+    return build.evaluate(build.fused_detector, train, test)[0]
+
+
+@query
+def training_curve(spark, d):
+    """Loss and scores of each epoch of the fused detector's training."""
+    train, _ = _fused_rows(spark, d)
+    _, _, history = training.fit_fused(train, "plain_input", "example_id", FEATURES, len(STATES))
+    return _rounded(training.curve(train, history), "value")
+
+
 @query
 def majority_detector(spark, d):
     train, test = _split(_detector_rows(spark, d))

@@ -377,7 +377,9 @@ SELECT example_id, CAST(k AS INT) AS k, md5('Question: ' || input_text || chr(10
 SELECT example_id, md5('Evidence:' || chr(10) || first || CASE WHEN dataset = 'ds0' THEN chr(10) || chr(10) || 'Is the claim SUPPORTS, REFUTES or NOT ENOUGH INFO? Verdict:' ELSE chr(10) || chr(10) || 'Give the answer in a few words:' END) AS prompt_md5 FROM f""",
     "named_entity_overlap": rf"""WITH {UNITS}, e AS (
   SELECT item_id, any_value(input_text) AS q, left(coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (doc_id IS NOT NULL AND NOT {_blank('text')}), ''), 10000) AS told FROM units GROUP BY item_id
-), x AS (SELECT item_id, list_distinct(list_transform(regexp_extract_all(q, '[A-Z][a-z]+'), lambda w: lower(w))) AS a, list_distinct(list_transform(regexp_extract_all(told, '[A-Z][a-z]+'), lambda w: lower(w))) AS b FROM e)
+), w AS (SELECT {_plain('text')} AS t FROM benchmark), names AS (SELECT DISTINCT ' ' || array_to_string(t[1:n], '  ') || ' ' AS title FROM w CROSS JOIN (SELECT unnest([1, 2, 3]) AS n) WHERE len(t) > 0
+), p AS (SELECT string_agg(title, '|' ORDER BY length(title) DESC, title) AS pattern FROM names
+), x AS (SELECT item_id, list_distinct(regexp_extract_all(' ' || array_to_string({_plain('q')}, '  ') || ' ', pattern)) AS a, list_distinct(regexp_extract_all(' ' || array_to_string({_plain('told')}, '  ') || ' ', pattern)) AS b FROM e CROSS JOIN p)
 SELECT item_id, round(CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b))::DOUBLE / len(a) END, 4) AS entity_overlap FROM x""",
     "running_macro_f1": f"""WITH {_PREDICTIONS}, o AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS k FROM p), e AS (SELECT unnest(range(1, (SELECT count(*) FROM o) // 100 + 1)) * 100 AS rows_seen),
 c AS (SELECT rows_seen, true_, pred, count(*) AS n FROM e JOIN o ON k <= rows_seen GROUP BY ALL),

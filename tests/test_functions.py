@@ -166,3 +166,39 @@ def test_argmax(spark, logits, state):
 
 def test_generation_prompts(spark):
     assert "Verdict" in one(spark, R.generation_prompt("d", "e"), d="fever", e="x") and "few words" in one(spark, R.generation_prompt("d", "e"), d="hotpotqa", e="x")
+
+
+def longest_titles(tokens, titles):
+    """From the left, at each token the longest title that begins there; none over another."""
+    found, at = set(), 0
+    while at < len(tokens):
+        n = max((len(t) for t in titles if tuple(tokens[at : at + len(t)]) == t), default=0)
+        if n:
+            found.add(" ".join(tokens[at : at + n]))
+        at += max(n, 1)
+    return found
+
+
+def test_gazetteer_equals_brute_force(spark, monkeypatch):
+    import random
+
+    from prooflake.operators import features
+
+    rng = random.Random(11)
+    words = ["a", "b", "c", "ab", "Éa", "d"]
+    names = [" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(14)] + ["A, b!", None, "", "?!"]
+    texts = [" ".join(rng.choices([*words, "x,", "-", "B."], k=rng.randint(0, 25))) for _ in range(80)]
+    rows = spark.createDataFrame([(k, texts[k], [(texts[-1 - k],), (None,), (" ",), (texts[k // 2],)]) for k in range(80)] + [(80, None, []), (81, "a", None)], "k int, input_text string, evidence_units array<struct<text:string>>")
+    titles = spark.createDataFrame([(n,) for n in names], "title string")
+    plain = lambda t: "".join(c for c in (t or "").lower() if c.isalnum() or c in "_ ").split()
+    known = {tuple(plain(n)) for n in names} - {()}
+    wanted = {}
+    for r in rows.collect():
+        asked = longest_titles(plain(r.input_text), known)
+        told = longest_titles(plain(" ".join(u.text for u in r.evidence_units or [] if (u.text or "").strip())), known)
+        wanted[r.k] = round(len(asked & told) / len(asked), 4) if asked else 0.0
+    for most in (1000, 3):
+        monkeypatch.setattr(features, "MOST_TITLES", most)
+        got = {r.k: r.entity_overlap for r in features.gazetteer_overlap(rows, titles, "k").collect()}
+        assert {k: v for k, v in got.items() if k != 81} == {k: v for k, v in wanted.items() if k != 81} and len(set(wanted.values())) > 3
+    assert features.gazetteer_overlap(rows, titles.where("false"), "k").where("entity_overlap > 0").count() == 0

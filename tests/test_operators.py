@@ -82,12 +82,12 @@ def test_similar_pairs_equal_brute_force(spark, instances):
 
 
 def test_best_detector_and_its_curve(spark):
-    from prooflake.operators import models, plots
+    from prooflake.operators import models, training
 
     rows = spark.range(300).selectExpr("CAST(id % 3 AS INT) AS label", "CAST(id % 3 AS DOUBLE) + rand(1) AS x", "rand(2) AS y")
     best, scores = models.best_detector(rows, rows, ["x", "y"], [1e-6, 1.0, 1.0])
     assert scores[1] == scores[2] > scores[0] and best.predict(rows.withColumn("features_", rows.x)).where("pred = label").count() > 280
-    assert [tuple(r) for r in plots.curve(rows, scores, "macro_f1").collect()] == [(k, "macro_f1", s) for k, s in enumerate(scores)]
+    assert [tuple(r) for r in training.curve(rows, [{"epoch": k, "macro_f1": s} for k, s in enumerate(scores)]).collect()] == [(k, "macro_f1", s) for k, s in enumerate(scores)]
 
 
 def test_regression_equals_plain_descent(spark):
