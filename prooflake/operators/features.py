@@ -99,8 +99,22 @@ def titles_by_automaton(tokens: Column, names: DataFrame) -> Column:
             automaton.add_word(title, title)
         if shared.value:
             automaton.make_automaton()
+
+        def longest(text: str) -> list[str]:
+            begun: dict[int, str] = {}
+            for last, title in automaton.iter(text) if shared.value else ():
+                first = last - len(title) + 1
+                if len(title) > len(begun.get(first, "")):
+                    begun[first] = title
+            out, free = set(), 0
+            for first in sorted(begun):
+                if first >= free:
+                    out.add(begun[first])
+                    free = first + len(begun[first])
+            return sorted(out)
+
         for part in texts:
-            yield pd.Series([sorted({t for _, t in automaton.iter_long(x)}) if shared.value else [] for x in part])
+            yield part.map(longest)
 
     return found(_spaced(tokens))
 
@@ -124,7 +138,7 @@ def gazetteer_overlap(instances: DataFrame, titles: DataFrame, key: str, query:
     names = titles.select(T.plain_tokens(titles.columns[0]).alias("t")).where(F.size("t") > 0).select(_spaced(F.col("t")).alias("title")).distinct()
     names = stored(names, "titles")
     joined = F.substring(F.array_join(filled_texts(F.col(units)), " "), 1, most)
-    rows = instances.withColumns({"_q": T.plain_tokens(F.coalesce(F.col(query), F.lit(""))), "_e": T.plain_tokens(joined)})
+    rows = instances.withColumns({"_q": T.plain_tokens(F.coalesce(F.col(query), F.lit(""))), "_e": T.plain_tokens(F.coalesce(joined, F.lit("")))})
     if names.limit(MOST_TITLES + 1).count() <= MOST_TITLES:
         rows = rows.withColumns({"_asked": titles_by_automaton(F.col("_q"), names), "_told": titles_by_automaton(F.col("_e"), names)})
     else:

@@ -200,5 +200,5 @@ def test_gazetteer_equals_brute_force(spark, monkeypatch):
     for most in (1000, 3):
         monkeypatch.setattr(features, "MOST_TITLES", most)
         got = {r.k: r.entity_overlap for r in features.gazetteer_overlap(rows, titles, "k").collect()}
-        assert {k: v for k, v in got.items() if k != 81} == {k: v for k, v in wanted.items() if k != 81} and len(set(wanted.values())) > 3
+        assert got == wanted and len(set(wanted.values())) > 3
     assert features.gazetteer_overlap(rows, titles.where("false"), "k").where("entity_overlap > 0").count() == 0
