@@ -31,20 +31,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("quality_score") >= compress_quality.THRESHOLD).drop("quality_score").toDF(*docs.columns)
 
 
-def _picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of docs whose id and text are wanted (doc_id, text_hash, n, copies), `copies` times each. Of n equal rows one counts."""
+def _picked(docs: DataFrame, wanted: DataFrame, *by: str) -> DataFrame:
+    """The rows of docs whose id, text and columns `by` are wanted (doc_id, text_hash, by..., n, copies), `copies` times each. Of n rows that are equal in
+    those, the one whose columns come first as JSON counts, so that a rerun keeps the same."""
     rows, at = positional(docs)
-    id_, text = at["doc_id"], at["text"]
+    id_, text, more = at["doc_id"], at["text"], [at[c] for c in by]
     keyed = rows.withColumn("text_hash", F.xxhash64(text))
-    w = wanted.select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), "n", "copies")
-    joined = keyed.join(w, F.col(id_).cast("long").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
+    w = wanted.select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), *(F.col(c).alias(f"w_{k}") for k, c in enumerate(by)), "n", "copies")
+    same = F.col(id_).cast("long").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash"))
+    for k, c in enumerate(more):
+        same = same & F.col(c).eqNullSafe(F.col(f"w_{k}"))
+    joined = keyed.join(w, same)
     if not wanted.where("n > 1").isEmpty():
-        joined = joined.where("n = 1").unionByName(joined.where("n > 1").dropDuplicates([id_, "text_hash"]))
+        others = [c for c in rows.columns if c not in (id_, text, *more)]
+        first = F.min_by(F.struct(*rows.columns, "copies"), F.to_json(F.struct(F.lit(0).alias("_"), *others)))
+        equal = joined.where("n > 1").groupBy(F.col(id_).alias("g_id"), F.col("text_hash").alias("g_hash"), *(F.col(c).alias(f"g_{k}") for k, c in enumerate(more)))
+        joined = joined.where("n = 1").select(*rows.columns, "copies").union(equal.agg(first.alias("r")).select("r.*"))
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*rows.columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the row with the smallest id (nulls last), and one of rows equal in id and text."""
+    """Keeps of each group of near duplicates the row with the smallest id (nulls last), and of rows equal in id and text the first by their other columns."""
     firsts = simhash.near_copies(_texts(docs), NEAR_WIDTH).where("first")
     return _picked(docs, stored(firsts.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).withColumn("copies", F.lit(1)), "firsts"))
 
@@ -71,8 +78,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops whole documents as often as source_mix says, so that each source's words come near its target. Rows with no
     words go."""
     taken = source_mix.mix(_texts(docs, "source"))
-    wanted = taken.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.sum("copies").cast("int").alias("copies")).where("copies > 0")
-    return _picked(docs, stored(wanted.withColumn("doc_id", F.col("doc_id").cast("long")), "wanted"))
+    wanted = taken.groupBy("doc_id", "text_hash", "source").agg(F.count("*").alias("n"), F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    return _picked(docs, stored(wanted.withColumn("doc_id", F.col("doc_id").cast("long")), "wanted"), "source")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
