@@ -115,6 +115,46 @@ def test_simhash_odd_rows(spark, odd):
     assert got[0][1] == got[1][1] == got[2][1] == 0 and got[7][1] == got[8][1] == got[9][1] == 7
 
 
+def given_fingerprints(spark, monkeypatch, rows):
+    """near_duplicates of rows (doc_id, fingerprint), as (fingerprint, doc_id, component) in order."""
+    frame = spark.createDataFrame([(i, bytearray(v.to_bytes(8, "big"))) for i, v in rows], "doc_id long, fp binary")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, width: frame)
+    return sorted(((int(r.fp.hex(), 16), r.doc_id, r.component_id) for r in simhash.near_duplicates(frame).collect()), key=str)
+
+
+@pytest.mark.parametrize(
+    ("rows", "components"),
+    [
+        ([(1, 0), (None, 7), (2, 63)], [1, 1, 1]),  # a row without an id links its neighbours
+        ([(5, 0), (None, 1)], [5, 5]),
+        ([(None, 0), (None, 1), (4, 1 << 40 | 0xFFFF)], [None, None, 4]),
+        ([(5, 0), (5, (1 << 60) - 1), (7, 1), (9, (1 << 60) - 2)], [5, 5, 5, 5]),
+        ([(3, 0), (5, 0), (5, (1 << 60) - 1), (7, 1), (9, (1 << 60) - 2)], [3, 3, 5, 3, 5]),  # one id doesn't join its far texts
+    ],
+)
+def test_simhash_null_and_repeated_ids(spark, monkeypatch, rows, components):
+    wanted = sorted(((v, i, c) for (i, v), c in zip(rows, components, strict=True)), key=str)
+    assert given_fingerprints(spark, monkeypatch, rows) == wanted
+
+
+def test_simhash_of_null_and_repeated_ids_equals_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    fps = [int(x) for x in rng.integers(0, 1 << 62, 15)]
+    for _ in range(120):
+        v = fps[int(rng.integers(0, len(fps)))]
+        for b in rng.choice(64, rng.integers(0, 5), replace=False):
+            v ^= 1 << int(b)
+        fps.append(v)
+    rows = [(None if rng.random() < 0.2 else int(rng.integers(0, 60)), v) for v in fps]
+    group = plain_components(dict(enumerate(fps)), 3)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[group[k]] = min(i, least.get(group[k], i))
+    wanted = sorted(((v, i, least.get(group[k])) for k, (i, v) in enumerate(rows)), key=str)
+    assert given_fingerprints(spark, monkeypatch, rows) == wanted
+
+
 def test_simhash_links_equal_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = [int(x) for x in rng.integers(0, 1 << 63, 12)]

@@ -101,6 +101,20 @@ def test_equal_ids_with_different_texts_both_stay(spark):
     assert sorted(map(str, kept)) == sorted(map(str, spark.createDataFrame([rows[0], rows[1], rows[3], (8, "")], "doc_id long, text string").collect()))
 
 
+def test_mix_keeps_sources_apart_and_chooses_in_order(spark):
+    """Rows of one id and text in two sources, and rows that differ in other columns only."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = "some words of a text"
+    rows = [(100, text, "en", "a", 20), (100, text, "en", "b", 20)]
+    got = [tuple(r) for r in corpus_pipeline.mix(spark, spark.createDataFrame(rows, schema), SF).collect()]
+    taken = {r.source: r.copies for r in corpus_pipeline.source_mix.mix(spark.createDataFrame(rows, schema)).collect()}
+    assert {s: sum(r[3] == s for r in got) for s in "ab"} == taken
+    equal = [(7, text, lang, "a", n) for lang, n in (("fr", 1), ("de", 9), ("de", 3), (None, 5))]
+    for parts in (1, 4):
+        first = corpus_pipeline.near_dedup(spark, spark.createDataFrame(equal, schema).repartition(parts), SF).collect()
+        assert [tuple(r) for r in first] == [(7, text, "de", "a", 3)]
+
+
 def test_mix_meets_targets(made):
     """Words of each source after the stage against the capped targets of what came in."""
     from prooflake.llm import source_mix
