@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from prooflake.operators.ingest import parse_wiki_lines
 from prooflake.sources import json_arrays, schemas
 
 
-def read_split(spark: SparkSession, folder: str, split: str) -> DataFrame:
+def read_split(spark: SparkSession, folder: str, split: str, records: tuple[str, ...] = ()) -> DataFrame:
     """A split of an exported dataset, folder/split as Parquet, with `ordinal`, a row's number from 0 in source order: by file name, then by
-    place in the file, both as the files themselves have it."""
+    place in the file, both as the files themselves have it. Columns in `records` may hold structs of lists, as older exports do (lists_as_records)."""
     from pyspark.errors import AnalysisException
 
     path = f"{folder.rstrip('/')}/{split}"
@@ -22,12 +23,13 @@ def read_split(spark: SparkSession, folder: str, split: str) -> DataFrame:
     except AnalysisException as error:
         raise FileNotFoundError(f"no split {split} in {folder}") from error
     if "ordinal" in rows.columns:
-        return rows
+        return lists_as_records(rows, *records) if records else rows
     placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     sizes = placed.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     bases = sizes.select(F.col("_file").alias("_f"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return placed.join(bases, F.col("_file") == F.col("_f")).select(*rows.columns, (F.col("_base") + F.col("_row")).cast("long").alias("ordinal"))
+    numbered = placed.join(bases, F.col("_file") == F.col("_f")).select(*rows.columns, (F.col("_base") + F.col("_row")).cast("long").alias("ordinal"))
+    return lists_as_records(numbered, *records) if records else numbered
 
 
 #: Columns that a raw source must have; exports of other versions of a dataset lack some.
@@ -60,13 +62,52 @@ def read_sentences(spark: SparkSession, pages: str | None = None, dump: str | No
     raise FileNotFoundError(f"no sentences in {tried or 'any given source'}")
 
 
-def lists_as_records(rows: DataFrame, column: str) -> DataFrame:
-    """Older exports hold a struct of parallel lists where newer ones hold a list of structs: the former as the latter."""
-    kind = rows.schema[column].dataType
-    if not hasattr(kind, "fields"):
-        return rows
-    names = [f.name for f in kind.fields]
-    return rows.withColumn(column, F.arrays_zip(*(F.col(column)[n] for n in names)))
+def _as_records(value: Column, kind: DataType) -> tuple[Column, bool]:
+    """(value with every struct of lists in it as a list of structs, whether there was one)."""
+    if isinstance(kind, ArrayType):
+        found = []
+
+        def element(x: Column) -> Column:
+            made, changed = _as_records(x, kind.elementType)
+            found.append(changed)
+            return made
+
+        made = F.transform(value, element)
+        return (made, True) if any(found) else (value, False)
+    if isinstance(kind, MapType):
+        found = []
+
+        def entry(_: Column, x: Column) -> Column:
+            made, changed = _as_records(x, kind.valueType)
+            found.append(changed)
+            return made
+
+        made = F.transform_values(value, entry)
+        return (made, True) if any(found) else (value, False)
+    if not isinstance(kind, StructType) or not kind.fields:
+        return value, False
+    parts = {f.name: _as_records(value[f"`{f.name}`" if "." in f.name else f.name], f.dataType) for f in kind.fields}
+    if all(isinstance(f.dataType, ArrayType) for f in kind.fields):
+        # a list that is missing counts as empty; shorter ones are filled up with nulls
+        lists = [_as_records(F.coalesce(value[f"`{f.name}`" if "." in f.name else f.name], F.array().cast(f.dataType)), f.dataType)[0] for f in kind.fields]
+        # an alias in arrays_zip would name the fields, but a list may be any expression, so they go by number
+        zipped = F.arrays_zip(*(F.slice(x, 1, F.size(x)) for x in lists))
+        return F.when(value.isNotNull(), F.transform(zipped, lambda x: F.struct(*(x[str(k)].alias(f.name) for k, f in enumerate(kind.fields))))), True
+    if not any(changed for _, changed in parts.values()):
+        return value, False
+    return F.when(value.isNotNull(), F.struct(*(c.alias(name) for name, (c, _) in parts.items()))), True
+
+
+def lists_as_records(rows: DataFrame, *columns: str) -> DataFrame:
+    """Older exports hold structs of parallel lists where newer ones hold lists of structs: the former as the latter, at any depth, in the given
+    columns or in all. A walk over the schema; the rows see one projection."""
+    made = {}
+    for f in rows.schema.fields:
+        if not columns or f.name in columns:
+            value, changed = _as_records(F.col(f"`{f.name}`"), f.dataType)
+            if changed:
+                made[f.name] = value
+    return rows.withColumns(made) if made else rows
 
 
 def write_results(tables: dict[str, DataFrame], path: str) -> None:

@@ -155,3 +155,24 @@ def test_bucketed_lookup_is_read_in_place(spark, tmp_path):
     assert again.sentences.count() == 3000 and again.pages.count() == 3000
     files.write_lookup(sentences.where("page_id < 'page_2'"), path, 4)
     assert files.read_lookup(spark, path).count() == sentences.where("page_id < 'page_2'").count()
+
+
+def test_lists_become_records_at_any_depth(spark, tmp_path):
+    kind = "k int, top struct<name:string,mid:array<struct<tag:string,low:struct<a:array<int>,b:array<string>>>>>, flat struct<t:array<string>,n:array<int>>, m map<string,struct<p:array<int>>>, plain array<int>"
+    rows = [
+        (1, ("x", [("t", ([1, 2], ["one"])), ("u", None)]), (["a"], [5]), {"q": ([7, 8],)}, [1]),
+        (2, None, (None, [6]), None, None),
+    ]
+    df = spark.createDataFrame(rows, kind)
+    got = {r.k: r.asDict(recursive=True) for r in files.lists_as_records(df).collect()}
+    assert got[1]["top"]["mid"] == [{"tag": "t", "low": [{"a": 1, "b": "one"}, {"a": 2, "b": None}]}, {"tag": "u", "low": None}]
+    assert got[1]["flat"] == [{"t": "a", "n": 5}] and got[1]["m"] == {"q": [{"p": 7}, {"p": 8}]} and got[1]["plain"] == [1]
+    assert got[2]["top"] is None and got[2]["flat"] == [{"t": None, "n": 6}] and got[2]["m"] is None
+    # nested structs of lists inside structs of lists: three levels
+    deep = spark.createDataFrame([(([(["a", "b"], [([1], ["x"]), ([2], ["y"])])],),)], "d struct<l:array<struct<s:array<string>,i:array<struct<v:array<int>,w:array<string>>>>>>")
+    wanted = [{"l": [{"s": "a", "i": [{"v": 1, "w": "x"}]}, {"s": "b", "i": [{"v": 2, "w": "y"}]}]}]
+    assert files.lists_as_records(deep).first().asDict(recursive=True)["d"] == wanted
+    df.write.parquet(str(tmp_path / "set/train"))
+    back = files.read_split(spark, str(tmp_path / "set"), "train", records=("flat",))
+    assert back.schema["flat"].dataType.simpleString() == "array<struct<t:string,n:int>>" and back.schema["top"] == df.schema["top"]
+    assert sorted(r.ordinal for r in back.collect()) == [0, 1]
