@@ -44,3 +44,9 @@ def question_and_evidence(rows: DataFrame) -> DataFrame:
     """rows with `passages`: of structured_input, or, where that is empty, the plain input as the only one."""
     empty = F.coalesce("structured_input", F.lit("")) == ""
     return rows.withColumn("passages", F.when(empty, F.array(F.coalesce("plain_input", F.lit("")))).otherwise(T.passages_of("structured_input")))
+
+
+def evidence_text() -> Column:
+    """The question and its passages on lines of their own, or, where the structured input is empty, the plain input."""
+    parts = F.filter(F.transform(F.split("structured_input", r"\[SEP\]"), T.strip), lambda p: p != "")
+    return F.when(F.coalesce("structured_input", F.lit("")) != "", F.array_join(parts, "\n")).otherwise(F.coalesce("plain_input", "input_text"))

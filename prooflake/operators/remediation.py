@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,12 @@ def question_groups(variants: DataFrame, question: str = "input_text", state: st
     return groups.where("_has").drop("_has").withColumn("complete", F.col("n_states") == 4)
 
 
-def evaluation_rows(variants: DataFrame, question: str, state: str, order: str, evidence: str) -> DataFrame:
-    """Each question's last sufficient variant and its other variants, with the sufficient one's evidence beside their own."""
-    groups = question_groups(variants, question, state, order, [evidence])
-    paired = variants.join(groups.select(question, F.col(f"sufficient.{order}").alias("_last"), F.col(f"sufficient.{evidence}").alias("sufficient_evidence")), question)
+def evaluation_rows(variants: DataFrame, question: str, state: str, order: str, evidence: str, fields: tuple[str, ...] = ()) -> DataFrame:
+    """Each question's last sufficient variant and its other variants, with the sufficient one's evidence beside their own, and its fields as
+    sufficient_<field>."""
+    groups = question_groups(variants, question, state, order, [evidence, *fields])
+    theirs = [F.col(f"sufficient.{c}").alias(f"sufficient_{c}") for c in fields]
+    paired = variants.join(groups.select(question, F.col(f"sufficient.{order}").alias("_last"), F.col(f"sufficient.{evidence}").alias("sufficient_evidence"), *theirs), question)
     return paired.where((F.col(state) != "sufficient") | (F.col(order) == F.col("_last"))).drop("_last")
 
 
@@ -27,6 +31,20 @@ def swapped(evidence: Column | str, sufficient_evidence: Column | str, is_suffic
     return F.when(is_sufficient, T._col(evidence)).otherwise(T._col(sufficient_evidence))
 
 
+def with_answers(rows: DataFrame, answer: Callable[[DataFrame, str, str, str], DataFrame], state: str = "state", predicted: str = "predicted") -> DataFrame:
+    """Evaluation rows (evidence, sufficient_evidence, sufficient_dataset, sufficient_target_answer, sufficient_target_label) with `gold`, the answers
+    of three conditions and `detector_correct`.
+
+    answer(rows, dataset, evidence, output) adds the model's answer from an evidence column. Every row answers from its own evidence and from the sufficient
+    variant's; the conditions only choose between the two. A question without an answer or label has the answer from its sufficient evidence as gold.
+    """
+    both = answer(answer(rows, "sufficient_dataset", "evidence", "_own"), "sufficient_dataset", "sufficient_evidence", "_best")
+    taken = lambda c: swapped("_own", "_best", F.col(c) == "sufficient")
+    gold = T.first_filled("sufficient_target_answer", "sufficient_target_label", "_best")
+    told = both.withColumns({"gold": gold, "naive_answer": F.col("_own"), "guided_answer": taken(predicted), "oracle_answer": taken(state)})
+    return told.withColumn("detector_correct", F.col(predicted).eqNullSafe(F.col(state))).drop("_own", "_best")
+
+
 def scored_conditions(rows: DataFrame, gold: str = "gold", conditions: tuple[str, ...] = ("naive", "guided", "oracle")) -> DataFrame:
     """rows with f1_<condition> and em_<condition> of the answers <condition>_answer."""
     new = {}

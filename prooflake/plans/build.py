@@ -1,27 +1,34 @@
 """The benchmark build as one application: convert, vary, merge, describe, assemble, split; and the experiments on what it wrote.
 
     python -m prooflake.plans.build --source hotpotqa=/data/hotpotqa --source fever=/data/fever --wiki /data/lookup --out /data/built
-        [--stage process|experiments|all] [--dry-run] [--smoke]
+        [--stage process|experiments|end_to_end|figures|all] [--only detector] [--model package.module:function] [--dry-run] [--smoke]
 
 Each source is a folder of exported splits (Parquet). Written are canonical instances, graph tables, processed splits, features,
-and of the experiments the metrics and confusion tables of every detector.
+of the experiments the metrics and confusion tables of every detector, the answers of a language model under three conditions, and
+the tables behind the figures. Finished stages are skipped (plans/stages.py).
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prooflake import storage
 from prooflake.functions import responses as R
+from prooflake.functions import text as T
 from prooflake.functions.vocabulary import FEATURES, STATES
-from prooflake.operators import assemble, features, graph, ingest, metrics, models, sampling, scoring, thresholds, training, variants
+from prooflake.operators import assemble, context, features, graph, ingest, metrics, models, plots, remediation, sampling, scoring, thresholds, training, variants
+from prooflake.plans import stages
 from prooflake.sources import files
 
 SMOKE_ROWS = 200
+#: Characters of either text that a model of entailment gets.
+ENTAILMENT_CHARS = 512
 
 
 def first_rows(rows: DataFrame, ordinal: str, n: int | None) -> DataFrame:
@@ -61,19 +68,32 @@ def split_processed(instances: DataFrame, k: int = 10, share: float = 0.2, seed:
     return sampling.stratified_split(rows, ["evidence_state_label", "dataset"], "example_id", share, seed)
 
 
-def build(spark: SparkSession, sources: dict[str, str], out: str, wiki: str | None = None, most: int | None = None, seed: int = 42) -> None:
-    sentences = files.read_lookup(spark, wiki) if wiki else None
+def build(spark: SparkSession, sources: dict[str, str], out: str, wiki: str | None = None, most: int | None = None, seed: int = 42) -> list[str]:
+    """Converts the sources and writes merged, described and processed splits. Finished stages are skipped; the names of those that ran are returned."""
+    ran = []
     for split in ("train", "validation"):
-        made = [convert(name, files.read_split(spark, folder, split), sentences, most) for name, folder in sorted(sources.items())]
-        for name, rows in zip(sorted(sources), made, strict=True):
-            rows.write.mode("overwrite").parquet(f"{out}/instances/{split}/{name}")
-        back = load_instances(spark, out, split, sorted(sources))
-        merged = storage.stored(merge_split(back, seed), "merged")
-        graph.nodes(merged).write.mode("overwrite").parquet(f"{out}/graph/{split}/nodes")
-        graph.edges(merged).write.mode("overwrite").parquet(f"{out}/graph/{split}/edges")
-        done = split_processed(merged, seed=seed) if split == "train" else assemble.processed(features.with_features(merged)).withColumn("split", F.lit("validation"))
-        done.write.mode("overwrite").partitionBy("split", "dataset").parquet(f"{out}/processed/{split}")
-        files.write_features_csv(spark.read.parquet(f"{out}/processed/{split}"), f"{out}/features/{split}")
+        for name, folder in sorted(sources.items()):
+            place = f"{out}/instances/{split}/{name}"
+
+            def converted(name: str = name, folder: str = folder, split: str = split, place: str = place) -> None:
+                sentences = files.read_lookup(spark, wiki) if wiki else None
+                convert(name, files.read_split(spark, folder, split), sentences, most).write.mode("overwrite").parquet(place)
+
+            if stages.once(spark, out, f"convert-{split}-{name}", converted, [f"{folder}/{split}", *([wiki] if wiki and name == "fever" else [])], [place], most=most):
+                ran.append(f"convert-{split}-{name}")
+
+        def described(split: str = split) -> None:
+            merged = storage.stored(merge_split(load_instances(spark, out, split, sorted(sources)), seed), "merged")
+            graph.nodes(merged).write.mode("overwrite").parquet(f"{out}/graph/{split}/nodes")
+            graph.edges(merged).write.mode("overwrite").parquet(f"{out}/graph/{split}/edges")
+            done = split_processed(merged, seed=seed) if split == "train" else assemble.processed(features.with_features(merged)).withColumn("split", F.lit("validation"))
+            done.write.mode("overwrite").partitionBy("split", "dataset").parquet(f"{out}/processed/{split}")
+            files.write_features_csv(spark.read.parquet(f"{out}/processed/{split}"), f"{out}/features/{split}")
+
+        made = [f"{out}/{kind}/{split}" for kind in ("graph", "processed", "features")]
+        if stages.once(spark, out, f"describe-{split}", described, [f"{out}/instances/{split}/{name}" for name in sorted(sources)], made, seed=seed):
+            ran.append(f"describe-{split}")
+    return ran
 
 
 def flat_features(rows: DataFrame) -> DataFrame:
@@ -111,6 +131,16 @@ def fused_detector(train: DataFrame, test: DataFrame, text: str = "plain_input",
     return test.join(judged, test[key] == judged["key"]).drop("key")
 
 
+def context_detector(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Regression on the five metrics of the passages against question and gold answer."""
+
+    def measured(rows: DataFrame) -> DataFrame:
+        asked = assemble.question_and_evidence(rows).withColumn("_gold", F.coalesce("target_answer", F.lit("")))
+        return context.context_metrics(asked, "input_text", "passages", "_gold").drop("passages", "_gold")
+
+    return models.features_regression(measured(train), measured(test), context.METRICS)
+
+
 def without(dropped: str) -> Detector:
     return lambda train, test: models.features_regression(train, test, [f for f in FEATURES if f != dropped])
 
@@ -121,6 +151,7 @@ DETECTORS: dict[str, Detector] = {
     "tfidf": tfidf_detector,
     "tfidf_and_features": lambda train, test: tfidf_detector(train, test, numbers=tuple(FEATURES)),
     "fused": fused_detector,
+    "context_metrics": context_detector,
     "features_only": lambda train, test: models.features_regression(train, test, FEATURES),
     **{f"without_{c}": without(c) for c in FEATURES},
 }
@@ -141,6 +172,21 @@ def critic(factory: scoring.Factory) -> Detector:
     return judge
 
 
+def entailment(factory: scoring.PairFactory) -> Detector:
+    """A model of entailment gives logits (contradiction, neutral, entailment) of question and passages; the largest names the state."""
+
+    def judge(train: DataFrame, test: DataFrame) -> DataFrame:
+        asked = assemble.question_and_evidence(test)
+        plain = F.coalesce("plain_input", F.lit(""))
+        # without passages the plain input stands for them, less the question that it starts with
+        rest = F.when(F.startswith(plain, F.col("input_text")), T.strip(F.substring(plain, F.length("input_text") + 1, F.lit(1 << 30)))).otherwise(plain)
+        texts = F.when(F.coalesce("structured_input", F.lit("")) == "", rest).otherwise(F.array_join("passages", " "))
+        asked = asked.withColumns({"_first": F.substring("input_text", 1, ENTAILMENT_CHARS), "_second": F.substring(texts, 1, ENTAILMENT_CHARS)})
+        return scoring.score_pairs(asked, "_first", "_second", factory, "_logits").withColumn("pred", R.argmax_state("_logits").cast("int")).drop("_first", "_second", "_logits", "passages")
+
+    return judge
+
+
 def retrieval_evaluator(factory: scoring.Factory) -> Detector:
     """A language model rates the first passages one by one, and the ratings vote."""
 
@@ -175,17 +221,86 @@ def evaluate(detector: Detector, train: DataFrame, test: DataFrame) -> tuple[Dat
     return per.withColumn("action_accuracy", F.col("accuracy")), overall
 
 
-def experiments(spark: SparkSession, out: str, detectors: dict[str, Detector] | None = None) -> None:
+def experiments(spark: SparkSession, out: str, detectors: dict[str, Detector] | None = None, curve: bool = False) -> list[str]:
     """Fits every detector on the processed training rows, judges the test rows, and writes metrics, confusion tables, the leave-one-out
-    table and the feature detector itself."""
-    rows = storage.stored(flat_features(spark.read.parquet(f"{out}/processed/train")), "processed")
+    table, the feature detector itself and, if asked for, the curve of the fused detector's training.
+
+    Each detector is a stage of its own, known by its name. Returned are the names of the stages that ran.
+    """
+    source, ran, parts = f"{out}/processed/train", [], {}
+    rows = storage.stored(flat_features(spark.read.parquet(source)), "processed")
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
-    scores, tables = None, None
+
+    def stage(name: str, tables: Callable[[], dict[str, DataFrame]]) -> str:
+        place = f"{out}/results/parts/{name}"
+
+        def written() -> None:
+            for kind, table in tables().items():
+                table.write.mode("overwrite").parquet(f"{place}/{kind}")
+
+        if stages.once(spark, out, f"experiment-{name}", written, [source], [place]):
+            ran.append(name)
+        return place
+
     for name, detector in (detectors or DETECTORS).items():
-        score, table = (x.withColumn("detector", F.lit(name)) for x in evaluate(detector, train, test))
-        scores, tables = (score, table) if scores is None else (scores.unionByName(score), tables.unionByName(table))
-    files.write_results({"metrics": scores, "confusion": tables, "leave_one_out": models.leave_one_out(rows, "dataset", FEATURES)}, f"{out}/results")
-    models.fit_detector(train, FEATURES).save(f"{out}/detector")
+        parts[name] = stage(name, lambda d=detector, n=name: dict(zip(("metrics", "confusion"), (x.withColumn("detector", F.lit(n)) for x in evaluate(d, train, test)), strict=True)))
+    results = {kind: spark.read.parquet(*(f"{place}/{kind}" for place in parts.values())) for kind in ("metrics", "confusion")}
+    results["leave_one_out"] = spark.read.parquet(stage("leave-one-out", lambda: {"table": models.leave_one_out(rows, "dataset", FEATURES)}) + "/table")
+    if curve:
+        results["training_curve"] = spark.read.parquet(stage("training-curve", lambda: {"table": training.curve(train, training.fit_fused(train, "plain_input", "example_id", FEATURES, len(STATES))[2])}) + "/table")
+    files.write_results(results, f"{out}/results")
+    if stages.once(spark, out, "detector", lambda: models.fit_detector(train, FEATURES).save(f"{out}/detector"), [source], [f"{out}/detector"]):
+        ran.append("detector")
+    return ran
+
+
+def end_to_end(spark: SparkSession, out: str, factory: scoring.Factory, model: str, most: int | None = None, claims: tuple[str, ...] = ("fever",), seed: int = 42) -> DataFrame:
+    """The test questions answered under three conditions by a language model, guided by the saved detector: details and their summary, which is returned.
+
+    Of variants the one with the last example_id is a question's sufficient one; `most` takes a seeded sample of the questions. Responses are kept in
+    out/responses, so a rerun asks the model only what is new, and the conditions share them.
+    """
+    try:
+        detector = models.Detector.load(spark, f"{out}/detector")
+    except AnalysisException as error:
+        raise FileNotFoundError(f"no detector in {out}/detector; run the experiments first") from error
+    test = flat_features(spark.read.parquet(f"{out}/processed/train").where("split = 'test'"))
+    named = F.element_at(F.array(*(F.lit(s) for s in STATES)), F.col("pred") + 1)
+    judged = detector.predict(test).withColumns({"predicted": named, "evidence": assemble.evidence_text(), "state": F.col("evidence_state_label")})
+    kept = judged.select("input_text", "example_id", "dataset", "state", "predicted", "evidence", "target_answer", "target_label")
+    rows = remediation.evaluation_rows(kept, "input_text", "state", "example_id", "evidence", ("dataset", "target_answer", "target_label"))
+    if most is not None:
+        rows = rows.join(sampling.seeded_sample(rows.select("input_text").distinct(), most, "input_text", seed), "input_text", "left_semi")
+    rows = storage.stored(rows, "evaluation-rows")
+    told = remediation.with_answers(rows, lambda r, dataset, evidence, output: scoring.generate(r, dataset, evidence, factory, f"{out}/responses", model, output, claims))
+    scored = remediation.scored_conditions(told.withColumn("dataset", F.col("sufficient_dataset"))).drop("sufficient_dataset", "sufficient_evidence", "sufficient_target_answer", "sufficient_target_label", "target_answer", "target_label")
+    details = storage.stored(scored, "end-to-end")
+    summary = storage.stored(remediation.summary(details, ["state", "dataset"]), "end-to-end-summary")
+    files.write_results({"details": details, "summary": summary}, f"{out}/results/end_to_end")
+    return summary
+
+
+def figures(spark: SparkSession, out: str) -> list[str]:
+    """The tables behind the figures, of each processed split. Returns the splits that were written."""
+    ran = []
+    for split in ("train", "validation"):
+
+        def written(split: str = split) -> None:
+            rows = storage.stored(flat_features(spark.read.parquet(f"{out}/processed/{split}")), "figure-rows")
+            state = "evidence_state_label"
+            tables = {
+                "feature_means": plots.state_means(rows, state, FEATURES), "feature_boxes": plots.box_statistics(rows, state, FEATURES), "feature_heatmap": plots.scaled_means(rows, state, FEATURES),
+                "feature_correlations": plots.correlations(rows, FEATURES), "key_features": plots.key_feature_pivot(rows, "dataset", state, STATES),
+                "class_counts": plots.distribution(rows, [state, "dataset"]), "dataset_states": plots.class_pivot(rows, "dataset", state, STATES),
+            }
+            files.write_results(tables, f"{out}/figures/{split}")
+
+        if stages.once(spark, out, f"figures-{split}", written, [f"{out}/processed/{split}"], [f"{out}/figures/{split}"]):
+            ran.append(split)
+    return ran
+
+
+STAGES = ["process", "experiments", "end_to_end", "figures"]
 
 
 def main() -> None:
@@ -193,25 +308,43 @@ def main() -> None:
     parser.add_argument("--source", action="append", default=[], help="name=folder")
     parser.add_argument("--wiki")
     parser.add_argument("--out", required=True)
-    parser.add_argument("--stage", choices=["process", "experiments", "all"], default="all")
+    parser.add_argument("--stage", choices=[*STAGES, "all"], default="all")
+    parser.add_argument("--only", action="append", choices=sorted(DETECTORS), help="a detector to judge; may be repeated")
+    parser.add_argument("--model", help="package.module:function that makes a language model; without it nothing is answered end to end")
+    parser.add_argument("--questions", type=int, help="questions to answer end to end")
     parser.add_argument("--seed", type=int, default=42)
     parser.add_argument("--smoke", action="store_true")
     parser.add_argument("--dry-run", action="store_true")
     given = parser.parse_args()
     sources = dict(x.split("=", 1) for x in given.source)
+    wanted = STAGES if given.stage == "all" else [given.stage]
+    if given.stage == "all" and not given.model:
+        wanted = [s for s in wanted if s != "end_to_end"]
+    elif "end_to_end" in wanted and not given.model:
+        parser.error("end_to_end needs --model")
+    detectors = {name: DETECTORS[name] for name in given.only or DETECTORS}
     if given.dry_run:
-        for name, folder in sorted(sources.items()) if given.stage != "experiments" else ():
+        for name, folder in sorted(sources.items()) if "process" in wanted else ():
             print(f"{folder}/{{train,validation}} -> {given.out}/instances -> {given.out}/graph, {given.out}/processed ({name}{f', {SMOKE_ROWS} rows' if given.smoke else ''})")
-        if given.stage != "process":
-            print(f"{given.out}/processed -> {given.out}/results ({', '.join(DETECTORS)})")
+        if "experiments" in wanted:
+            print(f"{given.out}/processed -> {given.out}/results ({', '.join(detectors)})")
+        if "end_to_end" in wanted:
+            print(f"{given.out}/processed, {given.out}/detector -> {given.out}/responses, {given.out}/results/end_to_end ({given.model})")
+        if "figures" in wanted:
+            print(f"{given.out}/processed -> {given.out}/figures")
         return
     from prooflake.session import build_session
 
     spark = build_session("build")
-    if given.stage != "experiments":
+    if "process" in wanted:
         build(spark, sources, given.out, given.wiki, SMOKE_ROWS if given.smoke else None, given.seed)
-    if given.stage != "process":
-        experiments(spark, given.out)
+    if "experiments" in wanted:
+        experiments(spark, given.out, detectors, curve=given.only is None)
+    if "end_to_end" in wanted:
+        module, function = given.model.split(":")
+        end_to_end(spark, given.out, getattr(importlib.import_module(module), function), given.model, given.questions, seed=given.seed)
+    if "figures" in wanted:
+        figures(spark, given.out)
 
 
 if __name__ == "__main__":
