@@ -37,8 +37,9 @@ from prooflake.llm.common import runs, stored, table, texts_of, used_up
 SEED = 42
 #: Shingles whose bits are counted at once, rows of planes that are built at once, and (query, block) pairs compared at once.
 SHINGLES_AT_ONCE, ROWS_AT_ONCE, PAIRS_AT_ONCE, SET_BYTES = 1 << 12, 1 << 14, 1 << 15, 32 << 20
-#: Buckets with more nodes, and groups with more bytes of shingle sets, are dealt to several tasks.
-HOT_BUCKET, HOT_BYTES = 20_000, 4 << 20
+#: Buckets with more nodes, and groups with more bytes of shingle sets and nodes, are dealt to several tasks. A node counts as NODE_BYTES beside its
+#: set, its fingerprint and place, so that very many short texts are a large group too.
+HOT_BUCKET, HOT_BYTES, NODE_BYTES = 20_000, 4 << 20, 256
 #: SIMILAR is a fraction, so that the comparison is one of whole numbers. Fingerprint words and radius of near_copies, its blocks and
 #: the smallest hashes that make one.
 SIMILAR, COPY_WORDS, COPY_RADIUS, BLOCKS, BLOCK_ROWS = (4, 5), 16, 232, 24, 4
@@ -436,7 +437,7 @@ def _confirmed(groups: DataFrame, known: DataFrame, docs: DataFrame, width: int,
 
     # equal rows give a node more than once
     sets = stored(found.mapInArrow(work, "node long, component long, fp binary, hashes binary").dropDuplicates(["node"]), "shingle-sets")
-    hot = stored(sets.groupBy("component").agg(F.sum(F.length("hashes")).alias("bytes")).where(F.col("bytes") > HOT_BYTES).select("component"), "hot-groups")
+    hot = stored(sets.groupBy("component").agg(F.sum(F.length("hashes") + NODE_BYTES).alias("bytes")).where(F.col("bytes") > HOT_BYTES).select("component"), "hot-groups")
     columns = ["bucket", "node", "fp", "hashes", "joined"]
     cells = sets.withColumns({"bucket": F.col("component"), "joined": F.lit(False)})
     edges = None
@@ -495,7 +496,7 @@ def _hot_cells(sets: DataFrame, similar: tuple[int, int]) -> tuple[DataFrame, Da
     rows = sets.join(hubs, "component").select("node", "component", "fp", "hashes", "hub", "hub_hashes")
     rows = stored(rows.mapInArrow(compared, "node long, component long, fp binary, hashes binary, hub long, joined boolean"), "hub-links")
     edges = rows.where("joined AND node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-    parts = lambda which: F.ceil(2 * F.sum(F.when(which, F.length("hashes")).otherwise(0)) / HOT_BYTES).cast("int")
+    parts = lambda which: F.ceil(2 * F.sum(F.when(which, F.length("hashes") + NODE_BYTES).otherwise(0)) / HOT_BYTES).cast("int")
     sizes = stored(rows.groupBy("component").agg(parts(F.col("joined")).alias("of_joined"), parts(~F.col("joined")).alias("of_others")), "hot-parts")
     placed = rows.join(sizes, "component")
     own = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")

@@ -770,6 +770,10 @@ def test_copies_of_one_text_need_no_cells(spark, monkeypatch):
     cells, edges = simhash._hot_cells(spark.createDataFrame(rows, "node long, component long, fp binary, hashes binary"), simhash.SIMILAR)
     found = edges.collect()
     assert len(found) == 300 and all(r.a == 0 for r in found) and cells.count() == 0
+    # short texts: the 99 beside the hub have 792 bytes of sets, one part, but with their nodes 26,136 bytes, 27 parts of half of HOT_BYTES
+    short = [(k, 5, simhash.majority(h, simhash.COPY_WORDS), h.tobytes()) for k, h in enumerate(simhash.shingle_set(f"a b {k}".encode(), 5) for k in range(100))]
+    cells, edges = simhash._hot_cells(spark.createDataFrame(short, "node long, component long, fp binary, hashes binary"), simhash.SIMILAR)
+    assert edges.count() == 0 and cells.where("cell.two").count() == 99 + 27  # each of the others meets the hub, which goes to all their parts
     found = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.component_id for r in found} == {0} and [r.doc_id for r in found if r.first] == [0]
 
