@@ -484,8 +484,10 @@ def nli_label_map(spark, d):
 
 @query
 def nli_argmax(spark, d):
-    """Three components of each vector stand for the logits of a model."""
-    return X.table(spark, d, "embeddings").select("vec_id", R.argmax_state(F.slice("embedding", 1, 3)).cast("int").alias("state"))
+    """The largest of every third component stand for the three logits of a model."""
+    third = lambda k: F.array_max(F.filter("embedding", lambda v, i: i % 3 == k))
+    logits = F.array(*map(third, range(3)))
+    return X.table(spark, d, "embeddings").select("vec_id", R.argmax_state(logits).cast("int").alias("state"))
 
 
 @query
@@ -544,12 +546,9 @@ def _remediated(spark: SparkSession, d: str) -> DataFrame:
     rows = remediation.evaluation_rows(X.state_variants(spark, d), "question", "state", "ordinal", "evidence")
     guess = F.element_at(F.array(*(F.lit(s) for s in STATES)), (F.pmod(F.col("ordinal"), F.lit(4)) + 1).cast("int"))
     rows = rows.withColumn("predicted", guess).withColumn("detector_correct", F.col("predicted") == F.col("state"))
-    # the model's stand-in answers with the evidence's first three words
-    answer = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 3), " ")
-    return rows.withColumns({
-        "gold": answer(F.col("sufficient_evidence")), "naive_answer": answer(F.col("evidence")), "guided_answer": answer(remediation.swapped("evidence", "sufficient_evidence", F.col("predicted") == "sufficient")),
-        "oracle_answer": answer(remediation.swapped("evidence", "sufficient_evidence", F.col("state") == "sufficient")),
-    })
+    # the model's stand-in answers with the evidence itself
+    taken = lambda c: remediation.swapped("evidence", "sufficient_evidence", F.col(c) == "sufficient")
+    return rows.withColumns({"gold": F.col("sufficient_evidence"), "naive_answer": F.col("evidence"), "guided_answer": taken("predicted"), "oracle_answer": taken("state")})
 
 
 @query

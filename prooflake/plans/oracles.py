@@ -170,16 +170,16 @@ _SCORES = """scores AS (
 
 _VARIANTS = f"""v AS (
   SELECT 'q' || (conv_id // 3) AS question, conv_id * 100 + turn AS ordinal, ['insufficient', 'sufficient', 'contradicted', 'superseded'][(turn + conv_id) % 4 + 1] AS state,
-         'ds' || ((conv_id // 3) % 3) AS dataset, left(text, 80) AS evidence FROM conversations
+         'ds' || ((conv_id // 3) % 3) AS dataset, text AS evidence FROM conversations
 ), g AS (
   SELECT question, max(ordinal) FILTER (state = 'sufficient') AS last, count(*) AS n_variants, count(DISTINCT state) AS n_states FROM v GROUP BY question HAVING last IS NOT NULL
 ), e AS (
   SELECT v.*, s.evidence AS best, {_list(STATES)}[v.ordinal % 4 + 1] AS predicted FROM v JOIN g USING (question) JOIN v s ON s.question = v.question AND s.ordinal = g.last
   WHERE v.state <> 'sufficient' OR v.ordinal = g.last
 ), answers AS (
-  SELECT *, predicted = state AS detector_correct, array_to_string(string_split(best, ' ')[1:3], ' ') AS gold, array_to_string(string_split(evidence, ' ')[1:3], ' ') AS naive_answer,
-         array_to_string(string_split(CASE WHEN predicted = 'sufficient' THEN evidence ELSE best END, ' ')[1:3], ' ') AS guided_answer,
-         array_to_string(string_split(CASE WHEN state = 'sufficient' THEN evidence ELSE best END, ' ')[1:3], ' ') AS oracle_answer
+  SELECT *, predicted = state AS detector_correct, best AS gold, evidence AS naive_answer,
+         CASE WHEN predicted = 'sufficient' THEN evidence ELSE best END AS guided_answer,
+         CASE WHEN state = 'sufficient' THEN evidence ELSE best END AS oracle_answer
   FROM e
 )"""
 
@@ -370,7 +370,7 @@ p AS (SELECT CAST(k AS INT) AS step, true_, CASE WHEN score >= k / 100.0::DOUBLE
 b1 AS (SELECT step, macro_f1 FROM mac WHERE step < 100 ORDER BY macro_f1 DESC, step LIMIT 1), m1 AS (SELECT macro_f1 FROM mac WHERE step = 100)
 SELECT CASE WHEN b1.macro_f1 > m1.macro_f1 THEN 'binary_threshold' ELSE 'multi_threshold' END AS strategy, step / 100.0::DOUBLE AS threshold, round(b1.macro_f1, 6) AS binary_f1, round(m1.macro_f1, 6) AS quartile_f1 FROM b1 CROSS JOIN m1""",
     "similarity_stats": f'WITH {_SCORES} SELECT true_ AS "true", round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(quantile_cont(score, 0.5), 6) AS median, count(*) AS n FROM scores GROUP BY true_',
-    "nli_argmax": """WITH l AS (SELECT vec_id, embedding[1:3] AS x FROM embeddings) SELECT vec_id, CASE list_position(x, list_max(x)) - 1 WHEN 2 THEN 0 WHEN 0 THEN 2 ELSE 1 END AS state FROM l""",
+    "nli_argmax": """WITH l AS (SELECT vec_id, [list_max(list_filter(embedding, lambda v, i: i % 3 = 1)), list_max(list_filter(embedding, lambda v, i: i % 3 = 2)), list_max(list_filter(embedding, lambda v, i: i % 3 = 0))] AS x FROM embeddings) SELECT vec_id, CASE list_position(x, list_max(x)) - 1 WHEN 2 THEN 0 WHEN 0 THEN 2 ELSE 1 END AS state FROM l""",
     "passage_prompts": f"""WITH {_TOP}, k AS (SELECT example_id, input_text, ps, unnest(range(least(3, len(ps)))) AS k FROM passage_list)
 SELECT example_id, CAST(k AS INT) AS k, md5('Question: ' || input_text || chr(10) || 'Passage: ' || left(ps[k + 1], 500) || chr(10) || chr(10) || 'Rate the passage: CORRECT, AMBIGUOUS or INCORRECT.') AS prompt_md5 FROM k""",
     "generation_prompts": f"""WITH {_TOP}, f AS (SELECT *, coalesce(ps[1], '') AS first FROM passage_list)

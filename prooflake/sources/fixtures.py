@@ -76,7 +76,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.concat_ws("_", "source", F.col("doc_id").cast("string"))
     url = F.when(F.col("doc_id") % 3 == 0, F.replace(page, F.lit("_"), F.lit(" "))).otherwise(page)
     sent = (F.col("doc_id") % 4).cast("int")
-    return rows.select(F.col("doc_id").alias("ordinal"), label.alias("label"), T.head("text", 60).alias("claim"), F.array(url, url).alias("urls"), F.array(sent, sent).alias("sents"))
+    return rows.select(F.col("doc_id").alias("ordinal"), label.alias("label"), F.col("text").alias("claim"), F.array(url, url).alias("urls"), F.array(sent, sent).alias("sents"))
 
 
 def multi_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,4 +149,4 @@ def state_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(question, ordinal, state, dataset, evidence): turns as variants of a question named by the conversation's place."""
     rows = table(spark, sf_dir, "conversations")
     state = F.element_at(F.array(*(F.lit(s) for s in ("insufficient", "sufficient", "contradicted", "superseded"))), (F.pmod(F.col("turn") + F.col("conv_id"), F.lit(4)) + 1).cast("int"))
-    return rows.select(F.concat(F.lit("q"), F.floor(F.col("conv_id") / 3).cast("string")).alias("question"), (F.col("conv_id") * 100 + F.col("turn")).alias("ordinal"), state.alias("state"), F.concat(F.lit("ds"), (F.floor(F.col("conv_id") / 3) % 3).cast("string")).alias("dataset"), T.head("text", 80).alias("evidence"))
+    return rows.select(F.concat(F.lit("q"), F.floor(F.col("conv_id") / 3).cast("string")).alias("question"), (F.col("conv_id") * 100 + F.col("turn")).alias("ordinal"), state.alias("state"), F.concat(F.lit("ds"), (F.floor(F.col("conv_id") / 3) % 3).cast("string")).alias("dataset"), F.col("text").alias("evidence"))
