@@ -16,6 +16,8 @@ suffix arrays see. The steps:
    other's, two and two; equal hashes are compared by bytes. Windows of frequent anchors go by 128-bit hashes of their own: each task first
    joins those of its shards, and what stays is cut into the owners' ranges of hashes. So what must come together is at most FREQUENT
    runs of an anchor, or one window's copies, of which a task sends one;
+   Owners are at most MOST_OWNERS and batches grow with the corpus, so what a batch or shard sends is a bounded number of rows at any size.
+   An owner with more than OWNER_BYTES to answer for cuts its range into parts, sorts them (Spark's sort spills) and takes one at a time;
 4. the byte ranges of all steps are joined to the texts and cut out.
 
 Rows: a null text counts as empty; texts under LENGTH bytes stay whole. Equal texts are compared once: all but the first (by
@@ -42,8 +44,11 @@ LENGTH, K = 100, 32
 SPAN = LENGTH - K + 1
 #: Windows of anchors that occur more often are grouped one by one.
 FREQUENT = 512
-#: Bytes of text of a batch, hashed at once, of a piece of a long text, of a shard's suffix array, and of text that an owner answers for.
+#: Bytes of text of a batch at least, hashed at once, of a piece of a long text, of a shard's suffix array, and of text that an owner answers for at a time.
 BATCH_BYTES, HASH_BYTES, PIECE_BYTES, SHARD_BYTES, OWNER_BYTES = 2 << 20, 1 << 20, 1 << 20, 1 << 20, 8 << 20
+#: Owners at most (or as many as shuffle partitions, if these are more); batches beyond which they grow instead, up to MOST_BATCH bytes; and
+#: bytes that an owner regroups at once.
+MOST_OWNERS, BATCHES, MOST_BATCH, REGROUP_BYTES = 4096, 1 << 14, 32 << 20, 16 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = np.random.default_rng(20).integers(1 << 62, 1 << 63, (2, 8), dtype=np.uint64) | np.uint64(1)
 _BYTE = np.random.default_rng(21).integers(0, 1 << 63, (2, 256), dtype=np.uint64)
@@ -213,9 +218,25 @@ def _pieces(text: bytes) -> list[tuple[int, bytes]]:
     return [(at, text[at : at + PIECE_BYTES + LENGTH - 1]) for at in range(0, max(1, len(text) - LENGTH + 1), PIECE_BYTES)]
 
 
-def _owned(keys: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
-    """Owners that have some of the sorted keys, and the cuts between their ranges."""
-    bounds = np.array([(k << 64) // owners for k in range(owners)], np.uint64)
+def layout(total: int, partitions: int) -> tuple[int, int]:
+    """For so many bytes of text: the number of owners, and of parts of an owner's range."""
+    wanted = max(partitions, -(-total // OWNER_BYTES))
+    owners = max(partitions, min(wanted, MOST_OWNERS))
+    return owners, -(-wanted // owners)
+
+
+def batch_bytes(total: int) -> int:
+    """Bytes of a batch for so many bytes of text."""
+    return max(BATCH_BYTES, min(MOST_BATCH, total // BATCHES))
+
+
+def _bounds(n: int, owner: int = 0, owners: int = 1) -> np.ndarray:
+    """Where the n equal parts of an owner's range of hashes begin."""
+    return np.array([(k << 64) // (n * owners) for k in range(owner * n, (owner + 1) * n)], np.uint64)
+
+
+def _owned(keys: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges that have some of the sorted keys, and the cuts between them."""
     cuts = np.append(np.searchsorted(keys, bounds), len(keys))
     used = np.flatnonzero(np.diff(cuts))
     return used, cuts
@@ -243,15 +264,17 @@ def split_copies(docs: DataFrame) -> Texts:
     firsts = stored(firsts.select("d1", "d2", "size", F.col("f.rid").alias("f_rid")), "repeated-texts")
     later = stored(ids.join(firsts, ["d1", "d2", "size"]).where("rid <> f_rid").select("rid"), "later-texts")
     given = texts.drop("size", "d1", "d2")
+    total = ids.agg(F.sum("size")).first()[0] or 0
+    most = batch_bytes(total)
     schema = T.StructType([*given.schema.fields, T.StructField("batch", T.LongType())])
     names = schema.names
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = 0, BATCH_BYTES
+        now, held = 0, most
         for part in batches:
             of = []
             for rid, size in zip(part.column(0).to_pylist(), pc.binary_length(part.column(3)).to_pylist(), strict=True):
-                if held >= BATCH_BYTES:
+                if held >= most:
                     now, held = rid, 0
                 held += size
                 of.append(now)
@@ -259,66 +282,171 @@ def split_copies(docs: DataFrame) -> Texts:
 
     single = stored(given.join(later, "rid", "left_anti").mapInArrow(work, schema), "single-texts")
     copies = stored(texts.join(later, "rid", "left_semi").select("rid", "doc_id", "size", *(["rest"] if rest else [])), "copies")
-    total = ids.agg(F.sum("size")).first()[0] or 0
     used_up(texts, firsts, later)
     return Texts(single, copies, total)
 
 
-def repeated_anchors(texts: DataFrame, owners: int) -> DataFrame:
-    """A stored table (batch, keys): packed keys of the anchors of a batch that occur more than once in all; the lowest bit says whether they
-    do so over FREQUENT times."""
+def anchor_rows(texts: DataFrame, owners: int) -> DataFrame:
+    """(owner, batch, anchors): the packed keys and counts of a batch's anchors, a row for each owner that has some."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = _bounds(owners)
+        now, pieces, size = None, [], 0
+        held: list[np.ndarray] = []
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(batch: int, pieces: list[bytes]) -> pa.RecordBatch | None:
+        def hashed() -> None:
+            """Take the pieces that wait."""
+            nonlocal pieces, size
             joined = Joined(pieces)
-            if not joined.inside.any():
-                return None
-            keys = np.sort((anchor_hashes(*joined.anchors()) * _SPREAD) & ~np.uint64(1))
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            packed = np.zeros(len(first), ENTRY)
-            packed["key"], packed["count"] = keys[first], np.diff(np.append(first, len(keys)))
-            used, cuts = _owned(packed["key"], owners)
-            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([batch] * len(used), pa.int64()), pa.array([packed[cuts[k] : cuts[k + 1]].tobytes() for k in used], pa.binary())], names=["owner", "batch", "anchors"])
+            if joined.inside.any():
+                held.append(_counted((anchor_hashes(*joined.anchors()) * _SPREAD) & ~np.uint64(1), None))
+            pieces, size = [], 0
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            """Send what is held of a batch."""
+            nonlocal held
+            if held:
+                every = np.concatenate(held)
+                packed = _counted(every["key"], every["count"]) if len(held) > 1 else every
+                used, cuts = _owned(packed["key"], bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([now] * len(used), pa.int64()), pa.array([packed[cuts[k] : cuts[k + 1]].tobytes() for k in used], pa.binary())], names=["owner", "batch", "anchors"])
+            held = []
 
-        now, pieces, size = None, [], 0
         for part in batches:
             for batch, text in zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True):
-                for _, piece in _pieces(text):
-                    if pieces and (batch != now or size >= HASH_BYTES):
-                        if (out := flush(now, pieces)) is not None:
-                            yield out
-                        pieces, size = [], 0
+                if batch != now:
+                    if pieces:
+                        hashed()
+                    yield from closed()
                     now = batch
+                for _, piece in _pieces(text):
+                    if pieces and size >= HASH_BYTES:
+                        hashed()
+                        if sum(x.nbytes for x in held) >= REGROUP_BYTES:  # a text that is far longer than a batch
+                            yield from closed()
                     pieces.append(piece)
                     size += len(piece)
-        if pieces and (out := flush(now, pieces)) is not None:
-            yield out
+        if pieces:
+            hashed()
+        yield from closed()
+
+    return texts.select("batch", "text").mapInArrow(work, "owner int, batch long, anchors binary")
+
+
+def _counted(keys: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
+    """Sorted ENTRY rows of the different keys, each with the sum of its counts (one a key if there are none)."""
+    if counts is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+    first = _heads(keys)
+    packed = np.zeros(len(first), ENTRY)
+    packed["key"] = keys[first]
+    packed["count"] = np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts, first)
+    return packed
+
+
+def by_range(rows: DataFrame, dtype: np.dtype, owners: int, parts: int) -> DataFrame:
+    """Rows (owner, name, meta, body) as (part, names, metas, bodies), one task an owner, sorted by part of the owner's range of hashes.
+
+    meta holds items of dtype, sorted by its first field, a hash; body the bytes of each item one after another (their number is its
+    `size`), or null. A row is cut at the bounds of the parts; its cuts travel with those of other rows that an owner regroups at once.
+    """
+    columns = ["name", "meta", "body"]
+    dealt = rows.repartitionById(owners, "owner")
+    if parts == 1:
+        return dealt.select(F.lit(0).cast("long").alias("part"), *(F.array(c).alias(f"{c}s") for c in columns))
+    key = dtype.names[0]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list, list]] = {}
+        of, bounds, size = None, np.zeros(0, np.uint64), 0
+
+        def flush() -> pa.RecordBatch:
+            used = sorted(held)
+            kinds = (pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array([held[p][k] for p in used], pa.list_(kind)) for k, kind in enumerate(kinds))], names=["part", *(f"{c}s" for c in columns)])
+
+        for batch in batches:
+            for owner, name, meta, body in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if owner != of:
+                    of, bounds = owner, _bounds(parts, owner, owners)
+                items = np.frombuffer(meta, dtype)
+                used, cuts = _owned(items[key], bounds)
+                ends = None if body is None else np.concatenate([[0], np.cumsum(items["size"], dtype=np.int64)])
+                for k in used.tolist():
+                    a, b = cuts[k], cuts[k + 1]
+                    row = name, items[a:b].tobytes(), None if ends is None else body[ends[a] : ends[b]]
+                    for mine, new in zip(held.setdefault(owner * parts + k, ([], [], [])), row, strict=True):
+                        mine.append(new)
+                size += len(meta) + len(body or b"")
+                if size >= REGROUP_BYTES:
+                    yield flush()
+                    held.clear()
+                    size = 0
+        if held:
+            yield flush()
+
+    cut = dealt.select("owner", *columns).mapInArrow(work, "part long, names array<long>, metas array<binary>, bodies array<binary>")
+    return cut.sortWithinPartitions("part")
+
+
+def _each_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
+    """The names, metas and bodies of each part in the rows of by_range."""
+    now, held = None, ([], [], [])
+    for batch in batches:
+        for part, *lists in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if part != now:
+                if now is not None:
+                    yield held
+                now, held = part, ([], [], [])
+            for mine, new in zip(held, lists, strict=True):
+                mine.extend(new)
+    if now is not None:
+        yield held
+
+
+def repeated_anchors(texts: DataFrame, owners: int, parts: int = 1) -> DataFrame:
+    """A stored table (batch, keys): packed keys of the anchors of a batch that occur more than once in all; the lowest bit says whether they
+    do so over FREQUENT times."""
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, parts = [], []
-        for part in batches:
-            names += part.column(0).to_pylist()
-            parts += [np.frombuffer(x, ENTRY) for x in part.column(1).to_pylist()]
-        if not parts:
-            return
-        of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        every = np.concatenate(parts)
-        order = np.argsort(every["key"], kind="stable")
-        keys = every["key"][order]
-        heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        total = np.repeat(np.add.reduceat(every["count"][order].astype(np.int64), heads), np.diff(np.append(heads, len(keys))))
-        reply = keys | (total > FREQUENT).astype(np.uint64)
-        again = total > 1
-        of, reply = of[order][again], reply[again]
-        by = np.argsort(of, kind="stable")
-        of, reply = of[by], reply[by]
-        cuts = np.searchsorted(of, np.arange(len(parts) + 1))
-        some = [k for k in range(len(parts)) if cuts[k] < cuts[k + 1]]
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in some], pa.int64()), pa.array([reply[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary())], names=["batch", "keys"])
-
-    rows = texts.select("batch", "text").mapInArrow(counted, "owner int, batch long, anchors binary")
-    return stored(rows.repartitionById(owners, "owner").select("batch", "anchors").mapInArrow(answered, "batch long, keys binary"), "anchors")
+        told: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def replies() -> pa.RecordBatch:
+            """What is to be told, a row a batch; its keys stay sorted."""
+            of, keys = (np.concatenate(x) for x in zip(*told, strict=True))
+            by = np.argsort(of, kind="stable")
+            of, keys = of[by], keys[by]
+            heads = _heads(of)
+            cuts = np.append(heads, len(of)).tolist()
+            return pa.RecordBatch.from_arrays([pa.array(of[heads]), pa.array([keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["batch", "keys"])
+
+        for names, metas, _ in _each_part(batches):
+            sent = [np.frombuffer(x, ENTRY) for x in metas]
+            every = np.concatenate(sent)
+            order = np.argsort(every["key"], kind="stable")
+            keys = every["key"][order]
+            heads = _heads(keys)
+            total = np.repeat(np.add.reduceat(every["count"][order].astype(np.int64), heads), np.diff(np.append(heads, len(keys))))
+            again = total > 1
+            if again.any():
+                of = np.repeat(np.array(names, np.int64), [len(p) for p in sent])[order]
+                told.append((of[again], (keys | (total > FREQUENT).astype(np.uint64))[again]))
+                if sum(x.nbytes for x, _ in told) >= REGROUP_BYTES:
+                    yield replies()
+                    told = []
+        if told:
+            yield replies()
+
+    rows = anchor_rows(texts, owners).select("owner", F.col("batch").alias("name"), F.col("anchors").alias("meta"), F.lit(None).cast("binary").alias("body"))
+    return stored(by_range(rows, ENTRY, owners, parts).mapInArrow(answered, "batch long, keys binary"), "anchors")
+
+
+def _heads(values: np.ndarray) -> np.ndarray:
+    """The first place of each run of equal values."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
 
 
 def _coded(least: np.ndarray, replies: np.ndarray) -> np.ndarray:
@@ -408,7 +536,7 @@ def shard(stretches: list[_Stretch], owners: int, often: list[np.ndarray]) -> It
         at, place = where(heads)
         meta = np.zeros(len(heads), RUN)
         meta["key"], meta["doc"], meta["rid"], meta["first"], meta["size"] = key, doc[at], rid[at], place, tails - heads + LENGTH
-        used, cuts = _owned(key, owners)
+        used, cuts = _owned(key, _bounds(owners))
         raw, ends = joined.x.tobytes(), tails + LENGTH
         bodies = [b"".join([raw[a:b] for a, b in zip(heads[cuts[k] : cuts[k + 1]].tolist(), ends[cuts[k] : cuts[k + 1]].tolist(), strict=True)]) for k in used]
         yield _routed(1, len(used), owner=used.astype(np.int32), meta=[meta[cuts[k] : cuts[k + 1]].tobytes() for k in used], body=bodies)
@@ -434,7 +562,7 @@ def _joined_windows(often: list[np.ndarray], owners: int) -> Iterator[pa.RecordB
     if len(later):
         ids, spans = _cut_windows(later)
         yield _routed(0, len(ids), rid=ids, spans=spans)
-    used, cuts = _owned(kept["h1"], owners)
+    used, cuts = _owned(kept["h1"], _bounds(owners))
     yield _routed(2, len(used), owner=used.astype(np.int32), meta=[kept[cuts[k] : cuts[k + 1]].tobytes() for k in used])
 
 
@@ -466,9 +594,11 @@ def shard_rows(texts: DataFrame, replies: DataFrame, owners: int) -> DataFrame:
 
         def closed() -> Iterator[pa.RecordBatch]:
             """Take the rows that wait, all of one batch."""
-            nonlocal rows, held, often, waiting, size
+            nonlocal rows, keys, held, often, waiting, size
             if rows and keys:
-                for found in stretches(rows, np.unique(np.concatenate(keys))):
+                if len(keys) > 1:
+                    keys = [np.unique(np.concatenate(keys))]
+                for found in stretches(rows, keys[0]):
                     held.append(found)
                     size += len(found.bytes)
                     if size >= SHARD_BYTES:
@@ -624,45 +754,45 @@ def _mark(gone: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
     gone |= np.cumsum(edge[:-1]) > 0
 
 
-def merged_runs(routes: DataFrame, owners: int) -> DataFrame:
+def _sent(routes: DataFrame, kind: int, dtype: np.dtype, owners: int, parts: int) -> DataFrame:
+    return by_range(routes.where(F.col("kind") == kind).select("owner", F.lit(None).cast("long").alias("name"), "meta", "body"), dtype, owners, parts)
+
+
+def merged_runs(routes: DataFrame, owners: int, parts: int = 1) -> DataFrame:
     """(rid, spans) of the windows in runs (kind 1) that stand earlier in another shard; one task an owner."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        metas, bodies = [], []
-        for part in batches:
-            metas += [np.frombuffer(m, RUN) for m in part.column(0).to_pylist()]
-            bodies += part.column(1).to_pylist()
-        if len(metas) > 1:  # what one shard sends has no two equal windows
-            ids, spans = _spans(*merge_runs(metas, bodies))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), spans], names=["rid", "spans"])
+        for _, metas, bodies in _each_part(batches):
+            if len(metas) > 1:  # what one shard sends has no two equal windows
+                ids, spans = _spans(*merge_runs([np.frombuffer(m, RUN) for m in metas], bodies))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), spans], names=["rid", "spans"])
 
-    dealt = routes.where("kind = 1").select("owner", "meta", "body").repartitionById(owners, "owner")
-    return dealt.select("meta", "body").mapInArrow(work, "rid long, spans array<long>")
+    return _sent(routes, 1, RUN, owners, parts).mapInArrow(work, "rid long, spans array<long>")
 
 
-def frequent_windows(routes: DataFrame, owners: int) -> DataFrame:
+def frequent_windows(routes: DataFrame, owners: int, parts: int = 1) -> DataFrame:
     """(rid, spans) of the windows of frequent anchors (kind 2) that stand earlier in what another task sent; one task an owner."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.frombuffer(m, WINDOW) for part in batches for m in part.column(0).to_pylist()]
-        if len(parts) > 1:
-            ids, spans = _cut_windows(first_windows(parts)[1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), spans], names=["rid", "spans"])
+        for _, metas, _ in _each_part(batches):
+            if len(metas) > 1:
+                ids, spans = _cut_windows(first_windows([np.frombuffer(m, WINDOW) for m in metas])[1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), spans], names=["rid", "spans"])
 
-    return routes.where("kind = 2").select("owner", "meta").repartitionById(owners, "owner").select("meta").mapInArrow(work, "rid long, spans array<long>")
+    return _sent(routes, 2, WINDOW, owners, parts).mapInArrow(work, "rid long, spans array<long>")
 
 
 def removed_ranges(texts: Texts) -> DataFrame:
     """A stored table (rid, spans): the ranges to cut from single texts."""
     spark = texts.single.sparkSession
-    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts.bytes // OWNER_BYTES))
+    owners, parts = layout(texts.bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # stored, so that one step's shuffle is gone before the next one's comes
-    replies = repeated_anchors(texts.single, owners)
+    replies = repeated_anchors(texts.single, owners, parts)
     release(spark)
     routes = stored(shard_rows(texts.single, replies, owners), "routes")
     used_up(replies)
     release(spark)
-    spans = routes.where("kind = 0").select("rid", "spans").union(merged_runs(routes, owners)).union(frequent_windows(routes, owners))
+    spans = routes.where("kind = 0").select("rid", "spans").union(merged_runs(routes, owners, parts)).union(frequent_windows(routes, owners, parts))
     cuts = stored(spans.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "cuts")
     used_up(routes)
     release(spark)

@@ -222,7 +222,11 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
     texts += [texts[10], texts[11], texts[10]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     wanted = plain_dedup(texts)
-    for often, piece in ((512, 2 << 20), (2, 2 << 20), (512, 130)):  # also with nearly all windows sent one by one, and with texts in pieces
+    # also with nearly all windows sent one by one, with texts in pieces, and with an owner's range in many parts
+    for often, piece, owner, regroup in ((512, 2 << 20, 8 << 20, 16 << 20), (2, 2 << 20, 8 << 20, 16 << 20), (512, 130, 300, 3000), (3, 2 << 20, 300, 1)):
+        monkeypatch.setattr(suffix_dedup, "MOST_OWNERS", 3)
+        monkeypatch.setattr(suffix_dedup, "OWNER_BYTES", owner)
+        monkeypatch.setattr(suffix_dedup, "REGROUP_BYTES", regroup)
         monkeypatch.setattr(suffix_dedup, "FREQUENT", often)
         monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", piece)
         monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 3000)
@@ -276,6 +280,36 @@ def test_a_passage_of_many_documents_is_no_hot_group(spark, monkeypatch):
     assert suffix_dedup.removed_ranges(texts).count() == 0
 
 
+def test_what_a_batch_sends_stays_constant(spark, monkeypatch):
+    """From 1 to 100 times the text a batch sends a row to each owner at most, and each part of an owner's range stays small."""
+    monkeypatch.setattr(suffix_dedup, "MOST_OWNERS", 16)
+    monkeypatch.setattr(suffix_dedup, "OWNER_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 8000)
+    monkeypatch.setattr(suffix_dedup, "BATCHES", 1 << 30)  # batches of one size, so that rows can be compared
+    monkeypatch.setattr(suffix_dedup, "REGROUP_BYTES", 100_000)
+    rng, sent, largest = np.random.default_rng(5), [], []
+    for times in (1, 10, 100):
+        texts = [(k, bytes(rng.integers(97, 123, 2000, dtype=np.uint8)).decode()) for k in range(20 * times)]
+        single = suffix_dedup.split_copies(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1))
+        owners, parts = suffix_dedup.layout(single.bytes, 4)
+        assert owners == 16 and parts == -(-single.bytes // 2000 // 16)
+        rows = suffix_dedup.anchor_rows(single.single, owners).groupBy("batch").count().collect()
+        sent.append(max(r["count"] for r in rows))
+        named = suffix_dedup.anchor_rows(single.single, owners).select("owner", F.col("batch").alias("name"), F.col("anchors").alias("meta"), F.lit(None).cast("binary").alias("body"))
+        ranged = suffix_dedup.by_range(named, suffix_dedup.ENTRY, owners, parts).select("part", F.expr("aggregate(metas, 0, (n, m) -> n + octet_length(m))").alias("n"))
+        sizes = [r["n"] for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect()]
+        assert len(sizes) == owners * parts
+        largest.append(max(sizes))
+    assert sent == [16, 16, 16] and max(largest) < 2.5 * min(largest)
+    assert suffix_dedup.removed_ranges(single).count() == 0
+
+
+def test_batches_grow_with_the_corpus():
+    assert [suffix_dedup.batch_bytes(n) for n in (0, 30 << 30, 1 << 40)] == [2 << 20, 2 << 20, 32 << 20] and suffix_dedup.batch_bytes(100 << 40) == 32 << 20
+    assert suffix_dedup.layout(0, 8) == (8, 1) and suffix_dedup.layout(30 << 30, 8) == (3840, 1)
+    assert suffix_dedup.layout(100 << 40, 8) == (4096, 3200) and suffix_dedup.layout(1 << 30, 10_000) == (10_000, 1)
+
+
 def test_merge_of_shards_equals_brute_force_when_hashes_collide(monkeypatch):
     """With hashes of very few values the merge by binary search gives up and one suffix array decides."""
     rng = np.random.default_rng(8)
@@ -784,7 +818,7 @@ def test_copies_of_one_text_need_no_cells(spark, monkeypatch):
 def test_queries_and_sql(spark):
     import duckdb
 
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()} == set(range(1, 14))
     con = duckdb.connect()
     for t in ("pages", "conversations", "documents"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
