@@ -54,13 +54,15 @@ _ODD = np.random.default_rng(20).integers(1 << 62, 1 << 63, (2, 8), dtype=np.uin
 _BYTE = np.random.default_rng(21).integers(0, 1 << 63, (2, 256), dtype=np.uint64)
 #: Spreads hashes (anchors are small ones) over all values: an odd factor.
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-#: How an anchor of a batch travels, a window of a frequent anchor, and a run of windows of a shard; and windows that a task joins at once.
+#: How an anchor of a batch travels, a window of a frequent anchor, a range that an owner removes, and a run of windows of a shard; windows
+#: that a task joins at once; and bits of a hash of rid that name the row in which an owner's ranges travel.
 ENTRY = np.dtype([("key", "<u8"), ("count", "<u4")])
 WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("first", "<i8")])
+RANGE = np.dtype([("rid", "<i8"), ("first", "<i8"), ("last", "<i8")])
 RUN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("first", "<i8"), ("size", "<u4")])
 
 
-WINDOWS_AT_ONCE = 1 << 20
+WINDOWS_AT_ONCE, RANGE_BITS = 1 << 20, 10
 
 
 def block_hashes(x: np.ndarray, size: int, kind: int = 0) -> np.ndarray:
@@ -550,17 +552,13 @@ def first_windows(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return every[new], every[~new]
 
 
-def _cut_windows(later: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    return _spans(later["rid"].copy(), later["first"].copy(), later["first"] + LENGTH)
-
-
 def _joined_windows(often: list[np.ndarray], owners: int) -> Iterator[pa.RecordBatch]:
     """What a task removes of its shards' windows of frequent anchors (kind 0), and the others, cut into owners' ranges (kind 2: owner, meta)."""
     if not often:
         return
     kept, later = first_windows(often)
     if len(later):
-        ids, spans = _cut_windows(later)
+        ids, spans = _spans(later["rid"].copy(), later["first"].copy(), later["first"] + LENGTH)
         yield _routed(0, len(ids), rid=ids, spans=spans)
     used, cuts = _owned(kept["h1"], _bounds(owners))
     yield _routed(2, len(used), owner=used.astype(np.int32), meta=[kept[cuts[k] : cuts[k + 1]].tobytes() for k in used])
@@ -758,28 +756,79 @@ def _sent(routes: DataFrame, kind: int, dtype: np.dtype, owners: int, parts: int
     return by_range(routes.where(F.col("kind") == kind).select("owner", F.lit(None).cast("long").alias("name"), "meta", "body"), dtype, owners, parts)
 
 
+def _told(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Ranges (rid, first, last) as rows (bucket, ranges), those of about REGROUP_BYTES together. A text's ranges are spread over the owners of
+    its anchors, so a row for each text and owner would be many short ones, and more for each text the more owners there are."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        every = np.concatenate(held)
+        bucket = (every["rid"].astype(np.uint64) * _SPREAD) >> np.uint64(64 - RANGE_BITS)
+        order = np.argsort(bucket, kind="stable")
+        every, bucket = every[order], bucket[order].astype(np.int32)
+        heads = _heads(bucket)
+        cuts = np.append(heads, len(bucket)).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(bucket[heads]), pa.array([every[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["bucket", "ranges"])
+
+    for columns in found:
+        held.append(np.empty(len(columns[0]), RANGE))
+        for name, values in zip(RANGE.names, columns, strict=True):
+            held[-1][name] = values
+        size += held[-1].nbytes
+        if size >= REGROUP_BYTES:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
+TOLD = "bucket int, ranges binary"
+
+
+def by_text(told: DataFrame) -> DataFrame:
+    """(rid, spans) from the rows of _told; a text has a row for each REGROUP_BYTES of ranges of its bucket, mostly one."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            every = np.concatenate(held)
+            ids, spans = _spans(*(every[c] for c in RANGE.names))
+            return pa.RecordBatch.from_arrays([pa.array(ids), spans], names=["rid", "spans"])
+
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                held.append(np.frombuffer(raw, RANGE))
+                size += len(raw)
+                if size >= REGROUP_BYTES:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return told.repartition("bucket").sortWithinPartitions("bucket").select("ranges").mapInArrow(work, "rid long, spans array<long>")
+
+
 def merged_runs(routes: DataFrame, owners: int, parts: int = 1) -> DataFrame:
-    """(rid, spans) of the windows in runs (kind 1) that stand earlier in another shard; one task an owner."""
+    """TOLD rows of the windows in runs (kind 1) that stand earlier in another shard; one task an owner."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, metas, bodies in _each_part(batches):
-            if len(metas) > 1:  # what one shard sends has no two equal windows
-                ids, spans = _spans(*merge_runs([np.frombuffer(m, RUN) for m in metas], bodies))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), spans], names=["rid", "spans"])
+        # what one shard sends has no two equal windows
+        yield from _told(merge_runs([np.frombuffer(m, RUN) for m in metas], bodies) for _, metas, bodies in _each_part(batches) if len(metas) > 1)
 
-    return _sent(routes, 1, RUN, owners, parts).mapInArrow(work, "rid long, spans array<long>")
+    return _sent(routes, 1, RUN, owners, parts).mapInArrow(work, TOLD)
 
 
 def frequent_windows(routes: DataFrame, owners: int, parts: int = 1) -> DataFrame:
-    """(rid, spans) of the windows of frequent anchors (kind 2) that stand earlier in what another task sent; one task an owner."""
+    """TOLD rows of the windows of frequent anchors (kind 2) that stand earlier in what another task sent; one task an owner."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, metas, _ in _each_part(batches):
-            if len(metas) > 1:
-                ids, spans = _cut_windows(first_windows([np.frombuffer(m, WINDOW) for m in metas])[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), spans], names=["rid", "spans"])
+        later = (first_windows([np.frombuffer(m, WINDOW) for m in metas])[1] for _, metas, _ in _each_part(batches) if len(metas) > 1)
+        yield from _told((x["rid"], x["first"], x["first"] + LENGTH) for x in later)
 
-    return _sent(routes, 2, WINDOW, owners, parts).mapInArrow(work, "rid long, spans array<long>")
+    return _sent(routes, 2, WINDOW, owners, parts).mapInArrow(work, TOLD)
 
 
 def removed_ranges(texts: Texts) -> DataFrame:
@@ -792,7 +841,8 @@ def removed_ranges(texts: Texts) -> DataFrame:
     routes = stored(shard_rows(texts.single, replies, owners), "routes")
     used_up(replies)
     release(spark)
-    spans = routes.where("kind = 0").select("rid", "spans").union(merged_runs(routes, owners, parts)).union(frequent_windows(routes, owners, parts))
+    told = merged_runs(routes, owners, parts).union(frequent_windows(routes, owners, parts))
+    spans = routes.where("kind = 0").select("rid", "spans").union(by_text(told))
     cuts = stored(spans.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "cuts")
     used_up(routes)
     release(spark)
