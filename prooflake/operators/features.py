@@ -1,4 +1,6 @@
-"""The eight label-free features of an evidence set, as expressions over its array of units: no shuffle, no explode."""
+"""The eight label-free features of an evidence set, as expressions over its array of units: no shuffle, no explode.
+
+All but the share of duplicates take time in proportion to the units (but for a sort of titles); that one is in operators/similarity.py."""
 
 from __future__ import annotations
 
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from prooflake.functions import text as T
 from prooflake.functions.vocabulary import STOPWORDS_EVIDENCE
+from prooflake.operators.similarity import similar_count
 from prooflake.storage import stored
 
 DUPLICATE, SIMILAR = 0.5, 0.3
@@ -19,46 +22,37 @@ def filled_texts(units: Column) -> Column:
     return F.filter(F.transform(units, lambda u: u["text"]), lambda t: ~T.is_blank(t))
 
 
-def similar_pairs(sets: Column, threshold: float) -> Column:
-    """How many pairs of token sets have a Jaccard similarity over the threshold. Where the sizes alone rule it out nothing is intersected."""
-
-    def close(a: Column, b: Column) -> Column:
-        small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-        # shared / (sizes - shared) > t, without building the union of two sets
-        return (small > threshold * large) & ((1 + threshold) * F.size(F.array_intersect(a, b)) > threshold * (small + large))
-
-    later = lambda i: F.slice(sets, i + 2, F.greatest(F.size(sets) - i - 1, F.lit(0)))
-    per = F.transform(sets, lambda a, i: F.size(F.filter(later(i), lambda b: close(a, b))))
-    return F.aggregate(per, F.lit(0), lambda n, k: n + k)
-
-
-def features(query: Column, units: Column, sets: Column) -> dict[str, Column]:
-    """sets: token sets of the texts that aren't blank (a column, so it is computed once)."""
+def features(query: Column, units: Column, filled: Column) -> dict[str, Column]:
+    """filled: of the texts that aren't blank the number n of tokens and their set s (a column, so it is computed once)."""
     n = F.size(units)
     titles = F.filter(F.transform(units, lambda u: u["doc_title"]), lambda t: F.coalesce(t, F.lit("")).isin("", "none") == F.lit(False))
-    texts = filled_texts(units)
-    lengths = F.transform(texts, lambda t: F.size(T.words(t)))
-    pairs = F.size(sets) * (F.size(sets) - 1) / 2
-    shared = F.size(F.filter(titles, lambda t: F.size(F.filter(titles, lambda o: o == t)) > 1))
+    lengths, sets = filled["n"], filled["s"]
+    pairs = F.size(sets).cast("long") * (F.size(sets) - 1) / 2
+    # in order, a title that occurs again has an equal neighbour
+    same = lambda ts, t, k: F.coalesce(F.get(ts, k) == t, F.lit(False))
+    shared = T.let(F.sort_array(titles), lambda ts: F.size(F.filter(ts, lambda t, i: same(ts, t, i - 1) | same(ts, t, i + 1))))
     mean = F.aggregate(lengths, F.lit(0).cast("long"), lambda s, k: s + k) / F.greatest(F.size(lengths), F.lit(1))
-    asked, told = T.content(T.token_set(query), STOPWORDS_EVIDENCE), T.content(F.array_distinct(F.flatten(sets)), STOPWORDS_EVIDENCE)
+    # without stop words in the query those of the evidence meet nothing
+    asked = T.content(T.token_set(query), STOPWORDS_EVIDENCE)
+    overlap = T.let(asked, lambda q: T.ratio(F.size(F.array_intersect(q, F.flatten(sets))), F.size(q)))
     return {
         "source_diversity": F.size(F.array_distinct(titles)),
-        "text_resolution_rate": F.round(T.ratio(F.size(texts), n), 4),
+        "text_resolution_rate": F.round(T.ratio(F.size(lengths), n), 4),
         "avg_evidence_length": F.rint(mean * 100) / 100,
         "min_evidence_length": F.coalesce(F.array_min(lengths), F.lit(0)),
-        "duplicate_rate": F.round(similar_pairs(sets, DUPLICATE) / F.greatest(pairs, F.lit(1.0)), 4),
+        "duplicate_rate": F.round(similar_count(sets, DUPLICATE) / F.greatest(pairs, F.lit(1.0)), 4),
         "document_overlap_rate": F.round(T.ratio(shared, n), 4),
-        "entity_overlap": F.round(T.query_overlap(asked, told), 4),
+        "entity_overlap": F.round(overlap, 4),
         "evidence_count": n,
     }
 
 
 def with_features(instances: DataFrame, query: str = "input_text", units: str = "evidence_units") -> DataFrame:
     """instances with a struct graph_features."""
-    rows = instances.withColumn("_sets", F.transform(filled_texts(F.col(units)), T.token_set))
-    found = features(F.col(query), F.col(units), F.col("_sets"))
-    return rows.withColumn("graph_features", F.struct(*(c.alias(name) for name, c in found.items()))).drop("_sets")
+    told = lambda t: T.let(T.tokens(t), lambda w: F.struct(F.size(w).alias("n"), F.array_distinct(w).alias("s")))
+    rows = instances.withColumn("_filled", F.transform(filled_texts(F.col(units)), told))
+    found = features(F.col(query), F.col(units), F.col("_filled"))
+    return rows.withColumn("graph_features", F.struct(*(c.alias(name) for name, c in found.items()))).drop("_filled")
 
 
 def entity_overlap(instances: DataFrame, extract, query: str = "input_text", units: str = "evidence_units", most: int = 10_000) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prooflake.functions import text as T
+from prooflake.operators import similarity
 from prooflake.operators.features import SIMILAR
 
 
@@ -20,35 +21,26 @@ def nodes(instances: DataFrame) -> DataFrame:
     return root.unionByName(evidence).unionByName(sources)
 
 
-def similar_units(units: Column, threshold: float) -> Column:
-    """Pairs (i, j, src, dst, similarity) of units (structs with i, id and s, a set of tokens) whose sets have a similarity over the
-    threshold, in the order of units. Where sizes alone rule it out nothing is intersected, and no union is built."""
-
-    def pair(a: Column, b: Column) -> Column:
-        x, y = F.size(a["s"]), F.size(b["s"])
-        possible = F.least(x, y) > threshold * F.greatest(x, y)
-        shared = F.when(possible, F.size(F.array_intersect(a["s"], b["s"]))).otherwise(0)
-        return T.let(shared, lambda n: F.struct(a["i"].alias("i"), b["i"].alias("j"), a["id"].alias("src"), b["id"].alias("dst"), (n.cast("double") / (x + y - n)).alias("similarity")))
-
-    later = lambda us, i: F.slice(us, i + 2, F.greatest(F.size(us) - i - 1, F.lit(0)))
-    found = lambda us: F.flatten(F.transform(us, lambda a, i: F.filter(F.transform(later(us, i), lambda b: pair(a, b)), lambda p: p["similarity"] > threshold)))
-    return T.let(units, found)
-
-
 def token_units(instances: DataFrame, key: str = "example_id") -> DataFrame:
     """(key, us): of each instance the units as structs with place, id, source, whether the text is blank, and the set of tokens."""
     units = F.transform("evidence_units", lambda u, i: F.struct(i.alias("i"), u["evidence_id"].alias("id"), u["source_doc_id"].alias("source"), T.is_blank(u["text"]).alias("blank"), T.token_set(u["text"]).alias("s")))
     return instances.select(key, units.alias("us"))
 
 
+def filled_units(instances: DataFrame, key: str = "example_id") -> DataFrame:
+    """(key, us): the units of token_units that have tokens."""
+    return token_units(instances, key).select(key, F.filter("us", lambda u: ~u["blank"] & (F.size(u["s"]) > 0)).alias("us"))
+
+
+def similar_units(instances: DataFrame, threshold: float, key: str = "example_id") -> DataFrame:
+    """(key, i, j, src, dst, similarity) of the pairs of an instance's units i < j with a Jaccard similarity over the threshold."""
+    of = lambda name: F.transform("us", lambda u: u[name]).alias(name)
+    return similarity.similar_rows(filled_units(instances, key).select(key, of("i"), of("id"), of("s")), threshold)
+
+
 def edges(instances: DataFrame) -> DataFrame:
     """(example_id, src, dst, relation, similarity), one row per (src, dst); of several overlaps the last pair's similarity stays."""
-    rows = token_units(instances)
-    each = instances.select("example_id", F.explode("evidence_units").alias("x")).select("example_id", F.struct(F.col("x.evidence_id").alias("id"), F.col("x.source_doc_id").alias("source")).alias("u"))
-    related = each.select("example_id", F.col("u.id").alias("src"), F.lit("input").alias("dst"), F.lit("relates_to").alias("relation"))
-    attributed = each.select("example_id", F.col("u.id").alias("src"), F.col("u.source").alias("dst"), F.lit("attribution").alias("relation"))
-    plain = related.union(attributed).distinct().withColumn("similarity", F.lit(None).cast("double"))
-    filled = F.filter("us", lambda u: ~u["blank"] & (F.size(u["s"]) > 0))
-    overlaps = rows.select("example_id", F.explode(similar_units(filled, SIMILAR)).alias("p"))
-    last = overlaps.groupBy("example_id", "p.src", "p.dst").agg(F.max_by("p.similarity", F.struct("p.i", "p.j")).alias("similarity"))
+    unit = lambda u: F.array(*(F.struct(u["evidence_id"].alias("src"), dst.alias("dst"), F.lit(relation).alias("relation")) for dst, relation in ((F.lit("input"), "relates_to"), (u["source_doc_id"], "attribution"))))
+    plain = instances.select("example_id", F.inline(F.flatten(F.transform("evidence_units", unit)))).distinct().withColumn("similarity", F.lit(None).cast("double"))
+    last = similar_units(instances, SIMILAR).groupBy("example_id", "src", "dst").agg(F.max_by("similarity", F.struct("i", "j")).alias("similarity"))
     return plain.unionByName(last.select("example_id", "src", "dst", F.lit("text_overlap").alias("relation"), "similarity"))

@@ -7,16 +7,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prooflake.operators import graph
+from prooflake.operators.similarity import similar_count
 
 
 def similar_pairs(instances: DataFrame, threshold: float, key: str = "example_id") -> DataFrame:
     """(key, i, j, src, dst, similarity) of the pairs of units i < j with a Jaccard similarity over the threshold."""
-    filled = F.filter("us", lambda u: ~u["blank"] & (F.size(u["s"]) > 0))
-    return graph.token_units(instances, key).select(key, F.inline(graph.similar_units(filled, threshold)))
+    return graph.similar_units(instances, threshold, key)
 
 
 def duplicate_rates(instances: DataFrame, threshold: float, key: str = "example_id") -> DataFrame:
     """(key, n, duplicates, duplicate_rate): units with text, and the share of their pairs that are over the threshold."""
-    filled = F.filter("us", lambda u: ~u["blank"])
-    found = graph.token_units(instances, key).select(key, F.size(filled).alias("n"), F.size(graph.similar_units(F.filter(filled, lambda u: F.size(u["s"]) > 0), threshold)).alias("duplicates"))
-    return found.withColumn("duplicate_rate", F.col("duplicates") / F.greatest(F.col("n") * (F.col("n") - 1) / 2, F.lit(1.0)))
+    sets = graph.token_units(instances, key).select(key, F.transform(F.filter("us", lambda u: ~u["blank"]), lambda u: u["s"]).alias("sets"))
+    found = sets.select(key, F.size("sets").alias("n"), similar_count(F.col("sets"), threshold).cast("int").alias("duplicates"))
+    return found.withColumn("duplicate_rate", F.col("duplicates") / F.greatest(F.col("n").cast("long") * (F.col("n") - 1) / 2, F.lit(1.0)))
