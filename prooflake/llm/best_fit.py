@@ -21,6 +21,7 @@ import os
 import re
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain, compress, pairwise
 
 import numpy as np
 import pandas as pd
@@ -134,35 +135,48 @@ class WordIds:
         simple = [w for w in words if w not in found] if (found := set(other)) else words
         found = dict(zip(other, self._by_tokenizer(other), strict=True)) if other else {}
         if simple:
-            cut = self.split("\n".join(simple).lower())
-            fresh = [t for t in set(cut) if t not in self.tokens]
+            # a word of letters only, as most are, is one token
+            lowered = "\n".join(simple).lower().split("\n")
+            whole = [w.isalpha() for w in lowered]
+            cut = self.split("\n".join([w for w, one in zip(lowered, whole, strict=True) if not one]))
+            tokens = list(compress(lowered, whole))
+            fresh = [t for t in {*tokens, *cut} if t not in self.tokens]
             if fresh:
                 ranks = np.array(self.bpe.encode_ordinary("\n".join(fresh) + "\n"))
                 ids = np.insert(self.ids[ranks], np.flatnonzero(self.last[ranks]) + 1, ord("\n"))
                 made = ids.astype("<u4").tobytes().decode("utf-32-le").split("\n")[:-1]
                 self.tokens.update(zip(fresh, made, strict=True))
                 self.held += sum(map(len, fresh)) + 4 * len(ids) + 2 * ENTRY_BYTES * len(fresh)
-            made = "".join(map(self.tokens.__getitem__, cut)).split("\n")
-            found.update(zip(simple, made, strict=True))
+            found.update(zip(compress(simple, whole), map(self.tokens.__getitem__, tokens), strict=True))
+            if len(tokens) < len(simple):
+                made = "".join(map(self.tokens.__getitem__, cut)).split("\n")
+                found.update(zip([w for w, one in zip(simple, whole, strict=True) if not one], made, strict=True))
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Memory beside the texts is bounded by their size in all."""
-        out: list[bytes] = []
         if self.held > CACHE_BYTES:
             self.words, self.tokens, self.held = {}, {"\n": "\n"}, 0
         split = [[t] if any(map(t.__contains__, ODD_SPACE)) else t.split() for t in texts]
-        fresh = [w for w in set().union(*split) if w not in self.words]
+        # words that repeat in the group are told apart by Arrow, so that the large dictionary is asked once for each
+        coded = pa.array(chain.from_iterable(split), pa.string()).dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        made = list(map(self.words.get, distinct))
+        fresh = [w for w, ids in zip(distinct, made, strict=True) if ids is None]
         short = self._fresh([w for w in fresh if len(w) <= LONG_WORD])
         self.words.update(short)
         self.held += sum(map(len, short)) + 4 * sum(map(len, short.values())) + 2 * ENTRY_BYTES * len(short)
         long = dict(zip(odd, self._by_tokenizer(odd), strict=True)) if (odd := [w for w in fresh if len(w) > LONG_WORD]) else {}
-        self.words.update(long)
-        for words in split:
-            ids = "".join(map(self.words.__getitem__, words))
-            out.append((np.frombuffer(ids.encode("utf-32-le"), "<u4") - np.uint32(FIRST_ID)).tobytes())
-        for w in long:
-            del self.words[w]
+        made = [(short[w] if w in short else long[w]) if ids is None else ids for w, ids in zip(distinct, made, strict=True)] if fresh else made
+        ids = np.frombuffer("".join(made).encode("utf-32-le"), "<u4") - np.uint32(FIRST_ID)
+        lengths = np.fromiter(map(len, made), np.int64, len(made))
+        offsets = np.concatenate([[0], np.cumsum(4 * lengths)]).astype(np.int32)
+        values = pa.Array.from_buffers(pa.binary(), len(made), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+        whole = values.take(coded.indices)
+        ends = np.frombuffer(whole.buffers()[1], np.int32) if len(whole) else np.zeros(1, np.int32)
+        bounds = ends[np.cumsum([0, *map(len, split)])].tolist()
+        data = whole.buffers()[2]
+        out = [data[first:last].to_pybytes() if last > first else b"" for first, last in pairwise(bounds)]
         return out
 
 

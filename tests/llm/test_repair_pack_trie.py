@@ -376,3 +376,19 @@ def test_trie_of_copies_alone(spark):
 def test_trie_on_given_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert as_nodes(registry.queries()["op13_prefix_trie"](spark, SF).collect()) == trie_by_hand(rows)
+
+
+def test_words_of_letters_are_not_cut_again():
+    """Ids are the tokenizer's for every kind of word; letters only go past the pattern, which took a good part of the time."""
+    import public_tokenizers
+
+    from prooflake.llm import best_fit
+
+    coder = best_fit.WordIds(best_fit.WordModel(public_tokenizers.path("word_bpe_49k.json")))
+    split, seen = coder.split, []
+    coder.split = lambda text: seen.append(text) or split(text)
+    texts = ["Some plain words plain", "", "it's a1 İx ªb x" + "y" * 100 + " Some", "x" + "y" * 100, " ", "x" + "y" * 100]
+    got = coder.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x.ids for x in coder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert not any("plain" in x for x in seen) and any("it's" in x for x in seen)
+    assert got == coder.encode(texts)
