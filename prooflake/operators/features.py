@@ -1,6 +1,6 @@
 """The eight label-free features of an evidence set, as expressions over its array of units: no shuffle, no explode.
 
-All but the share of duplicates take time in proportion to the units (but for a sort of titles); that one is in operators/similarity.py."""
+Titles are compared in order, after a sort; what takes the texts' tokens is measured in operators/similarity.py, in one pass."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from prooflake.functions import text as T
 from prooflake.functions.vocabulary import STOPWORDS_EVIDENCE
-from prooflake.operators.similarity import similar_count
+from prooflake.operators.similarity import measured
 from prooflake.storage import stored
 
 DUPLICATE, SIMILAR = 0.5, 0.3
@@ -22,37 +22,37 @@ def filled_texts(units: Column) -> Column:
     return F.filter(F.transform(units, lambda u: u["text"]), lambda t: ~T.is_blank(t))
 
 
-def features(query: Column, units: Column, filled: Column) -> dict[str, Column]:
-    """filled: of the texts that aren't blank the number n of tokens and their set s (a column, so it is computed once)."""
+def features(query: Column, units: Column, told: Column) -> dict[str, Column]:
+    """told: what similarity.measured says of the texts and the query's words (a column, so it is computed once)."""
     n = F.size(units)
     titles = F.filter(F.transform(units, lambda u: u["doc_title"]), lambda t: F.coalesce(t, F.lit("")).isin("", "none") == F.lit(False))
-    lengths, sets = filled["n"], filled["s"]
-    pairs = F.size(sets).cast("long") * (F.size(sets) - 1) / 2
+    pairs = told["n"].cast("long") * (told["n"] - 1) / 2
     # in order, a title that occurs again has an equal neighbour
     same = lambda ts, t, k: F.coalesce(F.get(ts, k) == t, F.lit(False))
     shared = T.let(F.sort_array(titles), lambda ts: F.size(F.filter(ts, lambda t, i: same(ts, t, i - 1) | same(ts, t, i + 1))))
-    mean = F.aggregate(lengths, F.lit(0).cast("long"), lambda s, k: s + k) / F.greatest(F.size(lengths), F.lit(1))
-    # without stop words in the query those of the evidence meet nothing
-    asked = T.content(T.token_set(query), STOPWORDS_EVIDENCE)
-    overlap = T.let(asked, lambda q: T.ratio(F.size(F.array_intersect(q, F.flatten(sets))), F.size(q)))
+    mean = told["total"] / F.greatest(told["n"], F.lit(1))
     return {
         "source_diversity": F.size(F.array_distinct(titles)),
-        "text_resolution_rate": F.round(T.ratio(F.size(lengths), n), 4),
+        "text_resolution_rate": F.round(T.ratio(told["n"], n), 4),
         "avg_evidence_length": F.rint(mean * 100) / 100,
-        "min_evidence_length": F.coalesce(F.array_min(lengths), F.lit(0)),
-        "duplicate_rate": F.round(similar_count(sets, DUPLICATE) / F.greatest(pairs, F.lit(1.0)), 4),
+        "min_evidence_length": F.coalesce(told["least"], F.lit(0)),
+        "duplicate_rate": F.round(told["similar"] / F.greatest(pairs, F.lit(1.0)), 4),
         "document_overlap_rate": F.round(T.ratio(shared, n), 4),
-        "entity_overlap": F.round(overlap, 4),
+        "entity_overlap": F.round(T.ratio(told["met"], F.size(asked_words(query))), 4),
         "evidence_count": n,
     }
 
 
+def asked_words(query: Column) -> Column:
+    """Without stop words in the query those of the evidence meet nothing."""
+    return T.content(T.token_set(query), STOPWORDS_EVIDENCE)
+
+
 def with_features(instances: DataFrame, query: str = "input_text", units: str = "evidence_units") -> DataFrame:
     """instances with a struct graph_features."""
-    told = lambda t: T.let(T.tokens(t), lambda w: F.struct(F.size(w).alias("n"), F.array_distinct(w).alias("s")))
-    rows = instances.withColumn("_filled", F.transform(filled_texts(F.col(units)), told))
-    found = features(F.col(query), F.col(units), F.col("_filled"))
-    return rows.withColumn("graph_features", F.struct(*(c.alias(name) for name, c in found.items()))).drop("_filled")
+    rows = instances.withColumn("_told", measured(F.transform(units, lambda u: F.lower(u["text"])), asked_words(F.col(query)), DUPLICATE))
+    found = features(F.col(query), F.col(units), F.col("_told"))
+    return rows.withColumn("graph_features", F.struct(*(c.alias(name) for name, c in found.items()))).drop("_told")
 
 
 def entity_overlap(instances: DataFrame, extract, query: str = "input_text", units: str = "evidence_units", most: int = 10_000) -> DataFrame:

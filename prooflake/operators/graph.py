@@ -21,21 +21,11 @@ def nodes(instances: DataFrame) -> DataFrame:
     return root.unionByName(evidence).unionByName(sources)
 
 
-def token_units(instances: DataFrame, key: str = "example_id") -> DataFrame:
-    """(key, us): of each instance the units as structs with place, id, source, whether the text is blank, and the set of tokens."""
-    units = F.transform("evidence_units", lambda u, i: F.struct(i.alias("i"), u["evidence_id"].alias("id"), u["source_doc_id"].alias("source"), T.is_blank(u["text"]).alias("blank"), T.token_set(u["text"]).alias("s")))
-    return instances.select(key, units.alias("us"))
-
-
-def filled_units(instances: DataFrame, key: str = "example_id") -> DataFrame:
-    """(key, us): the units of token_units that have tokens."""
-    return token_units(instances, key).select(key, F.filter("us", lambda u: ~u["blank"] & (F.size(u["s"]) > 0)).alias("us"))
-
-
 def similar_units(instances: DataFrame, threshold: float, key: str = "example_id") -> DataFrame:
     """(key, i, j, src, dst, similarity) of the pairs of an instance's units i < j with a Jaccard similarity over the threshold."""
-    of = lambda name: F.transform("us", lambda u: u[name]).alias(name)
-    return similarity.similar_rows(filled_units(instances, key).select(key, of("i"), of("id"), of("s")), threshold)
+    of = lambda name, value: F.transform("evidence_units", value).alias(name)
+    units = instances.select(key, of("i", lambda u, i: i), of("id", lambda u: u["evidence_id"]), of("t", lambda u: F.lower(u["text"])))
+    return similarity.similar_rows(units, threshold)
 
 
 def edges(instances: DataFrame) -> DataFrame:

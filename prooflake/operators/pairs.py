@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prooflake.operators import graph
-from prooflake.operators.similarity import similar_count
+from prooflake.operators.similarity import measured
 
 
 def similar_pairs(instances: DataFrame, threshold: float, key: str = "example_id") -> DataFrame:
@@ -17,6 +17,7 @@ def similar_pairs(instances: DataFrame, threshold: float, key: str = "example_id
 
 def duplicate_rates(instances: DataFrame, threshold: float, key: str = "example_id") -> DataFrame:
     """(key, n, duplicates, duplicate_rate): units with text, and the share of their pairs that are over the threshold."""
-    sets = graph.token_units(instances, key).select(key, F.transform(F.filter("us", lambda u: ~u["blank"]), lambda u: u["s"]).alias("sets"))
-    found = sets.select(key, F.size("sets").alias("n"), similar_count(F.col("sets"), threshold).cast("int").alias("duplicates"))
+    texts = F.transform("evidence_units", lambda u: F.lower(u["text"]))
+    told = instances.select(key, measured(texts, F.array().cast("array<string>"), threshold).alias("told"))
+    found = told.select(key, F.col("told.n").alias("n"), F.col("told.similar").cast("int").alias("duplicates"))
     return found.withColumn("duplicate_rate", F.col("duplicates") / F.greatest(F.col("n").cast("long") * (F.col("n") - 1) / 2, F.lit(1.0)))

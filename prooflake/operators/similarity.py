@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
@@ -35,9 +36,8 @@ def similar(tokens: np.ndarray, sizes: np.ndarray, threshold: float) -> Iterator
     size, n = sizes[place], len(sizes)
     rank = np.empty(n, np.int64)
     rank[place] = np.arange(n)
-    row = np.repeat(rank, sizes)  # of each token the rank of its set
-    by_row = np.argsort(row, kind="stable")
-    row, token = row[by_row], tokens[by_row]
+    token_bound = int(tokens.max()) + 1 if len(tokens) else 1
+    row, token = np.divmod(_sorted(np.repeat(rank, sizes) * token_bound + tokens), token_bound)  # of each token the rank of its set
     held = np.bincount(token) if len(token) else np.zeros(0, np.int64)
     frequent = held > max(FREQUENT_SETS, FREQUENT_SHARE * n)
     often = frequent[token]
@@ -93,35 +93,59 @@ def _block(a, b, width, size, place, n_often, words, end, threshold, row, first,
         yield np.minimum(left, right), np.maximum(left, right), ratio[over]
 
 
-def _sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(tokens as numbers, sizes) of each element, a list of lists of different strings."""
-    for k in range(len(column)):
-        sets = column.slice(k, 1).flatten()
-        sizes = np.asarray(sets.value_lengths().fill_null(0)).astype(np.int64)
-        words = sets.flatten().dictionary_encode()
-        yield np.asarray(words.indices).astype(np.int64), sizes
-
+def _sorted(values: np.ndarray) -> np.ndarray:
+    values.sort()
+    return values
 
-def similar_count(sets: Column, threshold: float) -> Column:
-    """How many pairs of an array's token sets have a Jaccard similarity over the threshold."""
 
-    @F.arrow_udf("long")
-    def count(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
-            yield pa.array([sum(len(i) for i, _, _ in similar(*s, threshold)) for s in _sets(column)], pa.int64())
-
-    return count(sets)
+def _sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """(tokens of the sets as numbers, sizes of the sets, numbers of tokens, different tokens) of each element, a list of lower-cased texts. Arrow's
+    white space is that of T.SPACE."""
+    for k in range(len(column)):
+        words = pc.utf8_split_whitespace(column.slice(k, 1).flatten().fill_null(""))
+        many = np.asarray(words.value_lengths()).astype(np.int64)
+        found = words.flatten().dictionary_encode()
+        bound = max(len(found.dictionary), 1)
+        key = _sorted(np.repeat(np.arange(len(many)), many) * bound + np.asarray(found.indices))
+        # white space at either end, and a text without anything else, give empty words
+        empty = pc.index(found.dictionary, "").as_py()
+        key = key[np.concatenate([[True], key[1:] != key[:-1]]) & (key % bound != empty)] if len(key) else key
+        row, token = np.divmod(key, bound)
+        lengths = many if empty < 0 else many - np.bincount(np.repeat(np.arange(len(many)), many)[np.asarray(found.indices) == empty], minlength=len(many))
+        yield token, np.bincount(row, minlength=len(many)), lengths, found.dictionary
+
+
+def measured(texts: Column, asked: Column, threshold: float) -> Column:
+    """Of an array of lower-cased texts: the number n of those with tokens, their tokens in total and the fewest, how many pairs of their token sets
+    have a Jaccard similarity over the threshold, and how many of the words asked for (an array of different ones) are among the tokens."""
+
+    @F.arrow_udf("n int, total long, least int, similar long, met int")
+    def measure(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for column, words in columns:
+            out: list[dict | None] = []
+            for k, (tokens, sizes, lengths, different) in enumerate(_sets(column)):
+                if not column[k].is_valid:
+                    out.append(None)
+                    continue
+                filled = lengths[lengths > 0]
+                wanted = words.slice(k, 1).flatten()
+                met = (pc.sum(pc.is_in(wanted, different.cast(wanted.type))).as_py() or 0) if words[k].is_valid else None
+                pairs = sum(len(i) for i, _, _ in similar(tokens, sizes, threshold))
+                out.append({"n": len(filled), "total": int(filled.sum()), "least": int(filled.min()) if len(filled) else 0, "similar": pairs, "met": met})
+            yield pa.array(out, pa.struct([("n", pa.int32()), ("total", pa.int64()), ("least", pa.int32()), ("similar", pa.int64()), ("met", pa.int32())]))
+
+    return measure(texts, asked)
 
 
 def similar_rows(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows: a key and, of the same length, arrays i, id and s (token sets). (key, i, j, src, dst, similarity) of the pairs over the threshold,
+    """rows: a key and, of the same length, arrays i, id and t (lower-cased texts). (key, i, j, src, dst, similarity) of the pairs over the threshold,
     which leave a task block by block."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, found in enumerate(_sets(batch.column(3))):
+            for k, (tokens, sizes, _, _) in enumerate(_sets(batch.column(3))):
                 place, name = (batch.column(c).slice(k, 1).flatten() for c in (1, 2))
-                for i, j, ratio in similar(*found, threshold):
+                for i, j, ratio in similar(tokens, sizes, threshold):
                     if len(i):
                         key = batch.column(0).take(pa.array(np.full(len(i), k)))
                         yield pa.RecordBatch.from_arrays([key, place.take(pa.array(i)), place.take(pa.array(j)), name.take(pa.array(i)), name.take(pa.array(j)), pa.array(ratio)], names=["key", "i", "j", "src", "dst", "similarity"])

@@ -41,3 +41,23 @@ def test_thousands_of_units_in_a_set(spark):
     assert {(f"u{k}", f"u{3900 + k}") for k in range(100)} <= {(r.src, r.dst) for r in copies} and overlaps >= 100
     sets = [set(t.split()) for t in texts]
     assert all(len(sets[r.i] & sets[r.j]) > 0.9 * len(sets[r.i] | sets[r.j]) for r in copies)
+
+
+def test_white_space_and_case_are_those_of_the_text_functions(spark):
+    """Every white space of Unicode splits tokens, at either end as well, as T.tokens has it; blank texts and nulls count as units without text."""
+    from pyspark.sql import functions as F
+
+    from prooflake.functions import text as T
+
+    odd = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (chr(c).isspace() or chr(c).upper() != chr(c) or c in (0x200B, 0x180E, 0xFEFF))]
+    texts = [f"a{c}B" for c in odd] + [f"{c}a  b{c}" for c in odd] + ["", None, " \x1c ", "same words", "Same　WORDS again same"]
+    rows = spark.createDataFrame([(k, [t]) for k, t in enumerate(texts)] + [(-1, texts), (-2, []), (-3, None)], "key long, texts array<string>")
+    none = F.array().cast("array<string>")
+    lower = F.transform("texts", F.lower)
+    asked = F.array(F.lit("same"), F.lit("nowhere"))
+    got = {r.key: r for r in rows.select("key", similarity.measured(lower, asked, 0.5).alias("m")).select("key", "m.*").collect()}
+    sizes = {r.key: r.n for r in rows.where("key >= 0").select("key", F.size(T.tokens(F.coalesce(F.get("texts", F.lit(0)), F.lit("")))).alias("n")).collect()}
+    assert {k: (r.n, r.total, r.least) for k, r in got.items() if k >= 0} == {k: (int(n > 0), n, n) for k, n in sizes.items()}
+    assert got[-1].n == sum(n > 0 for n in sizes.values()) and got[-1].total == sum(sizes.values()) and got[-1].met == 1 and got[-1].similar > 0
+    assert (got[-2].n, got[-2].similar, got[-2].met) == (0, 0, 0) and got[-3].n is None
+    assert rows.where("key = -1").select(similarity.measured(lower, none, 0.5)["met"]).first()[0] == 0
