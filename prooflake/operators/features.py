@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prooflake.functions import text as T
-from prooflake.functions.vocabulary import STOPWORDS_EVIDENCE
-from prooflake.operators.similarity import measured
+from prooflake.functions.vocabulary import STATES, STOPWORDS_EVIDENCE
+from prooflake.operators import variants
+from prooflake.operators.similarity import measured, measured_changes
 from prooflake.storage import stored
 
 DUPLICATE, SIMILAR = 0.5, 0.3
@@ -48,13 +49,32 @@ def asked_words(query: Column) -> Column:
     return T.content(T.token_set(query), STOPWORDS_EVIDENCE)
 
 
+def _lowered(units: str) -> Column:
+    return F.transform(units, lambda u: F.lower(u["text"]))
+
+
 def with_features(instances: DataFrame, query: str = "input_text", units: str = "evidence_units") -> DataFrame:
     """instances with a struct graph_features."""
-    rows = instances.withColumn("_told", measured(F.transform(units, lambda u: F.lower(u["text"])), asked_words(F.col(query)), DUPLICATE))
+    rows = instances.withColumn("_told", measured(_lowered(units), asked_words(F.col(query)), DUPLICATE))
+    return _described(rows, query, units)
+
+
+def _described(rows: DataFrame, query: str, units: str) -> DataFrame:
     found = features(F.col(query), F.col(units), F.col("_told"))
     return rows.withColumn("graph_features", F.struct(*(c.alias(name) for name, c in found.items()))).drop("_told")
 
 
+def all_states_with_features(instances: DataFrame, seed: int = 42) -> DataFrame:
+    """with_features(variants.all_states(instances)), from one pass over the texts: a variant differs from its instance by one text, so the sufficient
+    instances are stored with what is measured of all four."""
+    base = variants.sufficient_only(instances)
+    changes = F.transform(variants.changes(seed), lambda c: F.struct(c["gone"].alias("gone"), F.lower(c["new"]).alias("new")))
+    told = measured_changes(_lowered("evidence_units"), asked_words(F.col("input_text")), changes, DUPLICATE)
+    states = variants.all_states(stored(base.withColumn("_all", told), "measured-instances"), seed)
+    place = F.array_position(F.array(*(F.lit(s) for s in STATES)), F.col("evidence_state_label")).cast("int")
+    return _described(states.withColumn("_told", F.element_at("_all", place)).drop("_all"), "input_text", "evidence_units")
+
+
 def entity_overlap(instances: DataFrame, extract, query: str = "input_text", units: str = "evidence_units", most: int = 10_000) -> DataFrame:
     """instances with entity_overlap from a pluggable extractor: extract(list of texts) -> list of entity lists, called on Arrow batches.
 

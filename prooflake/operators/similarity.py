@@ -115,28 +115,71 @@ def _sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         yield token, np.bincount(row, minlength=len(many)), lengths, found.dictionary
 
 
+_MEASURES = pa.struct([("n", pa.int32()), ("total", pa.int64()), ("least", pa.int32()), ("similar", pa.int64()), ("met", pa.int32())])
+_KIND = "struct<n: int, total: long, least: int, similar: long, met: int>"
+
+
+def _measures(texts: pa.Array, asked: pa.Array, threshold: float, changes: list[tuple[int | None, str | None]]) -> Iterator[list[dict | None]]:
+    """Of each element what measured() says, for each of the changes that are made to its texts: the place of one that goes, one that is added."""
+    for k in range(len(texts)):
+        if not texts[k].is_valid:
+            yield [None] * len(changes[k])
+            continue
+        own = texts.slice(k, 1).flatten()
+        added = [new for _, new in changes[k] if new is not None]
+        whole = pa.concat_arrays([own, pa.array(added, own.type)])
+        offsets = pa.array([0, len(whole)], pa.int32())
+        tokens, sizes, lengths, different = next(_sets(pa.ListArray.from_arrays(offsets, whole)))
+        # which texts each change leaves
+        inside = np.zeros((len(changes[k]), len(whole)), bool)
+        inside[:, : len(own)] = True
+        at = len(own)
+        for c, (gone, new) in enumerate(changes[k]):
+            if gone is not None:
+                inside[c, gone] = False
+            if new is not None:
+                inside[c, at] = True
+                at += 1
+        pairs = np.zeros(len(changes[k]), np.int64)
+        for i, j, _ in similar(tokens, sizes, threshold):
+            pairs += np.array([np.count_nonzero(x[i] & x[j]) for x in inside], np.int64)
+        words = asked.slice(k, 1).flatten()
+        wanted = np.asarray(pc.index_in(different.cast(words.type), words).fill_null(-1))  # of each different token the word that it is
+        of = wanted[tokens]
+        row, of = np.repeat(np.arange(len(whole)), sizes)[of >= 0], of[of >= 0]
+        out = []
+        for x, similar_pairs in zip(inside, pairs, strict=True):
+            filled = lengths[x & (lengths > 0)]
+            met = len(np.unique(of[x[row]])) if asked[k].is_valid else None
+            out.append({"n": len(filled), "total": int(filled.sum()), "least": int(filled.min()) if len(filled) else 0, "similar": int(similar_pairs), "met": met})
+        yield out
+
+
 def measured(texts: Column, asked: Column, threshold: float) -> Column:
     """Of an array of lower-cased texts: the number n of those with tokens, their tokens in total and the fewest, how many pairs of their token sets
     have a Jaccard similarity over the threshold, and how many of the words asked for (an array of different ones) are among the tokens."""
 
-    @F.arrow_udf("n int, total long, least int, similar long, met int")
+    @F.arrow_udf(_KIND)
     def measure(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for column, words in columns:
-            out: list[dict | None] = []
-            for k, (tokens, sizes, lengths, different) in enumerate(_sets(column)):
-                if not column[k].is_valid:
-                    out.append(None)
-                    continue
-                filled = lengths[lengths > 0]
-                wanted = words.slice(k, 1).flatten()
-                met = (pc.sum(pc.is_in(wanted, different.cast(wanted.type))).as_py() or 0) if words[k].is_valid else None
-                pairs = sum(len(i) for i, _, _ in similar(tokens, sizes, threshold))
-                out.append({"n": len(filled), "total": int(filled.sum()), "least": int(filled.min()) if len(filled) else 0, "similar": pairs, "met": met})
-            yield pa.array(out, pa.struct([("n", pa.int32()), ("total", pa.int64()), ("least", pa.int32()), ("similar", pa.int64()), ("met", pa.int32())]))
+            yield pa.array([m[0] for m in _measures(column, words, threshold, [[(None, None)]] * len(column))], _MEASURES)
 
     return measure(texts, asked)
 
 
+def measured_changes(texts: Column, asked: Column, changes: Column, threshold: float) -> Column:
+    """The same for each of some changes (an array of structs: the place of a text that goes, and one that is added, or null), as an array: what the
+    changes have in common is split and compared once."""
+
+    @F.arrow_udf(f"array<{_KIND}>")
+    def measure(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for column, words, each in columns:
+            told = [[(c["gone"], c["new"]) for c in row] for row in each.to_pylist()]
+            yield pa.array(list(_measures(column, words, threshold, told)), pa.list_(_MEASURES))
+
+    return measure(texts, asked, changes)
+
+
 def similar_rows(rows: DataFrame, threshold: float) -> DataFrame:
     """rows: a key and, of the same length, arrays i, id and t (lower-cased texts). (key, i, j, src, dst, similarity) of the pairs over the threshold,
     which leave a task block by block."""

@@ -597,7 +597,8 @@ def _states(spark: SparkSession, d: str) -> DataFrame:
 
 def _detector_rows(spark: SparkSession, d: str) -> DataFrame:
     """(example_id, dataset, label, the eight features, split), stored once for several fits."""
-    rows = build.flat_features(features.with_features(_states(spark, d))).select("example_id", "dataset", "label", *FEATURES)
+    found = build.flat_features(features.all_states_with_features(X.instances(spark, d))).select("example_id", "dataset", "label", *FEATURES)
+    rows = stored(found, "detector-features")  # the split takes its rows several times
     return stored(sampling.stratified_split(rows, ["label", "dataset"], "example_id"), "detector-rows")
 
 
@@ -645,8 +646,8 @@ def leave_one_dataset_out(spark, d):
 
 
 def _fused_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = assemble.processed(features.with_features(_states(spark, d)))
-    rows = build.flat_features(rows).select("example_id", "dataset", "label", "plain_input", *FEATURES)
+    found = assemble.processed(features.all_states_with_features(X.instances(spark, d)))
+    rows = stored(build.flat_features(found).select("example_id", "dataset", "label", "plain_input", *FEATURES), "fused-features")
     return _split(stored(sampling.stratified_split(rows, ["label", "dataset"], "example_id"), "fused-detector-rows"))
 
 

@@ -61,3 +61,13 @@ def test_white_space_and_case_are_those_of_the_text_functions(spark):
     assert got[-1].n == sum(n > 0 for n in sizes.values()) and got[-1].total == sum(sizes.values()) and got[-1].met == 1 and got[-1].similar > 0
     assert (got[-2].n, got[-2].similar, got[-2].met) == (0, 0, 0) and got[-3].n is None
     assert rows.where("key = -1").select(similarity.measured(lower, none, 0.5)["met"]).first()[0] == 0
+
+
+def test_states_from_one_pass_have_the_features_of_each(spark):
+    from prooflake.operators import variants
+    from prooflake.sources import fixtures
+
+    base = fixtures.instances(spark, "/root/testdata/sf0.001").cache()
+    told = lambda rows: sorted((r.example_id, r.evidence_state_label, tuple(r.graph_features)) for r in rows.select("example_id", "evidence_state_label", "graph_features").collect())
+    got = told(features.all_states_with_features(base))
+    assert got == told(features.with_features(variants.all_states(base))) and len({s for _, s, _ in got}) == 4
