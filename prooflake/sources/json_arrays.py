@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prooflake.storage import stored
+from prooflake.storage import SMALL_BATCHES, set_for_a_while, stored
 
-BLOCK_BYTES = 8 << 20
+#: Text that is scanned at once (its places are 64-bit numbers, so a scan takes some thirty times as much), and of records that leave a task together.
+BLOCK_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 _OPEN = b"{"
 
 
@@ -74,7 +76,7 @@ def _records(states: dict[tuple[str, int], tuple[bool, int]]):
     """Cuts the records out of ranges whose states at the start (inside a string, depth) are known."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, inside_now, depth, k = None, False, 0, 0
+        now, inside_now, depth, k, waiting = None, False, 0, 0, 0
         part, opened, out = [], False, []  # the text of a record that is open, and whether it was opened in this split
 
         def made() -> pa.RecordBatch:
@@ -83,8 +85,10 @@ def _records(states: dict[tuple[str, int], tuple[bool, int]]):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
         def piece(closes: bool) -> None:
-            nonlocal k, part
-            out.append((*now, k if opened else -1, b"".join(part).decode("utf-8", "replace"), opened, closes))
+            nonlocal k, part, waiting
+            text = b"".join(part)
+            waiting += len(text)
+            out.append((*now, k if opened else -1, text.decode("utf-8", "replace"), opened, closes))
             k += opened
             part = []
 
@@ -114,9 +118,10 @@ def _records(states: dict[tuple[str, int], tuple[bool, int]]):
                 from_, opened = None, False
             inside_now ^= n % 2 == 1
             depth = int(after[-1]) if len(after) else depth
-            if len(out) >= 1000:
+            if waiting >= BATCH_BYTES or len(out) >= 1000:
                 yield made()
                 out.clear()
+                waiting = 0
         if now is not None and depth >= 2:
             piece(False)
         if out:
@@ -166,4 +171,5 @@ def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write(rows: DataFrame, path: str) -> None:
     """rows as JSON arrays, a file for each partition, with nulls kept; a line a record."""
     lines = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
-    lines.mapInArrow(_as_array, "value string").write.mode("overwrite").text(path)
+    with set_for_a_while(rows.sparkSession, SMALL_BATCHES):  # else a task's Python holds 10,000 records, several times
+        lines.mapInArrow(_as_array, "value string").write.mode("overwrite").text(path)

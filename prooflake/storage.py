@@ -35,7 +35,7 @@ SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.
 
 
 @contextmanager
-def _set(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+def set_for_a_while(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """The session's settings are as before afterwards."""
     before = {k: spark.conf.get(k, None) for k in values}
     try:
@@ -54,7 +54,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/prooflake/{name}-{uuid.uuid4().hex}"
-    with _set(spark, SMALL_BATCHES):
+    with set_for_a_while(spark, SMALL_BATCHES):
         df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     _PLACES[back] = path
