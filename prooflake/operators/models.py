@@ -47,11 +47,19 @@ def ngrams(text: Column) -> Column:
     return F.concat(words, pairs)
 
 
+def term_counts(text: Column) -> Column:
+    """The different n-grams of a text as structs of term and n: counted inside the row, so neither rows nor repeats of them are shuffled for it."""
+    from prooflake.functions.text import let
+
+    begins = lambda s: F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+    runs = lambda s, at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("n")))
+    return let(F.array_sort(ngrams(text)), lambda s: let(begins(s), lambda at: runs(s, at)))
+
+
 def tfidf_vocabulary(train: DataFrame, text: str, size: int = 50_000) -> DataFrame:
     """(term, place, idf): the most frequent terms, idf = ln((1 + n) / (1 + df)) + 1. Bounded by `size`, so it may be broadcast."""
     n = train.count()
-    terms = train.select(F.explode(ngrams(F.col(text))).alias("term"), F.monotonically_increasing_id().alias("doc"))
-    counts = terms.groupBy("term").agg(F.count("*").alias("tf"), F.count_distinct("doc").alias("df"))
+    counts = train.select(F.inline(term_counts(F.col(text)))).groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
     best = counts.orderBy(F.desc("tf"), "term").limit(size)
     from pyspark.sql import Window
 
@@ -64,8 +72,10 @@ def tfidf(rows: DataFrame, text: str, key: str, vocabulary: DataFrame, size: int
     from pyspark.ml.linalg import VectorUDT
     from pyspark.sql import types as S
 
-    counted = rows.select(F.col(key).alias("_key"), F.explode(ngrams(F.col(text))).alias("term")).groupBy("_key", "term").count()
-    weighed = counted.join(F.broadcast(vocabulary), "term").select("_key", "place", ((1 + F.log("count")) * F.col("idf")).alias("w"))
+    counted = rows.select(F.col(key).alias("_key"), F.inline(term_counts(F.col(text))))
+    # dealt by key once, as numbers; rows of equal keys are counted together
+    met = counted.join(F.broadcast(vocabulary), "term").select("_key", "place", "n", "idf").repartition("_key").groupBy("_key", "place", "idf").agg(F.sum("n").alias("n"))
+    weighed = met.select("_key", "place", ((1 + F.log("n")) * F.col("idf")).alias("w"))
     lists = weighed.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("place", "w"))).alias("pw"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     lists = lists.select("_key", F.transform("pw", lambda x: x["place"].cast("int")).alias("at"), F.transform("pw", lambda x: x["w"] / F.col("norm")).alias("w"))
     joined = rows.join(lists, rows[key] == lists["_key"], "left").drop("_key").withColumns({"at": F.coalesce("at", F.array().cast("array<int>")), "w": F.coalesce("w", F.array().cast("array<double>"))})

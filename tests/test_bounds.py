@@ -27,3 +27,21 @@ def test_records_leave_a_task_by_their_bytes():
     out = list(json_arrays._records({("f", 0): (False, 0)})(iter([batch])))
     assert [json.loads(t) for b in out for t in b.column(3).to_pylist()] == records
     assert max(b.nbytes for b in out) <= json_arrays.BATCH_BYTES + 2 * json_arrays.BLOCK_BYTES
+
+
+def test_terms_are_counted_inside_their_row(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from prooflake.operators import models
+
+    texts = ["the cat the cat the dog", "", "a b c", None, "Dog dog"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    plain = {r.key: Counter(r.g or []) for r in rows.select("key", models.ngrams(F.col("text")).alias("g")).collect()}
+    got = {r.key: {t.term: t.n for t in r.t or []} for r in rows.select("key", models.term_counts(F.col("text")).alias("t")).collect()}
+    assert got == plain and got[0]["the cat"] == 2
+    found = {r.term: (r.place, r.idf) for r in models.tfidf_vocabulary(rows, "text", 100).collect()}
+    assert found["the"][0] == 1 and set(found) == set().union(*plain.values())  # dog: three times, as the, and first by name
+    plan = models.tfidf_vocabulary(rows, "text", 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(distinct" not in plan and "Expand" not in plan and "doc" not in plan
