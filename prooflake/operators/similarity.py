@@ -20,6 +20,8 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField,
 FREQUENT_SHARE, FREQUENT_SETS = 0.02, 16
 #: Meetings of rare tokens, and cells of pairs, that a block of rows has (a single row may have more).
 BLOCK = 1 << 20
+#: Bytes of text whose words are told apart at once.
+TEXT_BLOCK = 1 << 20
 _SLACK = 1 - 1e-9
 
 
@@ -98,21 +100,59 @@ def _sorted(values: np.ndarray) -> np.ndarray:
     return values
 
 
-def _sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
-    """(tokens of the sets as numbers, sizes of the sets, numbers of tokens, different tokens) of each element, a list of lower-cased texts. Arrow's
-    white space is that of T.SPACE."""
-    for k in range(len(column)):
-        words = pc.utf8_split_whitespace(column.slice(k, 1).flatten().fill_null(""))
+#: White space of T.SPACE beyond that of ASCII text: characters of two and three bytes (0x1C to 0x1F besides).
+_SPACES_2, _SPACES_3 = (np.array([int.from_bytes(chr(c).encode()) for c in codes]) for codes in ((0x85, 0xA0), (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def _only_plain_spaces(texts: pa.Array) -> bool:
+    """Whether texts have no white space but space and 0x09 to 0x0D, so that those bytes alone part their words."""
+    if texts.type != pa.string():
+        return False
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[[texts.offset, texts.offset + len(texts)]]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[1]]
+    if np.any((data >= 28) & (data < 32)):
+        return False
+    two, three = np.nonzero(data == 0xC2)[0], np.nonzero((data >= 0xE1) & (data <= 0xE3))[0]
+    after = lambda at, k: data[at + k].astype(np.int64)
+    return not (np.isin(0xC200 | after(two, 1), _SPACES_2).any() or np.isin(after(three, 0) << 16 | after(three, 1) << 8 | after(three, 2), _SPACES_3).any())
+
+
+def _parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts in runs of at most TEXT_BLOCK bytes, or of one text."""
+    size = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
+    a = 0
+    while a < len(texts):
+        b = max(int(np.searchsorted(size, (size[a - 1] if a else 0) + TEXT_BLOCK, "right")), a + 1)
+        yield texts.slice(a, b - a)
+        a = b
+
+
+def _set_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(tokens of the sets as numbers, sizes of the sets, numbers of tokens, different tokens) of lower-cased texts. Arrow's white space is that of
+    T.SPACE. Words are told apart in runs of texts, of which only different tokens stay, so that their table is small and repeats don't add up."""
+    lengths, sizes, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for part in _parts(texts.fill_null("")):
+        words = pc.ascii_split_whitespace(part) if _only_plain_spaces(part) else pc.utf8_split_whitespace(part)
         many = np.asarray(words.value_lengths()).astype(np.int64)
-        found = words.flatten().dictionary_encode()
-        bound = max(len(found.dictionary), 1)
-        key = _sorted(np.repeat(np.arange(len(many)), many) * bound + np.asarray(found.indices))
+        coded = words.flatten().dictionary_encode()
+        bits = len(coded.dictionary).bit_length()
+        kind = np.int32 if len(many).bit_length() + bits < 31 else np.int64
+        key = _sorted(np.repeat(np.arange(len(many), dtype=kind) << bits, many) | np.asarray(coded.indices))
         # white space at either end, and a text without anything else, give empty words
-        empty = pc.index(found.dictionary, "").as_py()
-        key = key[np.concatenate([[True], key[1:] != key[:-1]]) & (key % bound != empty)] if len(key) else key
-        row, token = np.divmod(key, bound)
-        lengths = many if empty < 0 else many - np.bincount(np.repeat(np.arange(len(many)), many)[np.asarray(found.indices) == empty], minlength=len(many))
-        yield token, np.bincount(row, minlength=len(many)), lengths, found.dictionary
+        empty = pc.index(coded.dictionary, "").as_py()
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        if empty >= 0:
+            blank = (key & ((1 << bits) - 1)) == empty
+            many = many - np.bincount(key[blank] >> bits, minlength=len(many))
+            new &= ~blank
+        key = key[new]
+        lengths.append(many)
+        sizes.append(np.bincount(key >> bits, minlength=len(many)))
+        found.append(pa.DictionaryArray.from_arrays(pa.array((key & ((1 << bits) - 1)).astype(np.int32)), coded.dictionary.cast(pa.string())))
+    whole = pa.chunked_array(found, pa.dictionary(pa.int32(), pa.string())).unify_dictionaries()
+    tokens = np.concatenate([np.zeros(0, np.int32), *(np.asarray(c.indices) for c in whole.chunks)])
+    return tokens, np.concatenate(sizes), np.concatenate(lengths), whole.chunk(0).dictionary if found else pa.array([], pa.string())
 
 
 _MEASURES = pa.struct([("n", pa.int32()), ("total", pa.int64()), ("least", pa.int32()), ("similar", pa.int64()), ("met", pa.int32())])
@@ -127,9 +167,8 @@ def _measures(texts: pa.Array, asked: pa.Array, threshold: float, changes: list[
             continue
         own = texts.slice(k, 1).flatten()
         added = [new for _, new in changes[k] if new is not None]
-        whole = pa.concat_arrays([own, pa.array(added, own.type)])
-        offsets = pa.array([0, len(whole)], pa.int32())
-        tokens, sizes, lengths, different = next(_sets(pa.ListArray.from_arrays(offsets, whole)))
+        whole = pa.concat_arrays([own, pa.array(added, own.type)]) if added else own
+        tokens, sizes, lengths, different = _set_of(whole)
         # which texts each change leaves
         inside = np.zeros((len(changes[k]), len(whole)), bool)
         inside[:, : len(own)] = True
@@ -186,7 +225,8 @@ def similar_rows(rows: DataFrame, threshold: float) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, (tokens, sizes, _, _) in enumerate(_sets(batch.column(3))):
+            for k in range(batch.num_rows):
+                tokens, sizes, _, _ = _set_of(batch.column(3).slice(k, 1).flatten())
                 place, name = (batch.column(c).slice(k, 1).flatten() for c in (1, 2))
                 for i, j, ratio in similar(tokens, sizes, threshold):
                     if len(i):

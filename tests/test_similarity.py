@@ -71,3 +71,36 @@ def test_states_from_one_pass_have_the_features_of_each(spark):
     told = lambda rows: sorted((r.example_id, r.evidence_state_label, tuple(r.graph_features)) for r in rows.select("example_id", "evidence_state_label", "graph_features").collect())
     got = told(features.all_states_with_features(base))
     assert got == told(features.with_features(variants.all_states(base))) and len({s for _, s, _ in got}) == 4
+
+
+def test_words_are_told_apart_in_runs_of_texts(monkeypatch):
+    """However long the runs are, sets and counts are those of all texts at once; other white space than ASCII's is looked for in each run."""
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    texts = [" ".join(f"wörd{rng.randrange(40)}" for _ in range(rng.randrange(30))) for _ in range(60)] + ["", None, " ", "a b　a", "c\x1cd", "é « x » — à b", "\u0085"]
+    plain = [(t or "").split() for t in texts]
+    for block in (1, 100, 1 << 20):
+        monkeypatch.setattr(similarity, "TEXT_BLOCK", block)
+        tokens, sizes, lengths, different = similarity._set_of(pa.array(["cut", *texts])[1:])
+        names, ends = different.to_pylist(), np.cumsum(sizes).tolist()
+        assert lengths.tolist() == [len(t) for t in plain]
+        assert [{names[t] for t in tokens[e - n : e]} for e, n in zip(ends, sizes.tolist(), strict=True)] == [set(t) for t in plain]
+        assert len(set(names) - {""}) == len({w for t in plain for w in t})
+    assert similarity._set_of(pa.array([], pa.string()))[1].tolist() == []
+
+
+def test_texts_are_gathered_by_one_shuffle_into_even_tasks(spark):
+    """Items get the units that unit_rows has, those without any too; no join, window or sort takes the texts, and small items aren't put into few tasks."""
+    from pyspark.sql import functions as F
+
+    from prooflake.sources import fixtures
+
+    d = "/root/testdata/sf0.001"
+    unit = F.struct("pos", "doc_id", "text", "doc_title", "is_gold")
+    wanted = fixtures.unit_rows(spark, d).groupBy("item_id", "ds", "input_text").agg(F.array_sort(F.collect_list(F.when(F.col("doc_id").isNotNull(), unit))).alias("raw"))
+    got = fixtures._gathered(spark, d)
+    told = lambda rows: sorted((r.item_id, r.ds, r.input_text, tuple(map(tuple, r.raw))) for r in rows.collect())
+    assert told(got) == told(wanted) and any(not r.raw for r in got.collect())
+    plan = fixtures.featured(spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Window" not in plan and "REPARTITION_BY_NUM" in plan
