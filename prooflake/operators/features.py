@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from prooflake.functions import text as T
 from prooflake.functions.vocabulary import STATES, STOPWORDS_EVIDENCE
 from prooflake.operators import variants
-from prooflake.operators.similarity import measured, measured_changes
+from prooflake.operators.similarity import measured, measured_changes, words_of
 from prooflake.storage import stored
 
 DUPLICATE, SIMILAR = 0.5, 0.3
@@ -49,13 +49,9 @@ def asked_words(query: Column) -> Column:
     return T.content(T.token_set(query), STOPWORDS_EVIDENCE)
 
 
-def _lowered(units: str) -> Column:
-    return F.transform(units, lambda u: F.lower(u["text"]))
-
-
-def with_features(instances: DataFrame, query: str = "input_text", units: str = "evidence_units") -> DataFrame:
-    """instances with a struct graph_features."""
-    rows = instances.withColumn("_told", measured(_lowered(units), asked_words(F.col(query)), DUPLICATE))
+def with_features(instances: DataFrame, query: str = "input_text", units: str = "evidence_units", words: bool = False) -> DataFrame:
+    """instances with a struct graph_features. words: units have a field words (similarity.coded), which is taken instead of their texts."""
+    rows = instances.withColumn("_told", measured(words_of(units, words), asked_words(F.col(query)), DUPLICATE))
     return _described(rows, query, units)
 
 
@@ -64,13 +60,17 @@ def _described(rows: DataFrame, query: str, units: str) -> DataFrame:
     return rows.withColumn("graph_features", F.struct(*(c.alias(name) for name, c in found.items()))).drop("_told")
 
 
-def all_states_with_features(instances: DataFrame, seed: int = 42) -> DataFrame:
+def all_states_with_features(instances: DataFrame, seed: int = 42, words: bool = False) -> DataFrame:
     """with_features(variants.all_states(instances)), from one pass over the texts: a variant differs from its instance by one text, so the sufficient
-    instances are stored with what is measured of all four."""
+    instances are stored with what is measured of all four. words: units have a field words, which is taken and dropped; of the texts themselves
+    variants.TEXT_TAKEN characters are enough then."""
     base = variants.sufficient_only(instances)
     changes = F.transform(variants.changes(seed), lambda c: F.struct(c["gone"].alias("gone"), F.lower(c["new"]).alias("new")))
-    told = measured_changes(_lowered("evidence_units"), asked_words(F.col("input_text")), changes, DUPLICATE)
-    states = variants.all_states(stored(base.withColumn("_all", told), "measured-instances"), seed)
+    told = measured_changes(words_of("evidence_units", words), asked_words(F.col("input_text")), changes, DUPLICATE)
+    base = base.withColumn("_all", told)
+    if words:
+        base = base.withColumn("evidence_units", F.transform("evidence_units", lambda u: u.dropFields("words")))
+    states = variants.all_states(stored(base, "measured-instances"), seed)
     place = F.array_position(F.array(*(F.lit(s) for s in STATES)), F.col("evidence_state_label")).cast("int")
     return _described(states.withColumn("_told", F.element_at("_all", place)).drop("_all"), "input_text", "evidence_units")
 

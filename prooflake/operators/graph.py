@@ -21,16 +21,17 @@ def nodes(instances: DataFrame) -> DataFrame:
     return root.unionByName(evidence).unionByName(sources)
 
 
-def similar_units(instances: DataFrame, threshold: float, key: str = "example_id") -> DataFrame:
-    """(key, i, j, src, dst, similarity) of the pairs of an instance's units i < j with a Jaccard similarity over the threshold."""
+def similar_units(instances: DataFrame, threshold: float, key: str = "example_id", words: bool = False) -> DataFrame:
+    """(key, i, j, src, dst, similarity) of the pairs of an instance's units i < j with a Jaccard similarity over the threshold.
+    words: as in features.with_features."""
     of = lambda name, value: F.transform("evidence_units", value).alias(name)
-    units = instances.select(key, of("i", lambda u, i: i), of("id", lambda u: u["evidence_id"]), of("t", lambda u: F.lower(u["text"])))
+    units = instances.select(key, of("i", lambda u, i: i), of("id", lambda u: u["evidence_id"]), similarity.words_of("evidence_units", words).alias("t"))
     return similarity.similar_rows(units, threshold)
 
 
-def edges(instances: DataFrame) -> DataFrame:
+def edges(instances: DataFrame, words: bool = False) -> DataFrame:
     """(example_id, src, dst, relation, similarity), one row per (src, dst); of several overlaps the last pair's similarity stays."""
     unit = lambda u: F.array(*(F.struct(u["evidence_id"].alias("src"), dst.alias("dst"), F.lit(relation).alias("relation")) for dst, relation in ((F.lit("input"), "relates_to"), (u["source_doc_id"], "attribution"))))
     plain = instances.select("example_id", F.inline(F.flatten(F.transform("evidence_units", unit)))).distinct().withColumn("similarity", F.lit(None).cast("double"))
-    last = similar_units(instances, SIMILAR).groupBy("example_id", "src", "dst").agg(F.max_by("similarity", F.struct("i", "j")).alias("similarity"))
+    last = similar_units(instances, SIMILAR, words=words).groupBy("example_id", "src", "dst").agg(F.max_by("similarity", F.struct("i", "j")).alias("similarity"))
     return plain.unionByName(last.select("example_id", "src", "dst", F.lit("text_overlap").alias("relation"), "similarity"))

@@ -8,6 +8,7 @@ reach the threshold the frequent tokens are compared, as bits. Nothing is hashed
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ FREQUENT_SHARE, FREQUENT_SETS = 0.02, 16
 #: Meetings of rare tokens, and cells of pairs, that a block of rows has (a single row may have more).
 BLOCK = 1 << 20
 #: Bytes of text whose words are told apart at once.
-TEXT_BLOCK = 1 << 20
+TEXT_BLOCK = 1 << 18
 _SLACK = 1 - 1e-9
 
 
@@ -32,14 +33,15 @@ def _bits(rows: np.ndarray, bits: np.ndarray, n: int, width: int) -> np.ndarray:
     return words
 
 
-def similar(tokens: np.ndarray, sizes: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of (i, j, similarity), i < j, over the threshold (above 0). tokens: numbers of the sets' tokens, set after set; sizes: of the sets."""
+def similar(tokens: np.ndarray, sizes: np.ndarray, threshold: float, of: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (i, j, similarity), i < j, over the threshold (above 0). tokens: numbers of the sets' tokens, set after set; sizes: of the sets.
+    of: the set of each token, if they are in another order."""
     place = np.argsort(sizes, kind="stable")
     size, n = sizes[place], len(sizes)
     rank = np.empty(n, np.int64)
     rank[place] = np.arange(n)
     token_bound = int(tokens.max()) + 1 if len(tokens) else 1
-    row, token = np.divmod(_sorted(np.repeat(rank, sizes) * token_bound + tokens), token_bound)  # of each token the rank of its set
+    row, token = np.divmod(_sorted((np.repeat(rank, sizes) if of is None else rank[of]) * token_bound + tokens), token_bound)  # of each token the rank of its set
     held = np.bincount(token) if len(token) else np.zeros(0, np.int64)
     frequent = held > max(FREQUENT_SETS, FREQUENT_SHARE * n)
     often = frequent[token]
@@ -155,6 +157,141 @@ def _set_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Arr
     return tokens, np.concatenate(sizes), np.concatenate(lengths), whole.chunk(0).dictionary if found else pa.array([], pa.string())
 
 
+#: Words of so many bytes are numbers: their bytes, and above them their length, so 59 bits. Others stay words.
+SHORT = 7
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(SHORT + 1)], np.int64)
+#: Above a number there is room to tell so many texts apart.
+_TOLD, _NUMBER = 32, (1 << 59) - 1
+_CODED = pa.struct([("n", pa.int32()), ("short", pa.binary()), ("long", pa.string())])
+_CODED_KIND = "struct<n: int, short: binary, long: string>"
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of an array of strings or binaries."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    return (ends - ends[0]).astype(np.int64), np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, first byte and length of each word, words of each text); 0x09 to 0x0D and spaces part words."""
+    ends, data = _bytes_of(texts)
+    word = ((data - np.uint8(9)) > 4) & (data != 32)
+    begins, stops = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    stops[:-1] &= ~word[1:]
+    filled = ends[:-1] < ends[1:]
+    for edges, at in ((begins, ends[:-1][filled]), (stops, ends[1:][filled] - 1)):
+        edges[at] |= word[at]
+    first = np.flatnonzero(begins)
+    return data, first, np.flatnonzero(stops) + 1 - first, np.diff(np.searchsorted(first, ends))
+
+
+def _numbers(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of words of at most SHORT bytes."""
+    eight = np.ndarray(len(data) + 1, np.dtype("<i8"), np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    return (eight[first] & _LOW_BYTES[size]) | (size << 56)
+
+
+def _sums(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)])
+
+
+def _coded_run(texts: pa.Array) -> pa.Array:
+    if not _only_plain_spaces(texts):
+        texts = pc.binary_join(pc.utf8_split_whitespace(texts), " ")
+    data, first, size, many = _words(texts)
+    brief = size <= SHORT
+    row = np.repeat(np.arange(len(many)), many)
+    # short words: sorted inside their text, some texts at once, so that repeats stand together
+    own = row[brief]
+    key = _numbers(data, first[brief], size[brief]).view(np.uint64) | (own % _TOLD).astype(np.uint64) << np.uint64(59)
+    cuts = np.searchsorted(own, np.arange(0, len(many) + _TOLD, _TOLD))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        key[a:b].sort()
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+    ends = _sums(np.bincount(own[new], minlength=len(many))) * 8
+    short = pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(key[new] & np.uint64(_NUMBER))])
+    # the others: each with a space behind it
+    wide = size[~brief] + 1
+    last = np.cumsum(wide)
+    at = np.repeat(first[~brief] - last + wide, wide) + np.arange(int(wide.sum()))
+    copied = np.concatenate([data, np.zeros(1, np.uint8)])[at]
+    copied[last - 1] = 32
+    ends = _sums(np.bincount(row[~brief], wide, minlength=len(many))).astype(np.int32)
+    long = pa.Array.from_buffers(pa.string(), len(many), [None, pa.py_buffer(ends), pa.py_buffer(copied)])
+    return pa.StructArray.from_arrays([pa.array(many.astype(np.int32)), short, long], fields=list(_CODED))
+
+
+def _coded(texts: pa.Array) -> pa.Array:
+    """Of each lower-cased text (null: empty) the number of its words, its different short words as numbers, and all others with a space behind each.
+    Different words have different codes: nothing is hashed."""
+    return pa.concat_arrays([pa.array([], _CODED), *map(_coded_run, _parts(texts.cast(pa.string()).fill_null("")))])
+
+
+def coded(text: Column) -> Column:
+    """A lower-cased text's words, as measured() and similar_rows() take them: made where the texts are read, so that no text has to be shuffled."""
+
+    @F.arrow_udf(_CODED_KIND)
+    def code(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(_coded, columns)
+
+    return code(text)
+
+
+def words_of(units: Column | str, words: bool) -> Column:
+    """What measured() and similar_rows() take of an array of units: their field words, made by coded(), or else their texts."""
+    return F.transform(units, lambda u: u["words"] if words else F.lower(u["text"]))
+
+
+class _Sets(NamedTuple):
+    """lengths: words of each text; sizes: of its set; of, tokens: the set and the number of each token; short, long: the different tokens."""
+
+    lengths: np.ndarray
+    sizes: np.ndarray
+    of: np.ndarray
+    tokens: np.ndarray
+    short: pa.Array
+    long: pa.Array
+
+    def similar(self, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return similar(self.tokens, self.sizes, threshold, self.of)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Of each different token the place of the word that it is, or -1."""
+        of_short, of_long = {}, {}
+        for k, word in enumerate(words.to_pylist()):
+            raw = (word or "").encode()
+            if len(raw) <= SHORT:
+                of_short[int.from_bytes(raw, "little") | len(raw) << 56] = k
+            else:
+                of_long[word + " "] = k
+        found = []
+        for names, kind, known in ((self.short, pa.int64(), of_short), (self.long, pa.string(), of_long)):
+            at = np.asarray(pc.index_in(names, pa.array(list(known), kind)).fill_null(-1))
+            found.append(np.array([*known.values(), -1], np.int64)[at])
+        return np.concatenate(found)
+
+
+def _sets(words: pa.Array) -> _Sets:
+    """words: texts, or what _coded() makes of them."""
+    n, short, long = (words if pa.types.is_struct(words.type) else _coded(words)).flatten()
+    rows = np.arange(len(n))
+    ends, data = _bytes_of(short.fill_null(b"").cast(pa.binary()))
+    numbers = pa.array(np.frombuffer(data.tobytes(), np.int64)).dictionary_encode()
+    n_short = np.diff(ends) // 8
+    ends, data = _bytes_of(long.fill_null("").cast(pa.string()))
+    cuts = np.concatenate([[0], np.flatnonzero(data == 32) + 1])
+    words_ = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+    key = _sorted(np.repeat(rows, np.diff(np.searchsorted(cuts, ends))) * max(len(words_.dictionary), 1) + np.asarray(words_.indices))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    row, token = np.divmod(key[new], max(len(words_.dictionary), 1))
+    tokens = np.concatenate([np.asarray(numbers.indices).astype(np.int64), token + len(numbers.dictionary)])
+    sizes = n_short + np.bincount(row, minlength=len(n))
+    return _Sets(np.asarray(n.fill_null(0)).astype(np.int64), sizes, np.concatenate([np.repeat(rows, n_short), row]), tokens, numbers.dictionary, words_.dictionary)
+
+
 _MEASURES = pa.struct([("n", pa.int32()), ("total", pa.int64()), ("least", pa.int32()), ("similar", pa.int64()), ("met", pa.int32())])
 _KIND = "struct<n: int, total: long, least: int, similar: long, met: int>"
 
@@ -167,12 +304,15 @@ def _measures(texts: pa.Array, asked: pa.Array, threshold: float, changes: list[
             continue
         own = texts.slice(k, 1).flatten()
         added = [new for _, new in changes[k] if new is not None]
-        whole = pa.concat_arrays([own, pa.array(added, own.type)]) if added else own
-        tokens, sizes, lengths, different = _set_of(whole)
+        if added:
+            new = pa.array(added, pa.string())
+            own = pa.concat_arrays([own.cast(_CODED), _coded(new)]) if pa.types.is_struct(own.type) else pa.concat_arrays([own, new.cast(own.type)])
+        sets = _sets(own)
+        lengths, n_own = sets.lengths, len(own) - len(added)
         # which texts each change leaves
-        inside = np.zeros((len(changes[k]), len(whole)), bool)
-        inside[:, : len(own)] = True
-        at = len(own)
+        inside = np.zeros((len(changes[k]), len(own)), bool)
+        inside[:, :n_own] = True
+        at = n_own
         for c, (gone, new) in enumerate(changes[k]):
             if gone is not None:
                 inside[c, gone] = False
@@ -180,12 +320,10 @@ def _measures(texts: pa.Array, asked: pa.Array, threshold: float, changes: list[
                 inside[c, at] = True
                 at += 1
         pairs = np.zeros(len(changes[k]), np.int64)
-        for i, j, _ in similar(tokens, sizes, threshold):
+        for i, j, _ in sets.similar(threshold):
             pairs += np.array([np.count_nonzero(x[i] & x[j]) for x in inside], np.int64)
-        words = asked.slice(k, 1).flatten()
-        wanted = np.asarray(pc.index_in(different.cast(words.type), words).fill_null(-1))  # of each different token the word that it is
-        of = wanted[tokens]
-        row, of = np.repeat(np.arange(len(whole)), sizes)[of >= 0], of[of >= 0]
+        of = sets.places(asked.slice(k, 1).flatten())[sets.tokens]
+        row, of = sets.of[of >= 0], of[of >= 0]
         out = []
         for x, similar_pairs in zip(inside, pairs, strict=True):
             filled = lengths[x & (lengths > 0)]
@@ -195,7 +333,7 @@ def _measures(texts: pa.Array, asked: pa.Array, threshold: float, changes: list[
 
 
 def measured(texts: Column, asked: Column, threshold: float) -> Column:
-    """Of an array of lower-cased texts: the number n of those with tokens, their tokens in total and the fewest, how many pairs of their token sets
+    """Of an array of lower-cased texts, or of what coded() makes of each: the number n of those with tokens, their tokens in total and the fewest, how many pairs of their token sets
     have a Jaccard similarity over the threshold, and how many of the words asked for (an array of different ones) are among the tokens."""
 
     @F.arrow_udf(_KIND)
@@ -220,15 +358,15 @@ def measured_changes(texts: Column, asked: Column, changes: Column, threshold: f
 
 
 def similar_rows(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows: a key and, of the same length, arrays i, id and t (lower-cased texts). (key, i, j, src, dst, similarity) of the pairs over the threshold,
+    """rows: a key and, of the same length, arrays i, id and t (lower-cased texts, or what coded() makes of each). (key, i, j, src, dst, similarity) of the pairs over the threshold,
     which leave a task block by block."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                tokens, sizes, _, _ = _set_of(batch.column(3).slice(k, 1).flatten())
+                sets = _sets(batch.column(3).slice(k, 1).flatten())
                 place, name = (batch.column(c).slice(k, 1).flatten() for c in (1, 2))
-                for i, j, ratio in similar(tokens, sizes, threshold):
+                for i, j, ratio in sets.similar(threshold):
                     if len(i):
                         key = batch.column(0).take(pa.array(np.full(len(i), k)))
                         yield pa.RecordBatch.from_arrays([key, place.take(pa.array(i)), place.take(pa.array(j)), name.take(pa.array(i)), name.take(pa.array(j)), pa.array(ratio)], names=["key", "i", "j", "src", "dst", "similarity"])

@@ -52,13 +52,13 @@ def evidence_features(spark, d):
 
 @query
 def evidence_pairs_jaccard(spark, d):
-    found = pairs.similar_pairs(X.instances(spark, d), features.SIMILAR, "item_id")
+    found = pairs.similar_pairs(X.instances(spark, d, cut=0, words=True), features.SIMILAR, "item_id", words=True)
     return found.select("item_id", "i", "j", F.round("similarity", 6).alias("similarity"), (F.col("similarity") > features.DUPLICATE).alias("duplicate"))
 
 
 @query
 def duplicate_rate_by_group(spark, d):
-    return _rounded(pairs.duplicate_rates(X.instances(spark, d), features.DUPLICATE, "item_id"), "duplicate_rate")
+    return _rounded(pairs.duplicate_rates(X.instances(spark, d, cut=0, words=True), features.DUPLICATE, "item_id", words=True), "duplicate_rate")
 
 
 @query
@@ -88,7 +88,7 @@ def evidence_graph_nodes(spark, d):
 
 @query
 def evidence_graph_edges(spark, d):
-    return _rounded(graph.edges(X.instances(spark, d)), "similarity")
+    return _rounded(graph.edges(X.instances(spark, d, cut=0, words=True), words=True), "similarity")
 
 
 # -- assembly ------------------------------------------------------------------------------------------------------------------
@@ -597,7 +597,8 @@ def _states(spark: SparkSession, d: str) -> DataFrame:
 
 def _detector_rows(spark: SparkSession, d: str) -> DataFrame:
     """(example_id, dataset, label, the eight features, split), stored once for several fits."""
-    found = build.flat_features(features.all_states_with_features(X.instances(spark, d))).select("example_id", "dataset", "label", *FEATURES)
+    measured = features.all_states_with_features(X.instances(spark, d, cut=variants.TEXT_TAKEN, words=True), words=True)
+    found = build.flat_features(measured).select("example_id", "dataset", "label", *FEATURES)
     rows = stored(found, "detector-features")  # the split takes its rows several times
     return stored(sampling.stratified_split(rows, ["label", "dataset"], "example_id"), "detector-rows")
 

@@ -104,3 +104,45 @@ def test_texts_are_gathered_by_one_shuffle_into_even_tasks(spark):
     assert told(got) == told(wanted) and any(not r.raw for r in got.collect())
     plan = fixtures.featured(spark, d)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "Window" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_words_coded_before_a_shuffle_are_those_of_the_texts(monkeypatch):
+    """Coded words give the sets, counts and words met that the texts give, short and long words, odd white space, empty texts and nulls; none is hashed."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abé深\x00") for _ in range(rng.randrange(1, 12)))
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(40))) for words in [[word() for _ in range(30)]] for _ in range(50)]
+    texts += ["", None, " ", "\n", "a b　a longer-words  longer-words", "c\x1cd", "é « x » — à b", "exactly7 exactl7", "x", "", "ab", "ab\x00", "a"]
+    plain = [set((t or "").split()) for t in texts]
+    for block in (1, 100, 1 << 20):
+        monkeypatch.setattr(similarity, "TEXT_BLOCK", block)
+        for own in (pa.array(["cut", *texts])[1:], similarity._coded(pa.array(texts)), pa.concat_arrays([similarity._coded(pa.array(["cut out", *texts[:20]])).slice(1), similarity._coded(pa.array(texts[20:]))])):
+            sets = similarity._sets(own)
+            assert sets.lengths.tolist() == [len((t or "").split()) for t in texts]
+            assert sets.sizes.tolist() == [len(s) for s in plain] == np.bincount(sets.of, minlength=len(texts)).tolist()
+            names = sorted(set().union(*plain))
+            place = sets.places(pa.array(names))
+            assert sorted(place.tolist()) == list(range(len(names)))
+            got = [set() for _ in texts]
+            for k, t in zip(sets.of.tolist(), sets.tokens.tolist(), strict=True):
+                got[k].add(names[place[t]])
+            assert got == plain
+    assert similarity._coded(pa.array([], pa.string())).type == similarity._CODED and len(similarity._sets(similarity._coded(pa.array([], pa.string()))).tokens) == 0
+
+
+def test_no_text_is_shuffled_for_the_words_of_units(spark):
+    """Words are made where documents are read, and labels meet their documents in the group: no join, however small a table may be to be broadcast."""
+    from prooflake.plans import catalog
+    from prooflake.sources import fixtures
+    from prooflake.storage import set_for_a_while
+
+    d = "/root/testdata/sf0.001"
+    with set_for_a_while(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        for name in ("evidence_features", "feature_vectors", "duplicate_rate_by_group", "evidence_pairs_jaccard", "evidence_graph_edges"):
+            plan = catalog.queries()[name](spark, d)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "coded" in plan or "code(" in plan, name
+        assert "SortMergeJoin" not in fixtures.instances(spark, d)._jdf.queryExecution().executedPlan().toString()
+    units = fixtures.instances(spark, d, cut=3, words=True).selectExpr("inline(evidence_units)").select("text", "words.n").collect()
+    whole = fixtures.instances(spark, d).selectExpr("inline(evidence_units)").select("text").collect()
+    assert sorted(((u.text, u.n) for u in units), key=str) == sorted(((None if w.text is None else w.text[:3], len((w.text or "").split())) for w in whole), key=str)
