@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField,
 #: A token is frequent if over this share of the sets, and over so many, have it.
 FREQUENT_SHARE, FREQUENT_SETS = 0.02, 16
 #: Meetings of rare tokens, and cells of pairs, that a block of rows has (a single row may have more).
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Bytes of text whose words are told apart at once.
 TEXT_BLOCK = 1 << 18
 _SLACK = 1 - 1e-9
@@ -36,65 +36,100 @@ def _bits(rows: np.ndarray, bits: np.ndarray, n: int, width: int) -> np.ndarray:
 def similar(tokens: np.ndarray, sizes: np.ndarray, threshold: float, of: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of (i, j, similarity), i < j, over the threshold (above 0). tokens: numbers of the sets' tokens, set after set; sizes: of the sets.
     of: the set of each token, if they are in another order."""
-    place = np.argsort(sizes, kind="stable")
-    size, n = sizes[place], len(sizes)
-    rank = np.empty(n, np.int64)
-    rank[place] = np.arange(n)
-    token_bound = int(tokens.max()) + 1 if len(tokens) else 1
-    row, token = np.divmod(_sorted((np.repeat(rank, sizes) if of is None else rank[of]) * token_bound + tokens), token_bound)  # of each token the rank of its set
-    held = np.bincount(token) if len(token) else np.zeros(0, np.int64)
-    frequent = held > max(FREQUENT_SETS, FREQUENT_SHARE * n)
-    often = frequent[token]
-    number = np.cumsum(frequent) - 1
-    words = _bits(row[often], number[token[often]], n, int(frequent.sum()))
-    n_often = np.bincount(row[often], minlength=n)
-    rare = ~often & (held[token] > 1)
-    row, token = row[rare], token[rare]
-    # a set meets those behind it, up to the size at which their sizes alone rule it out
-    end = np.searchsorted(size * (threshold * _SLACK), size, "right")
-    listed = np.argsort(token, kind="stable")
-    lists = row[listed]  # the ranks of a token's sets, ascending
-    keys = token[listed].astype(np.int64) * (n + 1)
-    last = np.searchsorted(keys + lists, keys + end[lists])
-    first, many = np.empty(len(row), np.int64), np.empty(len(row), np.int64)
-    first[listed] = np.arange(1, len(row) + 1)
-    many[listed] = last - np.arange(1, len(row) + 1)
-    np.maximum(many, 0, out=many)
-    begin = np.searchsorted(row, np.arange(n + 1))
-    cost = np.maximum(np.diff(np.concatenate([[0], np.cumsum(many)])[begin]), end - np.arange(n))
-    a = 0
-    while a < n:
-        b = a + 1
-        spent = int(cost[a])
-        while b < n and spent + cost[b] <= BLOCK and (b + 1 - a) * (int(end[b]) - a) <= 2 * BLOCK:
-            spent += int(cost[b])
-            b += 1
-        width = int(end[b - 1]) - a
-        if width > 1:
-            yield from _block(a, b, width, size, place, n_often, words, end, threshold, row[begin[a] : begin[b]], first[begin[a] : begin[b]], many[begin[a] : begin[b]], lists)
-        a = b
-
-
-def _block(a, b, width, size, place, n_often, words, end, threshold, row, first, many, lists):
-    total = int(many.sum())
-    at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(total)
-    met = np.bincount(np.repeat((row - a) * width, many) + (lists[at] - a), minlength=(b - a) * width).reshape(b - a, width)
-    x, y = size[a:b, None], size[None, a : a + width]
-    most = np.minimum(n_often[a:b, None], n_often[None, a : a + width])
-    most += met
-    possible = most > (x + y) * (threshold / (1 + threshold) * _SLACK)
-    i, j = np.nonzero(possible)
-    ok = (j > i) & (j + a < end[i + a])
-    i, j = i[ok], j[ok]
-    for k in range(0, len(i), BLOCK // 8):
-        p, q = i[k : k + BLOCK // 8], j[k : k + BLOCK // 8]
-        shared = met[p, q]
-        for w in range(words.shape[1]):
-            shared = shared + np.bitwise_count(words[p + a, w] & words[q + a, w])
-        ratio = shared / (size[p + a] + size[q + a] - shared)
-        over = ratio > threshold
-        left, right = place[p[over] + a], place[q[over] + a]
-        yield np.minimum(left, right), np.maximum(left, right), ratio[over]
+    yield from Index(tokens, sizes, of).own(threshold)
+
+
+class _Rows:
+    """Sets in order of size, with their tokens (row: the rank of its set) in order; place: of each rank its set."""
+
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, of: np.ndarray | None) -> None:
+        n = len(sizes)
+        self.place = np.argsort(sizes, kind="stable")
+        self.size = sizes[self.place]
+        rank = np.empty(n, np.int64)
+        rank[self.place] = np.arange(n)
+        bound = int(tokens.max()) + 1 if len(tokens) else 1
+        self.row, self.token = np.divmod(_sorted((np.repeat(rank, sizes) if of is None else rank[of]) * bound + tokens), bound)
+
+    def told_apart(self, frequent: np.ndarray, number: np.ndarray, width: int, held: np.ndarray, least: int) -> None:
+        """The frequent tokens become bits; of the others those stay that `least` sets of the index hold."""
+        often = frequent[self.token]
+        self.words = _bits(self.row[often], number[self.token[often]], len(self.size), width)
+        self.n_often = np.bincount(self.row[often], minlength=len(self.size))
+        rare = ~often & (held[self.token] >= least)
+        self.row, self.token = self.row[rare], self.token[rare]
+        self.begin = np.searchsorted(self.row, np.arange(len(self.size) + 1))
+
+
+class Index:
+    """Sets that meet each other, or others: lists of the sets that hold a rare token, bits of the frequent ones."""
+
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, of: np.ndarray | None = None) -> None:
+        n = len(sizes)
+        self.rows = _Rows(tokens, sizes, of)
+        self.held = np.bincount(self.rows.token) if len(tokens) else np.zeros(0, np.int64)
+        self.frequent = self.held > max(FREQUENT_SETS, FREQUENT_SHARE * n)
+        self.number, self.width = np.cumsum(self.frequent) - 1, int(self.frequent.sum())
+        self.rows.told_apart(self.frequent, self.number, self.width, self.held, 1)
+        listed = np.argsort(self.rows.token, kind="stable")
+        self.lists = self.rows.row[listed]  # the ranks of a token's sets, ascending
+        self.keys = self.rows.token[listed] * (n + 1) + self.lists
+
+    def own(self, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of the sets of the index, i < j."""
+        size = self.rows.size
+        # a set meets those behind it, up to the size at which their sizes alone rule it out
+        for i, j, ratio in self._met(self.rows, np.arange(1, len(size) + 1), np.searchsorted(size * (threshold * _SLACK), size, "right"), threshold):
+            yield np.minimum(i, j), np.maximum(i, j), ratio
+
+    def others(self, tokens: np.ndarray, sizes: np.ndarray, of: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, similarity) of other sets i with the sets j of the index. tokens: those that sets of the index have; sizes: of the sets with all tokens."""
+        rows = _Rows(tokens, sizes, of)
+        rows.told_apart(self.frequent, self.number, self.width, self.held, 1)
+        size = self.rows.size
+        yield from self._met(rows, np.searchsorted(size, rows.size * (threshold * _SLACK), "left"), np.searchsorted(size * (threshold * _SLACK), rows.size, "right"), threshold)
+
+    def _met(self, rows: _Rows, low: np.ndarray, high: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Each row meets the ranks from low to high; both ascend. Rows are taken in runs of tokens, and these in blocks."""
+        a, n = 0, len(rows.size)
+        while a < n:
+            e = max(a + 1, int(np.searchsorted(rows.begin, rows.begin[a] + BLOCK, "right")) - 1)
+            row, key = rows.row[rows.begin[a] : rows.begin[e]], rows.token[rows.begin[a] : rows.begin[e]] * (len(self.rows.size) + 1)
+            first = np.searchsorted(self.keys, key + low[row])
+            many = np.maximum(np.searchsorted(self.keys, key + high[row]) - first, 0)
+            at = rows.begin[a : e + 1] - rows.begin[a]
+            cost = np.maximum(np.diff(_sums(many)[at]), high[a:e] - low[a:e])
+            while a < e:
+                b, base = a + 1, e - len(cost)
+                spent = int(cost[a - base])
+                while b < e and spent + cost[b - base] <= BLOCK and (b + 1 - a) * (int(high[b]) - int(low[a])) <= 2 * BLOCK:
+                    spent += int(cost[b - base])
+                    b += 1
+                if high[b - 1] > low[a]:
+                    of = slice(at[a - base], at[b - base])
+                    yield from self._block(rows, a, b, low[a:b], high[a:b], row[of], first[of], many[of], threshold)
+                a = b
+
+    def _block(self, rows, a, b, low, high, row, first, many, threshold):
+        start, width = int(low[0]), int(high[-1] - low[0])
+        total = int(many.sum())
+        at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(total)
+        met = np.bincount(np.repeat((row - a) * width - start, many) + self.lists[at], minlength=(b - a) * width).reshape(b - a, width)
+        x, y = rows.size[a:b, None], self.rows.size[None, start : start + width]
+        most = np.minimum(rows.n_often[a:b, None], self.rows.n_often[None, start : start + width])
+        most += met
+        possible = most > (x + y) * (threshold / (1 + threshold) * _SLACK)
+        i, j = np.nonzero(possible)
+        ok = (j + start >= low[i]) & (j + start < high[i])
+        i, j = i[ok], j[ok]
+        for k in range(0, len(i), BLOCK // 8):
+            p, q = i[k : k + BLOCK // 8], j[k : k + BLOCK // 8]
+            shared = met[p, q]
+            for w in range(self.rows.words.shape[1]):
+                shared = shared + np.bitwise_count(rows.words[p + a, w] & self.rows.words[q + start, w])
+            ratio = shared / (rows.size[p + a] + self.rows.size[q + start] - shared)
+            over = ratio > threshold
+            yield rows.place[p[over] + a], self.rows.place[q[over] + start], ratio[over]
 
 
 def _sorted(values: np.ndarray) -> np.ndarray:
@@ -257,6 +292,16 @@ class _Sets(NamedTuple):
     def similar(self, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         return similar(self.tokens, self.sizes, threshold, self.of)
 
+    def index(self) -> Index:
+        return Index(self.tokens, self.sizes, self.of)
+
+    def met_by(self, index: Index, owner: _Sets, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, similarity) of these sets and those of another's index."""
+        known = [np.asarray(pc.index_in(own, other).fill_null(-1)).astype(np.int64) for own, other in ((self.short, owner.short), (self.long, owner.long))]
+        known[1][known[1] >= 0] += len(owner.short)
+        token = np.concatenate(known)[self.tokens]
+        yield from index.others(token[token >= 0], self.sizes, self.of[token >= 0], threshold)
+
     def places(self, words: pa.Array) -> np.ndarray:
         """Of each different token the place of the word that it is, or -1."""
         of_short, of_long = {}, {}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from prooflake.functions import responses as R
 from prooflake.functions import text as T
 from prooflake.functions.vocabulary import FEATURES, STATES, STOPWORDS_EVIDENCE
-from prooflake.operators import assemble, context, features, graph, ingest, metrics, models, pairs, plots, remediation, sampling, thresholds, training, variants
+from prooflake.operators import assemble, context, features, graph, ingest, metrics, models, pairs, plots, remediation, sampling, thresholds, training, unit_blocks, variants
 from prooflake.plans import build
 from prooflake.plans.oracles import ORACLES
 from prooflake.sources import files, json_arrays
@@ -52,8 +52,8 @@ def evidence_features(spark, d):
 
 @query
 def evidence_pairs_jaccard(spark, d):
-    found = pairs.similar_pairs(X.instances(spark, d, cut=0, words=True), features.SIMILAR, "item_id", words=True)
-    return found.select("item_id", "i", "j", F.round("similarity", 6).alias("similarity"), (F.col("similarity") > features.DUPLICATE).alias("duplicate"))
+    found = unit_blocks.similar_pairs(X.unit_groups(spark, d, numbered=True), features.SIMILAR)
+    return found.select(F.col("key").alias("item_id"), "i", "j", F.round("similarity", 6).alias("similarity"), (F.col("similarity") > features.DUPLICATE).alias("duplicate"))
 
 
 @query
