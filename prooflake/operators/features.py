@@ -1,6 +1,7 @@
 """The eight label-free features of an evidence set, as expressions over its array of units: no shuffle, no explode.
 
-Titles are compared in order, after a sort; what takes the texts' tokens is measured in operators/similarity.py, in one pass."""
+Titles are compared in order, after a sort; what takes the texts' tokens is measured in operators/similarity.py, in one pass. Where units are rows,
+as sets may be too large for an array, from_rows() has the same features from sums (operators/unit_blocks.py)."""
 
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from prooflake.functions import text as T
 from prooflake.functions.vocabulary import STATES, STOPWORDS_EVIDENCE
-from prooflake.operators import variants
+from prooflake.operators import unit_blocks, variants
 from prooflake.operators.similarity import measured, measured_changes, words_of
 from prooflake.storage import stored
 
@@ -25,25 +26,49 @@ def filled_texts(units: Column) -> Column:
 
 def features(query: Column, units: Column, told: Column) -> dict[str, Column]:
     """told: what similarity.measured says of the texts and the query's words (a column, so it is computed once)."""
-    n = F.size(units)
-    titles = F.filter(F.transform(units, lambda u: u["doc_title"]), lambda t: F.coalesce(t, F.lit("")).isin("", "none") == F.lit(False))
-    pairs = told["n"].cast("long") * (told["n"] - 1) / 2
+    titles = F.filter(F.transform(units, lambda u: u["doc_title"]), named)
     # in order, a title that occurs again has an equal neighbour
     same = lambda ts, t, k: F.coalesce(F.get(ts, k) == t, F.lit(False))
     shared = T.let(F.sort_array(titles), lambda ts: F.size(F.filter(ts, lambda t, i: same(ts, t, i - 1) | same(ts, t, i + 1))))
+    return _values(F.size(units), F.size(F.array_distinct(titles)), shared, told, F.size(asked_words(query)))
+
+
+def named(title: Column) -> Column:
+    return F.coalesce(title, F.lit("")).isin("", "none") == F.lit(False)
+
+
+def _values(n: Column, sources: Column, shared: Column, told: Column | dict[str, Column], asked: Column) -> dict[str, Column]:
+    """n: units; sources: their different titles; shared: units whose title is that of others too; asked: words asked for."""
+    pairs = told["n"].cast("long") * (told["n"] - 1) / 2
     mean = told["total"] / F.greatest(told["n"], F.lit(1))
     return {
-        "source_diversity": F.size(F.array_distinct(titles)),
+        "source_diversity": sources,
         "text_resolution_rate": F.round(T.ratio(told["n"], n), 4),
         "avg_evidence_length": F.rint(mean * 100) / 100,
         "min_evidence_length": F.coalesce(told["least"], F.lit(0)),
         "duplicate_rate": F.round(told["similar"] / F.greatest(pairs, F.lit(1.0)), 4),
         "document_overlap_rate": F.round(T.ratio(shared, n), 4),
-        "entity_overlap": F.round(T.ratio(told["met"], F.size(asked_words(query))), 4),
+        "entity_overlap": F.round(T.ratio(told["met"], asked), 4),
         "evidence_count": n,
     }
 
 
+def from_rows(told: DataFrame, titles: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, state, graph_features) of each row of keys (key, state, n_asked), from unit_blocks.measured() and counts (key, state, title, n; some may be
+    taken off by a negative n). No array of units is built, so a key may have any number."""
+    counts = titles.groupBy("key", "state", "title").agg(F.sum("n").alias("n")).where("n > 0")
+    is_named = named(F.col("title"))
+    of_titles = counts.groupBy("key", "state").agg(
+        F.sum("n").alias("units"), F.sum(F.when(is_named, 1).otherwise(0)).alias("sources"), F.sum(F.when(is_named & (F.col("n") > 1), F.col("n")).otherwise(0)).alias("shared"),
+    )
+    every = told.unionByName(of_titles, allowMissingColumns=True).unionByName(keys.withColumn("present", F.lit(True)), allowMissingColumns=True)
+    whole = {c: F.coalesce(F.max(c), F.lit(0)).cast("int").alias(c) for c in ("units", "sources", "shared")}
+    rows = every.groupBy("key", "state").agg(*(c.alias(f"told_{name}") for name, c in unit_blocks.together().items()), *whole.values(), F.max("n_asked").alias("n_asked"), F.max("present").alias("present"))
+    told_ = {name: F.col(f"told_{name}") for name in ("n", "total", "least", "similar")} | {"met": F.when(F.col("n_asked").isNotNull(), F.col("told_met"))}
+    found = _values(F.col("units"), F.col("sources"), F.col("shared"), told_, F.col("n_asked"))
+    return rows.where("present").select("key", "state", F.struct(*(c.alias(name) for name, c in found.items())).alias("graph_features"))
+
+
 def asked_words(query: Column) -> Column:
     """Without stop words in the query those of the evidence meet nothing."""
     return T.content(T.token_set(query), STOPWORDS_EVIDENCE)
