@@ -20,4 +20,9 @@ def duplicate_rates(instances: DataFrame, threshold: float, key: str = "example_
     """(key, n, duplicates, duplicate_rate): units with text, and the share of their pairs that are over the threshold."""
     told = instances.select(key, measured(words_of("evidence_units", words), F.array().cast("array<string>"), threshold).alias("told"))
     found = told.select(key, F.col("told.n").alias("n"), F.col("told.similar").cast("int").alias("duplicates"))
+    return with_rate(found)
+
+
+def with_rate(found: DataFrame) -> DataFrame:
+    """found (n, duplicates) with the share of the pairs."""
     return found.withColumn("duplicate_rate", F.col("duplicates") / F.greatest(F.col("n").cast("long") * (F.col("n") - 1) / 2, F.lit(1.0)))

@@ -58,7 +58,7 @@ def evidence_pairs_jaccard(spark, d):
 
 @query
 def duplicate_rate_by_group(spark, d):
-    return _rounded(pairs.duplicate_rates(X.instances(spark, d, cut=0, words=True), features.DUPLICATE, "item_id", words=True), "duplicate_rate")
+    return _rounded(pairs.with_rate(X.duplicate_counts(spark, d, features.DUPLICATE)), "duplicate_rate")
 
 
 @query

@@ -59,14 +59,14 @@ def test_no_row_grows_with_the_units_of_an_item(spark, monkeypatch):
     from prooflake.plans import catalog
     from prooflake.sources import fixtures
 
-    names = ("evidence_features", "evidence_pairs_jaccard", "feature_corr")
+    names = ("evidence_features", "evidence_pairs_jaccard", "duplicate_rate_by_group", "feature_corr")
     told = lambda: {name: sorted(map(tuple, catalog.queries()[name](spark, D).collect()), key=str) for name in names}
     whole = told()
     monkeypatch.setattr(unit_blocks, "BLOCK_BYTES", 3000)
     assert told() == whole
     wanted = {r.item_id: r.graph_features for r in features.with_features(fixtures.instances(spark, D)).collect()}
     assert {r.item_id: r.graph_features for r in fixtures.featured(spark, D).collect()} == wanted
-    for name in names[:2]:
+    for name in names[:3]:
         plan = catalog.queries()[name](spark, D)._jdf.queryExecution().optimizedPlan().toString()
         assert "collect_list(struct" not in plan and "collect_list(u" not in plan, name
     assert len(whole["evidence_features"]) == 40
