@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prooflake.functions import text as T
@@ -13,10 +13,35 @@ def top_evidence(query: Column, texts: Column, k: int = 10, most: int = 300) ->
     """The k passages (struct score, pos, text) that share most with the query, ties in order: stripped and cut before scoring."""
     asked = T.content(T.token_set(query), STOPWORDS_UNIT)
     cut = F.transform(F.filter(texts, lambda t: ~T.is_blank(t)), lambda t: T.head(T.strip(t), most))
-    scored = F.transform(cut, lambda t, i: F.struct((-T.query_overlap(asked, T.content(T.token_set(t), STOPWORDS_UNIT))).alias("order"), i.alias("pos"), t.alias("text")))
+    scored = F.transform(cut, lambda t, i: F.struct(_order(asked, t).alias("order"), i.alias("pos"), t.alias("text")))
     return F.transform(F.slice(F.array_sort(scored), 1, k), lambda s: F.struct((-s["order"]).alias("score"), s["pos"].alias("pos"), s["text"].alias("text")))
 
 
+def _order(asked: Column, text: Column) -> Column:
+    return -T.query_overlap(asked, T.content(T.token_set(text), STOPWORDS_UNIT))
+
+
+def top_rows(units: DataFrame, queries: DataFrame, more: int = 1, k: int = 10, most: int = 300) -> DataFrame:
+    """(key, top: the first k + more of top_evidence, as structs order, pos, uid, text) of units (key, uid, text) that are rows. queries: key, input_text."""
+    cut = units.where(~T.is_blank("text")).select("key", "uid", T.head(T.strip("text"), most).alias("text"))
+    asked = queries.select("key", T.content(T.token_set("input_text"), STOPWORDS_UNIT).alias("asked"))
+    rows = cut.join(asked, "key").select("key", "uid", "text", _order(F.col("asked"), F.col("text")).alias("order"))
+    first = rows.withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy("order", "uid"))).where(F.col("pos") <= k + more)
+    return first.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("order", "pos", "uid", "text"))).alias("top"))
+
+
+def plain_inputs(states: DataFrame, k: int = 10, most: int = 300) -> DataFrame:
+    """states (input_text, top: of top_rows, gone: the uid of a unit that goes, new: a text that is added behind all; null: none) with the plain_input of processed()."""
+    asked = T.content(T.token_set("input_text"), STOPWORDS_UNIT)
+    kinds = states.schema["top"].dataType.elementType
+    left = F.filter(F.coalesce("top", F.array().cast(states.schema["top"].dataType)), lambda t: F.col("gone").isNull() | (t["uid"] != F.col("gone")))
+    cut = T.head(T.strip("new"), most)
+    last = F.struct(_order(asked, cut).alias("order"), F.lit(2**31 - 1).alias("pos"), F.lit(None).alias("uid"), cut.alias("text")).cast(kinds)
+    every = F.when(T.is_blank("new"), left).otherwise(F.array_sort(F.concat(left, F.array(last))))
+    texts = F.transform(F.slice(every, 1, k), lambda t: t["text"])
+    return states.withColumn("plain_input", F.concat("input_text", F.lit(" "), F.array_join(texts, " ")))
+
+
 def processed(instances: DataFrame, k: int = 10, most: int = 300) -> DataFrame:
     """The processed row: inputs from the top evidence, labels, features. The plain input has a space after the query in any case."""
     texts = F.transform("evidence_units", lambda u: u["text"])

@@ -597,8 +597,7 @@ def _states(spark: SparkSession, d: str) -> DataFrame:
 
 def _detector_rows(spark: SparkSession, d: str) -> DataFrame:
     """(example_id, dataset, label, the eight features, split), stored once for several fits."""
-    measured = features.all_states_with_features(X.instances(spark, d, cut=variants.TEXT_TAKEN, words=True), words=True)
-    found = build.flat_features(measured).select("example_id", "dataset", "label", *FEATURES)
+    found = build.flat_features(X.states_featured(spark, d)).select("example_id", "dataset", "label", *FEATURES)
     rows = stored(found, "detector-features")  # the split takes its rows several times
     return stored(sampling.stratified_split(rows, ["label", "dataset"], "example_id"), "detector-rows")
 

@@ -70,3 +70,19 @@ def test_no_row_grows_with_the_units_of_an_item(spark, monkeypatch):
         plan = catalog.queries()[name](spark, D)._jdf.queryExecution().optimizedPlan().toString()
         assert "collect_list(struct" not in plan and "collect_list(u" not in plan, name
     assert len(whole["evidence_features"]) == 40
+
+
+@pytest.mark.parametrize("scale", ["0.001", "0.01"])
+@pytest.mark.parametrize("size", [3000, 1 << 24])
+def test_states_from_rows_are_those_from_arrays(spark, monkeypatch, size, scale):
+    """Features and plain inputs of all four states without an array of units, in one block and in many."""
+    from prooflake.operators import assemble
+    from prooflake.sources import fixtures
+
+    monkeypatch.setattr(unit_blocks, "BLOCK_BYTES", size)
+    d = f"/root/testdata/sf{scale}"
+    told = lambda rows: sorted((r.example_id, r.dataset, r.evidence_state_label, r.plain_input, tuple(r.graph_features)) for r in rows.collect())
+    got = fixtures.states_featured(spark, d, texts=True)
+    assert told(got) == told(assemble.processed(features.all_states_with_features(fixtures.instances(spark, d))))
+    short = sorted((r.example_id, tuple(r.graph_features)) for r in fixtures.states_featured(spark, d).collect())
+    assert short == [(r[0], r[4]) for r in told(got)] and len({r[2] for r in told(got)}) == 4
