@@ -646,8 +646,8 @@ def leave_one_dataset_out(spark, d):
 
 
 def _fused_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    found = assemble.processed(features.all_states_with_features(X.instances(spark, d)))
-    rows = stored(build.flat_features(found).select("example_id", "dataset", "label", "plain_input", *FEATURES), "fused-features")
+    found = build.flat_features(X.states_featured(spark, d, texts=True))
+    rows = stored(found.select("example_id", "dataset", "label", "plain_input", *FEATURES), "fused-features")
     return _split(stored(sampling.stratified_split(rows, ["label", "dataset"], "example_id"), "fused-detector-rows"))
 
 
