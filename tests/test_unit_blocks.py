@@ -86,3 +86,16 @@ def test_states_from_rows_are_those_from_arrays(spark, monkeypatch, size, scale)
     assert told(got) == told(assemble.processed(features.all_states_with_features(fixtures.instances(spark, d))))
     short = sorted((r.example_id, tuple(r.graph_features)) for r in fixtures.states_featured(spark, d).collect())
     assert short == [(r[0], r[4]) for r in told(got)] and len({r[2] for r in told(got)}) == 4
+
+
+@pytest.mark.parametrize("made", ["_detector_rows", "_fused_rows"])
+def test_detectors_take_no_arrays_of_units(spark, monkeypatch, made):
+    """features_lr and leave_one_dataset_out, training_curve and fused_detector: their rows are made without instances, which hold all units of an item."""
+    from prooflake.plans import catalog
+    from prooflake.sources import fixtures
+
+    monkeypatch.setattr(fixtures, "instances", None)
+    monkeypatch.setattr(fixtures, "_gathered", None)
+    rows = getattr(catalog, made)(spark, D)
+    whole = rows if made == "_detector_rows" else rows[0].unionByName(rows[1])
+    assert whole.groupBy("label").count().count() == 4
